@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash
+from . import mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality": quality.ORACLE_OP1,
     "op2_mixing": mixing.ORACLE_OP2,
 }
