@@ -66,7 +66,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             F.coalesce(F.min(F.when(over, F.col("_bucket"))), past).alias("_prefix"),
             (F.first("_rest") - F.coalesce(F.max(F.when(~over, F.col("_run"))), F.lit(0))).alias("_rest"),
         )
-        state = found
+        state = written(found, "state")  # a row for each source: small enough to be sent to the rows, not the rows to it
     return state.select("source", F.col("_prefix").alias("threshold"))
 
 
@@ -77,7 +77,7 @@ def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     plan = targets.withColumn("_whole", whole)
     cuts = thresholds(sized, plan.select("source", (F.col("target") - F.col("_whole") * F.col("source_size")).alias("budget")))
     plan = plan.join(cuts.withColumnRenamed("source", "_cs"), F.col("source").eqNullSafe(F.col("_cs")), "left").drop("_cs")
-    plan = plan.withColumnRenamed("source", "_ps")
+    plan = written(plan.withColumnRenamed("source", "_ps"), "plan")
     out = sized.join(plan, sized["source"].eqNullSafe(F.col("_ps")), "left")
     copies = F.col("_whole") + (F.col("hash") < F.coalesce(F.col("threshold"), F.lit(0))).cast("long")
     return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_ps", "_whole", "threshold")
