@@ -3,22 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bandloom.llm import mixing, simhash
+from bandloom.llm import mixing, pii, quality, sentencepiece_viterbi, simhash
 from bandloom.llm.common import documents, written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; the others lose their boilerplate lines."""
+    return quality.good_documents(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.one_of_each(docs)
 
 
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to surrogates."""
+    return pii.private_documents(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source gets near its share: documents are left out or repeat."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("source mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the ids of each document."""
+    return sentencepiece_viterbi.encoded(docs.select("doc_id", "lang", "source", "text")).withColumn("n_ids", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", near_dedup),
+    ("pii surrogates", surrogates),
+    ("source mixing", mix),
+    ("sentencepiece encoding", encode),
+]
 
 #: Fingerprints, surrogates and segmentation have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
