@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lz_fingerprint, mixing, pii, quality, secrets, sentencepiece_viterbi, sharding, simhash
+from . import lz_fingerprint, mixing, pii, quality, secrets, sentencepiece_viterbi, sharding, simhash, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
+    "op3_token_output": token_output.op3_token_output,
     "op4_lz_fingerprint": lz_fingerprint.op4_lz_fingerprint,
     "op5_sentencepiece": sentencepiece_viterbi.op5_sentencepiece,
     "op6_pii": pii.op6_pii,
