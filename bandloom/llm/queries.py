@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lz_fingerprint, mixing, pii, quality, secrets, sentencepiece_viterbi, sharding, simhash, token_output
+from . import lm, lz_fingerprint, mixing, pii, quality, secrets, sentencepiece_viterbi, sharding, simhash, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lz_fingerprint": lz_fingerprint.op4_lz_fingerprint,
     "op5_sentencepiece": sentencepiece_viterbi.op5_sentencepiece,
     "op6_pii": pii.op6_pii,
+    "op7_lm": lm.op7_lm,
     "op8_sharding": sharding.op8_sharding,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
