@@ -30,6 +30,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .common import documents
 
@@ -171,7 +172,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), lists], names=[*kept, "ids"])
 
-    schema = docs.select(*kept).schema.add("ids", "array<int>")
+    schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType()))
     return docs.select(*kept, "text").mapInArrow(run, schema)
 
 
@@ -186,7 +187,7 @@ def decoded(tokens: DataFrame, model: str | None = None) -> DataFrame:
             texts = [x.decode("utf-8", "replace") for x in pieces(model).decode(ids, offsets)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
-    schema = tokens.select(*kept).schema.add("text", "string")
+    schema = tokens.select(*kept).schema.add("text", StringType())
     return tokens.select(*kept, "ids").mapInArrow(run, schema)
 
 
