@@ -42,7 +42,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(BLANK_CHARS)) != "")
     x = docs.withColumns({"_words": words_of(text), "_lines": lines})
     after = lambda i, n: F.get("_words", i + n)
-    windows = F.transform("_words", lambda w, i: F.concat(w, F.lit(" "), after(i, 1), F.lit(" "), after(i, 2)))
+    windows = F.transform("_words", lambda w, i: F.xxhash64(w, after(i, 1), after(i, 2)))  # within one text 64 bits tell windows apart
     x = x.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.translate(text, BLANK_CHARS, "")).cast("long"),
@@ -61,8 +61,9 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
     """A row for each line with a word: host, text key, pos, hash, words, and the hash of its two neighbours."""
-    x = with_text_key(docs).select(F.col(host).alias("host"), "_h1", "_h2", F.split(text_or_empty(), "\n", -1).alias("_lines"))
-    each = F.transform("_lines", lambda t: F.struct(line_hash(t).alias("line"), F.size(words_of(t)).alias("words")))
+    lines = F.transform(F.split(F.lower(text_or_empty()), "\n", -1), words_of)
+    x = with_text_key(docs).select(F.col(host).alias("host"), "_h1", "_h2", lines.alias("_lines"))
+    each = F.transform("_lines", lambda ws: F.struct(F.xxhash64(ws).alias("line"), F.size(ws).alias("words")))
     x = x.select("host", "_h1", "_h2", F.filter(each, lambda s: s["words"] > 0).alias("_each"))
     beside = lambda i, n: F.coalesce(F.get("_each", i + n)["line"], F.lit(n).cast("long"))
     full = F.transform("_each", lambda s, i: F.struct(i.alias("pos"), s["line"].alias("line"), s["words"].alias("words"), F.xxhash64(beside(i, -1), beside(i, 1)).alias("ctx")))
