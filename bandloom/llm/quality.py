@@ -37,7 +37,8 @@ def line_hash(line: Column) -> Column:
 
 
 def base_metrics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long)."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long), and _row, a row number. Its use
+    keeps a filter on the metrics from being pushed below them, where the lambdas would hold them once an element."""
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(BLANK_CHARS)) != "")
     x = docs.withColumns({"_words": words_of(text), "_lines": lines})
@@ -56,7 +57,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     starts = F.transform("_sorted", lambda p, j: F.when(near(p, j, -1) | near(p, j, 1), F.array(p["i"], p["i"] + 1, p["i"] + 2)).otherwise(F.array().cast("array<int>")))
     covered = F.coalesce(F.size(F.array_distinct(F.flatten(starts))), F.lit(0))
     covered = F.when(F.col("_sorted").isNull(), F.lit(0)).otherwise(covered)
-    return x.withColumn("n_repeat_words", covered.cast("long")).drop("_words", "_windows", "_sorted")
+    return x.withColumns({"n_repeat_words": covered.cast("long"), "_row": F.monotonically_increasing_id()}).drop("_words", "_windows", "_sorted")
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
@@ -96,8 +97,8 @@ def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     x = x.join(gone, same(host, "_host") & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2")), "left")
     x = x.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     x = x.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-    x = x.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= MAX_REMOVED * F.col("n_words")))
-    return x.drop("_h1", "_h2", "_g1", "_g2", "_host")
+    x = x.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= MAX_REMOVED * F.col("n_words")) & (F.col("_row") >= 0))
+    return x.drop("_row", "_h1", "_h2", "_g1", "_g2", "_host")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
