@@ -51,7 +51,7 @@ def equalize(df: DataFrame, column: str, bins: int = 256, nodata: float | None =
     every = spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(counts), "bin", "left")
     run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # over `bins` rows
     cdf = every.withColumn("c", F.sum(F.coalesce("n", lit(0))).over(run)).agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("_cdf"))
-    table = ends.crossJoin(cdf).select("_a", width.alias("_w"), F.transform("_cdf", lambda s: s["c"] / F.col("_n")).alias("_cdf"))
+    table = ends.crossJoin(cdf).select("_a", width.alias("_w"), F.transform("_cdf", lambda s: s["c"] / F.greatest(F.col("_n"), lit(1))).alias("_cdf"))
     x = df.crossJoin(F.broadcast(table))
     at = (F.col(column) - F.col("_a")) / F.col("_w") - 0.5  # in bins, from the first centre
     at = F.least(F.greatest(at, lit(0.0)), lit(float(bins - 1)))

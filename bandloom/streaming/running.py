@@ -24,9 +24,11 @@ def windowed_statistics(stream: DataFrame, time: str, group: str, value: str, ev
 
 def statistics_of_stream(spark: SparkSession, path: str, group: str, value: str) -> DataFrame:
     """Reads a Parquet path to its end as a stream and gives the final statistics."""
-    schema = spark.read.parquet(path).schema
-    folder, name = os.path.split(path)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
+    batch = spark.read.parquet(path)
+    folder, name = os.path.split(path.rstrip("/"))
+    reader = spark.readStream.schema(batch.schema)
+    single = [os.path.basename(f) for f in batch.inputFiles()] == [name]  # a stream reads folders
+    source = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
     table = f"running_{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bandloom-")
     writer = running_statistics(source, group, value).writeStream.outputMode("complete").format("memory").queryName(table)
