@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +40,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones under names that clash with none, and the way back to docs' columns."""
+    safe = {c: c if c in needed else f"_extra{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*safe.values()), lambda df: df.select(*(F.col(s).alias(c) for c, s in safe.items()))
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
 def words_of(text: Column) -> Column:
-    """Array of the words of a text, without a regular expression: blanks become one character, then a plain split."""
-    return F.filter(F.split(F.translate(text, BLANK_CHARS, " " * 6), " "), lambda w: w != "")
+    """Array of the words of a text. (translate() and a plain split would be slower: it looks up each character.)"""
+    return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:
-    """Number of words: the places where a word starts, counted from what remains when words shrink to one mark."""
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(words_of(text))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, n_words, written
+from .common import documents, n_words, set_aside, written
 
 LEVEL_BITS, LEVELS = 12, 3
 
@@ -102,12 +102,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as often as the mix of the pipeline takes them (copies repeat as rows)."""
+    docs, back = set_aside(docs, "doc_id", "text", "source")
     sized = written(sized_documents(docs), "sized")
     plan = mix(sized, written(cycled_targets(sized), "targets")).filter("copies > 0").select("doc_id", "hash", "copies").distinct()
     full = docs.withColumn("_h", row_hash(F.col("doc_id"), F.col("text")))
     plan = plan.withColumnRenamed("doc_id", "_id")
     out = full.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("hash")))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return back(out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 ORACLE_OP2 = """

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, written
+from .common import documents, set_aside, text_or_empty, written
 
 ROUNDS = 12
 #: Digits of a phone number without its country code, which stays.
@@ -235,9 +235,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def private_documents(docs: DataFrame) -> DataFrame:
     """docs with surrogates; n_chars follows the text."""
-    x = with_surrogates(docs)
+    safe, back = set_aside(docs, "doc_id", "text", "n_chars")
+    x = with_surrogates(safe)
     if "n_chars" in docs.columns:
         x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return x.select(*docs.columns)
+    return back(x)
 
 

@@ -1,10 +1,10 @@
 """Quality rules from cross-document line frequency, in DataFrame operations only.
 
 Lines are normalised (lower case, blanks collapsed) and hashed. A line is removed from a host's documents when it stands
-in more than MAX_DOCS distinct documents of the host (equal texts are one document) and mostly between different
-neighbours: its distinct pairs of neighbouring lines are at least MIN_CONTEXTS of its documents. So boilerplate goes,
-while the lines of copied documents, which always keep the same company, are left to deduplication. A document is
-depleted, and rejected, when the removed lines hold more than MAX_REMOVED of its words; base rules reject short
+in more than MAX_DOCS distinct documents of the host and most of them are distinct indeed: a document is known by the
+least hash of its other lines, and there must be MIN_DISTINCT as many of these as there are texts with the line. So
+boilerplate goes, while copies and near-copies, whose other lines are the same too, count about once and are left to
+deduplication. A document is depleted, and rejected, when the removed lines hold more than MAX_REMOVED of its words; base rules reject short
 documents and those of repeated word windows. `source` is the host.
 
 Lines are first counted by (host, hash) with map-side sums, and only lines that can pass the limit are looked at again,
@@ -19,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, documents, text_or_empty, words_of, written
+from .common import BLANK_CHARS, documents, set_aside, text_or_empty, words_of, written
 
-MAX_DOCS, MIN_CONTEXTS, MAX_REMOVED = 10, 0.5, 0.5
+MAX_DOCS, MIN_DISTINCT, MAX_REMOVED = 10, 0.5, 0.5
 MIN_WORDS, MAX_REPEATED = 50, 0.5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def with_text_key(docs: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def with_text_key(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit("second"), text)})
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(words_of(F.lower(line)))
+def line_hash(words: Column) -> Column:
+    """60 bits of the MD5 of a normalised line, given its words."""
+    return F.conv(F.substring(F.md5(F.array_join(words, " ")), 1, 15), 16, 10).cast("long")
 
 
 def base_metrics(docs: DataFrame) -> DataFrame:
@@ -46,8 +47,8 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     windows = F.transform("_words", lambda w, i: F.xxhash64(w, after(i, 1), after(i, 2)))  # within one text 64 bits tell windows apart
     x = x.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, BLANK_CHARS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_windows": F.when(F.size("_words") > 3, F.slice(windows, F.lit(1), F.greatest(F.size("_words") - 2, F.lit(1)))),
     }).drop("_lines")
@@ -61,13 +62,15 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """A row for each line with a word: host, text key, pos, hash, words, and the hash of its two neighbours."""
+    """A row for each line with a word: host, text key, pos, hash, words, and the least hash of the text's other
+    lines (0 without any)."""
     lines = F.transform(F.split(F.lower(text_or_empty()), "\n", -1), words_of)
     x = with_text_key(docs).select(F.col(host).alias("host"), "_h1", "_h2", lines.alias("_lines"))
-    each = F.transform("_lines", lambda ws: F.struct(F.xxhash64(ws).alias("line"), F.size(ws).alias("words")))
+    each = F.transform("_lines", lambda ws: F.struct(line_hash(ws).alias("line"), F.size(ws).alias("words")))
     x = x.select("host", "_h1", "_h2", F.filter(each, lambda s: s["words"] > 0).alias("_each"))
-    beside = lambda i, n: F.coalesce(F.get("_each", i + n)["line"], F.lit(n).cast("long"))
-    full = F.transform("_each", lambda s, i: F.struct(i.alias("pos"), s["line"].alias("line"), s["words"].alias("words"), F.xxhash64(beside(i, -1), beside(i, 1)).alias("ctx")))
+    x = x.withColumn("_least", F.slice(F.array_sort(F.array_distinct(F.col("_each.line"))), 1, 2))
+    other = lambda s: F.coalesce(F.get("_least", F.when(s["line"] == F.get("_least", F.lit(0)), 1).otherwise(0)), F.lit(0).cast("long"))
+    full = F.transform("_each", lambda s, i: F.struct(i.alias("pos"), s["line"].alias("line"), s["words"].alias("words"), other(s).alias("known_by")))
     return x.select("host", "_h1", "_h2", F.explode(full).alias("_x")).select("host", "_h1", "_h2", "_x.*")
 
 
@@ -81,10 +84,10 @@ def removed_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_DOCS)
     often = often.select(F.col("host").alias("_host"), F.col("line").alias("_line"))
     found = written(lines.join(often, same("host", "_host") & (F.col("line") == F.col("_line")), "left_semi").distinct(), "lines")
-    each = found.groupBy("host", "line", "_h1", "_h2").agg(F.min("ctx").alias("ctx"))
-    each = each.groupBy("host", "line", "ctx").agg(F.count("*").alias("n"))
-    each = each.groupBy("host", "line").agg(F.sum("n").alias("docs"), F.count("*").alias("contexts"))
-    over = each.filter((F.col("docs") > MAX_DOCS) & (F.col("contexts") >= MIN_CONTEXTS * F.col("docs")))
+    each = found.groupBy("host", "line", "_h1", "_h2").agg(F.min("known_by").alias("known_by"))
+    each = each.groupBy("host", "line", "known_by").agg(F.count("*").alias("n"))
+    each = each.groupBy("host", "line").agg(F.sum("n").alias("texts"), F.count("*").alias("docs"))
+    over = each.filter((F.col("docs") > MAX_DOCS) & (F.col("docs") >= MIN_DISTINCT * F.col("texts")))
     over = over.select(F.col("host").alias("_host"), F.col("line").alias("_line"))
     gone = found.join(over, same("host", "_host") & (F.col("line") == F.col("_line")), "left_semi")
     return gone.groupBy("host", "_h1", "_h2").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone"))
@@ -108,13 +111,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, without the removed lines; n_chars follows the text."""
-    names = docs.columns
-    x = apply_rules(docs).filter("kept")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda t: ~F.array_contains("gone", line_hash(t))), "\n")
+    safe, back = set_aside(docs, "doc_id", "text", "source", "n_chars")
+    x = apply_rules(safe).filter("kept")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda t: ~F.array_contains("gone", line_hash(words_of(F.lower(t))))), "\n")
     x = x.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in names:
+    if "n_chars" in docs.columns:
         x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return x.select(*names)
+    return back(x)
 
 
 ORACLE_OP1 = r"""
@@ -122,11 +125,12 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, ''
 win AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS c FROM win) WHERE c > 1) GROUP BY rid),
 ln AS (SELECT rid, source, t, pos, l, regexp_extract_all(lower(l), '[^\x20\x09-\x0D]+') AS lw FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
-lines AS (SELECT *, array_to_string(lw, ' ') AS n FROM ln WHERE len(lw) > 0),
+lines AS (SELECT *, array_to_string(lw, ' ') AS n, ('0x' || substr(md5(array_to_string(lw, ' ')), 1, 15))::BIGINT AS h FROM ln WHERE len(lw) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY rid),
-ctx AS (SELECT *, (lag(n) OVER p, lead(n) OVER p) AS c FROM lines WINDOW p AS (PARTITION BY rid ORDER BY pos)),
+two AS (SELECT rid, list_sort(list_distinct(list(h))) AS hs FROM lines GROUP BY rid),
+ctx AS (SELECT lines.*, coalesce(CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END, 0) AS c FROM lines JOIN two USING (rid)),
 one AS (SELECT source, n, t, min(c) AS c FROM ctx GROUP BY source, n, t),
-cut AS (SELECT source, n FROM one GROUP BY source, n HAVING count(*) > 10 AND count(DISTINCT c) >= 0.5 * count(*)),
+cut AS (SELECT source, n FROM one GROUP BY source, n HAVING count(DISTINCT c) > 10 AND count(DISTINCT c) >= 0.5 * count(*)),
 gone AS (SELECT lines.rid, sum(len(lw)) AS n FROM lines JOIN cut ON lines.n = cut.n AND lines.source IS NOT DISTINCT FROM cut.source GROUP BY lines.rid),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words

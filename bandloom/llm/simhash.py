@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import documents, written
+from .common import documents, set_aside, written
 from .components import components
 
 SHINGLE, RADIUS, BLOCK = 3, 2, 4096
@@ -159,9 +159,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: its least doc_id (rows without an id stay, as nothing tells them apart)."""
+    docs, back = set_aside(docs, "doc_id", "text")
     prints = written(fingerprints(docs), "fingerprints")
     kept = written(near_duplicates(prints).filter("doc_id = component_id").select("doc_id"), "kept")
     twice = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     kept = kept.distinct().withColumnRenamed("doc_id", "_id")
     out = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    return (out.dropDuplicates(["doc_id"]) if twice else out).unionByName(docs.filter("doc_id is null"))
+    return back((out.dropDuplicates(["doc_id"]) if twice else out).unionByName(docs.filter("doc_id is null")))

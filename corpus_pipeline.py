@@ -31,7 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the ids of each document."""
-    return sentencepiece_viterbi.encoded(docs.select("doc_id", "lang", "source", "text")).withColumn("n_ids", F.size("ids").cast("long"))
+    kept = docs.select("doc_id", "lang", "source", "text")
+    return sentencepiece_viterbi.encoded(kept).withColumn("n_ids", F.size("ids").cast("long"))
 
 
 STAGES = [
