@@ -1,7 +1,7 @@
 """Classification: spectral angle and divergence, clustering, maximum likelihood, support vectors, colouring.
 
-Row-local work is an expression (or, for many bands, an Arrow kernel) over small literal models; clustering iterates
-with one grouped mean a round. Ties go to the lowest class, pixels that aren't finite are -1.
+Row-local work is one matrix product an Arrow batch against a small model (measured: an expression over 64 bands and 10
+references takes seconds to compile and far more a pixel); clustering iterates with one grouped mean a round. Ties go to the lowest class, pixels that aren't finite are -1.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from bandloom.plans import num
-from bandloom.plans.linalg import mean_and_covariance
+from bandloom.plans.linalg import class_moments
 from bandloom.plans.num import lit
 from bandloom.plans.ship import ship
 
@@ -32,64 +32,58 @@ def class_means(df: DataFrame, label: str, vector: str = "spectrum") -> list[lis
     return [[e.v for e in r.m] for r in rows]
 
 
-def angles(spectrum: Column, references: Sequence[Sequence[float]]) -> Column:
-    """Angles in radians to each reference. Bands in which a reference is NaN are left out of that angle."""
-    x = num.doubles(spectrum)
+def angles(x: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Angles in radians, pixels by references. Bands in which a reference is NaN are left out of that angle."""
+    known = np.isfinite(references)
+    ref = np.where(known, references, 0)
+    lengths = np.sqrt((x * x) @ known.T.astype(float)) if not known.all() else np.sqrt((x * x).sum(axis=1))[:, None]
+    cos = (x @ ref.T) / (np.maximum(lengths, 1e-8) * np.maximum(np.linalg.norm(ref, axis=1), 1e-8))
+    return np.arccos(np.clip(cos, -1, 1))
 
-    def one(reference: Sequence[float]) -> Column:
-        keep = [math.isfinite(v) for v in reference]
-        used = x if all(keep) else F.zip_with(x, F.array(*map(lit, keep)), lambda v, k: F.when(k, v).otherwise(0.0))
-        ref = [v if k else 0.0 for v, k in zip(reference, keep)]
-        length = max(math.sqrt(sum(v * v for v in ref)), 1e-8)
-        cos = num.dot(used, num.vector(ref)) / (F.greatest(num.norm(used), lit(1e-8)) * length)
-        return F.acos(num.clip(cos, -1, 1))
 
-    return F.array(*map(one, references))
+def divergences(x: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Spectral information divergences, pixels by references; values are floored at 1e-8 and scaled to sum 1."""
+    p, q = np.maximum(x, 1e-8), np.maximum(references, 1e-8)
+    p, q = p / p.sum(axis=1, keepdims=True), q / q.sum(axis=1, keepdims=True)
+    lp, lq = np.log(p), np.log(q)
+    return np.maximum((p * lp).sum(axis=1)[:, None] + (q * lq).sum(axis=1) - p @ lq.T - lp @ q.T, 0)
 
 
-def divergences(spectrum: Column, references: Sequence[Sequence[float]]) -> Column:
-    """Spectral information divergence to each reference; values are floored at 1e-8 and scaled to sum 1."""
-    x = F.transform(num.doubles(spectrum), lambda v: F.when(F.isnan(v), v).otherwise(F.greatest(v, lit(1e-8))))
-    sum_x = num.total(x)
+def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """In double, expanded about the centres' mean so that large offsets don't cancel."""
+    mean = centres.mean(axis=0)
+    y, c = x - mean, centres - mean
+    return np.maximum((y * y).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * y @ c.T, 0)
 
-    def one(reference: Sequence[float]) -> Column:
-        q = np.maximum(np.asarray(reference, float), 1e-8)
-        q = (q / q.sum()).tolist()
-        return F.greatest(num.total(F.zip_with(x, num.vector(q), lambda v, r: (v / sum_x - r) * (F.ln(v / sum_x) - F.ln(r)))), lit(0.0))
 
-    return F.array(*map(one, references))
-
-
-def least(scores: Column) -> Column:
-    """struct(score, cls) of the lowest score; the first of equals."""
-    return F.array_min(F.transform(scores, lambda s, i: F.struct(s.alias("score"), i.cast("int").alias("cls"))))
+def _nearest(df: DataFrame, spectrum: str, scores, table: Sequence[Sequence[float]], limit: float | None, rules: bool) -> DataFrame:
+    """df with cls and score of the lowest score: one matrix product a batch, and no shuffle."""
+    refs = np.asarray(table, float)
 
+    def f(x: np.ndarray) -> list:
+        ok = np.isfinite(x).all(axis=1)
+        all_ = scores(np.where(ok[:, None], x, 1.0), refs)
+        all_[~ok] = np.nan
+        best = np.where(ok, np.nan_to_num(all_, nan=np.inf).argmin(axis=1), 0)
+        own = all_[np.arange(len(x)), best]
+        good = ok if limit is None else ok & (own <= limit)
+        return [np.where(good, best, UNCLASSIFIED).astype(np.int32), own, all_][: 3 if rules else 2]
 
-def _nearest(df: DataFrame, spectrum: str, scores: Column, limit: float | None, rules: bool) -> DataFrame:
-    ok = num.all_finite(num.doubles(spectrum))
-    x = df.withColumn("_scores", F.when(ok, scores)).withColumn("_best", least(F.col("_scores")))
-    inside = F.lit(True) if limit is None else F.col("_best.score") <= limit
-    cls = F.when(F.col("_best").isNotNull() & inside, F.col("_best.cls")).otherwise(UNCLASSIFIED)
-    x = x.withColumns({"cls": cls, "score": F.coalesce("_best.score", lit(float("nan")))})
-    return (x.withColumnRenamed("_scores", "rules") if rules else x.drop("_scores")).drop("_best")
+    names = {"cls": IntegerType(), "score": DoubleType()} | ({"rules": ArrayType(DoubleType())} if rules else {})
+    return _kernel(df, spectrum, f, names)
 
 
 def spectral_angle(df: DataFrame, references: Sequence[Sequence[float]], max_angle: float | None = None, spectrum: str = "spectrum", rules: bool = False) -> DataFrame:
     """df with cls and score (radians), and on demand all angles."""
-    return _nearest(df, spectrum, angles(F.col(spectrum), references), max_angle, rules)
+    return _nearest(df, spectrum, angles, references, max_angle, rules)
 
 
 def information_divergence(df: DataFrame, references: Sequence[Sequence[float]], max_divergence: float | None = None, spectrum: str = "spectrum", rules: bool = False) -> DataFrame:
-    return _nearest(df, spectrum, divergences(F.col(spectrum), references), max_divergence, rules)
-
-
-def squared_distances(spectrum: Column, centres: Sequence[Sequence[float]]) -> Column:
-    x = num.doubles(spectrum)
-    return F.array(*(num.total(F.zip_with(x, num.vector(c), lambda a, b: (a - b) * (a - b))) for c in centres))
+    return _nearest(df, spectrum, divergences, references, max_divergence, rules)
 
 
 def nearest_centre(df: DataFrame, centres: Sequence[Sequence[float]], spectrum: str = "spectrum") -> DataFrame:
-    return _nearest(df, spectrum, squared_distances(F.col(spectrum), centres), None, False)
+    return _nearest(df, spectrum, squared_distances, centres, None, False)
 
 
 def centre_means(assigned: DataFrame, spectrum: str = "spectrum") -> DataFrame:
@@ -113,7 +107,7 @@ def kmeans(df: DataFrame, classes: int = 4, max_iter: int = 20, tol: float = 1e-
     order = F.xxhash64(lit(seed), *key)
     seeds = [np.array(r[0]) for r in good.orderBy(order, *key).limit(classes * 3).select(num.doubles(spectrum)).collect()]
     if not seeds:
-        return nearest_centre(df, [[0.0]], spectrum).withColumn("cls", lit(UNCLASSIFIED)), np.zeros((0, 0))
+        return df.withColumns({"cls": lit(UNCLASSIFIED), "score": lit(float("nan"))}), np.zeros((0, 0))
     centres, spare = np.array(seeds[:classes]), seeds[classes:]
     for _ in range(max_iter):
         new, members = kmeans_step(good, centres.tolist(), spectrum)
@@ -179,6 +173,15 @@ def chi2_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
+def vectors(column: pa.Array) -> np.ndarray:
+    """A matrix of lists of one length; null lists are rows of NaN."""
+    if not column.null_count:
+        return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+    rows = column.to_pylist()
+    width = max((len(r) for r in rows if r is not None), default=0)
+    return np.array([[np.nan] * width if r is None else r for r in rows], np.float64).reshape(len(rows), width)
+
+
 def _kernel(df: DataFrame, spectrum: str, f, names: Mapping[str, object]) -> DataFrame:
     """df with columns that f makes from a matrix of the pixels' bands, batch by batch."""
     ship(df.sparkSession)
@@ -187,7 +190,7 @@ def _kernel(df: DataFrame, spectrum: str, f, names: Mapping[str, object]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.asarray(b.column(spectrum).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+            x = vectors(b.column(spectrum))
             made = f(x) if b.num_rows else [[] for _ in names]
             cols = [pa.array(list(m) if isinstance(kind, ArrayType) else m, arrow[kind]) for m, kind in zip(made, names.values())]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
@@ -198,12 +201,13 @@ def _kernel(df: DataFrame, spectrum: str, f, names: Mapping[str, object]) -> Dat
 def maximum_likelihood(df: DataFrame, training: DataFrame, probability: float = 0.0, sample_priors: bool = False, spectrum: str = "spectrum") -> DataFrame:
     """df with cls and score (squared Mahalanobis distance). Gaussian classes of training(class_id, spectrum); with a
     probability, pixels farther than the chi-squared quantile of 1 - probability are -1."""
-    ids = sorted(r[0] for r in training.select("class_id").distinct().collect())
+    found = class_moments(training, "class_id")
+    ids = sorted(found)
     if len(ids) < 2:
         raise ValueError("two classes or more are needed")
     models = []
     for c in ids:
-        n, mean, cov = mean_and_covariance(training.filter(F.col("class_id") == c))
+        n, mean, cov = found[c]
         if not n:
             raise ValueError(f"class {c} has no finite pixels")
         b = len(mean)

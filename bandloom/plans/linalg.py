@@ -55,6 +55,43 @@ def mean_and_covariance(df: DataFrame, vector: str = "spectrum") -> tuple[int, n
     return n, mean + shift, cov
 
 
+def class_moments(df: DataFrame, label: str, vector: str = "spectrum") -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Count, mean and covariance of each class, in one pass: a task sends a row of sums for each class it has seen. A class
+    without finite vectors has count 0."""
+    ship(df.sparkSession)
+    head = df.select(F.col(vector).cast("array<double>").alias("v")).filter(F.forall("v", lambda e: ~F.isnan(e) & (F.abs(e) < float("inf")))).first()
+    shift = np.array(head[0]) if head else None
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+            c = b.column(0).to_numpy()
+            for k in np.unique(c):
+                own = x[c == k]
+                own = own[np.isfinite(own).all(axis=1)] - (0 if shift is None else shift)
+                flat = np.concatenate(([float(len(own))], own.sum(axis=0), (own.T @ own).ravel()))
+                sums[int(k)] = sums[int(k)] + flat if int(k) in sums else flat
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["c", "s"])
+
+    rows = df.select(F.col(label).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("v")).filter("c is not null and v is not null")
+    each = rows.mapInArrow(partial, "c int, s array<double>").select("c", F.posexplode("s").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v"))
+    flats: dict[int, dict[int, float]] = {}
+    for r in each.collect():  # classes by bands * (bands + 1)
+        flats.setdefault(r.c, {})[r.i] = r.v
+    out = {}
+    for c, cells in flats.items():
+        flat = np.array([cells[i] for i in range(len(cells))])
+        b, n = int((np.sqrt(4 * len(flat) - 3) - 1) / 2), int(flat[0])
+        mean = flat[1 : b + 1] / max(n, 1)
+        cov = (flat[b + 1 :].reshape(b, b) - n * np.outer(mean, mean)) / max(n - 1, 1)
+        out[c] = (n, mean + (0 if shift is None else shift), cov)
+    return out
+
+
 def canonical(vectors: np.ndarray) -> np.ndarray:
     """Columns with a sign of their own: the largest loading is positive."""
     top = np.abs(vectors).argmax(axis=0)
