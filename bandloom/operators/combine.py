@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.plans import num
 from bandloom.plans.num import lit
 from bandloom.plans.raster import BandInfo, Raster, RasterMetadata
 
+from . import geodesy
 from .resample import feather, reach, resample, scatter
 from .stats import long_bands
 
@@ -97,7 +98,48 @@ def bounds(meta: RasterMetadata) -> tuple[float, float, float, float]:
     return min(xs), min(ys), max(xs), max(ys)
 
 
-def mosaic_grid(metas: Sequence[RasterMetadata], crs: str | None = None, resolution: float | None = None) -> Grid:
+def outline(meta: RasterMetadata, target: str, spark: SparkSession | None = None, steps: int = 21) -> tuple[float, float, float, float]:
+    """Bounds in another coordinate system, from points along the edges."""
+    spark = spark or SparkSession.active()
+    a, b, c, d, e, f = meta.transform[:6]
+    side = [(i / (steps - 1) * meta.width, j * meta.height) for i in range(steps) for j in (0, 1)] + [(j * meta.width, i / (steps - 1) * meta.height) for i in range(steps) for j in (0, 1)]
+    points = spark.createDataFrame([(float(a * x + b * y + c), float(d * x + e * y + f)) for x, y in side], "x double, y double")
+    x, y = geodesy.transformed(F.col("x"), F.col("y"), meta.crs, target)
+    r = points.select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    return tuple(r)
+
+
+def reprojected(bands: DataFrame, meta: RasterMetadata, grid: Grid, method: str, nodata: float | None) -> DataFrame:
+    """bands(y, x, value, ...) on a grid in another coordinate system. Each target pixel inside the source's outline looks
+    up its (at most four) source pixels by one equi-join; missing values take no part."""
+    left, bottom, right, top = outline(meta, grid.crs, bands.sparkSession)
+    dx, _, gx, _, dy, gy = grid.transform
+    x0, x1 = max(0, math.floor((left - gx) / dx) - 1), min(grid.width, math.ceil((right - gx) / dx) + 1)
+    y0, y1 = max(0, math.floor((top - gy) / dy) - 1), min(grid.height, math.ceil((bottom - gy) / dy) + 1)
+    n = max(0, x1 - x0)
+    cells = bands.sparkSession.range(n * max(0, y1 - y0)).select((F.floor(F.col("id") / max(n, 1)) + y0).cast("int").alias("ty"), (F.col("id") % max(n, 1) + x0).cast("int").alias("tx"))
+    wx, wy = geodesy.transformed(gx + dx * (F.col("tx") + 0.5), gy + dy * (F.col("ty") + 0.5), grid.crs, meta.crs)
+    a, b, c, d, e, f = meta.transform[:6]
+    det = a * e - b * d
+    cells = cells.select("ty", "tx", (((wx - c) * e - (wy - f) * b) / det - 0.5).alias("sx"), (((wy - f) * a - (wx - c) * d) / det - 0.5).alias("sy"))
+    cells = cells.filter((F.col("sx") >= -0.5) & (F.col("sx") < meta.width - 0.5) & (F.col("sy") >= -0.5) & (F.col("sy") < meta.height - 0.5))
+
+    def near(s: str, size: int) -> Column:
+        at = F.least(F.greatest(F.col(s), lit(0.0)), lit(float(size - 1)))
+        if method == "nearest":
+            return F.array(F.struct(F.floor(at + 0.5).cast("int").alias("p"), lit(1.0).alias("w")))
+        low = F.floor(at)
+        both = F.array(F.struct(low.cast("int").alias("p"), (1 - (at - low)).alias("w")), F.struct((low + 1).cast("int").alias("p"), (at - low).alias("w")))
+        return F.filter(both, lambda q: q["w"] > 0)
+
+    each = cells.select("ty", "tx", F.explode(near("sy", meta.height)).alias("r"), near("sx", meta.width).alias("cs")).select("ty", "tx", "r", F.explode("cs").alias("c"))
+    each = each.select("ty", "tx", F.col("r.p").alias("y"), F.col("c.p").alias("x"), (F.col("r.w") * F.col("c.w")).alias("w"))
+    joined = each.join(bands.filter(num.valid(F.col("value"), nodata)), ["y", "x"])
+    others = [k for k in bands.columns if k not in ("y", "x", "value")]
+    return joined.groupBy(*others, F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
+
+def mosaic_grid(metas: Sequence[RasterMetadata], crs: str | None = None, resolution: float | None = None, spark: SparkSession | None = None) -> Grid:
     """The north-up grid that holds all rasters, with the pixel size of the first unless given."""
     if not metas:
         raise ValueError("no rasters")
@@ -107,8 +149,9 @@ def mosaic_grid(metas: Sequence[RasterMetadata], crs: str | None = None, resolut
     if any(m.crs != target for m in metas):
         if resolution is None:
             raise ValueError("a resolution is needed to change the coordinate system")
-        raise ValueError(f"rasters must be in {target}: reproject them first")
-    boxes = [bounds(m) for m in metas]
+        if not all(geodesy.supported(c) for c in (target, *(m.crs for m in metas))):
+            raise ValueError(f"only EPSG:4326 and UTM zones can be changed to {target}")
+    boxes = [bounds(m) if m.crs == target else outline(m, target, spark) for m in metas]
     left, bottom, right, top = min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
     dx, dy = (resolution, resolution) if resolution else (abs(metas[0].transform[0]), abs(metas[0].transform[4]))
     return Grid(max(1, math.ceil((right - left) / dx - 1e-9)), max(1, math.ceil((top - bottom) / dy - 1e-9)), (dx, 0.0, left, 0.0, -dy, top), target)
@@ -147,8 +190,14 @@ def mosaic(rasters: Sequence[Raster], crs: str | None = None, resolution: float
     grid = mosaic_grid([r.meta for r in rasters], crs, resolution)
     parts = []
     for r in rasters:
-        y0, y1, x0, x1 = window(r.meta, grid)
-        v = warped(long_bands(r.df), r.meta, grid, method_name(method), r.meta.nodata)
+        pixels, how = long_bands(r.df.select("y", "x", "spectrum")), method_name(method)
+        if r.meta.crs == grid.crs:
+            box, v = window(r.meta, grid), warped(pixels, r.meta, grid, how, r.meta.nodata)
+        else:
+            left, bottom, right, top = outline(r.meta, grid.crs, r.df.sparkSession)
+            flat = RasterMetadata(1, 1, 1, crs=grid.crs, transform=(right - left, 0.0, left, 0.0, bottom - top, top))
+            box, v = window(flat, grid), reprojected(pixels, r.meta, grid, how, r.meta.nodata)
+        y0, y1, x0, x1 = box
         weight = feather(F.col("y") - y0, y1 - y0, feather_pixels) * feather(F.col("x") - x0, x1 - x0, feather_pixels)
         parts.append(v.select("y", "x", "band", "value", weight.alias("w")))
     total = reduce(DataFrame.unionByName, parts).groupBy("y", "x", "band").agg(F.sum(F.col("w") * F.col("value")).alias("_v"), F.sum("w").alias("_w"))

@@ -40,6 +40,36 @@ def utm_to_wgs84(easting: Column, northing: Column, crs: str) -> tuple[Column, C
     return F.degrees(phi), F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (zone * 6 - 183)
 
 
+ALPHA = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16, 13 * N**2 / 48 - 3 * N**3 / 5, 61 * N**3 / 240)
+
+
+def wgs84_to_utm(latitude: Column, longitude: Column, crs: str) -> tuple[Column, Column]:
+    """(easting, northing) of degrees."""
+    zone, south = zone_of(crs)
+    phi, lam = F.radians(latitude), F.radians(longitude - (zone * 6 - 183))
+    e = 2 * math.sqrt(N) / (1 + N)
+    atanh = lambda v: 0.5 * F.ln((1 + v) / (1 - v))
+    t = F.sinh(atanh(F.sin(phi)) - e * atanh(e * F.sin(phi)))
+    xi1, eta1 = F.atan2(t, F.cos(lam)), atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    xi, eta = xi1, eta1
+    for j, a in enumerate(ALPHA, 1):
+        xi = xi + a * F.sin(2 * j * xi1) * F.cosh(2 * j * eta1)
+        eta = eta + a * F.cos(2 * j * xi1) * F.sinh(2 * j * eta1)
+    return FALSE_EASTING + K0 * RADIUS * eta, (FALSE_NORTHING if south else 0.0) + K0 * RADIUS * xi
+
+
+def supported(crs: str) -> bool:
+    return crs.upper() == "EPSG:4326" or bool(re.fullmatch(r"(?i)epsg:32[67]\d\d", crs))
+
+
+def transformed(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """World coordinates in another system: geographic (x is the longitude) and UTM zones."""
+    if source.upper() == target.upper():
+        return x, y
+    lat, lon = (y, x) if source.upper() == "EPSG:4326" else utm_to_wgs84(x, y, source)
+    return (lon, lat) if target.upper() == "EPSG:4326" else wgs84_to_utm(lat, lon, target)
+
+
 def sql(easting: str, northing: str, zone: int) -> tuple[str, str]:
     """The same formulas as SQL text, for the northern hemisphere."""
     xi, eta = f"({northing} / {K0 * RADIUS!r})", f"(({easting} - {FALSE_EASTING}) / {K0 * RADIUS!r})"

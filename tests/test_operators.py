@@ -335,6 +335,22 @@ def test_mosaic(spark):
         combine.mosaic_grid([RasterMetadata(1, 1, 1)])
 
 
+def test_reprojection(spark):
+    df = spark.createDataFrame([(114.2, 36.1), (119.9, -12.5)], "lon double, lat double")
+    for crs in ("EPSG:32650", "EPSG:32750"):
+        x, y = geodesy.transformed(F.col("lon"), F.col("lat"), "EPSG:4326", crs)
+        there = df.select("lon", "lat", x.alias("x"), y.alias("y"))
+        back = there.select("lon", "lat", *geodesy.transformed(F.col("x"), F.col("y"), crs, "EPSG:4326")).collect()
+        assert all(r[2:] == pytest.approx(tuple(r[:2]), abs=1e-7) for r in back)
+    a = np.fromfunction(lambda y, x: 100.0 + x + y, (20, 20))
+    t = (30.0, 0.0, 500000.0, 0.0, -30.0, 4000000.0)
+    m = combine.mosaic([raster(spark, a, transform=t, crs="EPSG:32650")], crs="EPSG:4326", resolution=0.0003, background=-1)
+    got = m.to_numpy()[0]
+    assert m.meta.crs == "EPSG:4326" and got.max() <= 138 and (got[4:-4, 4:-4] > 100).all()
+    with pytest.raises(ValueError):
+        combine.mosaic([raster(spark, a, transform=t, crs="EPSG:3857")], crs="EPSG:4326", resolution=1.0)
+
+
 def test_utm(spark):
     df = spark.createDataFrame([(500000.0, 0.0), (448251.795, 5411932.678)], "e double, n double")
     lat, lon = geodesy.utm_to_wgs84(F.col("e"), F.col("n"), "EPSG:32631")
