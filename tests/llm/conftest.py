@@ -1,12 +1,11 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def table(spark, rows):
-    """documents from (doc_id, text, source)."""
-    return spark.createDataFrame([(d, t, "en", s, None if t is None else len(t)) for d, t, s in rows], SCHEMA)
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from corpus_tables import table  # noqa: E402
 
 
 @pytest.fixture(scope="session")

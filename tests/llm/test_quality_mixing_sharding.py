@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from conftest import table
+from corpus_tables import table
 
 from bandloom.llm import quality, sharding
 from bandloom.llm.common import written

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from conftest import table
+from corpus_tables import table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
