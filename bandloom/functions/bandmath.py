@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.plans.num import clip, either_nan, finite, lit, maximum, minimum, safe_div, truncated
+from bandloom.plans.quantile import quantiles
 
 RESERVED = {"and", "or", "not", "true", "false", "none", "pi", "e"}
 CONSTANTS = {"pi": math.pi, "e": math.e}
@@ -41,7 +42,7 @@ def integer(x: Column, lo: float | None = None, hi: float | None = None) -> Colu
     return truncated(x if lo is None else clip(x, lo, hi))
 
 
-GLOBAL = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop, "sum": F.sum, "median": lambda c: F.percentile(c, lit(0.5))}
+GLOBAL = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop, "sum": F.sum, "median": None}
 COMPARE = {
     ast.Lt: lambda a, b: a < b,
     ast.LtE: lambda a, b: a <= b,
@@ -80,7 +81,7 @@ class Compiler:
 
     def __init__(self, variables: Mapping[str, Column]):
         self.variables = {k.lower(): v.cast("double") for k, v in variables.items()}
-        self.levels: list[list[Column]] = []
+        self.levels: list[list[tuple[str, str, Column]]] = []  # (alias, function, argument)
 
     def column(self, node: ast.AST) -> Column:
         return self.build(node)[0]
@@ -136,7 +137,7 @@ class Compiler:
             while len(self.levels) <= depth:
                 self.levels.append([])
             alias = f"_g{depth}_{len(self.levels[depth])}"
-            self.levels[depth].append(GLOBAL[name](F.when(~F.isnan(x), x)).alias(alias))
+            self.levels[depth].append((alias, name, F.when(~F.isnan(x), x)))
             return F.coalesce(F.col(alias), lit(float("nan"))), depth + 1
         if name in ("min", "max") and args:
             two = minimum if name == "min" else maximum
@@ -162,7 +163,11 @@ def band_math(df: DataFrame, expression: str, variables: Mapping[str, Column], o
     value = compiler.column(tree)
     x = df
     for level in compiler.levels:
-        x = x.crossJoin(F.broadcast(x.agg(*level)))  # one row
+        for alias, _, argument in (g for g in level if g[1] == "median"):
+            middle = quantiles(x.select(argument.alias("v")), "v", [0.5])
+            x = x.withColumn(alias, lit(middle[0] if middle else None).cast("double"))
+        if row := [GLOBAL[name](argument).alias(alias) for alias, name, argument in level if name != "median"]:
+            x = x.crossJoin(F.broadcast(x.agg(*row)))  # one row
     return x.withColumn(out, value).select(*df.columns, out)
 
 

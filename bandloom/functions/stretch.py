@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandloom.plans.num import clip, lit, valid
+from bandloom.plans.quantile import quantiles
 
 
 def _scaled(df: DataFrame, column: str, nodata: float | None, lo: Column, hi: Column, out: str, flat_zero: bool = False) -> DataFrame:
@@ -24,9 +25,17 @@ def _scaled(df: DataFrame, column: str, nodata: float | None, lo: Column, hi: Co
 
 
 def linear_percent(df: DataFrame, column: str, percent: float = 2.0, nodata: float | None = None, out: str = "s", accuracy: int | None = None) -> DataFrame:
-    """Between percentiles p and 100 - p. With accuracy, percentiles are approximate: for tables too large to rank."""
-    rank = (lambda q: F.percentile_approx("v", q, accuracy)) if accuracy else (lambda q: F.percentile("v", lit(q)))
-    return _scaled(df, column, nodata, rank(percent / 100), rank(1 - percent / 100), out)
+    """Between percentiles p and 100 - p, exact at any size; with accuracy, approximate in a single pass."""
+    shares = [percent / 100, 1 - percent / 100]
+    if accuracy:
+        rank = lambda q: F.percentile_approx("v", q, accuracy)
+        return _scaled(df, column, nodata, rank(shares[0]), rank(shares[1]), out)
+    ends = quantiles(df.filter(valid(F.col(column), nodata)), column, shares)
+    if ends is None:
+        return df.withColumn(out, lit(0.0))
+    lo, hi = ends
+    hi = lo + 1e-6 if hi <= lo else hi
+    return df.withColumn(out, F.when(valid(F.col(column), nodata), clip((F.col(column) - lo) / (hi - lo), 0, 1)).otherwise(0.0))
 
 
 def gaussian(df: DataFrame, column: str, std_factor: float = 3.0, nodata: float | None = None, out: str = "s") -> DataFrame:

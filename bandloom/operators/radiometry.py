@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.plans.num import lit, valid
+from bandloom.plans.quantile import quantiles
 from bandloom.plans.raster import BandInfo, RasterMetadata
 
 REFLECTANCE, RADIANCE = (2e-5, -0.1), (1.0, 0.0)
@@ -38,12 +39,11 @@ def radiance(dn: Column, mult: float = RADIANCE[0], add: float = RADIANCE[1], no
 
 
 def dark_object(df: DataFrame, dn: str, mult: float = REFLECTANCE[0], add: float = REFLECTANCE[1], percentile: float = 1.0, nodata: float | None = 0.0, out: str = "rho") -> DataFrame:
-    """Reflectance less the path reflectance: the exact low percentile of all positive values, one row sent along."""
+    """Reflectance less the path reflectance: the exact low percentile of all positive values."""
     rho = scaled(F.col(dn), mult, add, nodata)
-    path = df.select(rho.alias("r")).filter("r > 0").agg(F.percentile("r", lit(percentile / 100)).alias("_path"))
-    x = df.crossJoin(F.broadcast(path))
-    less = F.greatest(lit(0.0), rho - F.coalesce("_path", lit(0.0)))
-    return x.withColumn(out, F.when(usable(F.col(dn), nodata), less).otherwise(0.0)).drop("_path")
+    path = quantiles(df.select(rho.alias("r")).filter("r > 0"), "r", [percentile / 100])
+    less = F.greatest(lit(0.0), rho - (path[0] if path else 0.0))
+    return df.withColumn(out, F.when(usable(F.col(dn), nodata), less).otherwise(0.0))
 
 
 def band_number(band: BandInfo) -> int:

@@ -7,7 +7,7 @@ decisions give pair probabilities, which are coupled into one distribution for e
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
@@ -97,10 +97,11 @@ def coupled(pair: np.ndarray, rounds: int = 100) -> np.ndarray:
 
 
 def sample(training: DataFrame, max_samples: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """At most max_samples finite spectra of each class, those with the lowest seeded hashes."""
+    """At most max_samples finite spectra of each class, those with the lowest seeded hashes. Each class is a top-k, so a
+    large one is never sorted in one task."""
     x = training.select("class_id", num.doubles("spectrum").alias("s")).filter(num.all_finite(F.col("s")))
-    rank = F.row_number().over(Window.partitionBy("class_id").orderBy(F.xxhash64(lit(seed), "s")))
-    rows = x.withColumn("_r", rank).filter(F.col("_r") <= max_samples).orderBy("class_id", "_r").collect()
+    ids = sorted(r[0] for r in x.select("class_id").distinct().collect())
+    rows = [r for c in ids for r in x.filter(F.col("class_id") == c).orderBy(F.xxhash64(lit(seed), "s"), "s").limit(max_samples).collect()]
     return np.array([r.s for r in rows]), np.array([r.class_id for r in rows])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import color, indices, stretch
 from bandloom.functions.bandmath import band_math, bind, names_in
+from bandloom.plans.quantile import quantiles
 
 
 def one(spark, columns, **values):
@@ -106,3 +107,11 @@ def test_stretch_edges(spark):
         got = stretched(f(column(spark, [nan, -9999, 1, 2, 3]), "v", nodata=-9999.0))
         assert got[:2] == [0, 0] and all(0 <= x <= 1 for x in got)
     assert stretched(stretch.min_max(column(spark, [7, 7]), "v")) == [0, 0]
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    for v in (rng.normal(size=5000), rng.integers(0, 7, 3000), [5.0], [1.0, 1e-300, 1e300], np.repeat([1.0, 1.0 + 2**-52], 50)):
+        got = quantiles(column(spark, v), "v", [0, 0.013, 0.02, 0.5, 0.98, 1])
+        assert np.allclose(got, np.quantile(np.asarray(v, float), [0, 0.013, 0.02, 0.5, 0.98, 1]), rtol=1e-12)
+    assert quantiles(column(spark, [float("nan")]), "v", [0.5]) is None
