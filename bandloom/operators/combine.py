@@ -15,6 +15,7 @@ from bandloom.plans.num import lit
 from bandloom.plans.raster import BandInfo, Raster, RasterMetadata
 
 from . import geodesy
+from .roi import ROI
 from .resample import feather, reach, resample, scatter
 from .stats import long_bands
 
@@ -82,6 +83,15 @@ def subset(r: Raster, x0: int, x1: int, y0: int, y1: int, bands: Sequence[int] |
     return Raster(replace(part.meta, width=tw, height=th, transform=transform, default_bands=default), df, f"{r.name} subset")
 
 
+def subset_to_roi(r: Raster, region: ROI, **how) -> Raster:
+    """The window that holds a region."""
+    box = region.bounds()
+    if box is None:
+        raise ValueError("the region is empty")
+    x0, y0, x1, y1 = box
+    return subset(r, x0, x1, y0, y1, **how)
+
+
 @dataclass(frozen=True)
 class Grid:
     width: int

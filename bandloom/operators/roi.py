@@ -123,6 +123,16 @@ def roi_mean_spectrum(df: DataFrame, roi: ROI, nodata: float | None = None) -> D
     return x.groupBy("band").agg(F.coalesce(F.avg(F.when(valid(F.col("value"), nodata), F.col("value"))), lit(float("nan"))).alias("mean_v"))
 
 
+def references_from_rois(df: DataFrame, rois: Sequence[ROI], bands: int, nodata: float | None = None) -> list[list[float]]:
+    """The mean spectrum of each region, in order: regions by bands, in one pass; zeros for a region without pixels."""
+    long = long_bands(df.select("y", "x", "spectrum"))
+    named = [ROI(str(i), r.color, r.polygons, r.bbox) for i, r in enumerate(rois)]
+    out = [[0.0] * bands for _ in rois]
+    for r in roi_statistics(long, named, nodata).select("roi", "band", "mean_v").collect():
+        out[int(r.roi)][r.band] = r.mean_v
+    return out
+
+
 def mask_layer(df: DataFrame, roi: ROI) -> DataFrame:
     """(y, x, mask) with 255 inside and 0 outside."""
     return df.select("y", "x", F.when(roi.mask(F.col("x"), F.col("y")), 255).otherwise(0).alias("mask"))

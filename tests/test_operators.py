@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.operators import accuracy, classify, combine, geodesy, library, radiometry, resample, roi, stats, svm, transforms
+from bandloom.operators import accuracy, bands as band_names, classify, combine, geodesy, library, radiometry, resample, roi, stats, svm, transforms
 from bandloom.plans.linalg import mean_and_covariance
 from bandloom.plans.raster import BandInfo, Raster, RasterMetadata
 from bandloom.sources import synthetic
@@ -358,3 +358,23 @@ def test_utm(spark):
     assert got[0] == pytest.approx((0, 3)) and got[1] == pytest.approx((48.858222, 2.2945), abs=2e-4)
     with pytest.raises(ValueError):
         geodesy.zone_of("EPSG:3857")
+
+
+def test_band_matching():
+    wl = np.linspace(400, 2400, 64)
+    meta = RasterMetadata(1, 1, 64, band_details=tuple(BandInfo(i, "", float(w)) for i, w in enumerate(wl)))
+    assert band_names.match_bands(meta) == {"blue": 3, "green": 5, "red": 8, "nir": 14, "swir2": 57}
+    named = RasterMetadata(1, 1, 3, band_details=(BandInfo(0, "Near Infrared"), BandInfo(1, "Red"), BandInfo(2, "SWIR 2")))
+    assert band_names.match_bands(named) == {"red": 1, "nir": 0, "swir2": 2}
+    micro = RasterMetadata(1, 1, 1, band_details=(BandInfo(0, "", 0.66),))
+    assert band_names.match_bands(micro)["red"] == 0
+
+
+def test_regions_as_references_and_windows(spark):
+    a = np.stack([np.fromfunction(lambda y, x: x, (6, 6)), np.full((6, 6), 2.0)])
+    r = raster(spark, a)
+    left, none = roi.ROI("l", bbox=(0, 0, 2, 6)), roi.ROI("n", bbox=(50, 50, 60, 60))
+    assert roi.references_from_rois(r.df, [left, none], 2) == [[0.5, 2.0], [0.0, 0.0]]
+    assert combine.subset_to_roi(r, left).to_numpy().shape == (2, 6, 2)
+    with pytest.raises(ValueError):
+        combine.subset_to_roi(r, roi.ROI())
