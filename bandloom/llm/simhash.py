@@ -9,6 +9,11 @@ so a hot group is spread; a block pair emits a spanning forest of its links, not
 
 Components of the links are found by components(); a link between different fingerprints is never lost.
 
+The pipeline stage, one_of_each(), asks for more than fingerprints can tell: texts whose sets of WORDS-word shingles have
+a Jaccard similarity of SIMILARITY or more. Candidates meet in one of PARTS groups of ROWS minimum hashes (a pair at 0.8
+misses all of them once in 2e7), are sorted by PARTS * ROWS bytes of these hashes (LOOSE is five deviations below 0.8) into
+loose components, and are compared there exactly, shingle by shingle; links again make the components.
+
 Defined results: null and blank texts have fingerprint zero and link like any other; repeated rows share a component;
 a component whose ids are all null has component_id null; an empty table gives an empty result. Extra columns pass by.
 """
@@ -29,6 +34,10 @@ from .components import components
 SHINGLE, RADIUS, BLOCK = 3, 2, 4096
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 LANES = np.uint64(0x0101010101010101)
+#: Near-duplicates of the pipeline stage: words of a shingle, least similarity, and how candidates are found.
+WORDS, SIMILARITY = 5, 0.8
+ROWS, PARTS, LOOSE, SETS = 4, 32, 0.6, 512
+FACTORS = np.random.default_rng(42).integers(0, 2**63, PARTS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bit_totals(h: np.ndarray) -> np.ndarray:
@@ -41,15 +50,22 @@ def bit_totals(h: np.ndarray) -> np.ndarray:
     return totals
 
 
-def fingerprint(text: str | None) -> int:
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The hashes of the text's shingles, in order; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII blanks only
     if not words:
-        return 0
-    k = min(SHINGLE, len(words))
+        return np.zeros(0, np.uint64)
+    k = min(size, len(words))
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - k + 1].tolist()
-    h = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64)
+    return np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    h = shingles(text, SHINGLE)
+    if not len(h):
+        return 0
     bits = bit_totals(h) * 2 > len(h)
     return int.from_bytes(np.packbits(bits[::-1]).tobytes(), "big")
 
@@ -95,49 +111,66 @@ def near(value: int, stored: np.ndarray, bits: list[int], live: np.ndarray) -> n
     return np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little"))
 
 
-def links(left: np.ndarray, right: np.ndarray, mask: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between values of left and right, which agree on the bits of mask."""
-    bits = [b for b in range(64) if not mask >> b & 1]
-    stored = planes(right, bits)
-    live = np.zeros(stored.shape[1] * 64, np.uint8)
-    live[: len(right)] = 1
-    live = np.packbits(live, bitorder="little").view(np.uint64)
-    root: dict[int, int] = {}
+class Forest:
+    """Sets of linked values, each known by its least."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
 
-    def top(x: int) -> int:
+    def top(self, x: int) -> int:
+        root = self.root
         while (y := root.get(x, x)) != x:
             root[x] = root.get(y, y)
             x = y
         return x
 
+    def link(self, x: int, y: int) -> None:
+        a, b = self.top(x), self.top(y)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+
+    def links(self) -> pa.Table:
+        found = [(x, self.top(x)) for x in self.root if self.top(x) != x]
+        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
+
+
+def links(left: np.ndarray, right: np.ndarray, mask: int) -> pa.Table:
+    """A spanning forest of the links between values of left and right, which agree on the bits of mask."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    stored = planes(right, bits)
+    live = np.zeros(stored.shape[1] * 64, np.uint8)
+    live[: len(right)] = 1
+    live = np.packbits(live, bitorder="little").view(np.uint64)
+    forest = Forest()
     names = right.view(np.int64).tolist()
     for value, own in zip(left.tolist(), left.view(np.int64).tolist()):
         for i in near(value, stored, bits, live).tolist():
-            a, b = top(own), top(names[i])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return [(x, top(x)) for x in root if top(x) != x]
+            forest.link(own, names[i])
+    return forest.links()
+
+
+def in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows(mask, key, fp, ...) of groups with several rows, in pairs (a, b) of blocks of about size rows; block is a row's own."""
+    sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = sizes.select(F.col("mask").alias("_m"), F.col("key").alias("_k"), F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    x = rows.join(sizes, (F.col("mask") == F.col("_m")) & (F.col("key") == F.col("_k"))).drop("_m", "_k")
+    block = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col("fp")), F.col("blocks")).cast("int"))
+    x = x.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return x.select(*rows.columns, F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block")
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(u, v) between distinct values fp at most RADIUS bits apart: enough of them to connect whatever is linked."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks()))))
     rows = distinct.select("fp", each.alias("_g")).select("fp", "_g.mask", "_g.key")
-    sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.select(F.col("mask").alias("_m"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, (F.col("mask") == F.col("_m")) & (F.col("key") == F.col("_k"))).drop("_m", "_k")
-    block = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col("fp")), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.withColumn("block", block).select("mask", "key", "fp", "block", other)
-    rows = rows.select("mask", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "fp")
+    rows = in_blocks(rows, BLOCK)
     all_masks = masks()
 
     def compare(table: pa.Table) -> pa.Table:
         mask, a, b = (table.column(c)[0].as_py() for c in ("mask", "a", "b"))
         fp = table.column("fp").to_numpy().view(np.uint64)
         block = table.column("block").to_numpy()
-        found = links(fp[block == a], fp[block == b], all_masks[mask])
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
+        return links(fp[block == a], fp[block == b], all_masks[mask])
 
     return rows.groupBy("mask", "key", "a", "b").applyInArrow(compare, "u long, v long")
 
@@ -145,7 +178,11 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(prints: DataFrame) -> DataFrame:
     """prints(doc_id, fp), a stored table, with component_id: the least doc_id reachable by links."""
     by_print = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    roots = components(fingerprint_links(by_print.select("fp")))
+    return with_components(prints, by_print, components(fingerprint_links(by_print.select("fp"))))
+
+
+def with_components(prints: DataFrame, by_print: DataFrame, roots: DataFrame) -> DataFrame:
+    """prints with component_id, given the components of by_print(fp, first_id)."""
     labelled = written(by_print.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "labelled")
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "_root")
     named = labelled.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
@@ -157,11 +194,112 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def set_name(s: np.ndarray) -> int:
+    """A set of shingles in 64 bits, as a signed long."""
+    return int(np.uint64(xxh64_intdigest(s.tobytes(), 7)).view(np.int64))
+
+
+def least_hashes(s: np.ndarray) -> np.ndarray:
+    """PARTS * ROWS minimum hashes of a set; an empty one has the greatest."""
+    least = np.full(len(FACTORS), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(s), 1024):
+        np.minimum(least, (s[at : at + 1024, None] * FACTORS).min(axis=0), out=least)
+    return least
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, parts, bytes): the name of the text's set of shingles, the keys of its groups, a byte of each minimum."""
+
+    def run(batches):
+        for b in batches:
+            names, parts, small = [], [], []
+            for t in b.column("text"):
+                s = np.unique(shingles(t.as_py(), WORDS))
+                least = least_hashes(s)
+                names.append(set_name(s))
+                parts.append([xxh64_intdigest(p.tobytes(), 9) for p in least.reshape(PARTS, ROWS)])
+                small.append((least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes())
+            keys = np.array(parts, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, PARTS), pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.int64()), lists, pa.array(small, pa.binary())], names=["doc_id", "fp", "parts", "bytes"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, parts array<long>, bytes binary")
+
+
+def loose_links(distinct: DataFrame) -> DataFrame:
+    """(u, v) between names fp of candidates: enough of them to connect whatever looks LOOSE similar."""
+    rows = distinct.select("fp", "bytes", F.posexplode("parts").alias("mask", "key")).select("mask", "key", "fp", "bytes")
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        fp, block = table.column("fp").to_numpy(), table.column("block").to_numpy()
+        small = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(len(fp), -1)
+        names, stored, forest = fp[block == b].tolist(), small[block == b], Forest()
+        for own, row in zip(fp[block == a].tolist(), small[block == a]):
+            for i in np.flatnonzero((stored == row).sum(axis=1) >= LOOSE * PARTS * ROWS).tolist():
+                forest.link(own, names[i])
+        return forest.links()
+
+    return in_blocks(rows, BLOCK).groupBy("mask", "key", "a", "b").applyInArrow(compare, "u long, v long")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(fp, shingles) of each text."""
+
+    def run(batches):
+        for b in batches:
+            for t in b.column("text"):
+                s = np.unique(shingles(t.as_py(), WORDS))
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["fp", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "fp long, shingles binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of SIMILARITY or more."""
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def exact_links(sets: DataFrame) -> DataFrame:
+    """(u, v) between names fp of similar sets(key, fp, shingles) with one key: enough to connect whatever is similar."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        fp, block = table.column("fp").to_numpy(), table.column("block").to_numpy()
+        values = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        forest = Forest()
+        right = np.flatnonzero(block == b).tolist()
+        for i in np.flatnonzero(block == a).tolist():
+            for j in right:
+                if forest.top(int(fp[i])) != forest.top(int(fp[j])) and similar(values[i], values[j]):
+                    forest.link(int(fp[i]), int(fp[j]))
+        return forest.links()
+
+    rows = in_blocks(sets.select(F.lit(0).alias("mask"), "key", "fp", "shingles"), SETS)
+    return rows.groupBy("mask", "key", "a", "b").applyInArrow(compare, "u long, v long")
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of docs: the least doc_id reachable by links between similar texts."""
+    prints = written(sketches(docs), "sketches")
+    by_set = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("parts").alias("parts"), F.first("bytes").alias("bytes")), "sets")
+    loose = components(loose_links(by_set))
+    loose = written(loose.union(loose.select("root", "root").distinct()).select(F.col("node").alias("_fp"), F.col("root").alias("key")), "loose")
+    # one text of each set is read again, found by its id; texts that share an id come along and are sorted out by fp
+    ids = by_set.join(loose, F.col("fp") == F.col("_fp"), "left_semi").select(F.col("first_id").alias("_id")).distinct()
+    sets = shingle_sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    sets = written(sets.join(loose, F.col("fp") == F.col("_fp")).select("key", "fp", "shingles").dropDuplicates(["fp"]), "shingles")
+    return with_components(prints.select("doc_id", "fp"), by_set.select("fp", "first_id"), components(exact_links(sets)))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: its least doc_id (rows without an id stay, as nothing tells them apart)."""
+    """docs with one row of each component of similar texts: its least doc_id (rows without an id stay, as nothing tells them apart)."""
     docs, back = set_aside(docs, "doc_id", "text")
-    prints = written(fingerprints(docs), "fingerprints")
-    kept = written(near_duplicates(prints).filter("doc_id = component_id").select("doc_id"), "kept")
+    kept = written(similar_documents(docs).filter("doc_id = component_id").select("doc_id"), "kept")
     twice = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     kept = kept.distinct().withColumnRenamed("doc_id", "_id")
     out = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")

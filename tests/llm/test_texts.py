@@ -82,6 +82,31 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, rows)).collect()) == [3, 9]
 
 
+def test_one_of_each_is_by_jaccard(spark):
+    """Every pair of texts whose five-word shingles are 0.8 similar is linked, and no other, whatever their fingerprints."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for base in range(12):
+        words = [f"w{base}x{i}" for i in range(120 + 40 * base)]
+        for copy in range(5):
+            mine = list(words)
+            for at in rng.choice(len(words), copy * len(words) // 90, replace=False):
+                mine[at] = f"new{rng.integers(10**9)}"
+            texts[10 * base + copy] = " ".join(mine)
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in texts.items()}
+    root = {d: d for d in texts}
+    far = 0
+    for d in texts:
+        for e in [e for e in texts if e < d]:
+            if len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]):
+                far += (simhash.fingerprint(texts[d]) ^ simhash.fingerprint(texts[e])).bit_count() > 2
+                a, b = sorted((root[d], root[e]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    assert far > 10 and len(set(root.values())) > 12
+    out = simhash.one_of_each(table(spark, [(d, t, "s") for d, t in texts.items()])).collect()
+    assert sorted(r.doc_id for r in out) == sorted(set(root.values()))
+
+
 # SentencePiece
 
 
