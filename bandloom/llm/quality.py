@@ -1,13 +1,15 @@
 """Quality rules from cross-document line frequency, in DataFrame operations only.
 
 Lines are normalised (lower case, blanks collapsed) and hashed. A line is removed from a host's documents when it stands
-in more than MAX_DOCS distinct documents of the host and most of them are distinct indeed: a document is known by the
-least hash of its other lines, and there must be MIN_DISTINCT as many of these as there are texts with the line. So
-boilerplate goes, while copies and near-copies, whose other lines are the same too, count about once and are left to
-deduplication. A document is depleted, and rejected, when the removed lines hold more than MAX_REMOVED of its words; base rules reject short
+in more than MAX_DOCS distinct documents of the host and most of them are distinct indeed: a document is known by its rarest
+lines that hold MIN_OWN of its words, and there must be MIN_DISTINCT as many of these as there are texts with the line.
+Lines in MAX_DOCS texts or fewer are equally rare, and the least hash among them stands for them; of the others the line
+that reaches MIN_OWN stands for the text. So boilerplate goes, however many lines of it documents share, while copies and
+near-copies, which share all but a few words, count about once and are left to deduplication. The registered query op1_quality is held to its SQL, which knows a document by the least hash of its other
+lines, whatever they are (least_other_lines); the pipeline stage isn't. A document is depleted, and rejected, when the removed lines hold more than MAX_REMOVED of its words; base rules reject short
 documents and those of repeated word windows. `source` is the host.
 
-Lines are first counted by (host, hash) with map-side sums, and only lines that can pass the limit are looked at again,
+Lines are first counted by (host, hash) with map-side sums, and only lines that can pass the limit are kept one by one,
 so no hot line meets in one task and texts are never shuffled.
 
 Defined results: null texts have no words and fail the base rules; a null host is one host; blank lines are never
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import BLANK_CHARS, documents, set_aside, text_or_empty, words_of, written
 
 MAX_DOCS, MIN_DISTINCT, MAX_REMOVED = 10, 0.5, 0.5
+#: Two texts that differ in a ninth of their words each are 0.8 similar.
+MIN_OWN = 1 / 9
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = "[#*$%&|<>]"
 
@@ -62,15 +66,46 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """A row for each line with a word: host, text key, pos, hash, words, and the least hash of the text's other
-    lines (0 without any)."""
+    """A row for each line with a word: host, text key, pos, hash, words, and own, the words where the line stands first
+    in its text and 0 where it repeats, and least_other, the least hash of the text's other lines (0 without any)."""
     lines = F.transform(F.split(F.lower(text_or_empty()), "\n", -1), words_of)
     x = with_text_key(docs).select(F.col(host).alias("host"), "_h1", "_h2", lines.alias("_lines"))
     each = F.transform("_lines", lambda ws: F.struct(line_hash(ws).alias("line"), F.size(ws).alias("words")))
     x = x.select("host", "_h1", "_h2", F.filter(each, lambda s: s["words"] > 0).alias("_each"))
-    x = x.withColumn("_least", F.slice(F.array_sort(F.array_distinct(F.col("_each.line"))), 1, 2))
+    x = x.withColumn("_all", F.col("_each.line"))
+    x = x.withColumn("_least", F.slice(F.array_sort(F.array_distinct("_all")), 1, 2))
     other = lambda s: F.coalesce(F.get("_least", F.when(s["line"] == F.get("_least", F.lit(0)), 1).otherwise(0)), F.lit(0).cast("long"))
-    full = F.transform("_each", lambda s, i: F.struct(i.alias("pos"), s["line"].alias("line"), s["words"].alias("words"), other(s).alias("known_by")))
+    first = lambda s, i: F.when(F.array_position("_all", s["line"]) == i + 1, s["words"]).otherwise(0)
+    full = F.transform("_each", lambda s, i: F.struct(i.alias("pos"), s["line"].alias("line"), s["words"].alias("words"), first(s, i).alias("own"), other(s).alias("least_other")))
+    return x.select("host", "_h1", "_h2", F.explode(full).alias("_x")).select("host", "_h1", "_h2", "_x.*")
+
+
+def least_other_lines(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """known_lines() by the rule of the SQL: known_by is the least hash of the text's other lines (0 without any). Lines
+    that documents share can be the least, and then unrelated documents count as one."""
+    x = lines.join(often.drop("n"), same("host", "_host") & (F.col("line") == F.col("_line")), "left_semi")
+    return x.select("host", "_h1", "_h2", "pos", "line", "words", "least_other").withColumnRenamed("least_other", "known_by").distinct()
+
+
+def known_lines(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """(host, _h1, _h2, pos, line, words, known_by) of the lines that stand often: known_by is the hash by which the line's
+    text is told apart from others that hold the line."""
+    x = lines.join(often, same("host", "_host") & (F.col("line") == F.col("_line")), "left")
+    rare = F.col("n").isNull()
+    x = x.groupBy("host", "_h1", "_h2").agg(
+        F.sum("own").alias("_words"), F.sum(F.when(rare, F.col("own"))).alias("_rare"), F.min(F.when(rare, F.col("line"))).alias("_least"),
+        F.collect_set(F.when(~rare, F.struct("pos", "line", "words", "n"))).alias("_often"), F.count(F.when(F.col("pos") == 0, 1)).alias("_times"),
+    ).filter(F.size("_often") > 0)
+    # repeated rows multiply the sums
+    x = x.withColumns({"_words": F.col("_words") / F.col("_times"), "_rare": F.coalesce(F.col("_rare") / F.col("_times"), F.lit(0.0))})
+    x = x.withColumn("_sorted", F.array_sort(F.array_distinct(F.transform("_often", lambda s: F.struct(s["n"].alias("n"), s["line"].alias("line"), s["words"].alias("words"))))))
+    start = F.struct(F.col("_rare").alias("sum"), F.lit(0).alias("k"))
+    more = lambda a, s: F.struct((a["sum"] + s["words"]).alias("sum"), (a["k"] + (a["sum"] + s["words"] < MIN_OWN * F.col("_words")).cast("int")).alias("k"))
+    x = x.withColumn("_k", F.aggregate("_sorted", start, more)["k"])
+    at = lambda i: F.get("_sorted", i)["line"]
+    other = lambda line: F.when(at(F.col("_k")) != line, at(F.col("_k"))).otherwise(F.coalesce(at(F.col("_k") + 1), at(F.col("_k") - 1), F.col("_least"), F.lit(0).cast("long")))
+    known = lambda line: F.when(F.col("_rare") >= MIN_OWN * F.col("_words"), F.col("_least")).otherwise(other(line))
+    full = F.transform("_often", lambda s: F.struct(s["pos"], s["line"], s["words"], known(s["line"]).alias("known_by")))
     return x.select("host", "_h1", "_h2", F.explode(full).alias("_x")).select("host", "_h1", "_h2", "_x.*")
 
 
@@ -78,12 +113,12 @@ def same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def removed_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+def removed_lines(docs: DataFrame, host: str = "source", known=known_lines) -> DataFrame:
     """(host, _h1, _h2, removed_words, gone): for each text with removed lines, their words and distinct hashes."""
     lines = host_lines(docs, host)
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_DOCS)
-    often = often.select(F.col("host").alias("_host"), F.col("line").alias("_line"))
-    found = written(lines.join(often, same("host", "_host") & (F.col("line") == F.col("_line")), "left_semi").distinct(), "lines")
+    often = written(often.select(F.col("host").alias("_host"), F.col("line").alias("_line"), "n"), "often")
+    found = written(known(lines, often), "lines")
     each = found.groupBy("host", "line", "_h1", "_h2").agg(F.min("known_by").alias("known_by"))
     each = each.groupBy("host", "line", "known_by").agg(F.count("*").alias("n"))
     each = each.groupBy("host", "line").agg(F.sum("n").alias("texts"), F.count("*").alias("docs"))
@@ -93,9 +128,9 @@ def removed_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     return gone.groupBy("host", "_h1", "_h2").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone"))
 
 
-def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", known=known_lines) -> DataFrame:
     """docs with the base metrics, removed_words, gone (hashes of the lines to remove), base_failed and kept."""
-    gone = written(removed_lines(docs, host).withColumnsRenamed({"_h1": "_g1", "_h2": "_g2", "host": "_host"}), "gone")
+    gone = written(removed_lines(docs, host, known).withColumnsRenamed({"_h1": "_g1", "_h2": "_g2", "host": "_host"}), "gone")
     x = with_text_key(base_metrics(docs))
     x = x.join(gone, same(host, "_host") & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2")), "left")
     x = x.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
@@ -105,7 +140,7 @@ def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruled = apply_rules(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    ruled = apply_rules(documents(spark, sf_dir).select("doc_id", "text", "source"), known=least_other_lines)
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 
 

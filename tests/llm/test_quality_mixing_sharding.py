@@ -45,6 +45,16 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert texts[3] == f"{words(3)}\n{words(1003)}" and 200 not in texts and len(texts) == 91
 
 
+@pytest.mark.parametrize(("shared", "own"), [(1, 5), (5, 5), (10, 5), (8, 2), (20, 3)])
+def test_several_boilerplate_lines_go(spark, shared, own):
+    """Documents with several lines in common and few of their own lose all of the former, on every host."""
+    rows = [(1000 * h + i, "\n".join([words(f"b{h}x{k}", 12) for k in range(shared)] + [words(f"{h}x{i}x{k}", 12) for k in range(own)]), f"h{h}") for h in range(6) for i in range(60)]
+    rows += rows[:3]  # repeated rows change nothing
+    out = quality.apply_rules(table(spark, rows)).collect()
+    assert {r.removed_words for r in out} == {12 * shared}
+    assert not any(r.kept for r in out if shared > own)
+
+
 def test_base_metrics(spark):
     rows = [(1, "a b c a b c a b", "s"), (2, "x#*\n \nx#*\ny", "s"), (3, None, "s"), (4, "a a a a", "s"), (5, "a b", "s")]
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.base_metrics(table(spark, rows)).collect()}
