@@ -254,6 +254,17 @@ def test_secrets():
     assert secrets.joined([(5, 2, 9), (5, 0, 9)]) == "assign:5:9,hex:5:9"
 
 
+@pytest.mark.parametrize("gap", [20, 300, 1000, 1015, 1030])
+def test_repeated_secrets(gap):
+    """A secret that stands again nearby is reported both times, also with a dot after it or a name before it."""
+    key = "Zx9fQ2kLm8Tr4vBn7wPq0sHd3"
+    filler = ("some words of prose stand here " * 50)[: gap - 1] + " "
+    for first, again in ((key, key), (key, key + "."), ("name=" + key, key)):
+        text = f"bearer {first} {filler}bearer {again} end"
+        found = secrets.novel_spans(text, secrets.base_spans(text), secrets.compressor())
+        assert [text[a:b] for a, _, b in found] == [first, again]
+
+
 # Personal data
 
 
