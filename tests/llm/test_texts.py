@@ -265,6 +265,13 @@ def test_repeated_secrets(gap):
         assert [text[a:b] for a, _, b in found] == [first, again]
 
 
+@pytest.mark.parametrize("gap", [2, 32, 33, 40, 48, 49])
+def test_secrets_start_within_context(gap):
+    text = "bearer" + ("- " * 30)[:gap - 1] + " Zx9fQ2kLm8Tr4vBn7wPq0s"
+    found = secrets.novel_spans(text, [], secrets.compressor())
+    assert [a for a, _, _ in found] == [6 + gap] * (gap <= secrets.CONTEXT)
+
+
 # Personal data
 
 
