@@ -5,7 +5,7 @@ after an honorific) are replaced by keyed surrogates: SHA-256 of a key and the n
 has one surrogate wherever and however it is written. Surrogates keep the type (a card number that passes its checksum
 gets one that passes, addresses stay in range), the format (separators, length, capitals), and for names gender and
 script; a name's parts are replaced part by part, so "Mr. Adam Bell" and "Mr. Bell" still agree, and later bare
-mentions of the surname in the document follow.
+mentions of the surname in the document follow, as it was written after the honorific, in capitals, or with capital initials.
 
 Distinctness is checked over the corpus: entities whose surrogates meet, or meet a real entity, are drawn again with a
 higher attempt until none is left (after ROUNDS a part of the hash is appended). Only these few exceptions are joined
@@ -220,9 +220,18 @@ def with_surrogates(docs: DataFrame, key: str = "bandloom") -> DataFrame:
     x = x.withColumns({"_pii_made": surrogates(F.col("_pii_who"), tries, key), "_pii_around": F.when(some, F.split("text", PATTERN, -1))})
     made = lambda kind, value: F.get("_pii_made", (F.array_position("_pii_who", F.struct(kind.alias("kind"), value.alias("value"))) - 1).cast("int"))
     x = x.withColumn("_pii_text", F.when(some, replaced(F.col("_pii_around"), F.col("_pii"), made)).otherwise(F.col("text")))
-    # later mentions without the honorific follow; surnames hold letters only, so they are their own patterns
-    people = F.filter("_pii_who", lambda e: (e["kind"] == "surname") & (F.length(e["value"]) > 2))
-    follow = lambda t, e: F.regexp_replace(t, F.concat(lit(r"(?<!\p{L})"), F.initcap(e["value"]), lit(r"(?!\p{L})")), F.initcap(made(e["kind"], e["value"])))
+    # later mentions without the honorific follow, as first written, in capitals, or with capital initials; surnames hold
+    # letters and hyphens only, so they are their own patterns; long ones go first, as they may hold others
+    surnames = F.array_distinct(F.transform(F.filter("_pii", lambda m: kind_of(m) == "name"), lambda m: F.element_at(F.split(m, " "), -1)))
+    people = F.array_sort(F.transform(surnames, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    alone = lambda p: F.concat(lit(r"(?<!\p{L})(?:"), p, lit(r")(?!\p{L})"))
+    initials = lambda w: F.array_join(F.transform(F.split(F.lower(w), "-"), F.initcap), "-")
+
+    def follow(t: Column, e: Column) -> Column:
+        w, new = e["w"], made(lit("surname"), F.lower(e["w"]))
+        t = F.regexp_replace(t, alone(F.when(w == F.upper(w), initials(w)).otherwise(F.concat(w, lit("|"), initials(w)))), F.initcap(new))
+        return F.regexp_replace(t, alone(F.upper(w)), F.upper(new))
+
     text = F.when(F.size(people) > 0, F.aggregate(people, F.col("_pii_text"), follow)).otherwise(F.col("_pii_text"))
     kinds = F.transform("_pii", kind_of)
     counts = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in KINDS}

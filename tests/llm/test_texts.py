@@ -310,3 +310,19 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     names = ["".join(p) for p in zip("BCDFGHJKLM", ["ane", "ole", "ume", "ick", "ast", "ond", "elt", "irk", "unt", "oss"])]
     out = replaced(spark, *(f"Mr. {n}" for n in names))
     assert len(set(out)) == len(names) and not set(out) & {f"Mr. {n}" for n in names}
+
+
+def test_bare_surnames_follow(spark):
+    """Short, hyphenated and inner-capital surnames leave no bare mention, nor one in capitals."""
+    names = ["Li", "McDonald", "Smith-Jones", "Smith", "SMITH", "Иванов-Петров"]
+    bare = {n: [n, n.upper(), *({"SMITH": ["Smith"]}.get(n, []))] for n in names}
+    out = replaced(spark, *(f"Dr. {n} came. {', '.join(bare[n])} left; Limit, Smithson stay." for n in names), "Mr. Smith and Ms. Smith-Jones: Smith-Jones, SMITH-JONES, Smith.")
+    for n, text in zip(names, out):
+        first, later = text.split(" came. ")
+        surname = first.removeprefix("Dr. ")
+        rest = later.removesuffix(" left; Limit, Smithson stay.").split(", ")
+        want = [surname.upper() if b == b.upper() else surname.capitalize() for b in bare[n]]
+        assert rest == want and surname.lower() != n.lower() and later.endswith("Limit, Smithson stay.")
+    assert "smith" not in out[-1].lower() and "jones" not in out[-1].lower()
+    a, b = out[-1].rstrip(".").replace(" and Ms. ", " ").split(": ")[0].split()[1:]
+    assert out[-1].split(": ")[1] == f"{b}, {b.upper()}, {a}."
