@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from .common import documents, set_aside, written
@@ -178,14 +179,14 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(prints: DataFrame) -> DataFrame:
     """prints(doc_id, fp), a stored table, with component_id: the least doc_id reachable by links."""
     by_print = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    return with_components(prints, by_print, components(fingerprint_links(by_print.select("fp"))))
+    return with_components(prints, by_print, components(fingerprint_links(by_print.select("fp")))).drop("root")
 
 
 def with_components(prints: DataFrame, by_print: DataFrame, roots: DataFrame) -> DataFrame:
-    """prints with component_id, given the components of by_print(fp, first_id)."""
+    """prints with root and component_id, given the components of by_print(fp, first_id)."""
     labelled = written(by_print.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "labelled")
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "_root")
-    named = labelled.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
+    named = labelled.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
@@ -284,7 +285,7 @@ def exact_links(sets: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of docs: the least doc_id reachable by links between similar texts."""
+    """(doc_id, fp, root, component_id) of docs: the least doc_id reachable by links between similar texts."""
     prints = written(sketches(docs), "sketches")
     by_set = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("parts").alias("parts"), F.first("bytes").alias("bytes")), "sets")
     loose = components(loose_links(by_set))
@@ -296,11 +297,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return with_components(prints.select("doc_id", "fp"), by_set.select("fp", "first_id"), components(exact_links(sets)))
 
 
+def with_set_names(docs: DataFrame) -> DataFrame:
+    """docs with _fp, the name of the text's set of shingles."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            names = [set_name(np.unique(shingles(t.as_py(), WORDS))) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], names=[*b.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of similar texts: its least doc_id (rows without an id stay, as nothing tells them apart)."""
+    """docs with one row of each component of similar texts: its least doc_id (rows without an id stay, as nothing tells
+    them apart). Of rows that share an id, one stays for each component that the id is least in."""
     docs, back = set_aside(docs, "doc_id", "text")
-    kept = written(similar_documents(docs).filter("doc_id = component_id").select("doc_id"), "kept")
-    twice = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    kept = kept.distinct().withColumnRenamed("doc_id", "_id")
-    out = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    return back((out.dropDuplicates(["doc_id"]) if twice else out).unionByName(docs.filter("doc_id is null")))
+    found = written(similar_documents(docs), "similar")
+    kept = written(found.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k.fp").alias("_kept")), "kept")
+    twice = written(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")), "twice")
+    out = docs.filter("doc_id is null")
+    if twice.isEmpty():
+        return back(docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(out))
+    once = docs.join(kept.join(twice, "_id", "left_anti"), F.col("doc_id") == F.col("_id"), "left_semi")
+    shared = with_set_names(docs.join(twice, F.col("doc_id") == F.col("_id"), "left_semi"))
+    shared = shared.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_kept")), "left_semi")
+    return back(once.unionByName(shared.dropDuplicates(["doc_id", "_fp"]).drop("_fp")).unionByName(out))

@@ -107,6 +107,15 @@ def test_one_of_each_is_by_jaccard(spark):
     assert sorted(r.doc_id for r in out) == sorted(set(root.values()))
 
 
+def test_shared_ids_keep_their_texts(spark):
+    """Rows that share an id are told apart by their texts: one stays for each component that the id is least in."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(1, text("a"), "s"), (1, text("b"), "s"), (1, text("b"), "s"), (2, text("c"), "s"), (3, text("c"), "s"), (3, text("d"), "s"), (4, text("b") + " more", "s"), (None, text("e"), "s"), (None, text("a"), "s")]
+    out = simhash.one_of_each(table(spark, rows)).collect()
+    want = [(1, "a0"), (1, "b0"), (2, "c0"), (3, "d0"), (None, "a0"), (None, "e0")]
+    assert sorted(((r.doc_id, r.text.split()[0]) for r in out), key=str) == sorted(want, key=str)
+
+
 # SentencePiece
 
 
