@@ -336,7 +336,7 @@ def mlc_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def svm_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = cube(spark, sf_dir)
-    done = svm.classify(x, x.select(F.col("label").alias("class_id"), "spectrum"), max_samples=60)
+    done = svm.classify(x, x.select(F.col("label").alias("class_id"), "spectrum"))
     return done.select("vec_id", "cls", r6(F.array_max("probabilities")).alias("p"))
 
 
