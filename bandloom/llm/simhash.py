@@ -9,26 +9,34 @@ so a hot group is spread; a block pair emits a spanning forest of its links, not
 
 Components of the links are found by components(); a link between different fingerprints is never lost.
 
-The pipeline stage, one_of_each(), asks for more than fingerprints can tell: texts whose sets of WORDS-word shingles have
-a Jaccard similarity of SIMILARITY or more. Candidates meet in one of PARTS groups of ROWS minimum hashes (a pair at 0.8
-misses all of them once in 2e7), are sorted by PARTS * ROWS bytes of these hashes (LOOSE is five deviations below 0.8) into
-loose components, and are compared there exactly, shingle by shingle; links again make the components.
-
-Defined results: null and blank texts have fingerprint zero and link like any other; repeated rows share a component;
-a component whose ids are all null has component_id null; an empty table gives an empty result. Extra columns pass by.
+The pipeline stage, one_of_each(), asks for texts whose sets of WORDS-word shingles have a Jaccard similarity of
+SIMILARITY or more. At 0.8 the bits of fingerprints differ with a chance of 0.15 (0.19 for sets of four and five), too
+often for bands of 64 bits. So the stage takes fingerprints of WIDE bits, and candidates are compared that meet in one
+of PARTS groups of ROWS minimum hashes (a pair at 0.8 misses all of them once in 3e5). In a group the same vertical
+comparison counts distances up to LOOSE bits (six deviations above 0.8), 64 fingerprints a word and many words at once,
+and words whose lanes are all over the radius are abandoned. What is near makes loose components, and in these the sets
+are compared exactly; links again make the components.
+
+Defined results: null and blank texts have fingerprint zero and link like any other; repeated rows share a component; ties
+go to the least id; a component whose ids are all null has component_id null; texts are taken whole, whatever their
+length; an empty table gives an empty result. Extra columns, whatever their names, pass by one_of_each() and are left
+out by near_duplicates(), which gives prints' columns. Of a component one row stays: the least id (nulls last), then the
+least hash of the text; of rows equal in id and text one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
+from bandloom.plans.ship import ship
+
 from .common import documents, set_aside, written
 from .components import components
 
@@ -37,8 +45,11 @@ BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 LANES = np.uint64(0x0101010101010101)
 #: Near-duplicates of the pipeline stage: words of a shingle, least similarity, and how candidates are found.
 WORDS, SIMILARITY = 5, 0.8
-ROWS, PARTS, LOOSE, SETS = 4, 32, 0.6, 512
+ROWS, PARTS, WIDE, LOOSE, SETS, SET_BYTES = 4, 24, 256, 76, 512, 1 << 25
 FACTORS = np.random.default_rng(42).integers(0, 2**63, PARTS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FLIP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows of a batch of comparisons, and how many (fingerprint, word) pairs are compared at once.
+HELD, UNITS = 20_000, 1 << 16
 
 
 def bit_totals(h: np.ndarray) -> np.ndarray:
@@ -79,6 +90,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -150,10 +162,12 @@ def links(left: np.ndarray, right: np.ndarray, mask: int) -> pa.Table:
     return forest.links()
 
 
-def in_blocks(rows: DataFrame, size: int) -> DataFrame:
-    """rows(mask, key, fp, ...) of groups with several rows, in pairs (a, b) of blocks of about size rows; block is a row's own."""
-    sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.select(F.col("mask").alias("_m"), F.col("key").alias("_k"), F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+def in_blocks(rows: DataFrame, size: int, weight: Column | None = None) -> DataFrame:
+    """rows(mask, key, fp, ...) of groups with several rows, in pairs (a, b) of blocks; block is a row's own. A block has
+    about size rows, or less where their weights, as shares of a block, sum to more than 1."""
+    blocks = F.ceil(F.count("*") / size) if weight is None else F.ceil(F.greatest(F.count("*") / size, F.sum(weight)))
+    sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n"), blocks.cast("int").alias("blocks")).filter("n > 1")
+    sizes = sizes.select(F.col("mask").alias("_m"), F.col("key").alias("_k"), "blocks")
     x = rows.join(sizes, (F.col("mask") == F.col("_m")) & (F.col("key") == F.col("_k"))).drop("_m", "_k")
     block = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col("fp")), F.col("blocks")).cast("int"))
     x = x.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -208,41 +222,148 @@ def least_hashes(s: np.ndarray) -> np.ndarray:
     return least
 
 
+def wide_print(s: np.ndarray) -> np.ndarray:
+    """The SimHash of a set in WIDE bits, as words."""
+    out = np.zeros(WIDE // 64, np.uint64)
+    for k in range(WIDE // 64):
+        h = (s ^ (s >> np.uint64(31))) * FACTORS[k]
+        h = (h ^ (h >> np.uint64(29))) * FACTORS[~k]
+        out[k] = np.packbits(bit_totals(h ^ (h >> np.uint64(32))) * 2 > len(s), bitorder="little").view(np.uint64)[0] if len(s) else 0
+    return out
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits by which texts are told apart; a null text counts as empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(whole).alias("_h1"), F.xxhash64(F.lit("second"), whole).alias("_h2")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, parts, bytes): the name of the text's set of shingles, the keys of its groups, a byte of each minimum."""
+    """(doc_id, _h1, _h2, fp, n, parts, print): the text's key, the name and size of its set of shingles, the keys of its
+    groups, and its wide fingerprint."""
 
     def run(batches):
         for b in batches:
-            names, parts, small = [], [], []
+            names, sizes, parts, prints = [], [], [], []
             for t in b.column("text"):
                 s = np.unique(shingles(t.as_py(), WORDS))
-                least = least_hashes(s)
                 names.append(set_name(s))
-                parts.append([xxh64_intdigest(p.tobytes(), 9) for p in least.reshape(PARTS, ROWS)])
-                small.append((least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes())
+                sizes.append(len(s))
+                parts.append([xxh64_intdigest(p.tobytes(), 9) for p in least_hashes(s).reshape(PARTS, ROWS)])
+                prints.append(wide_print(s).tobytes())
             keys = np.array(parts, np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, PARTS), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.int64()), lists, pa.array(small, pa.binary())], names=["doc_id", "fp", "parts", "bytes"])
+            made = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_h1", "_h2")), *made], names=["doc_id", "_h1", "_h2", "fp", "n", "parts", "print"])
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, parts array<long>, bytes binary")
+    rows = docs.select("doc_id", *text_keys(F.col("text")), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, _h1 long, _h2 long, fp long, n long, parts array<long>, print binary")
+
+
+def added(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A full adder: the sum and the carry of three bits in each lane."""
+    u = x ^ y
+    return u ^ z, (x & y) | (u & z)
+
+
+def within(left: np.ndarray, word: np.ndarray, stored: np.ndarray, live: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (unit, lane) at most radius bits apart. Unit i compares the wide fingerprint left[i] with the 64 lanes of
+    column word[i] of stored, whose row b holds bit b. Distances run up in vertical counters that start so that the one
+    past the radius overflows; a unit goes as soon as all its lanes have."""
+    planes = radius.bit_length()
+    at, over = np.arange(len(left)), ~live[word]
+    start = (1 << planes) - 1 - radius
+    count = [np.full(len(left), FLIP if start >> k & 1 else 0, np.uint64) for k in range(planes)]
+    for bit in range(0, WIDE, 4):
+        d = [stored[b].take(word) ^ (np.uint64(0) - (left[:, b >> 6] >> np.uint64(b & 63) & np.uint64(1))) for b in range(bit, bit + 4)]
+        count[0], x = added(count[0], d[0], d[1])
+        count[0], y = added(count[0], d[2], d[3])
+        count[1], carry = added(count[1], x, y)
+        for k in range(2, planes):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        over = over | carry
+        if bit % 32 == 28:
+            alive = over != FLIP
+            if 4 * np.count_nonzero(alive) < 3 * len(alive):
+                at, over, word, left = at[alive], over[alive], word[alive], left[alive]
+                count = [c[alive] for c in count]
+    some = np.flatnonzero(over != FLIP)
+    unit, lane = np.nonzero(np.unpackbits((~over[some]).view(np.uint8), bitorder="little").reshape(-1, 64))
+    return at[some[unit]], lane
+
+
+def near_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, n: np.ndarray, prints: np.ndarray) -> pa.Table:
+    """A spanning forest of the links between near rows of a group. Rows are sorted by group; side has bit 0 for rows
+    that are compared, bit 1 for rows that they are compared with."""
+    column = np.flatnonzero(side & 2)
+    starts = np.flatnonzero(np.concatenate(([True], group[column][1:] != group[column][:-1])))
+    sizes = np.diff(np.append(starts, len(column)))
+    words = -(-sizes // 64)
+    first = np.cumsum(words) - words  # the first word of each group
+    lane = np.arange(len(column)) - np.repeat(starts, sizes)
+    place = (np.repeat(first, sizes) + (lane >> 6)) * 64 + (lane & 63)
+    owner = np.full(int(words.sum()) * 64, -1)
+    owner[place] = column
+    full = np.zeros((len(owner), WIDE // 64), np.uint64)
+    full[place] = prints[column]
+    bits = np.unpackbits(full.view(np.uint8), axis=1, bitorder="little")
+    stored = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+    live = np.packbits(owner >= 0, bitorder="little").view(np.uint64)
+    rows = np.flatnonzero(side & 1)
+    known = group[column][starts]
+    which = np.searchsorted(known, group[rows])
+    keep = (which < len(known)) & (known[np.minimum(which, len(known) - 1)] == group[rows])
+    rows, which = rows[keep], which[keep]
+    units = np.repeat(np.arange(len(rows)), words[which])
+    ends = np.cumsum(words[which])
+    word = np.arange(len(units)) - np.repeat(ends - words[which], words[which]) + first[which][units]
+    forest = Forest()
+    for x in range(0, len(units), UNITS):
+        u, w = rows[units[x : x + UNITS]], word[x : x + UNITS]
+        unit, lane = within(prints[u], w, stored, live, LOOSE)
+        i, j = u[unit], owner[w[unit] * 64 + lane]
+        good = (fp[i] != fp[j]) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
+        for a, b in zip(fp[i[good]].tolist(), fp[j[good]].tolist()):
+            forest.link(a, b)
+    return forest.links()
 
 
 def loose_links(distinct: DataFrame) -> DataFrame:
-    """(u, v) between names fp of candidates: enough of them to connect whatever looks LOOSE similar."""
-    rows = distinct.select("fp", "bytes", F.posexplode("parts").alias("mask", "key")).select("mask", "key", "fp", "bytes")
+    """(u, v) between names fp of candidates: enough of them to connect whatever is near."""
+    rows = distinct.select("fp", "n", "print", F.posexplode("parts").alias("mask", "key")).select("mask", "key", "fp", "n", "print")
+    rows = in_blocks(rows, BLOCK)
+    names = ["mask", "key", "a", "b"]
 
-    def compare(table: pa.Table) -> pa.Table:
-        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        fp, block = table.column("fp").to_numpy(), table.column("block").to_numpy()
-        small = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(len(fp), -1)
-        names, stored, forest = fp[block == b].tolist(), small[block == b], Forest()
-        for own, row in zip(fp[block == a].tolist(), small[block == a]):
-            for i in np.flatnonzero((stored == row).sum(axis=1) >= LOOSE * PARTS * ROWS).tolist():
-                forest.link(own, names[i])
-        return forest.links()
+    def run(batches):
+        """Whole groups are compared together, about HELD rows at a time; a group has at most two blocks."""
+        held: list[pa.RecordBatch] = []
+
+        def compared(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            if part.num_rows < 2:
+                return
+            keys = np.stack([part.column(c).to_numpy().astype(np.int64) for c in names])
+            group = np.concatenate(([0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+            block = part.column("block").to_numpy()
+            side = (block == keys[2]) * 1 + (block == keys[3]) * 2
+            prints = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint64).reshape(part.num_rows, -1)
+            yield from near_links(group, side, part.column("fp").to_numpy(), part.column("n").to_numpy(), prints).to_batches()
 
-    return in_blocks(rows, BLOCK).groupBy("mask", "key", "a", "b").applyInArrow(compare, "u long, v long")
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) < HELD:
+                continue
+            whole = pa.Table.from_batches(held)
+            keys = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in names])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+            if len(cuts):
+                yield from compared(whole.slice(0, int(cuts[-1]) + 1))
+                held = whole.slice(int(cuts[-1]) + 1).to_batches()
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "u long, v long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -280,46 +401,40 @@ def exact_links(sets: DataFrame) -> DataFrame:
                     forest.link(int(fp[i]), int(fp[j]))
         return forest.links()
 
-    rows = in_blocks(sets.select(F.lit(0).alias("mask"), "key", "fp", "shingles"), SETS)
+    rows = in_blocks(sets.select(F.lit(0).alias("mask"), "key", "fp", "shingles"), SETS, F.octet_length("shingles") / SET_BYTES)
     return rows.groupBy("mask", "key", "a", "b").applyInArrow(compare, "u long, v long")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, root, component_id) of docs: the least doc_id reachable by links between similar texts."""
+    """(doc_id, _h1, _h2, fp, root, component_id) of docs(doc_id, text): the least doc_id reachable by links between
+    similar texts."""
     prints = written(sketches(docs), "sketches")
-    by_set = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("parts").alias("parts"), F.first("bytes").alias("bytes")), "sets")
+    first = F.min(F.struct("_h1", "_h2")).alias("_text")
+    by_set = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first, *(F.first(c).alias(c) for c in ("n", "parts", "print")))
+    by_set = written(by_set, "sets")
     loose = components(loose_links(by_set))
     loose = written(loose.union(loose.select("root", "root").distinct()).select(F.col("node").alias("_fp"), F.col("root").alias("key")), "loose")
-    # one text of each set is read again, found by its id; texts that share an id come along and are sorted out by fp
-    ids = by_set.join(loose, F.col("fp") == F.col("_fp"), "left_semi").select(F.col("first_id").alias("_id")).distinct()
-    sets = shingle_sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    # one text of each set is read again, found by its key; copies of it come along
+    texts = by_set.join(loose, F.col("fp") == F.col("_fp"), "left_semi").select(F.col("_text._h1").alias("_t1"), F.col("_text._h2").alias("_t2"))
+    keyed = docs.select("text", *text_keys(F.col("text")))
+    sets = shingle_sets(keyed.join(texts, (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2")), "left_semi"))
     sets = written(sets.join(loose, F.col("fp") == F.col("_fp")).select("key", "fp", "shingles").dropDuplicates(["fp"]), "shingles")
-    return with_components(prints.select("doc_id", "fp"), by_set.select("fp", "first_id"), components(exact_links(sets)))
-
-
-def with_set_names(docs: DataFrame) -> DataFrame:
-    """docs with _fp, the name of the text's set of shingles."""
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for b in batches:
-            names = [set_name(np.unique(shingles(t.as_py(), WORDS))) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], names=[*b.schema.names, "_fp"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    found = prints.select("doc_id", "_h1", "_h2", "fp")
+    return with_components(found, by_set.select("fp", "first_id"), components(exact_links(sets)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of similar texts: its least doc_id (rows without an id stay, as nothing tells
-    them apart). Of rows that share an id, one stays for each component that the id is least in."""
+    """docs with one row of each component of similar texts. Only keys of rows are compared and shuffled; texts are read
+    where they stand, but for rows that are repeated in full, of which one is chosen."""
     docs, back = set_aside(docs, "doc_id", "text")
-    found = written(similar_documents(docs), "similar")
-    kept = written(found.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k.fp").alias("_kept")), "kept")
-    twice = written(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")), "twice")
-    out = docs.filter("doc_id is null")
-    if twice.isEmpty():
-        return back(docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(out))
-    once = docs.join(kept.join(twice, "_id", "left_anti"), F.col("doc_id") == F.col("_id"), "left_semi")
-    shared = with_set_names(docs.join(twice, F.col("doc_id") == F.col("_id"), "left_semi"))
-    shared = shared.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_kept")), "left_semi")
-    return back(once.unionByName(shared.dropDuplicates(["doc_id", "_fp"]).drop("_fp")).unionByName(out))
+    found = written(similar_documents(docs.select("doc_id", "text")), "similar")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")).alias("_k")
+    kept = found.groupBy("root").agg(least).select("_k.*")
+    times = found.groupBy("doc_id", "_h1", "_h2").agg(F.count("*").alias("times"))
+    same = kept["doc_id"].eqNullSafe(times["doc_id"]) & (kept["_h1"] == times["_h1"]) & (kept["_h2"] == times["_h2"])
+    kept = kept.join(times, same).select(kept["doc_id"].alias("_id"), kept["_h1"].alias("_k1"), kept["_h2"].alias("_k2"), "times")
+    kept = written(kept, "kept")
+    keyed = docs.select("*", *text_keys(F.col("text")))
+    chosen = lambda k: keyed.join(k, keyed["doc_id"].eqNullSafe(k["_id"]) & (keyed["_h1"] == k["_k1"]) & (keyed["_h2"] == k["_k2"]), "left_semi")
+    once, repeated = chosen(kept.filter("times = 1")), chosen(kept.filter("times > 1"))
+    return back(once.unionByName(repeated.dropDuplicates(["doc_id", "_h1", "_h2"])))

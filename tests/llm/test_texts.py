@@ -107,13 +107,57 @@ def test_one_of_each_is_by_jaccard(spark):
     assert sorted(r.doc_id for r in out) == sorted(set(root.values()))
 
 
+@given(st.integers(0, 2**32))
+@settings(max_examples=20, deadline=None)
+def test_wide_comparison(seed):
+    """All pairs within the radius are found, in groups of any size, and no other."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(2, 200, 3)
+    group = np.repeat(np.arange(3), sizes)
+    base = rng.integers(0, 2**63, (3, simhash.WIDE // 64)).astype(np.uint64)
+    prints = base[group]
+    for row in prints:
+        for bit in rng.choice(simhash.WIDE, rng.integers(0, 70), replace=False).tolist():
+            row[bit >> 6] ^= np.uint64(1 << (bit & 63))
+    side = rng.integers(1, 4, len(group))
+    distance = lambda i, j: sum(int(x).bit_count() for x in prints[i] ^ prints[j])
+    n, forest = np.full(len(group), 100), simhash.Forest()
+    for i in np.flatnonzero(side & 1).tolist():
+        for j in np.flatnonzero((side & 2) & (2 * (group == group[i]))).tolist():
+            if distance(i, j) <= simhash.LOOSE:
+                forest.link(i, j)
+    found = simhash.Forest()
+    links = simhash.near_links(group, side, np.arange(len(group)), n, prints).to_pydict()
+    for u, v in zip(links["u"], links["v"]):
+        found.link(u, v)
+    assert [found.top(i) for i in range(len(group))] == [forest.top(i) for i in range(len(group))]
+
+
+def test_wide_prints_reach_similar_sets():
+    rng = np.random.default_rng(3)
+    far = []
+    for n in [4] * 200 + [5] * 200 + [9] * 200 + [100] * 200:
+        s = rng.integers(0, 2**63, n + max(1, n // 4)).astype(np.uint64)
+        far.append(sum(int(x).bit_count() for x in simhash.wide_print(s) ^ simhash.wide_print(s[:n])))
+    assert max(far) <= simhash.LOOSE
+
+
 def test_shared_ids_keep_their_texts(spark):
-    """Rows that share an id are told apart by their texts: one stays for each component that the id is least in."""
+    """Rows are told apart by id and text; one stays for each component, whatever ids repeat or are missing."""
     text = lambda name: " ".join(f"{name}{i}" for i in range(60))
-    rows = [(1, text("a"), "s"), (1, text("b"), "s"), (1, text("b"), "s"), (2, text("c"), "s"), (3, text("c"), "s"), (3, text("d"), "s"), (4, text("b") + " more", "s"), (None, text("e"), "s"), (None, text("a"), "s")]
+    rows = [(1, text("a"), "s"), (1, text("b"), "s"), (1, text("b"), "s"), (2, text("c"), "s"), (3, text("c"), "s"), (3, text("d"), "s"), (4, text("b") + " more", "s"), (None, text("e"), "s"), (None, text("e"), "s"), (None, text("a"), "s"), (5, text("g"), "s"), (6, text("f"), "s"), (6, text("g"), "s"), (7, None, "s"), (8, "", "s")]
     out = simhash.one_of_each(table(spark, rows)).collect()
-    want = [(1, "a0"), (1, "b0"), (2, "c0"), (3, "d0"), (None, "a0"), (None, "e0")]
-    assert sorted(((r.doc_id, r.text.split()[0]) for r in out), key=str) == sorted(want, key=str)
+    want = [(1, "a0"), (1, "b0"), (2, "c0"), (3, "d0"), (5, "g0"), (6, "f0"), (None, "e0"), (7, "")]
+    assert sorted(((r.doc_id, (r.text or "").split(" ")[0]) for r in out), key=str) == sorted(want, key=str)
+
+
+def test_hot_groups_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "SETS", 8)
+    monkeypatch.setattr(simhash, "HELD", 20)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(c * 100 + i, " ".join([f"c{c}{w}" for w in words] + [f"end{i}"]), "s") for c in range(3) for i in range(60)]
+    assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, rows)).collect()) == [0, 100, 200]
 
 
 # SentencePiece
