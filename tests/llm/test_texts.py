@@ -318,6 +318,96 @@ def test_repeated_secrets(gap):
         assert [text[a:b] for a, _, b in found] == [first, again]
 
 
+def slow_base(text):
+    """The patterns by hand: leftmost, greedy, without overlap in a kind."""
+    word = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=-")
+    found = []
+    at = 0
+    while at < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            piece = text[at : at + len(name)]
+            if not piece.isascii() or piece.lower() != name:
+                continue
+            for quote in ((0, 1) if text[at + len(name) : at + len(name) + 1] in ('"', "'") else (0,)):
+                i = at + len(name) + quote
+                while text[i : i + 1] == " ":
+                    i += 1
+                if text[i : i + 1] not in (":", "="):
+                    continue
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ('"', "'")
+                j = i
+                while j < len(text) and word(text[j]):
+                    j += 1
+                if j > i:
+                    end = (j, j - i)
+        if end:
+            found += [(at, 0, end[0])] if end[1] >= 8 else []
+            at = end[0]
+        else:
+            at += 1
+    for kind, head, inside, least in ((1, "AKIA", lambda c: c.isascii() and (c.isupper() or c.isdigit()), 16), (2, "", lambda c: c in "0123456789abcdef", 32)):
+        at = 0
+        while at < len(text):
+            j = at + len(head)
+            while text.startswith(head, at) and j < len(text) and inside(text[j]):
+                j += 1
+            if text.startswith(head, at) and j > at + len(head):
+                found += [(at, kind, j)] if j - at >= least else []
+                at = j
+            else:
+                at += 1
+    return sorted(found)
+
+
+PARTS = ["password", "PassWd", "Secret", "token", "api_key", "APIKEY", "AKIA", "=", ":", " ", '"', "'", "AB12CD34EF56GH78", "0123456789abcdef", "deadbeef", "é", "\n", "x", "ſecret", "longenough"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_base_spans_by_hand(parts):
+    text = "".join(parts)
+    assert sorted(secrets.base_spans(text)) == slow_base(text)
+
+
+def test_scan_of_odd_texts(spark):
+    """Counts, digests and offsets of whole rows, recomputed; a text of a megabyte of sensitive words takes seconds."""
+    long = "token" * 200_000 + " secret: " + "0123456789abcdef" * 3 + " é bearer Zx9fQ2kLm8Tr4vBn7wPq0s"
+    many = "password=abcdefgh1 " * 20_000
+    texts = [None, "", "é\U0001f600 token=abcdefgh12", long, many, "secret." * 50_000, "a" * 1_000_000]
+    out = {r.doc_id: r for r in secrets.scan(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        base = slow_base(t or "")
+        assert (out[i].n_assign, out[i].n_access, out[i].n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+        assert out[i].base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
+        assert set(secrets.joined(base).split(",")) <= set(out[i].spans.split(","))
+    assert out[3].spans.endswith(f"novel:{len(long) - 22}:{len(long)}")
+
+
+def test_novelty_finds_planted_secrets():
+    """Random keys of several alphabets in prose and code: nine in ten or more are found, and ordinary identifiers stay."""
+    rng = np.random.default_rng(11)
+    z = secrets.compressor()
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"]
+    prose = "the river ran past the old mill and the people of the town walked along it in the evening light while children played near the water "
+    code = "def load(path):\n    with open(path) as f:\n        return json.load(f)\nclient = Client(url, timeout=30)\n"
+    hits = tries = 0
+    for i in range(200):
+        alphabet = alphabets[i % 4]
+        key = "x9" + "".join(rng.choice(list(alphabet), rng.integers(18, 44)))
+        around = prose if i % 2 else code
+        text = around * 3 + f"authorization bearer {key}\n" + around * 3
+        start = text.index(key)
+        hits += any(a <= start + 1 and b >= start + len(key) - 1 for a, _, b in secrets.novel_spans(text, [], z))
+        tries += 1
+    assert hits >= 0.9 * tries
+    plain = ["getUserInformation2", "initialize_database_connection_v2", "setConfigurationValue", "test_password_default1", "1111111111111111", "process_request_data_2", "xxxxxxxxxxxxxxxx0000"]
+    assert sum(bool(secrets.novel_spans(f"{code}the secret is {p} {code}", [], z)) for p in plain) <= 1
+
+
 @pytest.mark.parametrize("gap", [2, 32, 33, 40, 48, 49])
 def test_secrets_start_within_context(gap):
     text = "bearer" + ("- " * 30)[:gap - 1] + " Zx9fQ2kLm8Tr4vBn7wPq0s"
