@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
+    temporary one; on a cluster that is an error, as executors would write to disks that others don't see."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="bandloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -48,10 +51,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs with all columns but the needed ones under names that clash with none, and the way back to docs' columns."""
+def set_aside(docs: DataFrame, *needed: str, made: Sequence[str] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones under names that clash with none, and the way back to docs' columns and
+    the made ones. A column of docs that has the name of a made one gives way to it."""
     safe = {c: c if c in needed else f"_extra{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*safe.values()), lambda df: df.select(*(F.col(s).alias(c) for c, s in safe.items()))
+    return docs.toDF(*safe.values()), lambda df: df.select(*(F.col(s).alias(c) for c, s in safe.items() if c not in made), *made)
 
 
 def text_or_empty(text: str | Column = "text") -> Column:

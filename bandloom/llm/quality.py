@@ -1,19 +1,24 @@
 """Quality rules from cross-document line frequency, in DataFrame operations only.
 
 Lines are normalised (lower case, blanks collapsed) and hashed. A line is removed from a host's documents when it stands
-in more than MAX_DOCS distinct documents of the host and most of them are distinct indeed: a document is known by its rarest
-lines that hold MIN_OWN of its words, and there must be MIN_DISTINCT as many of these as there are texts with the line.
-Lines in MAX_DOCS texts or fewer are equally rare, and the least hash among them stands for them; of the others the line
-that reaches MIN_OWN stands for the text. So boilerplate goes, however many lines of it documents share, while copies and
-near-copies, which share all but a few words, count about once and are left to deduplication. The registered query op1_quality is held to its SQL, which knows a document by the least hash of its other
-lines, whatever they are (least_other_lines); the pipeline stage isn't. A document is depleted, and rejected, when the removed lines hold more than MAX_REMOVED of its words; base rules reject short
-documents and those of repeated word windows. `source` is the host.
-
-Lines are first counted by (host, hash) with map-side sums, and only lines that can pass the limit are kept one by one,
-so no hot line meets in one task and texts are never shuffled.
-
-Defined results: null texts have no words and fail the base rules; a null host is one host; blank lines are never
-counted or removed; repeated rows share one decision; an empty table gives an empty result; extra columns pass by.
+in more than MAX_DOCS distinct documents of the host. Documents are distinct when their texts differ, and, so that
+near-copies don't pass for documents of their own, they are counted by what they hold besides frequent lines: a text is
+known by its rarest lines that hold a ninth of its words. Lines in MAX_DOCS places or fewer are equally rare, and the
+least hash among them stands for them; where they hold too little, the frequent line that reaches the ninth stands for
+the text (for that line itself, its neighbour). A line goes if more than MAX_DOCS are known apart, and no fewer than
+MIN_DISTINCT of its distinct texts. So boilerplate goes, however many lines of it documents share, while copies and
+near-copies, which share all but a few words, count about once and are left to deduplication. A document is depleted,
+and rejected, when the removed lines hold more than MAX_REMOVED of its words; base rules reject short documents and those
+of repeated word windows. `source` is the host. The SQL beside the query says the same.
+
+Lines are first counted by (host, hash) with map-side sums, so no hot line meets in one task. Rows and removals are
+joined by host and text key: metrics without the text in the query; with the text in the pipeline stage, where the
+removals are too many to be sent along.
+
+Defined results: null texts count as empty, have no words and fail the base rules; texts are taken whole, whatever their
+length; a null host is one host; blank lines are never counted or removed; lines that are equally rare are told apart by
+their hashes; repeated rows count as one document and share one decision; an empty table gives an empty result; extra
+columns, whatever their names, pass by, and give way where they have the name of a result.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from .common import BLANK_CHARS, documents, set_aside, text_or_empty, words_of,
 
 MAX_DOCS, MIN_DISTINCT, MAX_REMOVED = 10, 0.5, 0.5
 #: Two texts that differ in a ninth of their words each are 0.8 similar.
-MIN_OWN = 1 / 9
+NINTH = 9
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = "[#*$%&|<>]"
 
@@ -66,27 +71,18 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """A row for each line with a word: host, text key, pos, hash, words, and own, the words where the line stands first
-    in its text and 0 where it repeats, and least_other, the least hash of the text's other lines (0 without any)."""
+    """A row for each line with a word: host, text key, pos, line (its hash), words, and own, the words where the line
+    stands first in its text and 0 where it repeats."""
     lines = F.transform(F.split(F.lower(text_or_empty()), "\n", -1), words_of)
     x = with_text_key(docs).select(F.col(host).alias("host"), "_h1", "_h2", lines.alias("_lines"))
     each = F.transform("_lines", lambda ws: F.struct(line_hash(ws).alias("line"), F.size(ws).alias("words")))
     x = x.select("host", "_h1", "_h2", F.filter(each, lambda s: s["words"] > 0).alias("_each"))
     x = x.withColumn("_all", F.col("_each.line"))
-    x = x.withColumn("_least", F.slice(F.array_sort(F.array_distinct("_all")), 1, 2))
-    other = lambda s: F.coalesce(F.get("_least", F.when(s["line"] == F.get("_least", F.lit(0)), 1).otherwise(0)), F.lit(0).cast("long"))
     first = lambda s, i: F.when(F.array_position("_all", s["line"]) == i + 1, s["words"]).otherwise(0)
-    full = F.transform("_each", lambda s, i: F.struct(i.alias("pos"), s["line"].alias("line"), s["words"].alias("words"), first(s, i).alias("own"), other(s).alias("least_other")))
+    full = F.transform("_each", lambda s, i: F.struct(i.alias("pos"), s["line"].alias("line"), s["words"].alias("words"), first(s, i).alias("own")))
     return x.select("host", "_h1", "_h2", F.explode(full).alias("_x")).select("host", "_h1", "_h2", "_x.*")
 
 
-def least_other_lines(lines: DataFrame, often: DataFrame) -> DataFrame:
-    """known_lines() by the rule of the SQL: known_by is the least hash of the text's other lines (0 without any). Lines
-    that documents share can be the least, and then unrelated documents count as one."""
-    x = lines.join(often.drop("n"), same("host", "_host") & (F.col("line") == F.col("_line")), "left_semi")
-    return x.select("host", "_h1", "_h2", "pos", "line", "words", "least_other").withColumnRenamed("least_other", "known_by").distinct()
-
-
 def known_lines(lines: DataFrame, often: DataFrame) -> DataFrame:
     """(host, _h1, _h2, pos, line, words, known_by) of the lines that stand often: known_by is the hash by which the line's
     text is told apart from others that hold the line."""
@@ -97,14 +93,14 @@ def known_lines(lines: DataFrame, often: DataFrame) -> DataFrame:
         F.collect_set(F.when(~rare, F.struct("pos", "line", "words", "n"))).alias("_often"), F.count(F.when(F.col("pos") == 0, 1)).alias("_times"),
     ).filter(F.size("_often") > 0)
     # repeated rows multiply the sums
-    x = x.withColumns({"_words": F.col("_words") / F.col("_times"), "_rare": F.coalesce(F.col("_rare") / F.col("_times"), F.lit(0.0))})
+    x = x.withColumns({"_words": F.expr("_words div _times"), "_rare": F.expr("coalesce(_rare, 0) div _times")})
     x = x.withColumn("_sorted", F.array_sort(F.array_distinct(F.transform("_often", lambda s: F.struct(s["n"].alias("n"), s["line"].alias("line"), s["words"].alias("words"))))))
     start = F.struct(F.col("_rare").alias("sum"), F.lit(0).alias("k"))
-    more = lambda a, s: F.struct((a["sum"] + s["words"]).alias("sum"), (a["k"] + (a["sum"] + s["words"] < MIN_OWN * F.col("_words")).cast("int")).alias("k"))
+    more = lambda a, s: F.struct((a["sum"] + s["words"]).alias("sum"), (a["k"] + (NINTH * (a["sum"] + s["words"]) < F.col("_words")).cast("int")).alias("k"))
     x = x.withColumn("_k", F.aggregate("_sorted", start, more)["k"])
     at = lambda i: F.get("_sorted", i)["line"]
     other = lambda line: F.when(at(F.col("_k")) != line, at(F.col("_k"))).otherwise(F.coalesce(at(F.col("_k") + 1), at(F.col("_k") - 1), F.col("_least"), F.lit(0).cast("long")))
-    known = lambda line: F.when(F.col("_rare") >= MIN_OWN * F.col("_words"), F.col("_least")).otherwise(other(line))
+    known = lambda line: F.when(NINTH * F.col("_rare") >= F.col("_words"), F.col("_least")).otherwise(other(line))
     full = F.transform("_often", lambda s: F.struct(s["pos"], s["line"], s["words"], known(s["line"]).alias("known_by")))
     return x.select("host", "_h1", "_h2", F.explode(full).alias("_x")).select("host", "_h1", "_h2", "_x.*")
 
@@ -113,12 +109,12 @@ def same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def removed_lines(docs: DataFrame, host: str = "source", known=known_lines) -> DataFrame:
+def removed_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """(host, _h1, _h2, removed_words, gone): for each text with removed lines, their words and distinct hashes."""
     lines = host_lines(docs, host)
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_DOCS)
     often = written(often.select(F.col("host").alias("_host"), F.col("line").alias("_line"), "n"), "often")
-    found = written(known(lines, often), "lines")
+    found = written(known_lines(lines, often), "lines")
     each = found.groupBy("host", "line", "_h1", "_h2").agg(F.min("known_by").alias("known_by"))
     each = each.groupBy("host", "line", "known_by").agg(F.count("*").alias("n"))
     each = each.groupBy("host", "line").agg(F.sum("n").alias("texts"), F.count("*").alias("docs"))
@@ -128,25 +124,28 @@ def removed_lines(docs: DataFrame, host: str = "source", known=known_lines) -> D
     return gone.groupBy("host", "_h1", "_h2").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone"))
 
 
-def apply_rules(docs: DataFrame, host: str = "source", known=known_lines) -> DataFrame:
-    """docs with the base metrics, removed_words, gone (hashes of the lines to remove), base_failed and kept."""
-    gone = written(removed_lines(docs, host, known).withColumnsRenamed({"_h1": "_g1", "_h2": "_g2", "host": "_host"}), "gone")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "gone", "base_failed", "kept")
+
+
+def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
+    """docs with METRICS: the base metrics, removed_words, gone (hashes of the lines to remove), base_failed and kept."""
+    docs, back = set_aside(docs, "text", host, made=METRICS)
+    gone = written(removed_lines(docs, host).withColumnsRenamed({"_h1": "_g1", "_h2": "_g2", "host": "_host"}), "gone")
     x = with_text_key(base_metrics(docs))
     x = x.join(gone, same(host, "_host") & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2")), "left")
     x = x.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     x = x.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-    x = x.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= MAX_REMOVED * F.col("n_words")) & (F.col("_row") >= 0))
-    return x.drop("_row", "_h1", "_h2", "_g1", "_g2", "_host")
+    return back(x.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= MAX_REMOVED * F.col("n_words")) & (F.col("_row") >= 0)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruled = apply_rules(documents(spark, sf_dir).select("doc_id", "text", "source"), known=least_other_lines)
+    ruled = apply_rules(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, without the removed lines; n_chars follows the text."""
-    safe, back = set_aside(docs, "doc_id", "text", "source", "n_chars")
+    safe, back = set_aside(docs, "text", "source", "n_chars")
     x = apply_rules(safe).filter("kept")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda t: ~F.array_contains("gone", line_hash(words_of(F.lower(t))))), "\n")
     x = x.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
@@ -162,11 +161,16 @@ rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i
 ln AS (SELECT rid, source, t, pos, l, regexp_extract_all(lower(l), '[^\x20\x09-\x0D]+') AS lw FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
 lines AS (SELECT *, array_to_string(lw, ' ') AS n, ('0x' || substr(md5(array_to_string(lw, ' ')), 1, 15))::BIGINT AS h FROM ln WHERE len(lw) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY rid),
-two AS (SELECT rid, list_sort(list_distinct(list(h))) AS hs FROM lines GROUP BY rid),
-ctx AS (SELECT lines.*, coalesce(CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END, 0) AS c FROM lines JOIN two USING (rid)),
-one AS (SELECT source, n, t, min(c) AS c FROM ctx GROUP BY source, n, t),
-cut AS (SELECT source, n FROM one GROUP BY source, n HAVING count(DISTINCT c) > 10 AND count(DISTINCT c) >= 0.5 * count(*)),
-gone AS (SELECT lines.rid, sum(len(lw)) AS n FROM lines JOIN cut ON lines.n = cut.n AND lines.source IS NOT DISTINCT FROM cut.source GROUP BY lines.rid),
+one AS (SELECT source, t, min(rid) AS rid FROM d GROUP BY source, t),
+often AS (SELECT source, h, count(*) AS n FROM lines GROUP BY source, h HAVING count(*) > 10),
+tl AS (SELECT l.rid, l.source, l.h, max(len(l.lw)) AS w FROM lines l JOIN one USING (rid) GROUP BY l.rid, l.source, l.h),
+tn AS (SELECT tl.*, o.n FROM tl LEFT JOIN often o ON tl.h = o.h AND tl.source IS NOT DISTINCT FROM o.source),
+txt AS (SELECT rid, sum(w) AS words, coalesce(sum(w) FILTER (n IS NULL), 0) AS rare, min(h) FILTER (n IS NULL) AS least FROM tn GROUP BY rid),
+run AS (SELECT tn.rid, tn.source, tn.h, tn.n, txt.words, txt.rare, txt.least, txt.rare + sum(tn.w) OVER (PARTITION BY tn.rid ORDER BY tn.n, tn.h) AS upto FROM tn JOIN txt USING (rid) WHERE tn.n IS NOT NULL),
+seq AS (SELECT rid, list(h ORDER BY n, h) AS hs, count(*) FILTER (9 * upto < words) AS k FROM run GROUP BY rid),
+known AS (SELECT run.source, run.h, CASE WHEN 9 * rare >= words THEN least WHEN hs[k + 1] <> run.h THEN hs[k + 1] ELSE coalesce(hs[k + 2], CASE WHEN k > 0 THEN hs[k] END, least, 0) END AS c FROM run JOIN seq USING (rid)),
+cut AS (SELECT source, h FROM known GROUP BY source, h HAVING count(DISTINCT c) > 10 AND count(DISTINCT c) >= 0.5 * count(*)),
+gone AS (SELECT lines.rid, sum(len(lw)) AS n FROM lines JOIN cut ON lines.h = cut.h AND lines.source IS NOT DISTINCT FROM cut.source GROUP BY lines.rid),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
   FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
