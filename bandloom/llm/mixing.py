@@ -6,8 +6,10 @@ the threshold is taken: a filter, with no sort of the rows. Budgets nest: a smal
 
 Budgets above a source's size take every row floor(budget / size) times and the rest by the threshold.
 
-Defined results: null texts have size 0 and are taken 0 words; null sources are one source, last in the order; rows
-equal in key and text share one decision; a source without words gets target 0; an empty table gives an empty result.
+Defined results: null and empty texts have size 0 and are taken 0 words; texts are counted whole, whatever their length;
+null sources are one source, last in the order; rows equal in key and text share one decision, and so do rows of one
+source whose 36-bit hashes tie; a source without words gets target 0; an empty table gives an empty result. Extra
+columns, whatever their names, pass by mixed_documents() and are left out by the others.
 """
 
 from __future__ import annotations
@@ -70,19 +72,28 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("_prefix").alias("threshold"))
 
 
-def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """sized(source, hash, size, ...) and targets(source, source_size, target): sized with source_size, target,
-    copies (how often the mix takes the row) and taken (words: copies * size)."""
+def plan_of(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """A stored row for each source: targets(source, source_size, target) with whole, how often every row is taken, and
+    threshold, the hash below which rows are taken once more."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("_whole", whole)
     cuts = thresholds(sized, plan.select("source", (F.col("target") - F.col("_whole") * F.col("source_size")).alias("budget")))
     plan = plan.join(cuts.withColumnRenamed("source", "_cs"), F.col("source").eqNullSafe(F.col("_cs")), "left").drop("_cs")
-    plan = written(plan.withColumnRenamed("source", "_ps"), "plan")
-    out = sized.join(plan, sized["source"].eqNullSafe(F.col("_ps")), "left")
+    return written(plan.withColumnRenamed("source", "_ps"), "plan")
+
+
+def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows(source, hash, size, ...) where they stand, with source_size, target, copies (how often the mix takes the row)
+    and taken (words: copies * size). The plan is a row for each source; Spark sends it along if it is small."""
+    out = rows.join(plan, rows["source"].eqNullSafe(F.col("_ps")), "left")
     copies = F.col("_whole") + (F.col("hash") < F.coalesce(F.col("threshold"), F.lit(0))).cast("long")
     return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_ps", "_whole", "threshold")
 
 
+def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    return taken(sized, plan_of(sized, targets))
+
+
 def sized_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", row_hash(F.col("doc_id"), F.col("text")).alias("hash"), n_words(F.col("text")).alias("size"))
 
@@ -101,13 +112,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs as often as the mix of the pipeline takes them (copies repeat as rows)."""
+    """docs as often as the mix of the pipeline takes them (copies repeat as rows). Only hashes and sizes are summed; a
+    row's copies follow from its own hash and the plan of its source, so texts stay where they are."""
     docs, back = set_aside(docs, "doc_id", "text", "source")
     sized = written(sized_documents(docs), "sized")
-    plan = mix(sized, written(cycled_targets(sized), "targets")).filter("copies > 0").select("doc_id", "hash", "copies").distinct()
-    full = docs.withColumn("_h", row_hash(F.col("doc_id"), F.col("text")))
-    plan = plan.withColumnRenamed("doc_id", "_id")
-    out = full.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("hash")))
+    plan = plan_of(sized, written(cycled_targets(sized), "targets"))
+    full = docs.withColumns({"hash": row_hash(F.col("doc_id"), F.col("text")), "size": F.lit(0).cast("long")})
+    out = taken(full, plan).filter("copies > 0")
     return back(out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
