@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality": quality.ORACLE_OP1,
     "op2_mixing": mixing.ORACLE_OP2,
+    "op8_sharding": sharding.ORACLE_OP8,
 }

@@ -1,15 +1,18 @@
 """Sharding by sampled splitters, after the law `bytes`: shards of near equal size.
 
-Keys are (hash of the text, hash of the id), so equal texts lie side by side and even one text with many copies can
-be cut. Keys are sampled with a chance that grows with the row's size, the quantiles of the sample are the splitters of
-many ranges, and each range is measured exactly. Ranges that turn out overfull are subdivided by splitters sampled
-within them. Running sums inside the (bounded) ranges then place each row: its shard is where the middle of its bytes
-falls in the whole. Shards are runs of the key order, so slots are positions in it.
-
-Splitters: about RANGES_PER_SHARD a shard, and more where the table is large; they are the only rows the driver sees.
-
-Defined results: null texts count as empty (8 bytes); rows equal in all columns stay in one range and get slots in any
-order; an empty table gives an empty result.
+Keys are (hash of the text, hash of the id, a number that tells equal rows apart), so equal texts lie side by side and
+even one row that is repeated many times can be cut. Keys are sampled with a chance that grows with the row's size, the
+quantiles of the sample are the splitters of many ranges, and each range is measured exactly. Ranges that turn out
+overfull are subdivided by splitters sampled within them. Running sums inside the ranges then place each row: its shard
+is where the middle of its bytes falls in the whole. Shards are runs of the key order, so slots are positions in it.
+
+There are RANGES_PER_SHARD ranges a shard, and more where the table is large, but MAX_RANGES at most (subdividing can
+double that). So what the driver sees and what is sent to the rows is bounded: SAMPLES_PER_RANGE * MAX_RANGES keys of 40
+bytes, and a table of the splitters.
+
+Defined results: null texts count as empty (8 bytes); texts are hashed whole, whatever their length; a null id is an id of
+its own; rows equal in id and text are told apart at random, which only decides which of them gets which of their slots;
+an empty table gives an empty result; other columns than doc_id and text, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty, written
 
-RANGES_PER_SHARD, SAMPLES_PER_RANGE, RANGE_BYTES, OVERFULL = 16, 20, 1 << 30, 3.0
+RANGES_PER_SHARD, SAMPLES_PER_RANGE, RANGE_BYTES, RANGE_ROWS, MAX_RANGES, OVERFULL = 16, 20, 1 << 34, 1 << 22, 8192, 3.0
 PREFIX = 3
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, key) of docs(doc_id, text); to be stored before use, as keys differ from run to run."""
     text = text_or_empty()
-    key = F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("id"), F.col("doc_id"))), 16, "0"))
+    name = F.md5(F.concat(F.lit("id:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    apart = F.substring(F.md5(F.monotonically_increasing_id().cast("string")), 1, 8)
+    key = F.concat(F.substring(F.md5(text.cast("binary")), 1, 16), F.substring(name, 1, 16), apart)
     return docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"))
 
 
@@ -48,10 +54,10 @@ def ranged(rows: DataFrame, splitters: list[str]) -> DataFrame:
     spark = rows.sparkSession
     table = []
     for p in range(16**PREFIX):
-        low = f"{p:0{PREFIX}X}"
-        a, b = bisect.bisect_left(splitters, low), bisect.bisect_left(splitters, low + "G")
+        low = f"{p:0{PREFIX}x}"
+        a, b = bisect.bisect_left(splitters, low), bisect.bisect_left(splitters, low + "g")
         table.append((low, a, splitters[a:b]))
-    search = F.broadcast(spark.createDataFrame(table, "_p string, _base int, _cuts array<string>"))
+    search = F.broadcast(spark.createDataFrame(table, "_p string, _base int, _cuts array<string>"))  # at most 2 * MAX_RANGES splitters
     x = rows.join(search, F.substring("key", 1, PREFIX) == F.col("_p"))
     inside = F.when(F.size("_cuts") == 0, F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda s: s <= F.col("key"))))
     return x.withColumn("range", F.col("_base") + inside).drop("_p", "_base", "_cuts")
@@ -61,8 +67,7 @@ def sampled(rows: DataFrame, chance: Column) -> list[str]:
     return [r.key for r in rows.filter(uniform(F.lit("s"), F.col("key")) < chance).select("key").collect()]
 
 
-def splitters_of(rows: DataFrame, total: int, shards: int) -> list[str]:
-    parts = max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES))
+def splitters_of(rows: DataFrame, total: int, parts: int) -> list[str]:
     cuts = quantile_keys(sampled(rows, F.col("size") * F.lit(parts * SAMPLES_PER_RANGE / max(total, 1))), parts)
     fill = ranged(rows, cuts).groupBy("range").agg(F.sum("size").alias("b")).filter(F.col("b") > OVERFULL * total / parts).collect()
     if fill:  # at most parts / OVERFULL ranges
@@ -78,12 +83,13 @@ def splitters_of(rows: DataFrame, total: int, shards: int) -> list[str]:
 
 def shard_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
     """rows(key, size, ...), a stored table, with shard and slot."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    parts = ranged(rows, splitters_of(rows, total, shards))
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = min(MAX_RANGES, max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES), -(-n // RANGE_ROWS)))
+    parts = ranged(rows, splitters_of(rows, total, ranges))
     sums = parts.groupBy("range").agg(F.sum("size").alias("_b"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("range").alias("_r"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"))
-    inner = Window.partitionBy("range").orderBy("key", "doc_id")
+    inner = Window.partitionBy("range").orderBy("key")
     run = F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0))
     x = parts.withColumn("_run", run).join(F.broadcast(sums), F.col("range") == F.col("_r"))  # a row for each range
     middle = F.col("_b0") + F.col("_run") - F.col("size") / 2
@@ -92,7 +98,7 @@ def shard_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
     counts = x.groupBy("shard", "range").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("shard").alias("_s"), F.col("range").alias("_r"), offset.alias("_o"))  # at most ranges + shards rows
-    nth = F.row_number().over(Window.partitionBy("range", "shard").orderBy("key", "doc_id"))
+    nth = F.row_number().over(Window.partitionBy("range", "shard").orderBy("key"))
     x = x.withColumn("_nth", nth).join(F.broadcast(counts), (F.col("shard") == F.col("_s")) & (F.col("range") == F.col("_r")))
     return x.withColumn("slot", (F.col("_o") + F.col("_nth") - 1).cast("long")).drop("_s", "_r", "_o", "_nth", "range")
 
@@ -100,3 +106,18 @@ def shard_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(keyed(documents(spark, sf_dir)), "keyed")
     return shard_by_bytes(rows, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 by half-bytes, the low one of each byte first; a table of 16 from the polynomial.
+ORACLE_OP8 = """
+WITH nibble AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS c FROM range(16) r(i))),
+d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+  substr(md5(coalesce(text, '')), 1, 16) || substr(md5('id:' || coalesce(doc_id::VARCHAR, '-')), 1, 16) AS key FROM documents),
+h AS (SELECT t, list_transform(string_split(hex(encode(t)), ''), lambda c: instr('0123456789ABCDEF', c) - 1) AS ns FROM (SELECT DISTINCT t FROM d)),
+s AS (SELECT t, CASE WHEN t = '' THEN [] ELSE list_transform(range(len(ns)), lambda i: ns[i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END]) END AS ns FROM h),
+c AS (SELECT t, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(ns, lambda x: x::UBIGINT)), lambda a, b: xor(a >> 4, tab[(xor(a, b) & 15)::INT + 1])), 4294967295::UBIGINT)::BIGINT AS crc FROM s, nibble),
+r AS (SELECT d.*, crc, (sum(size) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS run, (sum(size) OVER ())::BIGINT AS total FROM d JOIN c USING (t)),
+p AS (SELECT *, least(floor((run - size / 2) * 24 / greatest(total, 1)::DOUBLE), 23)::INT AS shard FROM r)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY run) - 1 AS slot, NULL::INT AS grown_shard FROM p
+"""

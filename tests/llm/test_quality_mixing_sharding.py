@@ -102,6 +102,6 @@ def test_shards_are_even_and_gapless(spark):
 
 def test_overfull_ranges_are_subdivided(spark):
     rows = written(sharding.keyed(table(spark, [(i, "the same", "s") for i in range(3000)])))
-    cuts = sharding.splitters_of(rows, 3000 * 16, 4)
+    cuts = sharding.splitters_of(rows, 3000 * 16, 64)
     fill = [r["count"] for r in sharding.ranged(rows, cuts).groupBy("range").count().collect()]
     assert max(fill) < 3000 / 8
