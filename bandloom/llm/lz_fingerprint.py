@@ -7,12 +7,14 @@ about the share of phrases that two texts have in common, as they would compress
 single bytes (1/256) is taken out of the likeness.
 
 Documents are dealt to runs of descending doc_id, each with its follower, the first document of the next run, so a
-text is compared with the next one in a stream of rows. The parse of an edited text goes on from the state of the
-original's parse where the two part.
+text is compared with the next one in a stream of rows. Runs are cut at sampled (doc_id, hash of the text), about
+RUN_BYTES each and MAX_RUNS at most; an id that many rows share, or none, is cut too. The parse of an edited text goes
+on from the state of the original's parse where the two part.
 
 Defined results: null texts count as empty; texts without a phrase have the fingerprint of zeros, likeness 1 to each
-other and 0 to all others; of rows with one doc_id the order is by text; null ids come last; one document is its own
-next; an empty table gives an empty result; extra columns pass by.
+other and 0 to all others; texts are parsed whole, and one text's phrases are held in memory; of rows with one doc_id
+the order is by a hash of the text, and equal rows follow each other in one run; null ids come last; one document is its
+own next; an empty table gives an empty result; other columns than doc_id and text, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -22,13 +24,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bandloom.plans.ship import ship
+
 from .common import documents, text_or_empty
 
 SLOTS = 128
+RUN_BYTES, MAX_RUNS, SAMPLES_PER_RUN = 1 << 25, 1 << 16, 16
+LEAST_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 _seeds = np.random.Generator(np.random.PCG64(20240)).integers(1, 1 << 32, (2, SLOTS), dtype=np.uint32)
 FACTORS, SHIFTS = _seeds[0] | np.uint32(1), _seeds[1]
@@ -48,32 +55,30 @@ def parse(text: str, start: int, known: set[str]) -> list[int]:
     return ends
 
 
-def _powers(n: int) -> np.ndarray:
-    """1, BASE, BASE^2, ... modulo 2^64."""
-    out = np.full(n, BASE, np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
 class Hasher:
-    """Hashes of runs of one text: sums of code point * BASE^place, shifted to place 0 by the inverse power."""
+    """Hashes of runs of one text: sums of code point * BASE^place, shifted to place 0 by the inverse power. Powers are kept
+    for texts of KEPT characters; longer ones have their own."""
 
-    POWERS, INVERSES = _powers(0), _powers(0)
+    KEPT, INVERSE = 1 << 18, pow(BASE, -1, 1 << 64)
+    tables: tuple[np.ndarray, np.ndarray] | None = None
 
     def __init__(self, text: str):
         n = len(text)
-        if n >= len(Hasher.POWERS):
-            inverse = pow(BASE, -1, 1 << 64)
-            size = max(1 << 16, 2 * n)
-            Hasher.POWERS = _powers(size)
-            back = np.full(size, inverse, np.uint64)
-            back[:1] = 1
-            Hasher.INVERSES = np.cumprod(back, dtype=np.uint64)
+        if Hasher.tables is None:
+            Hasher.tables = _powers(BASE, Hasher.KEPT), _powers(Hasher.INVERSE, Hasher.KEPT)
+        powers, self.back = Hasher.tables if n < Hasher.KEPT else (_powers(BASE, n + 1), _powers(Hasher.INVERSE, n + 1))
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * Hasher.POWERS[:n], dtype=np.uint64)))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * powers[:n], dtype=np.uint64)))
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        x = (self.sums[ends] - self.sums[starts]) * Hasher.INVERSES[starts]
+        x = (self.sums[ends] - self.sums[starts]) * self.back[starts]
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         return (x >> np.uint64(32)).astype(np.uint32)
@@ -120,35 +125,52 @@ class Fingerprint:
         return signature_bytes(both, not text)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (run, doc_id, text, halo): runs of descending doc_id, each ended by a halo row that is the next run's first.
-    Splitters are quantiles of the ids; a halo is one row for each run, found by the greatest id of a run."""
+def run_of(cuts: list[tuple[int, int]], ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many cuts (id, hash) are at or below each row, by binary search."""
+    if not cuts:
+        return np.zeros(len(ids), np.int32)
+    c1, c2 = (np.array(c, np.int64) for c in zip(*cuts))
+    low, high = np.searchsorted(c1, ids, "left"), np.searchsorted(c1, ids, "right")
+    out = low.copy()
+    for i in np.unique(low[low < high]).tolist():  # ids that stand in a cut
+        rows = (low == i) & (high > i)
+        out[rows] += np.searchsorted(c2[i : high[rows][0]], hashes[rows], "right")
+    return out.astype(np.int32)
+
+
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (run, doc_id, hash, text, halo), and about how many runs: runs of descending (doc_id, hash), each ended by a halo
+    row that is the next run's first. Only sampled keys reach the driver, and a row for each run is sent to the rows."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
+    rows = rows.select("doc_id", key.alias("key"), F.xxhash64("text").alias("hash"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    runs = max(1, min(total >> 20, max(256, min(total >> 26, 4096))))  # a run is a stream: its length costs no memory
-    cuts = sorted({int(q) for q in rows.approxQuantile("doc_id", [i / runs for i in range(1, runs)], 0.2 / runs)}) if runs > 1 else []
-    spark = docs.sparkSession
-    edges = [F.lit(c) for c in cuts]
-    run = F.size(F.filter(F.array(*edges), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("run", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(run).cast("int"))
-    first = rows.groupBy("run").agg(F.max("doc_id").alias("id"), F.count("*").alias("n")).collect()  # a row for each run
-    order = sorted(r.run for r in first)
-    top = {r.run: r.id for r in first}
-    follows = {order[i]: order[i - 1] for i in range(len(order))}  # the run below; the lowest is followed by the highest
-    halo_of = {follows[r]: r for r in order}  # run whose first document ends run r's rows
-    pairs = [(halo_of[r], top[r], r) for r in order]
-    table = F.broadcast(spark.createDataFrame(pairs, "to int, id long, of int")) if pairs else None
-    rows = rows.withColumn("halo", F.lit(0))
-    if table is None:
-        return rows.select("run", "doc_id", "text", "halo")
-    halos = rows.join(table, (F.col("run") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    halos = halos.select(F.col("to").alias("run"), "doc_id", "text", F.lit(1).alias("halo"))
-    return rows.select("run", "doc_id", "text", "halo").unionByName(halos)
+    runs = max(1, min(total // RUN_BYTES, MAX_RUNS), min(64, total >> 20))
+    cuts: list[tuple[int, int]] = []
+    if runs > 1:
+        chance = (F.octet_length("text") + 64) * F.lit(runs * SAMPLES_PER_RUN / total)
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit("run"), "key", "hash"), 11) / F.lit(float(1 << 53))
+        sample = sorted((r.key, r.hash) for r in rows.filter(draw < chance).select("key", "hash").distinct().collect())
+        cuts = sorted({sample[i * len(sample) // runs] for i in range(1, runs)}) if sample else []
+
+    @F.pandas_udf("int")
+    def run(key: pd.Series, hash_: pd.Series) -> pd.Series:
+        return pd.Series(run_of(cuts, key.to_numpy(), hash_.to_numpy()))
+
+    rows = rows.withColumn("run", run("key", "hash"))
+    first = rows.groupBy("run").agg(F.max(F.struct("key", "hash")).alias("_k")).select("run", "_k.key", "_k.hash")
+    down = Window.orderBy("run")  # a row for each run
+    first = first.select(F.coalesce(F.lead("run").over(down), F.min("run").over(Window.partitionBy())).alias("to"), F.col("run").alias("of"), F.col("key").alias("_k"), F.col("hash").alias("_h"))
+    halos = rows.join(F.broadcast(first), (F.col("run") == F.col("of")) & (F.col("key") == F.col("_k")) & (F.col("hash") == F.col("_h")))
+    names = ["run", "doc_id", "hash", "text", "halo"]
+    halos = halos.withColumn("run", F.col("to")).withColumn("halo", F.lit(1)).select(*names).dropDuplicates(["run"])
+    return rows.withColumn("halo", F.lit(0)).select(*names).unionByName(halos), max(runs, 1)
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    rows = with_next(docs)
+    ship(docs.sparkSession)
+    rows, runs = with_next(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def stream(batches) -> Iterator[tuple]:
@@ -192,7 +214,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         return pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], ids[0].type), *map(pa.array, cols, kinds)], names=names)
 
-    dealt = rows.repartition("run").sortWithinPartitions(F.col("run"), F.col("halo"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    dealt = rows.repartition(runs, "run").sortWithinPartitions(F.col("run"), F.col("halo"), F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text"))
     return dealt.mapInArrow(work, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
