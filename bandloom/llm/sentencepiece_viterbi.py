@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from bandloom.plans.ship import ship
+
 from .common import documents
 
 MARK, KEPT, CHUNK = "▁", 600_000, 1 << 20
@@ -164,6 +166,7 @@ def chunks(batches, name: str) -> Iterator[tuple[pa.RecordBatch, list]]:
 
 def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with ids (array of int) in place of text."""
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("text", "ids")]
 
     def run(batches):
@@ -178,6 +181,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def decoded(tokens: DataFrame, model: str | None = None) -> DataFrame:
     """tokens with text in place of ids; null ids decode to the empty text."""
+    ship(tokens.sparkSession)
     kept = [c for c in tokens.columns if c not in ("text", "ids")]
 
     def run(batches):
@@ -209,6 +213,7 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
             cols = [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(spelled)), pa.array(crc, pa.int64()), pa.array(list(map(zlib.crc32, back)), pa.int64()), pa.array(exact, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "decoded_crc32", "exact"])
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids long, n_byte_ids long, ids_crc32 long, decoded_crc32 long, exact boolean")
 

@@ -264,6 +264,27 @@ def test_lz_fingerprints(spark):
     assert got[8].fingerprint == got[7].fingerprint and got[8].near_next == 1
 
 
+def test_lz_runs(spark, monkeypatch):
+    """Documents meet their next ones across cuts, also where ids repeat or are missing."""
+    monkeypatch.setattr(lz_fingerprint, "RUN_BYTES", 500)
+    rng = np.random.default_rng(6)
+    ids = [*range(60), *[60] * 40, *[None] * 40]
+    rows = [(d, "".join(rng.choice(list("abc "), rng.integers(0, 90))), "s") for d in ids] + [(60, "same text", "s")] * 5 + [(61, None, "s"), (62, "é😀" * 40, "s")]
+    docs = table(spark, rows)
+    hashes = dict(docs.selectExpr("coalesce(text, '')", "xxhash64(coalesce(text, ''))").distinct().collect())
+    order = sorted(((t or "", -(1 << 63) if d is None else d) for d, t, _ in rows), key=lambda r: (r[1], hashes[r[0]]), reverse=True)
+    want = Counter()
+    for (t, d), (then, _) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 3] + then[: len(t) // 3]
+        a, b, c = (lz_fingerprint.Fingerprint(x) for x in (t, then, edited))
+        near = lz_fingerprint.likeness(a.bytes, b.bytes, not t, not then)
+        want[d, len(t), hashlib.sha256(edited.encode()).hexdigest(), a.bytes.hex(), c.bytes.hex(), near] += 1
+    out = lz_fingerprint.fingerprinted(docs).collect()
+    got = Counter((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in out)
+    assert got == want
+    assert lz_fingerprint.with_next(docs)[1] > 10
+
+
 # Language model
 
 
@@ -287,6 +308,61 @@ def test_lm_counts_and_scores(spark):
     assert gain > 0 or not any(cls[d] == 2 for d in toks)
 
 
+def slow_scores(texts):
+    """The model by dictionaries: counts, cells of the tuning class, expectation-maximisation, and every token's mixture."""
+    cls = {d: zlib.crc32(str(d).encode()) % 7 for d in texts}
+    toks = {d: [*(t or "").lower().split(), None] for d, t in texts.items()}
+
+    def counts(classes):
+        ones, twos = Counter(), Counter()
+        for d, w in toks.items():
+            if cls[d] in classes:
+                ones.update(w)
+                ones["<start>"] += 1
+                twos.update(zip(["<start>", *w], w))
+        n = sum(c for w, c in ones.items() if w != "<start>")
+        return ones, twos, n, len(ones) - ("<start>" in ones)
+
+    def parts(model, v, w):
+        ones, twos, n, _ = model
+        bucket = min(int(math.log2(ones[v] + 1)), lm.BUCKETS - 1)
+        return bucket, twos[v, w] / max(ones[v], 1), ones[w] / max(n, 1)
+
+    estimate, full = counts({0, 1, 4, 5, 6}), counts({0, 1, 3, 4, 5, 6})
+    held = [parts(estimate, v, w) for d, ws in toks.items() if cls[d] == lm.TUNING for v, w in zip(["<start>", *ws], ws)]
+    p0 = 1 / (estimate[3] + 1)
+
+    def fit(rows):
+        w = np.full(3, 1 / 3)
+        p = np.array([(p2, p1, p0) for _, p2, p1 in rows])
+        for _ in range(lm.ROUNDS):
+            share = p * w
+            w = np.maximum((share / share.sum(axis=1)[:, None]).mean(axis=0), 1e-7)
+            w /= w.sum()
+        return w
+
+    weights = {b: fit([r for r in held if r[0] == b]) for b in {r[0] for r in held}}
+    rest = fit(held) if held else np.full(3, 1 / 3)
+    out = {}
+    for d, ws in toks.items():
+        each = [(parts(full, v, w)) for v, w in zip(["<start>", *ws], ws)]
+        out[d] = sum(math.log10(np.dot(weights.get(b, rest), (p2, p1, 1 / (full[3] + 1)))) for b, p2, p1 in each)
+    return out
+
+
+def test_lm_scores_by_hand(spark):
+    """Scores are those of a model with unbinned expectation-maximisation, within what the bins of its cells lose."""
+    rng = np.random.default_rng(12)
+    lexicon = [f"w{i}" for i in range(80)]
+    texts = {i: " ".join(lexicon[k] for k in (rng.zipf(1.4, rng.integers(1, 60)) + i % 5) % 80) for i in range(300)} | {900: "", 901: None, 902: "W1 w1 unseen Ünseen"}
+    want = slow_scores(texts)
+    got = {r.doc_id: r for r in lm.interpolated_scores(table(spark, [(d, t, "s") for d, t in texts.items()])).collect()}
+    for d, s in want.items():
+        assert got[d].score == pytest.approx(s, rel=5e-3, abs=5e-3)
+    held = [d for d in texts if got[d].held_out]
+    assert sum(got[d].score for d in held) > sum(got[d].base_score for d in held)
+
+
 def test_lm_is_a_distribution(spark):
     """Over all words after a context, and the share of unknown words, probabilities sum to 1."""
     cells = [type("C", (), {"bucket": b, "n": 10.0, "p2": 3.0, "p1": 1.0})() for b in range(5)]
