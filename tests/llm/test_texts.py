@@ -211,6 +211,14 @@ def test_range_coder_compresses():
     assert [len(p) for p in range_coder.encode(a)] < [2000, 1000, 5500]
 
 
+@given(st.lists(st.sampled_from(["Σίσυφος", "ΟΔΥΣΣΕΥΣ", "it'S", "'ll", "E\u0301", "\u0301x", "\u212a", "İI", "\x85", "\x1c", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x", "42", "a.b", "...", "日本", "\t"]), max_size=30), st.sampled_from([" ", "\n", "  ", ""]))
+@settings(max_examples=200, deadline=None)
+def test_words_are_encoded_as_in_their_text(words, sep):
+    w = token_output.words_of_file(None)
+    text = sep.join(words)
+    assert w.encode(text.encode()).tolist() == [*w.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_output, "CALL_IDS", 3000)  # documents run over calls and blocks
     tokenizer = token_output.words_of_file(None).tokenizer
