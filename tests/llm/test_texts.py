@@ -216,7 +216,7 @@ def test_range_coder_compresses():
 def test_words_are_encoded_as_in_their_text(words, sep):
     w = token_output.words_of_file(None)
     text = sep.join(words)
-    assert w.encode(text.encode()).tolist() == [*w.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert w.encode([b"x", text.encode(), b""])[1].tolist() == [*w.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_token_files(spark, monkeypatch):
