@@ -1,19 +1,23 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Detected entities (e-mail addresses, phone, card, social security and bank account numbers, IP addresses, and names
-after an honorific) are replaced by keyed surrogates: SHA-256 of a key and the normalised entity decides, so an entity
-has one surrogate wherever and however it is written. Surrogates keep the type (a card number that passes its checksum
-gets one that passes, addresses stay in range), the format (separators, length, capitals), and for names gender and
-script; a name's parts are replaced part by part, so "Mr. Adam Bell" and "Mr. Bell" still agree, and later bare
-mentions of the surname in the document follow, as it was written after the honorific, in capitals, or with capital initials.
+after an honorific) are replaced by keyed surrogates: SHA-256 of a secret key and the normalised entity decides, so an
+entity has one surrogate wherever and however it is written. Surrogates keep the type (a card number that passes its
+checksum gets one that passes, addresses stay in range), the format (separators, length, capitals), and for names gender
+and script; a name's parts are replaced part by part, so "Mr. Adam Bell" and "Mr. Bell" still agree, and all bare
+mentions of the surname in the document follow, as it was written after the honorific, in capitals, or with capital
+initials. Phone numbers without an area code are detected after a word that announces them.
 
 Distinctness is checked over the corpus: entities whose surrogates meet, or meet a real entity, are drawn again with a
-higher attempt until none is left (after ROUNDS a part of the hash is appended). Only these few exceptions are joined
-to the documents that hold them; all others are replaced where they stand. Texts are never shuffled for that, unless
-there are exceptions too many to send along.
-
-Defined results: null texts stay null; texts without entities stay as they are; repeated rows give repeated results; an
-empty table gives an empty result; extra columns pass by.
+higher attempt until none is left; names and addresses grow longer then. Only these few exceptions are joined to the
+documents that hold them; all others are replaced where they stand. Texts are never shuffled for that, unless there are
+exceptions too many to send along.
+
+Defined results: null texts stay null; empty texts and texts without entities stay as they are; texts are read whole,
+whatever their length; of patterns that fit at one place the first in PATTERN goes; of entities that drew one surrogate the
+least (by attempt, kind, value) keeps it; ValueError where a kind has no room left for distinct surrogates; repeated rows
+give repeated results; an empty table gives an empty result; extra columns, whatever their names, pass by, and give way
+where they are named as a count.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, set_aside, text_or_empty, written
 
-ROUNDS = 12
+#: Draws before a kind counts as full: with half of the room taken, one entity in 10^7 is left.
+ROUNDS = 24
+#: The session's setting that holds the secret key, and the key of a session without one: for tests, not for real data.
+KEY_SETTING, DEMO_KEY = "spark.bandloom.pii.key", "public key for demonstrations"
 #: Digits of a phone number without its country code, which stays.
 NATIONAL = 10
 #: Honorifics by the gender they tell.
@@ -32,8 +39,8 @@ FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "Sig
 EITHER = ("Dr", "Prof", "Doctor", "Professor", "Доктор", "доктор")
 #: Given names of the surrogates, by script and gender; surnames are made of syllables.
 GIVEN = {
-    ("latin", "m"): "Alan Boris Carl Denis Edgar Felix Gustav Hector Ivan Julius Kurt Leon Martin Nils Oscar Peter Quentin Rolf Stefan Victor".split(),
-    ("latin", "f"): "Alma Berta Clara Diana Elsa Flora Greta Helen Irene Julia Karin Lydia Marta Nora Olga Paula Rita Sonia Tina Vera".split(),
+    ("latin", "m"): "Adrian Alan Albert Andreas Anton Arthur Boris Bruno Carl Conrad Daniel Denis Edgar Emil Erik Felix Frank Gustav Hector Henry Hugo Ivan Jacob Julius Kurt Leon Louis Martin Maurice Nils Oscar Paul Peter Quentin Ralph Rolf Simon Stefan Theodor Victor".split(),
+    ("latin", "f"): "Ada Agnes Alma Amelia Berta Camilla Clara Dora Diana Edith Elsa Emma Flora Frida Greta Hanna Helen Ida Irene Johanna Julia Karin Laura Lydia Maria Marta Nadia Nina Nora Olga Paula Petra Rita Rosa Sabina Sonia Teresa Tina Ursula Vera".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Лев Макар Олег".split(),
     ("cyrillic", "f"): "Алла Белла Вера Галина Дарья Ева Зоя Инна Клара Лидия Марина Ольга".split(),
     ("greek", "m"): "Αλέξης Βασίλης Γιάννης Δημήτρης Κώστας Λουκάς Μάριος Νίκος".split(),
@@ -49,11 +56,15 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"
+HEX = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![\w:.])(?:(?:{HEX}:){{7}}{HEX}|(?=[A-Fa-f:]*\d)(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}})(?![\w:])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w.])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\w)"
 PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?|1[ .-])?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){HONORIFIC} \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}"
-PATTERN = "|".join((EMAIL, IBAN, IP, SSN, CARD, PHONE, NAME))
+LOCAL = r"(?<=\b(?:[Tt]el|[Pp]hone|[Cc]all|[Ff]ax|[Mm]obile|TEL|PHONE|FAX)\.?:? {1,2})\d{3}[ .-]\d{4}(?![\w-])"
+PART = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){HONORIFIC} {PART}(?:[ -]{PART}){{0,2}}"
+PATTERN = "|".join((EMAIL, IBAN, IP6, IP, SSN, CARD, PHONE, LOCAL, NAME))
 LIKELY = rf"[0-9@]|(?<!\p{{L}}){HONORIFIC} \p{{Lu}}"
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "name")
 
@@ -63,7 +74,7 @@ lit = F.lit
 def kind_of(m: Column) -> Column:
     digits = F.length(F.regexp_replace(m, r"\D", ""))
     return (
-        F.when(F.contains(m, lit("@")), "email").when(F.rlike(m, lit(r"^[A-Z]{2}\d{2}")), "iban").when(F.rlike(m, lit(r"^\p{L}")), "name")
+        F.when(F.contains(m, lit("@")), "email").when(F.contains(m, lit(":")), "ip").when(F.rlike(m, lit(r"^[A-Z]{2}\d{2}")), "iban").when(F.rlike(m, lit(r"^\p{L}")), "name")
         .when(F.rlike(m, lit(r"^\d+(?:\.\d+){3}$")), "ip").when(F.rlike(m, lit(r"^\d{3}-\d{2}-\d{4}$")), "ssn")
         .when((digits >= 13) & ~F.rlike(m, lit(r"[+(]")), "card").otherwise("phone")
     )
@@ -118,12 +129,12 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
         for which, made in (("surname", surname), *((f"given_{g}", F.concat(F.lower(pick(GIVEN[script, g], h, 1)), more)) for g in "mf")):
             case = (kind == which) & (script_of(value) == script)
             part = F.when(case, made) if part is None else part.when(case, made)
-    out = (
-        part.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ssn", F.concat(lit("9"), F.substring(stream, 1, 8)))
+    return (
+        part.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ssn", F.substring(stream, 1, 9))
+        .when((kind == "ip") & F.contains(value, lit(":")), F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(h, i + 1, lit(1)))), ""))
         .when(kind == "ip", F.concat_ws(".", byte(1) % 223 + 1, byte(3), byte(5), byte(7) % 254 + 1)).when(kind == "card", F.concat(card, check))
         .otherwise(F.substring(stream, lit(1), n))
     )
-    return F.when(attempt >= ROUNDS, F.concat(out, digit_stream(F.substring(h, 33, 16)))).otherwise(out)
 
 
 def formatted(m: Column, digits: Column) -> Column:
@@ -137,6 +148,14 @@ def cased(like: Column, word: Column) -> Column:
     return F.when(like == F.upper(like), F.upper(word)).when(like == F.lower(like), word).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, lit(2), F.length(word))))
 
 
+def styled(m: Column, address: Column) -> Column:
+    """An address with capitals where m has them before the @, and a capital after it if m has one there."""
+    part = lambda a, n: F.substring_index(a, "@", n)
+    capital = lambda a, i: F.rlike(F.substring(a, i, lit(1)), lit("[A-Z]"))
+    local = F.array_join(F.transform(F.split(part(address, 1), ""), lambda c, i: F.when(capital(part(m, 1), i + 1), F.upper(c)).otherwise(c)), "")
+    return F.concat(local, lit("@"), F.when(capital(part(m, -1), lit(1)), F.initcap(part(address, -1))).otherwise(part(address, -1)))
+
+
 def name_parts(m: Column) -> Column:
     """For each part of an honorific and a name: its text and kind ('' for the honorific and separators)."""
     words = F.split(m, " ")
@@ -161,7 +180,7 @@ def matches(text: Column) -> Column:
 def attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, attempt) of the entities that need one above 0: drawn again until all surrogates are distinct."""
     state = entities.withColumn("attempt", lit(0))
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         made = state.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt")))
         group = F.when(F.startswith(F.col("kind"), lit("given")), "given").otherwise(F.col("kind"))
         first = made.groupBy(group.alias("_g"), F.col("made").alias("_m")).agg(F.count("*").alias("_n"), F.min(F.struct("attempt", "kind", "value")).alias("_first"))
@@ -172,6 +191,8 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
         bad = written(bad.select("kind", "value", F.lit(1).alias("_bad")), "clashes")
         if bad.isEmpty():
             break
+        if turn == ROUNDS:
+            raise ValueError(f"no room for distinct surrogates of {bad.count()} entities, one of kind {bad.first().kind}")
         state = state.join(bad, ["kind", "value"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("_bad", lit(0))).drop("_bad")
         state = written(state, "attempts")
     return state.filter("attempt > 0")
@@ -195,15 +216,18 @@ def replaced(around: Column, found: Column, made) -> Column:
         code = F.when(kind == "phone", F.substring(F.regexp_replace(m, r"\D", ""), lit(1), abroad)).otherwise("")
         return (
             F.when(kind == "name", name).when(kind.isin("card", "phone", "ssn"), formatted(m, F.concat(code, other)))
-            .when(kind == "iban", spaced).when((kind == "email") & (m == F.upper(m)), F.upper(other)).otherwise(other)
+            .when(kind == "iban", spaced).when(kind.isin("email", "ip") & (m == F.upper(m)), F.upper(other))
+            .when((kind == "email") & (m != F.lower(m)), styled(m, other)).otherwise(other)
         )
 
     return F.concat(F.get(around, lit(0)), F.array_join(F.transform(found, lambda m, i: F.concat(one(m), F.get(around, i + 1))), ""))
 
 
-def with_surrogates(docs: DataFrame, key: str = "bandloom") -> DataFrame:
-    """docs with surrogates in text, and n_<kind> for each of KINDS."""
-    names = docs.columns
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """docs with surrogates in text, and n_<kind> for each of KINDS. Who has the secret key can tell an entity's surrogate."""
+    if not key:
+        raise ValueError("a secret key is needed")
+    docs, back = set_aside(docs, "text", made=[f"n_{k}" for k in KINDS])
     found = docs.select("text", matches(text_or_empty()).alias("_pii"))
     each = found.filter(F.size("_pii") > 0).select(F.xxhash64("text").alias("_h1"), F.xxhash64(lit("second"), "text").alias("_h2"), F.explode(F.flatten(F.transform("_pii", entities_of))).alias("_e"))
     held = written(each.select("_h1", "_h2", "_e.kind", "_e.value").distinct(), "entities")
@@ -220,12 +244,12 @@ def with_surrogates(docs: DataFrame, key: str = "bandloom") -> DataFrame:
     x = x.withColumns({"_pii_made": surrogates(F.col("_pii_who"), tries, key), "_pii_around": F.when(some, F.split("text", PATTERN, -1))})
     made = lambda kind, value: F.get("_pii_made", (F.array_position("_pii_who", F.struct(kind.alias("kind"), value.alias("value"))) - 1).cast("int"))
     x = x.withColumn("_pii_text", F.when(some, replaced(F.col("_pii_around"), F.col("_pii"), made)).otherwise(F.col("text")))
-    # later mentions without the honorific follow, as first written, in capitals, or with capital initials; surnames hold
-    # letters and hyphens only, so they are their own patterns; long ones go first, as they may hold others
+    # bare mentions follow, as first written, in capitals, or with capital initials; surnames hold letters, hyphens and
+    # apostrophes only, so they are their own patterns; long ones go first, as they may hold others
     surnames = F.array_distinct(F.transform(F.filter("_pii", lambda m: kind_of(m) == "name"), lambda m: F.element_at(F.split(m, " "), -1)))
     people = F.array_sort(F.transform(surnames, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     alone = lambda p: F.concat(lit(r"(?<!\p{L})(?:"), p, lit(r")(?!\p{L})"))
-    initials = lambda w: F.array_join(F.transform(F.split(F.lower(w), "-"), F.initcap), "-")
+    initials = lambda w: F.regexp_replace(F.initcap(F.regexp_replace(F.lower(w), "([-'’])", "$1 ")), "([-'’]) ", "$1")
 
     def follow(t: Column, e: Column) -> Column:
         w, new = e["w"], made(lit("surname"), F.lower(e["w"]))
@@ -235,19 +259,21 @@ def with_surrogates(docs: DataFrame, key: str = "bandloom") -> DataFrame:
     text = F.when(F.size(people) > 0, F.aggregate(people, F.col("_pii_text"), follow)).otherwise(F.col("_pii_text"))
     kinds = F.transform("_pii", kind_of)
     counts = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in KINDS}
-    return x.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), *(v.alias(k) for k, v in counts.items() if k not in names))
+    return back(x.withColumns({"text": text, **counts}))
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(documents(spark, sf_dir).select("doc_id", "text"))
+    return with_surrogates(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark))
 
 
 def private_documents(docs: DataFrame) -> DataFrame:
-    """docs with surrogates; n_chars follows the text."""
-    safe, back = set_aside(docs, "doc_id", "text", "n_chars")
-    x = with_surrogates(safe)
+    """docs with surrogates by the session's key; n_chars follows the text."""
+    safe, back = set_aside(docs, "text", "n_chars")
+    x = with_surrogates(safe, session_key(docs.sparkSession))
     if "n_chars" in docs.columns:
         x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return back(x)
-
-

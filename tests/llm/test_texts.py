@@ -503,7 +503,7 @@ def test_secrets_start_within_context(gap):
 
 
 def replaced(spark, *texts):
-    out = pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    out = pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "secret").orderBy("doc_id").collect()
     return [r.text for r in out]
 
 
@@ -553,3 +553,58 @@ def test_bare_surnames_follow(spark):
     assert "smith" not in out[-1].lower() and "jones" not in out[-1].lower()
     a, b = out[-1].rstrip(".").replace(" and Ms. ", " ").split(": ")[0].split()[1:]
     assert out[-1].split(": ")[1] == f"{b}, {b.upper()}, {a}."
+
+
+def test_more_names_numbers_and_addresses(spark):
+    a, b, c, d, e = replaced(
+        spark,
+        "O'Neil spoke before Mrs. O'Neil came; O'NEIL left. Mr. McDonald and McDonald.",
+        "Call 555-0123 or phone: 555 0123, not 555-0123 alone. Tel. 555.0123!",
+        "2001:db8:85a3:0:0:8a2e:370:7334 and 2001:DB8::A2E:7334, std::vector, 12:30, ::",
+        "John.Doe@Mail.com, JOHN.DOE@MAIL.COM and john.doe@mail.com",
+        "+44 20 7946 0958, 4111-1111-1111-1111, 123-45-6789, DE89 3704 0044 0532 0130 00",
+    )
+    assert "neil" not in a.lower() and "donald" not in a.lower()
+    surname = a.split()[0]
+    assert a.startswith(f"{surname} spoke before Mrs. {surname} came; {surname.upper()} left.") and a.endswith(f"{a.split()[-3]} and {a.split()[-3]}.")
+    one = b.split("Call ")[1][:8]
+    assert one[3] == "-" and one != "555-0123" and one.replace("-", " ") == b.split("phone: ")[1][:8] and "not 555-0123 alone" in b and b.endswith(f"Tel. {one.replace('-', '.')}!")
+    six, short, *rest = c.replace(" and ", ", ").split(", ")
+    assert six != "2001:db8:85a3:0:0:8a2e:370:7334" and list(map(len, six.split(":"))) == [4, 3, 4, 1, 1, 4, 3, 4] and rest == ["std::vector", "12:30", "::"]
+    assert short == short.upper() and list(map(len, short.split(":"))) == [4, 3, 0, 3, 4] and all(set(p) <= set("0123456789abcdefABCDEF") for p in (six + short).split(":"))
+    mixed, upper, lower = d.replace(" and ", ", ").split(", ")
+    assert mixed.lower() == lower and upper == lower.upper() and mixed[0].isupper() and mixed.split(".")[1][0].isupper() and mixed.split("@")[1][0].isupper() and mixed != upper
+    assert [[("9" if ch.isdigit() else ch) for ch in x] for x in e.split(", ")] == [[("9" if ch.isdigit() else ch) for ch in x] for x in "+44 20 7946 0958, 4111-1111-1111-1111, 123-45-6789, DE89 3704 0044 0532 0130 00".split(", ")] and e.startswith("+44 ") and e.split(", ")[3].startswith("DE")
+
+
+def test_surrogates_of_a_corpus(spark):
+    """Over many entities of every kind: one surrogate each, all distinct, none real, in the form of the original, and by
+    the key alone."""
+    rng = np.random.default_rng(9)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        body = "4" + digits(14)
+        odd = sum(sum(divmod(2 * int(x), 10)) if i % 2 == 0 else int(x) for i, x in enumerate(body))
+        return body + str(-odd % 10)
+
+    makers = {"email": lambda: f"{'abcdefgh'[rng.integers(8)]}{digits(4)}@site{digits(1)}.org", "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "card": card, "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "ip": lambda: ".".join(str(x) for x in rng.integers(1, 250, 4))}
+    made = [(k, f()) for k, f in makers.items() for _ in range(150)]
+    texts = [f"It is {v} here." for _, v in made] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text[6:-6] for r in pii.with_surrogates(df, "one").orderBy("doc_id").collect()]
+    assert out[: len(made)] == out[len(made) :]
+    for kind in makers:
+        real = [v for k, v in made if k == kind]
+        fake = [o for (k, _), o in zip(made, out) if k == kind]
+        assert len(set(fake)) == len(set(real)) and not set(fake) & set(real)
+        if kind in ("phone", "card", "ssn"):
+            assert ["".join("9" if c.isdigit() else c for c in x) for x in real] == ["".join("9" if c.isdigit() else c for c in x) for x in fake]
+        if kind == "card":
+            assert all(sum(int(x) if i % 2 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(f)) % 10 == 0 for f in fake)
+        if kind == "ip":
+            assert all(0 <= int(x) <= 255 for f in fake for x in f.split("."))
+    other = [r.text[6:-6] for r in pii.with_surrogates(df, "two").orderBy("doc_id").collect()]
+    assert sum(a == b for a, b in zip(out, other)) < 5
+    with pytest.raises(ValueError, match="secret key"):
+        pii.with_surrogates(df, "")
