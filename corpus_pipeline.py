@@ -30,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the ids of each document."""
+    """doc_id, lang, source, ids and n_ids of each document; other columns end here."""
     kept = docs.select("doc_id", "lang", "source", "text")
     return sentencepiece_viterbi.encoded(kept).withColumn("n_ids", F.size("ids").cast("long"))
 
@@ -43,7 +43,8 @@ STAGES = [
     ("sentencepiece encoding", encode),
 ]
 
-#: Fingerprints, surrogates and segmentation have no SQL form; tests/llm holds the stages against brute force.
+#: Fingerprints, surrogates and segmentation have no SQL form; tests/llm/test_edges.py has the stages and the whole pipeline
+#: by content, and the tests of each operator hold it against brute force.
 ORACLE_SQL = None
 
 
