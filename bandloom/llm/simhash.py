@@ -268,12 +268,12 @@ def added(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.n
     return u ^ z, (x & y) | (u & z)
 
 
-def within(left: np.ndarray, word: np.ndarray, stored: np.ndarray, live: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (unit, lane) at most radius bits apart. Unit i compares the wide fingerprint left[i] with the 64 lanes of
+def within(left: np.ndarray, word: np.ndarray, live: np.ndarray, stored: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (unit, lane) at most radius bits apart. Unit i compares the wide fingerprint left[i] with the lanes live[i] of
     column word[i] of stored, whose row b holds bit b. Distances run up in vertical counters that start so that the one
     past the radius overflows; a unit goes as soon as all its lanes have."""
     planes = radius.bit_length()
-    at, over = np.arange(len(left)), ~live[word]
+    at, over = np.arange(len(left)), ~live
     start = (1 << planes) - 1 - radius
     count = [np.full(len(left), FLIP if start >> k & 1 else 0, np.uint64) for k in range(planes)]
     for bit in range(0, WIDE, 4):
@@ -299,31 +299,29 @@ def near_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, n: np.ndarra
     that are compared, bit 1 for rows that they are compared with."""
     column = np.flatnonzero(side & 2)
     starts = np.flatnonzero(np.concatenate(([True], group[column][1:] != group[column][:-1])))
-    sizes = np.diff(np.append(starts, len(column)))
-    words = -(-sizes // 64)
-    first = np.cumsum(words) - words  # the first word of each group
-    lane = np.arange(len(column)) - np.repeat(starts, sizes)
-    place = (np.repeat(first, sizes) + (lane >> 6)) * 64 + (lane & 63)
-    owner = np.full(int(words.sum()) * 64, -1)
-    owner[place] = column
-    full = np.zeros((len(owner), WIDE // 64), np.uint64)
-    full[place] = prints[column]
-    bits = np.unpackbits(full.view(np.uint8), axis=1, bitorder="little")
+    ends = np.append(starts[1:], len(column))
+    first = starts >> 6  # a group's lanes begin where the one before ends; its words may hold lanes of others
+    words = (ends - 1 >> 6) - first + 1
+    padded = np.zeros((-(-len(column) // 64) * 64, WIDE // 64), np.uint64)
+    padded[: len(column)] = prints[column]
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     stored = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
-    live = np.packbits(owner >= 0, bitorder="little").view(np.uint64)
     rows = np.flatnonzero(side & 1)
     known = group[column][starts]
     which = np.searchsorted(known, group[rows])
     keep = (which < len(known)) & (known[np.minimum(which, len(known) - 1)] == group[rows])
     rows, which = rows[keep], which[keep]
     units = np.repeat(np.arange(len(rows)), words[which])
-    ends = np.cumsum(words[which])
-    word = np.arange(len(units)) - np.repeat(ends - words[which], words[which]) + first[which][units]
+    last = np.cumsum(words[which])
+    word = np.arange(len(units)) - np.repeat(last - words[which], words[which]) + first[which][units]
+    low = np.maximum(starts[which][units] - 64 * word, 0).astype(np.uint64)
+    high = np.minimum(ends[which][units] - 64 * word, 64).astype(np.uint64)
+    live = (FLIP >> (np.uint64(64) - high)) & (FLIP << low)
     forest = Forest()
     for x in range(0, len(units), UNITS):
         u, w = rows[units[x : x + UNITS]], word[x : x + UNITS]
-        unit, lane = within(prints[u], w, stored, live, LOOSE)
-        i, j = u[unit], owner[w[unit] * 64 + lane]
+        unit, lane = within(prints[u], w, live[x : x + UNITS], stored, LOOSE)
+        i, j = u[unit], column[w[unit] * 64 + lane]
         good = (fp[i] != fp[j]) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
         for a, b in zip(fp[i[good]].tolist(), fp[j[good]].tolist()):
             forest.link(a, b)
