@@ -171,7 +171,8 @@ def in_blocks(rows: DataFrame, size: int, weight: Column | None = None) -> DataF
     x = rows.join(sizes, (F.col("mask") == F.col("_m")) & (F.col("key") == F.col("_k"))).drop("_m", "_k")
     block = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col("fp")), F.col("blocks")).cast("int"))
     x = x.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return x.select(*rows.columns, F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block")
+    x = x.select(*rows.columns, F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block")
+    return x.repartition("mask", "key", "a", "b")  # by key alone, as they lie, all blocks of a group would be one task
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -361,7 +362,7 @@ def loose_links(distinct: DataFrame) -> DataFrame:
         if held:
             yield from compared(pa.Table.from_batches(held))
 
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "u long, v long")
+    return rows.sortWithinPartitions(*names).mapInArrow(run, "u long, v long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
