@@ -20,13 +20,14 @@ from bandloom.plans.quantile import quantiles
 
 RESERVED = {"and", "or", "not", "true", "false", "none", "pi", "e"}
 CONSTANTS = {"pi": math.pi, "e": math.e}
+# The expressions on offer.
 PRESETS = {
-    "NDVI": "(b4 - b3) / (b4 + b3)",
-    "ratio": "b1 / b2",
-    "difference": "b1 - b2",
-    "mean of three": "(b1 + b2 + b3) / 3",
-    "threshold": "where(b1 > mean(b1), 1, 0)",
-    "scaled": "(b1 - min(b1)) / (max(b1) - min(b1))",
+    "Normalized Difference (NDVI: NIR-Red)": "(float(b4) - float(b3)) / (float(b4) + float(b3))",
+    "Normalized Difference (NDWI: Green-NIR)": "(float(b2) - float(b4)) / (float(b2) + float(b4))",
+    "Simple Ratio (b1 / b2)": "float(b1) / (float(b2) + 1e-6)",
+    "Threshold Mask (b1 > 0)": "(float(b1) > 0.0) * float(b1)",
+    "Geometric Mean": "sqrt(float(b1) * float(b2))",
+    "Luminance Composite (Rec. 601)": "0.299 * float(b1) + 0.587 * float(b2) + 0.114 * float(b3)",
 }
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.plans.num import lit
+from bandloom.plans.raster import Raster
+
+from .warp import resample
 
 
 def confusion_matrix(pairs: DataFrame, ref: str = "ref", pred: str = "pred", nodata: float | None = None) -> DataFrame:
@@ -17,6 +20,21 @@ def confusion_matrix(pairs: DataFrame, ref: str = "ref", pred: str = "pred", nod
     return x.groupBy(F.col("ref").cast("int").alias("ref"), F.col("pred").cast("int").alias("pred")).agg(F.count("*").alias("n"))
 
 
+def raster_pairs(classified: Raster, reference: Raster, resize: bool = False) -> DataFrame:
+    """(ref, pred) of two class rasters, pixel by pixel. Rasters of different size are an error, unless the reference may be
+    resized to the classified one (nearest pixel, so classes stay classes)."""
+    size, other = ((r.meta.height, r.meta.width) for r in (classified, reference))
+    if size != other and not resize:
+        raise ValueError(f"shapes differ: classified {size}, reference {other}")
+    truth = reference.band(0) if size == other else resample(reference.band(0), other, size, "nearest")
+    return classified.band(0).withColumnRenamed("value", "pred").join(truth.withColumnRenamed("value", "ref"), ["y", "x"]).select("ref", "pred")
+
+
+def assess(classified: Raster, reference: Raster, nodata: float | None = None, resize: bool = False) -> DataFrame:
+    """The confusion matrix of two class rasters."""
+    return confusion_matrix(raster_pairs(classified, reference, resize), nodata=nodata)
+
+
 def confusion_cube(pairs: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
     """The matrix with its margins: null stands for all."""
     return pairs.cube(F.col(ref).alias("ref"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
@@ -44,8 +62,8 @@ def producer_user_accuracy(matrix: DataFrame) -> DataFrame:
     return _margins(matrix).select("cls", share("ref_n").alias("pa"), share("pred_n").alias("ua"))
 
 
-def report(matrix: DataFrame, names: dict[int, str] | None = None) -> str:
-    """A text report from the small matrix. Raises ValueError when there is nothing to assess."""
+def report(matrix: DataFrame, names: dict[int, str] | None = None, path: str | None = None) -> str:
+    """A text report from the small matrix, also written to a file if a path is given. Raises ValueError when there is nothing to assess."""
     cells = {(r.ref, r.pred): r.n for r in matrix.collect()}  # classes by classes
     if not cells:
         raise ValueError("no valid pixels in common")
@@ -65,4 +83,8 @@ def report(matrix: DataFrame, names: dict[int, str] | None = None) -> str:
         pa = 100 * cells.get((c, c), 0) / row[c] if row[c] else 0.0
         ua = 100 * cells.get((c, c), 0) / col[c] if col[c] else 0.0
         lines.append(f"{label(c)[:15]:<16}{pa:>14.2f}{ua:>14.2f}{100 - pa:>14.2f}{100 - ua:>14.2f}")
-    return "\n".join(lines)
+    text = "\n".join(lines)
+    if path:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text + "\n")
+    return text

@@ -22,7 +22,7 @@ from bandloom.plans.ship import ship
 
 UNCLASSIFIED = -1
 # The colours of classes, in order.
-PALETTE = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (0, 255, 255), (255, 0, 255), (255, 128, 0), (128, 0, 255), (0, 128, 128), (128, 128, 0)]
+PALETTE = [(0, 180, 0), (0, 100, 240), (180, 120, 60), (150, 150, 150), (240, 220, 40), (180, 50, 200), (255, 128, 0), (0, 220, 220), (220, 30, 30), (100, 200, 100)]
 
 
 def class_means(df: DataFrame, label: str, vector: str = "spectrum") -> list[list[float]]:
@@ -86,31 +86,49 @@ def nearest_centre(df: DataFrame, centres: Sequence[Sequence[float]], spectrum:
     return _nearest(df, spectrum, squared_distances, centres, None, False)
 
 
-def centre_means(assigned: DataFrame, spectrum: str = "spectrum") -> DataFrame:
-    """(cls, n, band, centre) of assigned rows; classes by bands."""
-    x = assigned.filter("cls >= 0").select("cls", F.posexplode(num.doubles(spectrum)).alias("band", "v"))
-    return x.groupBy("cls", "band").agg(F.avg("v").alias("centre"), F.count("*").alias("n"))
+def centre_means(df: DataFrame, centres: Sequence[Sequence[float]], spectrum: str = "spectrum") -> DataFrame:
+    """(cls, band, centre, n): the means of the finite pixels nearest to each centre. A task assigns and sums its pixels in
+    one kernel and sends a row for each class."""
+    ship(df.sparkSession)
+    table = np.asarray(centres, float)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(len(table), np.int64), np.zeros(table.shape)
+        for b in batches:
+            x = vectors(b.column(0)) if b.num_rows else np.zeros((0, table.shape[1]))
+            x = x[np.isfinite(x).all(axis=1)]
+            cls = squared_distances(x, table).argmin(axis=1)
+            n += np.bincount(cls, minlength=len(table))
+            s += (np.arange(len(table))[:, None] == cls).astype(float) @ x
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array([s[c].tolist() for c in some], pa.list_(pa.float64()))], names=["cls", "n", "s"])
+
+    rows = df.select(num.doubles(spectrum).alias("v")).filter("v is not null").mapInArrow(sums, "cls int, n long, s array<double>")
+    each = rows.select("cls", "n", F.posexplode("s").alias("band", "v")).groupBy("cls", "band").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    return each.select("cls", "band", (F.col("v") / F.col("n")).alias("centre"), "n")
 
 
 def kmeans_step(df: DataFrame, centres: Sequence[Sequence[float]], spectrum: str = "spectrum") -> tuple[np.ndarray, np.ndarray]:
     """New centres (NaN for an empty class) and members of each class after one assignment."""
     out, members = np.full((len(centres), len(centres[0])), np.nan), np.zeros(len(centres), np.int64)
-    for r in centre_means(nearest_centre(df, centres, spectrum), spectrum).collect():  # classes by bands
+    for r in centre_means(df, centres, spectrum).collect():  # classes by bands
         out[r.cls, r.band], members[r.cls] = r.centre, r.n
     return out, members
 
 
-def kmeans(df: DataFrame, classes: int = 4, max_iter: int = 20, tol: float = 1e-4, seed: int = 42, spectrum: str = "spectrum", key: Sequence[str] = ("y", "x")) -> tuple[DataFrame, np.ndarray]:
-    """df with cls and score (squared distance), and the centres. Rounds use all finite pixels; the first centres are the
-    rows with the lowest seeded hash of the key, so a rerun starts alike. Empty classes start anew from the next rows."""
-    good = df.filter(num.all_finite(num.doubles(spectrum)))
+def kmeans(df: DataFrame, classes: int = 4, max_iter: int = 20, tol: float = 1e-4, seed: int = 42, spectrum: str = "spectrum", key: Sequence[str] = ("y", "x"), start: Sequence[Sequence[float]] | None = None) -> tuple[DataFrame, np.ndarray]:
+    """df with cls and score (squared distance), and the centres. Rounds use all finite pixels; the first centres are given
+    by start, or are the rows with the lowest seeded hash of the key, so a rerun starts alike. Empty classes start anew
+    from the next rows."""
     order = F.xxhash64(lit(seed), *key)
-    seeds = [np.array(r[0]) for r in good.orderBy(order, *key).limit(classes * 3).select(num.doubles(spectrum)).collect()]
+    rows = df.select(*key, num.doubles(spectrum).alias("_s")).filter(num.all_finite(F.col("_s")))
+    seeds = [np.array(c, float) for c in start or ()] or [np.array(r[0]) for r in rows.orderBy(order, *key).limit(classes * 3).select("_s").collect()]
+    classes = len(start) if start else classes
     if not seeds:
         return df.withColumns({"cls": lit(UNCLASSIFIED), "score": lit(float("nan"))}), np.zeros((0, 0))
     centres, spare = np.array(seeds[:classes]), seeds[classes:]
     for _ in range(max_iter):
-        new, members = kmeans_step(good, centres.tolist(), spectrum)
+        new, members = kmeans_step(df, centres.tolist(), spectrum)
         for c in np.flatnonzero(members == 0):
             new[c] = spare.pop(0) if spare else centres[c]
         moved = float(np.linalg.norm(new - centres))
@@ -120,12 +138,11 @@ def kmeans(df: DataFrame, classes: int = 4, max_iter: int = 20, tol: float = 1e-
     return nearest_centre(df, centres.tolist(), spectrum), centres
 
 
-def isodata(df: DataFrame, classes: int = 4, min_members: int = 10, max_iter: int = 10, seed: int = 42, spectrum: str = "spectrum", key: Sequence[str] = ("y", "x")) -> tuple[DataFrame, np.ndarray]:
+def isodata(df: DataFrame, classes: int = 4, min_members: int = 10, max_iter: int = 10, seed: int = 42, spectrum: str = "spectrum", key: Sequence[str] = ("y", "x"), start: Sequence[Sequence[float]] | None = None) -> tuple[DataFrame, np.ndarray]:
     """K-means of five rounds, then rounds that drop classes of fewer than min_members and move the others."""
-    _, centres = kmeans(df, classes, 5, seed=seed, spectrum=spectrum, key=key)
-    good = df.filter(num.all_finite(num.doubles(spectrum)))
+    _, centres = kmeans(df, classes, 5, seed=seed, spectrum=spectrum, key=key, start=start)
     for _ in range(max_iter if len(centres) else 0):
-        new, members = kmeans_step(good, centres.tolist(), spectrum)
+        new, members = kmeans_step(df, centres.tolist(), spectrum)
         keep = members >= min_members
         if not keep.any():
             break

@@ -4,57 +4,70 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
-from functools import reduce
+from dataclasses import replace
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandloom.plans import num
 from bandloom.plans.num import lit
 from bandloom.plans.raster import BandInfo, Raster, RasterMetadata
 
 from . import geodesy
 from .roi import ROI
-from .resample import feather, reach, resample, scatter
-from .stats import long_bands
+from .warp import Grid, Source, merged, resized, to_world
 
-METHODS = {"nearest": "nearest", "bilinear": "bilinear", "cubic": "cubic", "cubic_spline": "cubic", "cubicspline": "cubic"}
+METHODS = {"nearest": "nearest", "bilinear": "bilinear", "cubic": "cubic", "bicubic": "cubic", "cubics": "cubic", "cubic_spline": "cubic_spline", "cubicspline": "cubic_spline", "average": "average", "lanczos": "lanczos"}
 
 
 def method_name(name: str) -> str:
     try:
-        return METHODS[name.lower()]
+        return METHODS[name.lower().replace(" ", "")]
     except KeyError:
-        raise ValueError(f"unknown resampling {name!r}") from None
+        raise ValueError(f"unknown resampling {name!r}: nearest, bilinear, cubic, cubic_spline, average or lanczos") from None
 
 
-def gathered(bands: DataFrame, count: int) -> DataFrame:
-    """(y, x, spectrum) of long bands(y, x, band, value): one shuffle on the pixel."""
-    cells = F.map_from_entries(F.collect_list(F.struct("band", "value")))
-    x = bands.groupBy("y", "x").agg(cells.alias("_m"))
-    return x.select("y", "x", F.array(*(F.coalesce(F.try_element_at("_m", lit(b)), lit(float("nan"))) for b in range(count))).alias("spectrum"))
+def on_grid(r: Raster, target: RasterMetadata, method: str) -> DataFrame:
+    """(y, x, spectrum) of a raster on another one's grid: warped where both are placed in the world, else resized."""
+    m = r.meta
+    if m.transform and target.transform and m.crs and target.crs and (m.crs == target.crs or geodesy.supported(m.crs) and geodesy.supported(target.crs)):
+        if (m.transform, m.crs, m.width, m.height) == (target.transform, target.crs, target.width, target.height):
+            return r.df.select("y", "x", "spectrum")
+        return warped(r.df, m, Grid(target.width, target.height, tuple(target.transform), target.crs), method)
+    if (m.height, m.width) == (target.height, target.width):
+        return r.df.select("y", "x", "spectrum")
+    return resized(r.df, (m.height, m.width), (target.height, target.width), m.bands, method)
 
 
 def stack(sources: Sequence[tuple[Raster, int]], method: str = "nearest") -> Raster:
     """Bands of several rasters on the grid of the first: an equi-join on the pixel, written as a union and a group so
-    that any number of layers is one shuffle."""
+    that any number of layers is one shuffle. A raster sends its bands together."""
     if not sources:
         raise ValueError("nothing to stack")
     first = sources[0][0].meta
-    parts, details = [], []
+    rasters: list[Raster] = []
+    wanted: list[list[int]] = []
+    cells, details = [], []
     for k, (r, b) in enumerate(sources):
-        v = r.band(b).withColumn("value", F.col("value").cast("double"))
-        m = r.meta
-        if first.crs and m.crs == first.crs and first.transform and m.transform and (m.transform, m.width, m.height) != (first.transform, first.width, first.height):
-            v = warped(v, m, first, method_name(method), m.nodata).select("y", "x", "value")
-        elif (m.height, m.width) != (first.height, first.width):
-            v = resample(v, (m.height, m.width), (first.height, first.width), method_name(method))
-        parts.append(v.select("y", "x", lit(k).alias("band"), "value"))
-        info = m.band_details[b] if b < len(m.band_details) else BandInfo(b, f"Band {b + 1}")
+        if not 0 <= b < r.meta.bands:
+            raise IndexError(f"band {b} of {r.meta.bands}")
+        part = next((i for i, other in enumerate(rasters) if other is r), len(rasters))
+        if part == len(rasters):
+            rasters.append(r)
+            wanted.append([])
+        cells.append((part, len(wanted[part])))
+        wanted[part].append(b)
+        info = r.meta.band_details[b] if b < len(r.meta.band_details) else BandInfo(b, f"Band {b + 1}")
         details.append(replace(info, index=k, name=f"{r.name}: {info.name}"))
+    parts = []
+    for i, (r, bands) in enumerate(zip(rasters, wanted)):
+        x = on_grid(r.select_bands(bands), first, method_name(method))
+        parts.append(x.select("y", "x", lit(i).alias("part"), F.col("spectrum").cast("array<double>").alias("spectrum")))
+    x = reduce(DataFrame.unionByName, parts).groupBy("y", "x").agg(F.map_from_entries(F.collect_list(F.struct("part", "spectrum"))).alias("_m"))
+    spectrum = F.array(*(F.coalesce(F.get(F.try_element_at("_m", lit(part)), lit(i)), lit(float("nan"))) for part, i in cells))
     meta = replace(first, bands=len(sources), band_details=tuple(details), default_bands=None, dtype="float32")
-    return Raster(meta, gathered(reduce(DataFrame.unionByName, parts), len(sources)), "stack")
+    return Raster(meta, x.select("y", "x", spectrum.alias("spectrum")), "stack")
 
 
 def crop(df: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
@@ -73,7 +86,7 @@ def subset(r: Raster, x0: int, x1: int, y0: int, y1: int, bands: Sequence[int] |
     th, tw = max(1, round(h * scale)), max(1, round(w * scale))
     df = crop(part.df.select("y", "x", "spectrum"), x0, x1, y0, y1)
     if (th, tw) != (h, w):
-        df = gathered(resample(long_bands(df), (h, w), (th, tw), method_name(method)), len(chosen))
+        df = resized(df, (h, w), (th, tw), len(chosen), method_name(method))
     transform = None
     if r.meta.transform:
         a, b, c, d, e, f = r.meta.transform[:6]
@@ -92,14 +105,6 @@ def subset_to_roi(r: Raster, region: ROI, **how) -> Raster:
     return subset(r, x0, x1, y0, y1, **how)
 
 
-@dataclass(frozen=True)
-class Grid:
-    width: int
-    height: int
-    transform: tuple[float, ...]
-    crs: str
-
-
 def bounds(meta: RasterMetadata) -> tuple[float, float, float, float]:
     """(left, bottom, right, top)."""
     a, b, c, d, e, f = meta.transform[:6]
@@ -108,48 +113,23 @@ def bounds(meta: RasterMetadata) -> tuple[float, float, float, float]:
     return min(xs), min(ys), max(xs), max(ys)
 
 
-def outline(meta: RasterMetadata, target: str, spark: SparkSession | None = None, steps: int = 21) -> tuple[float, float, float, float]:
+def outline(meta: RasterMetadata, target: str, steps: int = 21) -> tuple[float, float, float, float]:
     """Bounds in another coordinate system, from points along the edges."""
-    spark = spark or SparkSession.active()
-    a, b, c, d, e, f = meta.transform[:6]
-    side = [(i / (steps - 1) * meta.width, j * meta.height) for i in range(steps) for j in (0, 1)] + [(j * meta.width, i / (steps - 1) * meta.height) for i in range(steps) for j in (0, 1)]
-    points = spark.createDataFrame([(float(a * x + b * y + c), float(d * x + e * y + f)) for x, y in side], "x double, y double")
-    x, y = geodesy.transformed(F.col("x"), F.col("y"), meta.crs, target)
-    r = points.select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    return tuple(r)
+    along, ends = np.linspace(0, 1, steps), np.repeat([0.0, 1.0], steps)
+    x, y = np.concatenate((np.tile(along, 2), ends)) * meta.width, np.concatenate((ends, np.tile(along, 2))) * meta.height
+    x, y = geodesy.converted(*to_world(meta.transform, x, y), meta.crs, target)
+    return float(x.min()), float(y.min()), float(x.max()), float(y.max())
 
 
-def reprojected(bands: DataFrame, meta: RasterMetadata, grid: Grid, method: str, nodata: float | None) -> DataFrame:
-    """bands(y, x, value, ...) on a grid in another coordinate system. Each target pixel inside the source's outline looks
-    up its (at most four) source pixels by one equi-join; missing values take no part."""
-    left, bottom, right, top = outline(meta, grid.crs, bands.sparkSession)
-    dx, _, gx, _, dy, gy = grid.transform
-    x0, x1 = max(0, math.floor((left - gx) / dx) - 1), min(grid.width, math.ceil((right - gx) / dx) + 1)
-    y0, y1 = max(0, math.floor((top - gy) / dy) - 1), min(grid.height, math.ceil((bottom - gy) / dy) + 1)
-    n = max(0, x1 - x0)
-    cells = bands.sparkSession.range(n * max(0, y1 - y0)).select((F.floor(F.col("id") / max(n, 1)) + y0).cast("int").alias("ty"), (F.col("id") % max(n, 1) + x0).cast("int").alias("tx"))
-    wx, wy = geodesy.transformed(gx + dx * (F.col("tx") + 0.5), gy + dy * (F.col("ty") + 0.5), grid.crs, meta.crs)
-    a, b, c, d, e, f = meta.transform[:6]
-    det = a * e - b * d
-    cells = cells.select("ty", "tx", (((wx - c) * e - (wy - f) * b) / det - 0.5).alias("sx"), (((wy - f) * a - (wx - c) * d) / det - 0.5).alias("sy"))
-    cells = cells.filter((F.col("sx") >= -0.5) & (F.col("sx") < meta.width - 0.5) & (F.col("sy") >= -0.5) & (F.col("sy") < meta.height - 0.5))
-
-    def near(s: str, size: int) -> Column:
-        at = F.least(F.greatest(F.col(s), lit(0.0)), lit(float(size - 1)))
-        if method == "nearest":
-            return F.array(F.struct(F.floor(at + 0.5).cast("int").alias("p"), lit(1.0).alias("w")))
-        low = F.floor(at)
-        both = F.array(F.struct(low.cast("int").alias("p"), (1 - (at - low)).alias("w")), F.struct((low + 1).cast("int").alias("p"), (at - low).alias("w")))
-        return F.filter(both, lambda q: q["w"] > 0)
-
-    each = cells.select("ty", "tx", F.explode(near("sy", meta.height)).alias("r"), near("sx", meta.width).alias("cs")).select("ty", "tx", "r", F.explode("cs").alias("c"))
-    each = each.select("ty", "tx", F.col("r.p").alias("y"), F.col("c.p").alias("x"), (F.col("r.w") * F.col("c.w")).alias("w"))
-    joined = each.join(bands.filter(num.valid(F.col("value"), nodata)), ["y", "x"])
-    others = [k for k in bands.columns if k not in ("y", "x", "value")]
-    return joined.groupBy(*others, F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
-
-
-def mosaic_grid(metas: Sequence[RasterMetadata], crs: str | None = None, resolution: float | None = None, spark: SparkSession | None = None) -> Grid:
+def warped(df: DataFrame, meta: RasterMetadata, grid: Grid, method: str, nodata: float | None = None) -> DataFrame:
+    """df(y, x, spectrum) on a grid, in the same or another coordinate system."""
+    if not all(c == grid.crs or geodesy.supported(c) for c in (meta.crs or "", grid.crs)):
+        raise ValueError(f"only EPSG:4326 and UTM zones can be changed, not {meta.crs} to {grid.crs}")
+    source = Source(meta.width, meta.height, tuple(meta.transform), meta.crs or "", meta.nodata if nodata is None else nodata)
+    return merged([(df, source)], grid, meta.bands, method)
+
+
+def mosaic_grid(metas: Sequence[RasterMetadata], crs: str | None = None, resolution: float | None = None) -> Grid:
     """The north-up grid that holds all rasters, with the pixel size of the first unless given."""
     if not metas:
         raise ValueError("no rasters")
@@ -161,7 +141,7 @@ def mosaic_grid(metas: Sequence[RasterMetadata], crs: str | None = None, resolut
             raise ValueError("a resolution is needed to change the coordinate system")
         if not all(geodesy.supported(c) for c in (target, *(m.crs for m in metas))):
             raise ValueError(f"only EPSG:4326 and UTM zones can be changed to {target}")
-    boxes = [bounds(m) if m.crs == target else outline(m, target, spark) for m in metas]
+    boxes = [bounds(m) if m.crs == target else outline(m, target) for m in metas]
     left, bottom, right, top = min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
     dx, dy = (resolution, resolution) if resolution else (abs(metas[0].transform[0]), abs(metas[0].transform[4]))
     return Grid(max(1, math.ceil((right - left) / dx - 1e-9)), max(1, math.ceil((top - bottom) / dy - 1e-9)), (dx, 0.0, left, 0.0, -dy, top), target)
@@ -177,48 +157,63 @@ def window(meta: RasterMetadata, grid: Grid) -> tuple[int, int, int, int]:
     return y0, y1, x0, x1
 
 
-def warped(bands: DataFrame, meta: RasterMetadata, target: RasterMetadata | Grid, method: str, nodata: float | None) -> DataFrame:
-    """bands(y, x, value, ...) on another north-up grid of the same coordinate system. Missing values take no part, and
-    the weights of the others are scaled to 1."""
-    ta, _, tc, _, te, tf = target.transform[:6]
-    a, b, c, d, e, f = meta.transform[:6]
-    if b or d:
-        raise ValueError("rotated rasters aren't supported")
-    y0, y1, x0, x1 = window(meta, Grid(target.width, target.height, tuple(target.transform), target.crs or ""))
-    rows = reach(F.col("y"), meta.height, y0, y1, te / e, (te * 0.5 + tf - f) / e - 0.5, method, inside_only=True)
-    columns = reach(F.col("x"), meta.width, x0, x1, ta / a, (ta * 0.5 + tc - c) / a - 0.5, method, inside_only=True)
-    x = scatter(bands.filter(num.valid(F.col("value"), nodata)), rows, columns)
-    others = [c for c in bands.columns if c not in ("y", "x", "value")]
-    return x.groupBy(*others, "y", "x").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+def feather(y: np.ndarray, x: np.ndarray, box: tuple[int, int, int, int], pixels: float) -> np.ndarray:
+    """Weights of places in a box (y0, y1, x0, x1): they rise from its edges over so many pixels."""
+    if pixels <= 0:
+        return np.ones(len(y))
+    rise = lambda i, n: np.clip(np.minimum(i + 0.5, n - i - 0.5) / pixels, 0, 1)
+    return rise(y - box[0], box[1] - box[0]) * rise(x - box[2], box[3] - box[2])
 
 
 def mosaic(rasters: Sequence[Raster], crs: str | None = None, resolution: float | None = None, method: str = "bilinear", background: float = 0.0, feather_pixels: float = 0.0) -> Raster:
     """One raster from many: the weighted mean where they overlap, the background where there is none. All sources meet
-    in one grouped sum over (y, x, band)."""
+    in one shuffle to the tiles of the mosaic."""
     if len({r.meta.bands for r in rasters}) > 1:
         raise ValueError("rasters differ in their number of bands")
     grid = mosaic_grid([r.meta for r in rasters], crs, resolution)
-    parts = []
+    sources = []
     for r in rasters:
-        pixels, how = long_bands(r.df.select("y", "x", "spectrum")), method_name(method)
-        if r.meta.crs == grid.crs:
-            box, v = window(r.meta, grid), warped(pixels, r.meta, grid, how, r.meta.nodata)
+        m = r.meta
+        if m.crs == grid.crs:
+            box = window(m, grid)
         else:
-            left, bottom, right, top = outline(r.meta, grid.crs, r.df.sparkSession)
-            flat = RasterMetadata(1, 1, 1, crs=grid.crs, transform=(right - left, 0.0, left, 0.0, bottom - top, top))
-            box, v = window(flat, grid), reprojected(pixels, r.meta, grid, how, r.meta.nodata)
-        y0, y1, x0, x1 = box
-        weight = feather(F.col("y") - y0, y1 - y0, feather_pixels) * feather(F.col("x") - x0, x1 - x0, feather_pixels)
-        parts.append(v.select("y", "x", "band", "value", weight.alias("w")))
-    total = reduce(DataFrame.unionByName, parts).groupBy("y", "x", "band").agg(F.sum(F.col("w") * F.col("value")).alias("_v"), F.sum("w").alias("_w"))
-    found = total.filter("_w > 0").select("y", "x", "band", (F.col("_v") / F.col("_w")).alias("value"))
-    spark = rasters[0].df.sparkSession
-    bands = rasters[0].meta.bands
-    every = spark.range(grid.width * grid.height).select((F.col("id") / grid.width).cast("int").alias("y"), (F.col("id") % grid.width).cast("int").alias("x"))
-    cells = every.join(gathered(found, bands), ["y", "x"], "left")
-    filled = F.transform(F.coalesce("spectrum", F.array_repeat(lit(float("nan")), bands)), lambda v: F.when(F.isnan(v), float(background)).otherwise(v))
+            left, bottom, right, top = outline(m, grid.crs)
+            box = window(RasterMetadata(1, 1, 1, crs=grid.crs, transform=(right - left, 0.0, left, 0.0, bottom - top, top)), grid)
+        weight = partial(feather, box=box, pixels=feather_pixels)
+        sources.append((r.df, Source(m.width, m.height, tuple(m.transform), m.crs, m.nodata, weight=weight)))
+    pixels = merged(sources, grid, rasters[0].meta.bands, method_name(method), float(background))
     meta = replace(rasters[0].meta, width=grid.width, height=grid.height, transform=grid.transform, crs=grid.crs)
-    return Raster(meta, cells.select("y", "x", filled.alias("spectrum")), "mosaic")
+    return Raster(meta, pixels, "mosaic")
+
+
+def pan_band(meta: RasterMetadata) -> int | None:
+    """The panchromatic band: the one named so, or numbered 8 in a scene's metadata, or the only one."""
+    named = [i for i, b in enumerate(meta.band_details) if "pan" in b.name.lower() or b.mtl_band == 8]
+    return named[0] if named else 0 if meta.bands == 1 else None
+
+
+def pan_sharpened(pan: Raster, ms: Raster, method: str = "brovey", bands: Sequence[int] | None = None, weights: Sequence[float] | None = None, band: int | None = None) -> Raster:
+    """ms on the grid of pan, sharpened: bands are resized (bilinear) to the pan grid and joined with the pan band pixel by
+    pixel; grid, coordinate system and transform are pan's, band details those of ms. Moments are exact."""
+    band = pan_band(pan.meta) if band is None else band
+    if band is None:
+        raise ValueError("which band is the panchromatic one?")
+    chosen = list(range(ms.meta.bands)) if bands is None else list(bands)
+    if not chosen:
+        raise ValueError("no bands to sharpen")
+    part = ms.select_bands(chosen)
+    fine = resized(part.df, (ms.meta.height, ms.meta.width), (pan.meta.height, pan.meta.width), len(chosen), "bilinear")
+    names = [f"_m{i}" for i in range(len(chosen))]
+    x = fine.select("y", "x", *(F.get("spectrum", lit(i)).alias(n) for i, n in enumerate(names)))
+    x = x.join(pan.band(band).withColumn("_pan", F.col("value").cast("double")).drop("value"), ["y", "x"])
+    if method == "brovey":
+        x = x.select("y", "x", F.array(*brovey(F.col("_pan"), [F.col(n) for n in names], weights)).alias("spectrum"))
+    elif method == "gram_schmidt":
+        x = gram_schmidt(x, "_pan", names, weights, names).select("y", "x", F.array(*names).alias("spectrum"))
+    else:
+        raise ValueError(f"unknown method {method!r}: brovey or gram_schmidt")
+    meta = replace(part.meta, width=pan.meta.width, height=pan.meta.height, transform=pan.meta.transform, crs=pan.meta.crs, dtype="float32")
+    return Raster(meta, x, f"{ms.name} sharpened")
 
 
 def brovey(pan: Column, ms: Sequence[Column], weights: Sequence[float] | None = None) -> list[Column]:

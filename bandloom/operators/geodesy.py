@@ -1,13 +1,24 @@
-"""UTM to geographic coordinates as Column expressions (Krueger's series, WGS 84)."""
+"""UTM and geographic coordinates by Krueger's series on WGS 84: as Column expressions, and for arrays in kernels.
+
+From zone to zone only arrays are changed: both series in one expression would be a quarter of a million characters.
+"""
 
 from __future__ import annotations
 
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+class Arrays:
+    """NumPy under the names that Spark's functions have."""
+
+    sin, cos, sinh, cosh, asin, atan2, sqrt, ln, degrees, radians = np.sin, np.cos, np.sinh, np.cosh, np.arcsin, np.arctan2, np.sqrt, np.log, np.degrees, np.radians
+
+
 # The ellipsoid and the projection's scale and offsets.
 A, FLATTENING, K0, FALSE_EASTING, FALSE_NORTHING = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
 N = FLATTENING / (2 - FLATTENING)
@@ -24,37 +35,37 @@ def zone_of(crs: str) -> tuple[int, bool]:
     return int(m[2]), m[1] == "7"
 
 
-def utm_to_wgs84(easting: Column, northing: Column, crs: str) -> tuple[Column, Column]:
-    """(latitude, longitude) in degrees."""
+def utm_to_wgs84(easting, northing, crs: str, m=F) -> tuple:
+    """(latitude, longitude) in degrees; m: the functions, of Columns or Arrays."""
     zone, south = zone_of(crs)
     xi = (northing - (FALSE_NORTHING if south else 0.0)) / (K0 * RADIUS)
     eta = (easting - FALSE_EASTING) / (K0 * RADIUS)
     xi1, eta1 = xi, eta
     for j, b in enumerate(BETA, 1):
-        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+        xi1 = xi1 - b * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+        eta1 = eta1 - b * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+    chi = m.asin(m.sin(xi1) / m.cosh(eta1))
     phi = chi
     for j, d in enumerate(DELTA, 1):
-        phi = phi + d * F.sin(2 * j * chi)
-    return F.degrees(phi), F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (zone * 6 - 183)
+        phi = phi + d * m.sin(2 * j * chi)
+    return m.degrees(phi), m.degrees(m.atan2(m.sinh(eta1), m.cos(xi1))) + (zone * 6 - 183)
 
 
 ALPHA = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16, 13 * N**2 / 48 - 3 * N**3 / 5, 61 * N**3 / 240)
 
 
-def wgs84_to_utm(latitude: Column, longitude: Column, crs: str) -> tuple[Column, Column]:
+def wgs84_to_utm(latitude, longitude, crs: str, m=F) -> tuple:
     """(easting, northing) of degrees."""
     zone, south = zone_of(crs)
-    phi, lam = F.radians(latitude), F.radians(longitude - (zone * 6 - 183))
+    phi, lam = m.radians(latitude), m.radians(longitude - (zone * 6 - 183))
     e = 2 * math.sqrt(N) / (1 + N)
-    atanh = lambda v: 0.5 * F.ln((1 + v) / (1 - v))
-    t = F.sinh(atanh(F.sin(phi)) - e * atanh(e * F.sin(phi)))
-    xi1, eta1 = F.atan2(t, F.cos(lam)), atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    atanh = lambda v: 0.5 * m.ln((1 + v) / (1 - v))
+    t = m.sinh(atanh(m.sin(phi)) - e * atanh(e * m.sin(phi)))
+    xi1, eta1 = m.atan2(t, m.cos(lam)), atanh(m.sin(lam) / m.sqrt(1 + t * t))
     xi, eta = xi1, eta1
     for j, a in enumerate(ALPHA, 1):
-        xi = xi + a * F.sin(2 * j * xi1) * F.cosh(2 * j * eta1)
-        eta = eta + a * F.cos(2 * j * xi1) * F.sinh(2 * j * eta1)
+        xi = xi + a * m.sin(2 * j * xi1) * m.cosh(2 * j * eta1)
+        eta = eta + a * m.cos(2 * j * xi1) * m.sinh(2 * j * eta1)
     return FALSE_EASTING + K0 * RADIUS * eta, (FALSE_NORTHING if south else 0.0) + K0 * RADIUS * xi
 
 
@@ -63,13 +74,23 @@ def supported(crs: str) -> bool:
 
 
 def transformed(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """World coordinates in another system: geographic (x is the longitude) and UTM zones."""
+    """World coordinates in another system: from a UTM zone to geographic (x is the longitude) or back."""
     if source.upper() == target.upper():
         return x, y
+    if "EPSG:4326" not in (source.upper(), target.upper()):
+        raise ValueError("from zone to zone arrays are changed, by converted()")
     lat, lon = (y, x) if source.upper() == "EPSG:4326" else utm_to_wgs84(x, y, source)
     return (lon, lat) if target.upper() == "EPSG:4326" else wgs84_to_utm(lat, lon, target)
 
 
+def converted(x: np.ndarray, y: np.ndarray, source: str, target: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same for arrays, between any two of geographic coordinates and UTM zones."""
+    if source.upper() == target.upper():
+        return x, y
+    lat, lon = (y, x) if source.upper() == "EPSG:4326" else utm_to_wgs84(x, y, source, Arrays)
+    return (lon, lat) if target.upper() == "EPSG:4326" else wgs84_to_utm(lat, lon, target, Arrays)
+
+
 def sql(easting: str, northing: str, zone: int) -> tuple[str, str]:
     """The same formulas as SQL text, for the northern hemisphere."""
     xi, eta = f"({northing} / {K0 * RADIUS!r})", f"(({easting} - {FALSE_EASTING}) / {K0 * RADIUS!r})"

@@ -110,6 +110,14 @@ def resample_spectrum(points: DataFrame, targets: DataFrame) -> DataFrame:
     return grid.join(found, ["key", "t"], "left").select("key", F.col("t").alias("wl"), F.coalesce("v", lit(float("nan"))).alias("value"))
 
 
+def spectral_angle_degrees(a: Sequence[float], b: Sequence[float]) -> float:
+    """The angle between two curves over the places where both are finite; NaN without any, or for a curve of zeros."""
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    both = np.isfinite(x) & np.isfinite(y)
+    size = np.linalg.norm(x[both]) * np.linalg.norm(y[both])
+    return float(np.degrees(np.arccos(np.clip(x[both] @ y[both] / size, -1, 1)))) if size > 1e-12 else float("nan")
+
+
 def match(spark: SparkSession, wavelengths: Sequence[float], values: Sequence[float], max_angle: float | None = None, only: Sequence[str] | None = None, step: int = 1) -> DataFrame:
     """(name, category, angle in degrees), ascending: the library by spectral angle to one spectrum, over the part of the
     grid that it covers. Raises ValueError when it covers none."""

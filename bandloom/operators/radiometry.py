@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,15 @@ def coefficients(meta: RasterMetadata) -> dict | None:
     return out
 
 
+def calibrated_meta(meta: RasterMetadata, kind: str = "reflectance", bands: Sequence[int] | None = None) -> RasterMetadata:
+    """The metadata of calibrated bands: their names tell the kind."""
+    details = []
+    for k, i in enumerate(range(meta.bands) if bands is None else bands):
+        band = meta.band_details[i] if i < len(meta.band_details) else BandInfo(i, "")
+        details.append(replace(band, index=k, name=f"{band.name or f'Band {i + 1}'} ({kind})"))
+    return replace(meta, bands=len(details), band_details=tuple(details), dtype="float32", default_bands=None)
+
+
 def calibrate(df: DataFrame, meta: RasterMetadata, kind: str = "reflectance", bands: Sequence[int] | None = None, mult: float | Mapping[int, float] | None = None, add: float | Mapping[int, float] | None = None) -> DataFrame:
     """df(y, x, spectrum) calibrated band by band. Given factors come before those of the metadata, and these before 1
     and 0."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.plans.num import lit, valid
@@ -55,9 +56,7 @@ def scene_mean(df: DataFrame, spectrum: str = "spectrum") -> DataFrame:
     return long_bands(x).groupBy("band").agg(F.avg("value").alias("mean_v"))
 
 
-def covariance_table(bands_of: DataFrame, columns: list[str], scale: float = 1.0) -> DataFrame:
-    """(i, j, c): the covariance (n - 1) of all pairs of columns, i <= j, in one aggregate."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = bands_of.agg(*(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs))
-    each = F.explode(F.array(*(F.struct(lit(i).alias("i"), lit(j).alias("j"), (F.col(f"c{i}_{j}") * scale).alias("c")) for i, j in pairs)))
-    return row.select(each.alias("e")).select("e.*")
+def covariance_table(spark: SparkSession, covariance: np.ndarray) -> DataFrame:
+    """(i, j, c), i <= j, of a matrix of bands by bands."""
+    rows = [(i, j, float(covariance[i, j])) for i in range(len(covariance)) for j in range(i, len(covariance))]
+    return spark.createDataFrame(rows, "i int, j int, c double")

@@ -6,18 +6,43 @@ go back to the rows as literals or in an Arrow kernel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from bandloom.plans import num
-from bandloom.plans.linalg import canonical, eigen, mean_and_covariance
+from bandloom.plans.linalg import canonical, eigen, mean_and_covariance, moments
 from bandloom.plans.num import lit
+from bandloom.plans.raster import BandInfo, Raster
+from bandloom.plans.ship import ship
 
-from .classify import _kernel
+from .classify import _kernel, vectors
+
+
+def component_report(kind: str, name: str, bands: int, values: Sequence[float], shares: Sequence[float] = ()) -> str:
+    """What the components of a transform hold, as text. kind pca: values are eigenvalues, shares their parts of the
+    variance; mnf: eigenvalues, from which the signal to noise follows; ica: standard deviations of the components."""
+    title, each = {
+        "pca": ("Principal components", lambda i, v: f"PC {i}: eigenvalue {v:.4e}, variance {100 * shares[i - 1]:.2f} %"),
+        "mnf": ("Minimum noise fraction", lambda i, v: f"MNF {i}: eigenvalue {v:.4f}, estimated SNR {max(0.0, v - 1):.2f}"),
+        "ica": ("Independent components", lambda i, v: f"IC {i}: standard deviation {v:.4f}"),
+    }[kind]
+    lines = [f"{title} of {name}", f"Bands: {bands}", f"Components: {len(values)}", *(each(i, float(v)) for i, v in enumerate(values, 1))]
+    if kind == "pca":
+        lines.append(f"Variance explained: {100 * sum(shares):.2f} %")
+    return "\n".join(lines)
+
+
+def abundance_raster(r: Raster, members: np.ndarray) -> Raster:
+    """A raster with a band for each member's share; 0 is its nodata value."""
+    x = abundances(r.df, members).select("y", "x", F.col("abundance").alias("spectrum"))
+    details = tuple(BandInfo(i, f"Endmember {i + 1}") for i in range(len(members)))
+    return Raster(replace(r.meta, bands=len(members), dtype="float32", nodata=0.0, band_details=details, default_bands=None), x, f"{r.name} abundance")
 
 
 def project(df: DataFrame, weights: np.ndarray, mean: np.ndarray, spectrum: str = "spectrum", out: str = "scores") -> DataFrame:
@@ -48,11 +73,51 @@ def differences(df: DataFrame, spectrum: str = "spectrum") -> DataFrame:
     return x.filter((F.col("x") - F.col("_px") == 1)).select(F.zip_with("_s", "_p", lambda a, b: a - b).alias("d"))
 
 
+def difference_covariance(df: DataFrame, spectrum: str = "spectrum") -> tuple[int, np.ndarray]:
+    """Count and covariance of differences(). Neighbours that a task reads one after the other, as rasters are stored, are
+    taken there; only pixels whose neighbour lies elsewhere are shuffled. It reads the image twice."""
+    ship(df.sparkSession)
+    pixels = df.select("y", "x", num.doubles(spectrum).alias("s")).filter("s is not null")
+
+    def pairs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        y, x = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy().astype(np.int64)
+        v = vectors(b.column(2))
+        next_to = (y[1:] == y[:-1]) & (x[1:] == x[:-1] + 1) if len(y) else np.zeros(0, bool)
+        first = np.concatenate((~next_to, [True]))[: len(y)] if len(y) else next_to  # without a right neighbour here
+        last = np.concatenate(([True], ~next_to))[: len(y)] if len(y) else next_to  # without a left one
+        return v, next_to, first, last
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, next_to, _, _ = pairs(b)
+            d = (v[1:] - v[:-1])[next_to] if b.num_rows else v
+            yield pa.RecordBatch.from_arrays([pa.array(list(d), pa.list_(pa.float64()))], names=["d"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, first, last = pairs(b)
+            at = np.flatnonzero(first | last)
+            part = b.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first[at]), pa.array(last[at])], names=["y", "x", "s", "r", "l"])
+
+    inside = pixels.mapInArrow(inner, "d array<double>")
+    line = Window.partitionBy("y").orderBy("x")
+    x = pixels.mapInArrow(edges, "y int, x int, s array<double>, r boolean, l boolean")
+    x = x.withColumns({"_p": F.lag("s").over(line), "_px": F.lag("x").over(line), "_r": F.lag("r").over(line)})
+    met = x.filter((F.col("x") - F.col("_px") == 1) & F.col("l") & F.col("_r")).select(F.zip_with("s", "_p", lambda a, b: a - b).alias("d"))
+    parts = [moments(part, "d") for part in (inside, met)]
+    n = sum(p[0] for p in parts)
+    if not n:
+        return 0, np.zeros((0, 0))
+    s, g = (sum(p[i] for p in parts if p[0]) for i in (1, 2))  # differences are small and centred: one pass is exact enough
+    return n, (g - np.outer(s, s) / n) / max(n - 1, 1)
+
+
 def mnf(df: DataFrame, components: int = 3, spectrum: str = "spectrum") -> tuple[DataFrame, np.ndarray]:
     """df with scores of the minimum noise fraction, and the eigenvalues (signal to noise + 1) of the kept ones. Noise is
     half the covariance of neighbours' differences; the image is whitened by it before components are taken."""
     _, mean, cov = mean_and_covariance(df, spectrum)
-    n, _, noise = mean_and_covariance(differences(df, spectrum), "d")
+    n, noise = difference_covariance(df, spectrum)
     b = len(mean)
     if not n:
         out, values, _ = pca(df, components, spectrum)
@@ -214,19 +279,3 @@ def continuum_1d(spectrum: Sequence[float], wavelengths: Sequence[float] | None
 
 def continuum_removed(df: DataFrame, wavelengths: Sequence[float] | None = None, spectrum: str = "spectrum", out: str = "cr") -> DataFrame:
     return _kernel(df, spectrum, lambda x: [np.array([continuum_1d(s, wavelengths)[0] for s in x])], {out: ArrayType(DoubleType())})
-
-
-def continuum_expression(df: DataFrame, bands: int, wavelengths: Sequence[float] | None = None, spectrum: str = "spectrum", out: str = "cr") -> DataFrame:
-    """The same without Python, for few bands: the hull at a band is the highest chord over it (bands^3 terms)."""
-    axis = list(range(bands)) if wavelengths is None else list(wavelengths)
-    v = [F.get(num.doubles(spectrum), lit(i)) for i in range(bands)]
-    each = []
-    for i in range(bands):
-        chords = [v[i]]
-        for j in range(i):
-            for k in range(i + 1, bands):
-                t = (axis[i] - axis[j]) / (axis[k] - axis[j])
-                chords.append(v[j] * (1 - t) + v[k] * t)
-        hull = F.greatest(*chords) if len(chords) > 1 else chords[0]
-        each.append(num.clip(v[i] / F.greatest(hull, lit(1e-7)), 0, 1))
-    return df.withColumn(out, F.array(*each))

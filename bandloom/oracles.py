@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from bandloom.operators import geodesy, library
+from bandloom.operators.classify import PALETTE, chi2_quantile
 from bandloom.queries import BANDS, BLUE, BOXES, GREEN, NIR, POINTS, RED, SWIR2, TARGETS, TRIANGLE, WIDTH
 
 r6 = "round({}, 6) + 0.0".format
@@ -89,23 +90,91 @@ CONFUSION = SAM + ", cm AS (SELECT label AS ref, pred, count(*) AS n FROM best G
 MARGINS = CONFUSION + """, cl AS (SELECT ref AS cls FROM cm UNION SELECT pred FROM cm),
 mg AS (SELECT cls, coalesce((SELECT sum(n) FROM cm WHERE ref = cls), 0) AS rn, coalesce((SELECT sum(n) FROM cm WHERE pred = cls), 0) AS pn, coalesce((SELECT sum(n) FROM cm WHERE ref = cls AND pred = cls), 0) AS hit FROM cl)"""
 
-PAIRS8 = [(i, j) for i in range(8) for j in range(i, 8)]
-
-
-def cov_table(scale: str = "") -> str:
-    return " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r6(f'covar_samp(v[{i + 1}], v[{j + 1}]){scale}')} AS c FROM s" for i, j in PAIRS8)
-
-
-def chord(i: int) -> str:
-    terms = [f"v[{i + 1}]"]
-    for j in range(i):
-        for k in range(i + 1, 8):
-            t = (i - j) / (k - j)
-            terms.append(f"v[{j + 1}] * {1 - t!r}::DOUBLE + v[{k + 1}] * {t!r}::DOUBLE")
-    return f"greatest({', '.join(terms)})"
+def cov_table(source: str, scale: str = "") -> str:
+    """Covariances of all pairs of bands of a table of lists v."""
+    return f""", b AS (SELECT row_number() OVER () AS r, v FROM {source}), u AS (SELECT r, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS band FROM b)
+SELECT p.band::INT AS i, q.band::INT AS j, {r6(f'covar_samp(p.value, q.value){scale}')} AS c FROM u p JOIN u q ON p.r = q.r AND p.band <= q.band GROUP BY p.band, q.band"""
+
+
+DIFFERENCES = f"{E}, p AS (SELECT v, lag(v) OVER (PARTITION BY y ORDER BY x) AS b FROM e), s AS (SELECT list_transform(list_zip(v, b), lambda z: z[1] - z[2]) AS v FROM p WHERE b IS NOT NULL)"
+
+CONTINUUM = ABS + LONG.format("a") + f""", hull AS (SELECT i.vec_id, i.band, any_value(i.value) AS v, greatest(any_value(i.value), max(j.value + (k.value - j.value) * (i.band - j.band) / (k.band - j.band))) AS h
+  FROM l i JOIN l j ON j.vec_id = i.vec_id AND j.band <= i.band JOIN l k ON k.vec_id = i.vec_id AND k.band >= i.band AND k.band > j.band GROUP BY i.vec_id, i.band)
+SELECT vec_id, band::INT AS band, {r6(clip('v / greatest(h, 1e-7)', 0, 1))} AS cr FROM hull"""
+
+
+def inverse(source: str, n: int) -> str:
+    """CTEs of Gauss and Jordan on matrices source(k, i, j, v) of n rows: inv(k, i, v) with rows as lists, and det(k, logdet)."""
+    pivot, row, column = (f"max(CASE WHEN {c} THEN v END) OVER (PARTITION BY k{by})" for c, by in (("i = step AND j = step", ""), ("i = step", ", j"), ("j = step", ", i")))
+    return f""", gj AS (SELECT 0 AS step, k, i, j, v FROM {source} UNION ALL SELECT 0, k, i, i + {n}, 1.0::DOUBLE FROM {source} WHERE i = j UNION ALL SELECT 0, k, i, j + {n}, 0.0::DOUBLE FROM {source} WHERE i <> j
+UNION ALL SELECT step + 1, k, i, j, CASE WHEN i = step THEN v / p ELSE v - f * r / p END FROM (SELECT *, {pivot} AS p, {row} AS r, {column} AS f FROM gj WHERE step < {n})),
+inv AS (SELECT k, i, list(v ORDER BY j) AS m FROM gj WHERE step = {n} AND j >= {n} GROUP BY k, i),
+det AS (SELECT k, sum(ln(v)) AS logdet FROM gj WHERE step < {n} AND i = step AND j = step GROUP BY k)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+MLC = recursive(ABS + means("a") + """, cv AS (SELECT p.label AS k, p.band AS i, q.band AS j, covar_samp(p.value, q.value) AS c FROM l p JOIN l q ON p.vec_id = q.vec_id GROUP BY p.label, p.band, q.band),
+tr AS (SELECT k, sum(c) AS t FROM cv WHERE i = j GROUP BY k),
+reg AS (SELECT k, i, j, c + CASE WHEN i = j THEN 1e-4::DOUBLE * t / 64 + 1e-6::DOUBLE ELSE 0 END AS v FROM cv JOIN tr USING (k))""" + inverse("reg", 64) + f""",
+dev AS (SELECT a.vec_id, refs.label AS k, list_transform(list_zip(a.v, refs.m), lambda z: z[1] - z[2]) AS y FROM a, refs),
+d2 AS (SELECT vec_id, k, sum(y[i + 1] * list_dot_product(y, m)) AS d FROM dev JOIN inv USING (k) GROUP BY vec_id, k),
+sc AS (SELECT vec_id, k, d, -0.5::DOUBLE * (logdet + d) AS s FROM d2 JOIN det USING (k)),
+top AS (SELECT vec_id, arg_min(k, (-s, k)) AS cls, arg_min(d, (-s, k)) AS d FROM sc GROUP BY vec_id)
+SELECT vec_id, CASE WHEN d <= {chi2_quantile(0.99, 64)!r}::DOUBLE THEN cls ELSE -1 END::INT AS cls, round(d, 3) + 0.0 AS score FROM top""")
+
+ABUNDANCE = recursive(ABS + means("a") + ", gram AS (SELECT 0 AS k, p.cls AS i, q.cls AS j, list_dot_product(p.m, q.m) AS v FROM refs p, refs q)" + inverse("gram", 10) + f""",
+dots AS (SELECT vec_id, list(list_dot_product(a.v, refs.m) ORDER BY cls) AS d FROM a, refs GROUP BY vec_id)
+SELECT vec_id, i::INT AS member, {r6('greatest(list_dot_product(d, m), 0)')} AS share FROM dots, inv""")
+
+TWO = f", t AS (SELECT vec_id, y, x, v[{RED + 1}] AS a, v[{NIR + 1}] AS b FROM e), m AS (SELECT avg(a) AS ma, avg(b) AS mb, covar_samp(a, a) AS c11, covar_samp(a, b) AS c12, covar_samp(b, b) AS c22 FROM t)"
+EIGEN = """, lm AS (SELECT *, (c11 + c22) / 2 + sqrt(((c11 - c22) / 2) ** 2 + c12 * c12) AS l1, (c11 + c22) / 2 - sqrt(((c11 - c22) / 2) ** 2 + c12 * c12) AS l2 FROM {0}),
+raw AS (SELECT *, c12 / sqrt(c12 * c12 + (l1 - c11) ** 2) AS p1, (l1 - c11) / sqrt(c12 * c12 + (l1 - c11) ** 2) AS q1, c12 / sqrt(c12 * c12 + (l2 - c11) ** 2) AS p2, (l2 - c11) / sqrt(c12 * c12 + (l2 - c11) ** 2) AS q2 FROM lm),
+ev AS (SELECT * REPLACE (p1 * s1 AS p1, q1 * s1 AS q1, p2 * s2 AS p2, q2 * s2 AS q2) FROM (SELECT *, CASE WHEN (CASE WHEN abs(q1) > abs(p1) THEN q1 ELSE p1 END) < 0 THEN -1 ELSE 1 END AS s1, CASE WHEN (CASE WHEN abs(q2) > abs(p2) THEN q2 ELSE p2 END) < 0 THEN -1 ELSE 1 END AS s2 FROM raw))"""
+PCA2 = E + TWO + EIGEN.format("m") + f" SELECT vec_id, {r6('p1 * (a - ma) + q1 * (b - mb)')} AS s0, {r6('p2 * (a - ma) + q2 * (b - mb)')} AS s1 FROM t, ev"
+MNF2 = E + TWO + """, df AS (SELECT a - lag(a) OVER w AS da, b - lag(b) OVER w AS db FROM t WINDOW w AS (PARTITION BY y ORDER BY x)),
+ns AS (SELECT covar_samp(da, da) / 2 + 1e-6::DOUBLE AS n11, covar_samp(da, db) / 2 AS n12, covar_samp(db, db) / 2 + 1e-6::DOUBLE AS n22 FROM df WHERE da IS NOT NULL),
+ch AS (SELECT 1 / sqrt(n11) AS i11, 1 / sqrt(n22 - n12 * n12 / n11) AS i22, -(n12 / n11) / sqrt(n22 - n12 * n12 / n11) AS i21 FROM ns),
+wh AS (SELECT ma, mb, i11, i21, i22, i11 * i11 * c11 AS c11, i11 * (i21 * c11 + i22 * c12) AS c12, i21 * i21 * c11 + 2 * i21 * i22 * c12 + i22 * i22 * c22 AS c22 FROM m, ch)""" + EIGEN.format("wh") + f"""
+SELECT vec_id, {r6('(p1 * i11 + q1 * i21) * (a - ma) + q1 * i22 * (b - mb)')} AS s0, {r6('(p2 * i11 + q2 * i21) * (a - ma) + q2 * i22 * (b - mb)')} AS s1 FROM t, ev"""
+
+
+def rounds(kmeans: int, isodata: int) -> str:
+    """Rounds of clustering from the centres c0, one after the other; rounds of ISODATA keep classes of 10 or more."""
+    sql = E + LONG.format("e") + ", c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cls, v AS m FROM e ORDER BY vec_id LIMIT 4)"
+    for i in range(kmeans + isodata):
+        sql += NEAR.format(c=f"c{i}", out=f"n{i}").replace("d2", f"d{i}_") + f", b{i} AS (SELECT cls, band, avg(value) AS m, count(*) AS n FROM l JOIN n{i} USING (vec_id) GROUP BY cls, band)"
+        keep = "WHERE n >= 10" if i >= kmeans else ""
+        sql += f", c{i + 1} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cls) - 1 AS cls, list(m ORDER BY band) AS m FROM b{i} {keep} GROUP BY cls)"
+    last = kmeans + isodata
+    return sql + NEAR.format(c=f"c{last}", out="done").replace("d2", "dd").replace("SELECT vec_id, arg_min(cls, (d, cls)) AS cls FROM", "SELECT vec_id, arg_min(cls, (d, cls))::INT AS cls, min(d) AS d FROM")
+
+
+def spline() -> str:
+    """Twice the size by the cubic spline through the pixels: weights of the pixels around a place, by its fraction."""
+    b = lambda d: 2 / 3 - d**2 + d**3 / 2 if d <= 1 else max(0.0, 2 - d) ** 3 / 6
+    z = 3**0.5 - 2
+    w = [(p, o, sum(b(abs(p - t)) * 3**0.5 * z ** abs(t - o) for t in range(-1, 3))) for p in (0.0, 0.25, 0.75) for o in range(-24, 26)]
+    at = lambda t, n: f"least(greatest(({t} + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), {n} - 1)"
+    return E + f""", s AS (SELECT max(y) + 1 AS h FROM e), w(p, o, w) AS (VALUES {', '.join(f'({p}::DOUBLE, {o}, {v!r}::DOUBLE)' for p, o, v in w)}),
+ry AS (SELECT t, h, {at('t', 'h')} AS u FROM s, unnest(range(0, 2 * h)) AS a(t)), rx AS (SELECT t, {at('t', str(WIDTH))} AS u FROM range(0, {2 * WIDTH}) a(t)),
+up AS (SELECT t AS ty, e.x, sum(w * v[1]) AS v FROM ry JOIN w ON w.p = u - floor(u) JOIN e ON e.y = least(greatest(floor(u) + o, 0), h - 1) GROUP BY t, e.x)
+SELECT ty::INT AS y, t::INT AS x, {r6('sum(w * v)')} AS v FROM rx JOIN w ON w.p = u - floor(u) JOIN up ON up.x = least(greatest(floor(u) + o, 0), {WIDTH - 1}) GROUP BY ty, t"""
 
 
-CONTINUUM = ABS + " " + " UNION ALL ".join(f"SELECT vec_id, {i} AS band, {r6(clip(f'v[{i + 1}] / greatest({chord(i)}, 1e-7)', 0, 1))} AS cr FROM a" for i in range(8))
+def pan_sharpened(method: str) -> str:
+    """Three bands of ten by ten pixels, bilinear on the grid of twenty by twenty, and sharpened."""
+    at = lambda t: f"least(greatest(({t} + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), 9)"
+    grid = ABS + f""", ms AS (SELECT y, x - 5 AS x, v[{RED + 1}] AS r, v[{GREEN + 1}] AS g, v[{BLUE + 1}] AS b FROM a WHERE x >= 5 AND x < 15 AND y < 10),
+t AS (SELECT y, x, list_sum(v) / 64 AS pan, {at('y')} AS fy, {at('x')} AS fx FROM a WHERE x < 20 AND y < 20),
+wt AS (SELECT t.y, t.x, any_value(t.pan) AS pan, {', '.join(f'sum((1 - abs(fy - ms.y)) * (1 - abs(fx - ms.x)) * {c}) / sum((1 - abs(fy - ms.y)) * (1 - abs(fx - ms.x))) AS {c}' for c in 'rgb')} FROM t JOIN ms ON abs(fy - ms.y) < 1 AND abs(fx - ms.x) < 1 GROUP BY t.y, t.x)"""
+    if method == "brovey":
+        return grid + f" SELECT y::INT AS y, x::INT AS x, {', '.join(r6(f'{c} * pan / ({SIM} + 1e-6)') + f' AS {c}' for c in 'rgb')} FROM wt"
+    return grid + f""", q AS (SELECT *, {SIM} AS gs FROM wt),
+m AS (SELECT avg(pan) AS mp, stddev_pop(pan) AS sp, avg(gs) AS mg, stddev_pop(gs) AS sg, var_pop(gs) AS vg, covar_samp(r, gs) AS cr, covar_samp(g, gs) AS cg, covar_samp(b, gs) AS cb FROM q)
+SELECT y::INT AS y, x::INT AS x, {', '.join(r6(f'{c} + c{c} / (vg + 1e-6) * ((pan - mp) / (sp + 1e-6) * sg + mg - gs)') + f' AS {c}' for c in 'rgb')} FROM q, m"""
 
 
 def resampled(method: str) -> str:
@@ -119,8 +188,7 @@ SELECT ty::INT AS y, tx::INT AS x, {r6('sum((1 - abs(fy - e.y)) * (1 - abs(fx -
 
 
 LAT, LON = geodesy.sql("(500000.0::DOUBLE + 10 * (x + 0.5::DOUBLE))", "(3500000.0::DOUBLE - 10 * (y + 0.5::DOUBLE))", 50)
-STEPS = [(n, float(w), float(v)) for n, _, curve in library.curves() for w, v in zip(library.GRID[::50], curve[::50])]
-LIB = "WITH lib(name, wl, r) AS (VALUES " + ", ".join(f"('{n}', {w!r}::DOUBLE, {v!r}::DOUBLE)" for n, w, v in STEPS) + ")"
+LIB = "WITH lib AS (SELECT name, unnest(range(400, 2501))::DOUBLE AS wl, unnest(r) AS r FROM (VALUES " + ", ".join(f"('{n}', {[float(v) for v in curve]!r}::DOUBLE[])" for n, _, curve in library.curves()) + ") t(name, r))"
 QPOINTS = ", pt(wl, v) AS (VALUES " + ", ".join(f"({w}::DOUBLE, {v}::DOUBLE)" for w, v in POINTS) + ")"
 SHARP = ABS + f", p AS (SELECT vec_id, v[{RED + 1}] AS r, v[{GREEN + 1}] AS g, v[{BLUE + 1}] AS b, list_sum(v) / 64 AS pan FROM a)"
 SIM = "(r * (1.0::DOUBLE / 3) + g * (1.0::DOUBLE / 3) + b * (1.0::DOUBLE / 3))"
@@ -174,7 +242,7 @@ SELECT l_orderkey, l_linenumber, {r6('least(greatest(c[low + 1] + (c[low + 2] -
     "sid_classify": f"{SID} SELECT vec_id, arg_min(cls, (d, cls))::INT AS cls, {r6('min(d)')} AS score FROM dv GROUP BY vec_id",
     "kmeans_step": f"{NEW} SELECT cls::INT AS cls, band, {r6('m')} AS centre FROM nb",
     "isodata_prune": NEW + ", c1 AS (SELECT row_number() OVER (ORDER BY cls) - 1 AS cls, m FROM (SELECT cls, list(m ORDER BY band) AS m FROM nb GROUP BY cls HAVING min(n) >= 10))" + NEAR.format(c="c1", out="n1").replace("d2 ", "d3 ").replace("FROM d2", "FROM d3") + " SELECT vec_id, cls::INT AS cls FROM n1",
-    "thematic_rgb": f"""{E}, pal AS (SELECT [[255,0,0],[0,255,0],[0,0,255],[255,255,0],[0,255,255],[255,0,255],[255,128,0],[128,0,255],[0,128,128],[128,128,0]] AS p),
+    "thematic_rgb": f"""{E}, pal AS (SELECT {[list(c) for c in PALETTE]!r} AS p),
 c AS (SELECT vec_id, CASE WHEN label - 1 < 0 THEN [0, 0, 0] ELSE p[(label - 1) % 10 + 1] END AS c FROM e, pal) SELECT vec_id, c[1]::INT AS r, c[2]::INT AS g, c[3]::INT AS b FROM c""",
     "library_match": f"""{LIB}{QPOINTS}, ax AS (SELECT DISTINCT wl FROM lib),
 br AS (SELECT ax.wl, (SELECT max(wl) FROM pt WHERE pt.wl <= ax.wl) AS w0, (SELECT min(wl) FROM pt WHERE pt.wl >= ax.wl) AS w1 FROM ax),
@@ -190,14 +258,22 @@ FROM (SELECT vec_id FROM e) k CROSS JOIN br LEFT JOIN pts p0 ON p0.vec_id = k.ve
 SELECT {r6('po * 100')} AS oa, {r6('CASE WHEN pe >= 1 THEN 1 ELSE (po - pe) / (1 - pe) END')} AS kappa FROM k""",
     "producer_user_accuracy": f"{MARGINS} SELECT cls, {r6('CASE WHEN rn = 0 THEN 0 ELSE hit * 100.0::DOUBLE / rn END')} AS pa, {r6('CASE WHEN pn = 0 THEN 0 ELSE hit * 100.0::DOUBLE / pn END')} AS ua FROM mg",
     "label_confusion": "SELECT quality AS ref, toxic AS pred, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY quality, toxic",
-    "covariance": f"{E}, s AS (SELECT v FROM e) {cov_table()}",
-    "mnf_noise_cov": f"{E}, p AS (SELECT v, lag(v) OVER (PARTITION BY y ORDER BY x) AS b FROM e), s AS (SELECT list_transform(list_zip(v, b), lambda z: z[1] - z[2]) AS v FROM p WHERE b IS NOT NULL) {cov_table(' * 0.5')}",
+    "covariance": f"{E}{cov_table('e')}",
+    "mnf_noise_cov": DIFFERENCES + cov_table("s", " * 0.5"),
+    "pca_scores": PCA2,
+    "pca_energy": E + LONG.format("e") + f", mb AS (SELECT band, avg(value) AS m FROM l GROUP BY band) SELECT vec_id, {r6('sum((value - m) * (value - m))')} AS energy FROM l JOIN mb USING (band) GROUP BY vec_id",
+    "mnf_scores": MNF2,
+    "mlc_classify": MLC,
+    "kmeans_full": rounds(10, 0) + f" SELECT vec_id, cls, {r6('d')} AS score FROM done",
+    "isodata_full": rounds(5, 10) + " SELECT vec_id, cls FROM done",
+    "resample_cubic": spline(),
+    "pan_sharpen_brovey": pan_sharpened("brovey"),
+    "pan_sharpen_gram_schmidt": pan_sharpened("gram_schmidt"),
+    "raster_accuracy": f"{E}, f AS (SELECT y, x, label FROM e WHERE x < 20 AND y < 20), c AS (SELECT y, x - 15 AS x, label FROM e WHERE x >= 15 AND y < 10) SELECT c.label::INT AS ref, f.label::INT AS pred, count(*) AS n FROM f JOIN c ON c.y = f.y // 2 AND c.x = f.x // 2 GROUP BY c.label, f.label",
+    "warp_average": f"{E} SELECT (y // 2)::INT AS y, (x // 2)::INT AS x, {r6('avg(v[1])')} AS v0, {r6('avg(v[2])')} AS v1 FROM e WHERE x < 20 AND y < 20 GROUP BY y // 2, x // 2",
     "pca_variance": E + LONG.format("e") + f" SELECT {r6('sum(s)')} AS variance FROM (SELECT var_samp(value) AS s FROM l GROUP BY band)",
-    "abundance": ABS + means("a") + f""", f AS (SELECT a.vec_id, list_dot_product(m0.m, m0.m) AS aa, list_dot_product(m0.m, m1.m) AS ab, list_dot_product(m1.m, m1.m) AS bb, list_dot_product(a.v, m0.m) AS x0, list_dot_product(a.v, m1.m) AS x1
-  FROM a, (SELECT m FROM refs WHERE cls = 0) m0, (SELECT m FROM refs WHERE cls = 1) m1)
-SELECT vec_id, {r6('greatest((bb * x0 - ab * x1) / (aa * bb - ab * ab), 0)')} AS a0, {r6('greatest((aa * x1 - ab * x0) / (aa * bb - ab * ab), 0)')} AS a1 FROM f""",
+    "abundance": ABUNDANCE,
     "continuum": CONTINUUM,
-    "continuum_native": CONTINUUM,
     "toa_reflectance": items("CASE WHEN b1 * 200 > 0 THEN b1 * 200 * 2e-5 + -0.1::DOUBLE ELSE 0 END", out="rho"),
     "toa_radiance": items("CASE WHEN b1 * 200 > 0 THEN b1 * 200 * 0.5::DOUBLE + 10 ELSE 0 END", out="rho"),
     "dos1": items("CASE WHEN b1 > 0 THEN greatest(0, b1 * 200 * 2e-5 + -0.1::DOUBLE - p) ELSE 0 END", ", st AS (SELECT quantile_cont(r, 0.01::DOUBLE) AS p FROM (SELECT b1 * 200 * 2e-5 + -0.1::DOUBLE AS r FROM li WHERE b1 > 0) WHERE r > 0)", "rho", "li, st"),

@@ -88,6 +88,11 @@ class Raster:
         row = self.df.filter((F.col("y") == y) & (F.col("x") == x)).select("spectrum").first()
         return list(row[0]) if row else None
 
+    def profile_by_wavelength(self, x: int, y: int) -> list[tuple[float, float]] | None:
+        """(wavelength in nm, value) of one pixel, by ascending wavelength whatever the order of the bands."""
+        values = self.profile(x, y)
+        return None if values is None else sorted(zip(self.meta.wavelengths(), values))
+
     def to_numpy(self) -> np.ndarray:
         """(bands, height, width), for tests and small rasters."""
         out = np.full((self.meta.bands, self.meta.height, self.meta.width), np.nan, np.float64)

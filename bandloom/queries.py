@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import color, indices, stretch
 from bandloom.functions.bandmath import band_math
-from bandloom.operators import accuracy, classify, combine, geodesy, library, radiometry, resample, roi, stats, svm, transforms
+from bandloom.operators import accuracy, classify, combine, geodesy, library, radiometry, roi, stats, svm, transforms, warp
+from bandloom.operators.bands import match_bands
 from bandloom.plans import num
+from bandloom.plans.linalg import mean_and_covariance
 from bandloom.plans.num import lit, r6
 from bandloom.plans.raster import BandInfo, Raster, RasterMetadata, pixel_to_geo
 from bandloom.streaming import running
 
-WIDTH, BANDS = 25, 64
+WIDTH, BANDS, LINE = 25, 64, 1 << 20
 BLUE, GREEN, RED, NIR, SWIR2 = 3, 5, 8, 14, 57
 TRANSFORM, CRS = (10.0, 0.0, 500000.0, 0.0, -10.0, 3500000.0), "EPSG:32650"
 TRIANGLE = [(1.5, 1.5), (20.5, 3.5), (8.5, 17.5)]
@@ -62,9 +64,9 @@ def bright(i: int) -> Column:
     return F.abs(band(i))
 
 
-def positive(df: DataFrame, bands: int = BANDS) -> DataFrame:
-    """df with absolute values, of the first bands only."""
-    return df.withColumn("spectrum", F.transform(F.slice("spectrum", 1, bands), F.abs))
+def positive(df: DataFrame) -> DataFrame:
+    """df with absolute values."""
+    return df.withColumn("spectrum", F.transform("spectrum", F.abs))
 
 
 def height(df: DataFrame) -> int:
@@ -112,12 +114,9 @@ def spatial_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The band nearest to each target, less than 350 nm away; the lowest of equals."""
-    axis = spark.createDataFrame([(i, float(w)) for i, w in enumerate(np.linspace(400, 2400, BANDS))], "band int, wl double")
-    wanted = spark.createDataFrame([("blue", 480.0), ("green", 550.0), ("red", 660.0), ("nir", 840.0), ("swir2", 2200.0)], "target string, at double")
-    gap = F.abs(F.col("wl") - F.col("at"))
-    near = axis.crossJoin(F.broadcast(wanted)).filter(gap < 350).groupBy("target").agg(F.min(F.struct(gap.alias("gap"), "band", "wl")).alias("m"))
-    return near.select("target", F.col("m.band").alias("band"), r6(F.col("m.wl")).alias("wl"))
+    axis = [float(w) for w in np.linspace(400, 2400, BANDS)]
+    found = match_bands(RasterMetadata(WIDTH, 1, BANDS, band_details=tuple(BandInfo(i, "", w) for i, w in enumerate(axis))))
+    return spark.createDataFrame([(k, i, axis[i]) for k, i in found.items()], "target string, band int, wl double").withColumn("wl", r6(F.col("wl")))
 
 
 @query
@@ -305,7 +304,7 @@ def first_centres(x: DataFrame, k: int = 4) -> list[list[float]]:
 @query
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = cube(spark, sf_dir)
-    return rounded(classify.centre_means(classify.nearest_centre(x, first_centres(x))).drop("n"), "cls", "band")
+    return rounded(classify.centre_means(x, first_centres(x)).drop("n"), "cls", "band")
 
 
 @query
@@ -317,20 +316,22 @@ def isodata_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done, _ = classify.kmeans(cube(spark, sf_dir), 4)
+    x = cube(spark, sf_dir)
+    done, _ = classify.kmeans(x, start=first_centres(x), max_iter=10, tol=0.0)
     return rounded(done.select("vec_id", "cls", "score"), "vec_id", "cls")
 
 
 @query
 def isodata_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.isodata(cube(spark, sf_dir), 4)[0].select("vec_id", "cls")
+    x = cube(spark, sf_dir)
+    return classify.isodata(x, start=first_centres(x))[0].select("vec_id", "cls")
 
 
 @query
 def mlc_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = positive(cube(spark, sf_dir), 8)
+    x = positive(cube(spark, sf_dir))
     done = classify.maximum_likelihood(x, x.select(F.col("label").alias("class_id"), "spectrum"), probability=0.01)
-    return rounded(done.select("vec_id", "cls", "score"), "vec_id", "cls")
+    return done.select("vec_id", "cls", (F.round("score", 3) + lit(0.0)).alias("score"))
 
 
 @query
@@ -349,7 +350,7 @@ def thematic_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def library_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     wl, v = zip(*POINTS)
-    return library.match(spark, wl, v, step=50).select("name", r6(F.col("angle")).alias("angle"))
+    return library.match(spark, wl, v).select("name", r6(F.col("angle")).alias("angle"))
 
 
 @query
@@ -402,14 +403,12 @@ def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = cube(spark, sf_dir).select(*(band(i).alias(f"v{i}") for i in range(8)))
-    return rounded(stats.covariance_table(x, [f"v{i}" for i in range(8)]), "i", "j")
+    return rounded(stats.covariance_table(spark, mean_and_covariance(cube(spark, sf_dir))[2]), "i", "j")
 
 
 @query
 def mnf_noise_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = transforms.differences(cube(spark, sf_dir)).select(*(F.get("d", lit(i)).alias(f"v{i}") for i in range(8)))
-    return rounded(stats.covariance_table(d, [f"v{i}" for i in range(8)], 0.5), "i", "j")
+    return rounded(stats.covariance_table(spark, transforms.difference_covariance(cube(spark, sf_dir))[1] / 2), "i", "j")
 
 
 @query
@@ -423,14 +422,26 @@ def _scores(done: DataFrame, k: int) -> DataFrame:
     return done.select("vec_id", *(r6(F.get("scores", lit(i))).alias(f"s{i}") for i in range(k)))
 
 
+def red_and_nir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene of two bands, whose components have a closed form."""
+    return cube(spark, sf_dir).withColumn("spectrum", F.array(band(RED), band(NIR)))
+
+
 @query
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(transforms.pca(cube(spark, sf_dir))[0], 3)
+    return _scores(transforms.pca(red_and_nir(spark, sf_dir), 2)[0], 2)
+
+
+@query
+def pca_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squared length of all 64 scores of a pixel."""
+    done = transforms.pca(cube(spark, sf_dir), BANDS)[0]
+    return done.select("vec_id", r6(num.dot(F.col("scores"), F.col("scores"))).alias("energy"))
 
 
 @query
 def mnf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(transforms.mnf(cube(spark, sf_dir))[0], 3)
+    return _scores(transforms.mnf(red_and_nir(spark, sf_dir), 2)[0], 2)
 
 
 @query
@@ -447,19 +458,13 @@ def sff_endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = positive(cube(spark, sf_dir))
-    done = transforms.abundances(x, np.array(references(x)[:2]))
-    return done.select("vec_id", *(r6(F.get("abundance", lit(i))).alias(f"a{i}") for i in range(2)))
+    done = transforms.abundances(x, np.array(references(x)))
+    return rounded(done.select("vec_id", F.posexplode("abundance").alias("member", "share")), "vec_id", "member")
 
 
 @query
 def continuum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = transforms.continuum_removed(positive(cube(spark, sf_dir), 8))
-    return rounded(done.select("vec_id", F.posexplode("cr").alias("band", "cr")), "vec_id", "band")
-
-
-@query
-def continuum_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = transforms.continuum_expression(positive(cube(spark, sf_dir), 8), 8)
+    done = transforms.continuum_removed(positive(cube(spark, sf_dir)))
     return rounded(done.select("vec_id", F.posexplode("cr").alias("band", "cr")), "vec_id", "band")
 
 
@@ -488,13 +493,14 @@ def dos1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def layer_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and sums of their items as one raster of three bands, by the key both have."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("y"), lit(0).alias("x"), F.array(F.col("o_totalprice").cast("double")).alias("spectrum"))
+    place = lambda key: (F.floor(F.col(key) / LINE).cast("int").alias("y"), (F.col(key) % LINE).cast("int").alias("x"))
+    orders = table(spark, sf_dir, "orders").select(*place("o_orderkey"), F.array(F.col("o_totalprice").cast("double")).alias("spectrum"))
     li = items(spark, sf_dir).groupBy("l_orderkey").agg(F.sum("b1").alias("q"), F.avg("b2").alias("p"))
-    li = li.select(F.col("l_orderkey").cast("int").alias("y"), lit(0).alias("x"), F.array("q", "p").alias("spectrum"))
+    li = li.select(*place("l_orderkey"), F.array("q", "p").alias("spectrum"))
     a, b = Raster(RasterMetadata(1, 1, 1), orders, "orders"), Raster(RasterMetadata(1, 1, 2), li, "items")
     done = combine.stack([(a, 0), (b, 0), (b, 1)]).df
     cell = lambda i: r6(F.when(~F.isnan(band(i)), band(i)))
-    return done.select(F.col("y").cast("long").alias("o_orderkey"), cell(0).alias("b0"), cell(1).alias("b1"), cell(2).alias("b2"))
+    return done.select((F.col("y").cast("long") * LINE + F.col("x")).alias("o_orderkey"), cell(0).alias("b0"), cell(1).alias("b1"), cell(2).alias("b2"))
 
 
 def first_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,7 +511,7 @@ def _resample(method: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = first_band(spark, sf_dir)
         h = height(x)
-        return resample.resample(x, (h, WIDTH), (2 * h, 2 * WIDTH), method).select("y", "x", r6(F.col("value")).alias("v"))
+        return warp.resample(x, (h, WIDTH), (2 * h, 2 * WIDTH), method).select("y", "x", r6(F.col("value")).alias("v"))
 
     return run
 
@@ -560,6 +566,42 @@ def gram_schmidt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("vec_id", *(r6(F.col(f"{n}1")).alias(n) for n in "rgb"))
 
 
+def window_raster(df: DataFrame, x0: int, y0: int, size: int, spectrum: Column, bands: int, px: float) -> Raster:
+    """A square window of the cube as a raster of its own, whose pixels have a size of px."""
+    part = combine.crop(df, x0, x0 + size, y0, y0 + size).select("y", "x", spectrum.alias("spectrum"))
+    return Raster(RasterMetadata(size, size, bands, crs=CRS, transform=(px, 0.0, 500000.0, 0.0, -px, 3500000.0)), part, "window")
+
+
+def sharpened(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = cube(spark, sf_dir)
+        pan = window_raster(x, 0, 0, 20, F.array(num.total(F.transform("spectrum", F.abs)) / BANDS), 1, 10.0)
+        ms = window_raster(x, 5, 0, 10, F.array(bright(RED), bright(GREEN), bright(BLUE)), 3, 20.0)
+        return combine.pan_sharpened(pan, ms, method).df.select("y", "x", *(r6(band(i)).alias(n) for i, n in enumerate("rgb")))
+
+    return run
+
+
+QUERIES |= {"pan_sharpen_brovey": sharpened("brovey"), "pan_sharpen_gram_schmidt": sharpened("gram_schmidt")}
+
+
+@query
+def raster_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class raster against a coarser one, which is resized to it."""
+    x = cube(spark, sf_dir)
+    fine, coarse = (window_raster(x, x0, 0, size, F.array(F.col("label").cast("double")), 1, px) for x0, size, px in ((0, 20, 10.0), (15, 10, 20.0)))
+    return accuracy.assess(fine, coarse, resize=True)
+
+
+@query
+def warp_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of two by two pixels, averaged."""
+    x = cube(spark, sf_dir)
+    r = window_raster(x, 0, 0, 20, F.array(band(0), band(1)), 2, 10.0)
+    done = combine.warped(r.df, r.meta, warp.Grid(10, 10, (20.0, 0.0, 500000.0, 0.0, -20.0, 3500000.0), CRS), "average")
+    return done.select("y", "x", r6(band(0)).alias("v0"), r6(band(1)).alias("v1"))
+
+
 @query
 def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a stream of tiles, their statistics kept as it goes."""

@@ -16,9 +16,13 @@ from .envi import scan
 # Fixed values: (band number, name, wavelength in nm) of the sensors; the panchromatic band has a grid of its own.
 OLI = [
     (1, "Coastal Aerosol", 443.0), (2, "Blue", 482.0), (3, "Green", 561.0), (4, "Red", 655.0), (5, "Near Infrared (NIR)", 865.0),
-    (6, "SWIR 1", 1609.0), (7, "SWIR 2", 2201.0), (9, "Cirrus", 1373.0), (10, "TIRS 1", 10895.0), (11, "TIRS 2", 12005.0),
+    (6, "Shortwave Infrared 1 (SWIR 1)", 1609.0), (7, "Shortwave Infrared 2 (SWIR 2)", 2201.0), (9, "Cirrus", 1373.0),
+    (10, "Thermal Infrared 1 (TIRS 1)", 10895.0), (11, "Thermal Infrared 2 (TIRS 2)", 12005.0),
+]
+TM = [
+    (1, "Blue", 485.0), (2, "Green", 560.0), (3, "Red", 660.0), (4, "Near Infrared (NIR)", 830.0), (5, "Shortwave Infrared 1 (SWIR 1)", 1650.0),
+    (7, "Shortwave Infrared 2 (SWIR 2)", 2215.0), (6, "Thermal Infrared", 11450.0),
 ]
-TM = [(1, "Blue", 485.0), (2, "Green", 560.0), (3, "Red", 660.0), (4, "Near Infrared (NIR)", 830.0), (5, "SWIR 1", 1650.0), (6, "Thermal Infrared", 11450.0), (7, "SWIR 2", 2215.0)]
 
 
 def parse_mtl(path: str) -> dict:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.operators import accuracy, bands as band_names, classify, combine, geodesy, library, radiometry, resample, roi, stats, svm, transforms
+from bandloom.operators import accuracy, bands as band_names, classify, combine, geodesy, library, radiometry, roi, stats, svm, transforms, warp
 from bandloom.plans.linalg import mean_and_covariance
 from bandloom.plans.raster import BandInfo, Raster, RasterMetadata
 from bandloom.sources import synthetic
@@ -173,7 +173,7 @@ def test_kmeans(spark):
 
 def test_thematic(spark):
     df = spark.createDataFrame([(-1,), (0,), (11,)], "c int")
-    assert [tuple(r[0]) for r in df.select(classify.thematic_rgb(F.col("c"))).collect()] == [(0, 0, 0), (255, 0, 0), (0, 255, 0)]
+    assert [tuple(r[0]) for r in df.select(classify.thematic_rgb(F.col("c"))).collect()] == [(0, 0, 0), (0, 180, 0), (0, 100, 240)]
     assert [tuple(r[0]) for r in df.select(classify.thematic_rgb(F.col("c"), {0: (1, 2, 3)}, (9, 9, 9))).collect()] == [(9, 9, 9), (1, 2, 3), (9, 9, 9)]
 
 
@@ -238,10 +238,9 @@ def test_continuum(spark):
     assert np.allclose(cr, [1, 1, 0.4848, 0.3529, 0.8, 1, 1], atol=1e-4)
     assert transforms.continuum_1d([1, 2])[0].tolist() == [1, 2]
     rng = np.random.default_rng(1)
-    df = raster(spark, rng.uniform(0.1, 1, (6, 5, 5))).df
-    a = [r.cr for r in transforms.continuum_removed(df).orderBy("y", "x").collect()]
-    b = [r.cr for r in transforms.continuum_expression(df, 6).orderBy("y", "x").collect()]
-    assert np.allclose(a, b)
+    cube = rng.uniform(0.1, 1, (6, 5, 5))
+    got = [r.cr for r in transforms.continuum_removed(raster(spark, cube).df).orderBy("y", "x").collect()]
+    assert np.allclose(got, [transforms.continuum_1d(v)[0] for v in cube.reshape(6, -1).T.astype(np.float32)])
 
 
 def test_library(spark):
@@ -262,18 +261,18 @@ def test_library(spark):
 def test_resample(spark):
     a = np.zeros((9, 9))
     a[4, 4] = 1
-    up = image(resample.resample(bands(spark, a), (9, 9), (18, 18)), "value")
+    up = image(warp.resample(bands(spark, a), (9, 9), (18, 18)), "value")
     assert up.sum() == pytest.approx(4.0) and up[8, 8] == up.max()
-    b = image(resample.resample(bands(spark, [[10, 20], [30, 40]]), (2, 2), (4, 4)), "value")
+    b = image(warp.resample(bands(spark, [[10, 20], [30, 40]]), (2, 2), (4, 4)), "value")
     assert b.shape == (4, 4) and b.min() == 10 and b.max() == 40
-    down = image(resample.resample(bands(spark, np.arange(16).reshape(4, 4)), (4, 4), (2, 2)), "value")
+    down = image(warp.resample(bands(spark, np.arange(16).reshape(4, 4)), (4, 4), (2, 2)), "value")
     assert down.ravel().tolist() == [2.5, 4.5, 10.5, 12.5]
-    near = image(resample.resample(bands(spark, [[1, 2], [3, 4]]), (2, 2), (4, 4), "nearest"), "value")
+    near = image(warp.resample(bands(spark, [[1, 2], [3, 4]]), (2, 2), (4, 4), "nearest"), "value")
     assert near[:2, :2].tolist() == [[1, 1], [1, 1]] and near[3, 3] == 4
-    flat = image(resample.resample(bands(spark, np.full((150, 10), 3.0)), (150, 10), (300, 25), "cubic"), "value")
+    flat = image(warp.resample(bands(spark, np.full((150, 10), 3.0)), (150, 10), (300, 25), "cubic"), "value")
     assert flat.shape == (300, 25) and np.allclose(flat, 3)
     ramp = np.add.outer(np.arange(150.0), np.zeros(6))
-    whole = image(resample.resample(bands(spark, ramp), (150, 6), (300, 6), "cubic"), "value")
+    whole = image(warp.resample(bands(spark, ramp), (150, 6), (300, 6), "cubic"), "value")
     assert np.allclose(whole[20:-20, 0], (np.arange(20, 280) + 0.5) / 2 - 0.5, atol=1e-6)
     with pytest.raises(ValueError):
         combine.method_name("odd")
@@ -378,3 +377,140 @@ def test_regions_as_references_and_windows(spark):
     assert combine.subset_to_roi(r, left).to_numpy().shape == (2, 6, 2)
     with pytest.raises(ValueError):
         combine.subset_to_roi(r, roi.ROI())
+
+
+def brute(values, sy, sx, method):
+    """Values at places of one band, by definition."""
+    h, w = values.shape
+    taps = {"bilinear": 1, "cubic": 2, "cubic_spline": 2, "lanczos": 3}[method]
+
+    def weight(d):
+        d = abs(d)
+        if method == "bilinear":
+            return max(0.0, 1 - d)
+        if method == "cubic":
+            return 1.5 * d**3 - 2.5 * d**2 + 1 if d <= 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d < 2 else 0.0
+        if method == "cubic_spline":
+            return 2 / 3 - d**2 + d**3 / 2 if d <= 1 else (2 - d) ** 3 / 6 if d < 2 else 0.0
+        return float(np.sinc(d) * np.sinc(d / 3)) if d < 3 else 0.0
+
+    out = np.full(sy.shape, np.nan)
+    for at in np.ndindex(sy.shape):
+        y, x = min(max(sy[at], 0), h - 1), min(max(sx[at], 0), w - 1)
+        if not (-0.5 <= sy[at] < h - 0.5 and -0.5 <= sx[at] < w - 0.5):
+            continue
+        total = weights = 0.0
+        for i in range(int(np.floor(y)) - taps + 1, int(np.floor(y)) + taps + 1):
+            for j in range(int(np.floor(x)) - taps + 1, int(np.floor(x)) + taps + 1):
+                if 0 <= i < h and 0 <= j < w and np.isfinite(values[i, j]):
+                    k = weight(y - i) * weight(x - j)
+                    total, weights = total + k * values[i, j], weights + k
+        out[at] = total / weights if weights > 1e-9 else np.nan
+    return out
+
+
+@pytest.mark.parametrize("method", ["bilinear", "cubic", "cubic_spline", "lanczos"])
+def test_warps_by_definition(spark, method, monkeypatch):
+    """Every method, across tiles, with holes, on a shifted and finer grid."""
+    monkeypatch.setattr(warp, "TILE", 8)
+    rng = np.random.default_rng(3)
+    v = rng.uniform(1, 9, (14, 17))
+    v[5, 6] = v[0, 3] = np.nan
+    r = raster(spark, np.stack([v, 2 * v]), transform=(30.0, 0.0, 0.0, 0.0, -30.0, 420.0), crs="EPSG:32650")
+    grid = warp.Grid(31, 22, (18.0, 0.0, -40.0, 0.0, -20.0, 435.0), "EPSG:32650")
+    got = np.full((2, 22, 31), np.nan)
+    for p in combine.warped(r.df, r.meta, grid, method).collect():
+        got[:, p.y, p.x] = p.spectrum
+    x, y = np.meshgrid(-40 + 18 * (np.arange(31) + 0.5), 435 - 20 * (np.arange(22) + 0.5))
+    want = brute(v.astype(np.float32).astype(float), (420 - y) / 30 - 0.5, x / 30 - 0.5, method)
+    assert np.allclose(got[0], want, equal_nan=True) and np.allclose(got[1], 2 * got[0], equal_nan=True, rtol=1e-5)
+
+
+def test_average_and_rotation(spark):
+    v = np.arange(64.0).reshape(8, 8)
+    r = raster(spark, v, transform=(10.0, 0.0, 0.0, 0.0, -10.0, 80.0), crs="EPSG:32650")
+    out = np.zeros((4, 4))
+    for p in combine.warped(r.df, r.meta, warp.Grid(4, 4, (20.0, 0.0, 0.0, 0.0, -20.0, 80.0), "EPSG:32650"), "average").collect():
+        out[p.y, p.x] = p.spectrum[0]
+    assert np.allclose(out, v.reshape(4, 2, 4, 2).mean(axis=(1, 3)))
+    turned = raster(spark, v, transform=(0.0, 10.0, 0.0, 10.0, 0.0, 0.0), crs="EPSG:32650")  # rows and columns change places
+    out = np.zeros((8, 8))
+    for p in combine.warped(turned.df, turned.meta, warp.Grid(8, 8, (10.0, 0.0, 0.0, 0.0, -10.0, 80.0), "EPSG:32650"), "nearest").collect():
+        out[p.y, p.x] = p.spectrum[0]
+    assert np.array_equal(out, v.T[::-1])
+    with pytest.raises(ValueError):
+        combine.mosaic([r], method="odd")
+
+
+def test_zone_to_zone(spark):
+    """A smooth field in zone 50, seen from zone 51 near their border, has the values of its places."""
+    field = lambda lat, lon: 1000 * (lat - 36) + 100 * (lon - 120)
+    t = (500.0, 0.0, 765000.0, 0.0, -500.0, 4000000.0)
+    x, y = np.meshgrid(t[2] + 500 * (np.arange(40) + 0.5), t[5] - 500 * (np.arange(40) + 0.5))
+    lat, lon = geodesy.utm_to_wgs84(x, y, "EPSG:32650", geodesy.Arrays)
+    a = raster(spark, field(lat, lon), transform=t, crs="EPSG:32650")
+    m = combine.mosaic([a], crs="EPSG:32651", resolution=500.0, background=-9999.0)
+    assert m.meta.crs == "EPSG:32651"
+    got = m.to_numpy()[0]
+    g = m.meta.transform
+    x, y = np.meshgrid(g[2] + 500 * (np.arange(m.meta.width) + 0.5), g[5] - 500 * (np.arange(m.meta.height) + 0.5))
+    lat, lon = geodesy.utm_to_wgs84(x, y, "EPSG:32651", geodesy.Arrays)
+    inside = got != -9999.0
+    assert 0.8 * 1600 < inside.sum() < 1.2 * 1600 and np.abs(got - field(lat, lon))[inside].max() < 3  # half a pixel at the edge
+    back = geodesy.converted(*geodesy.converted(x, y, "EPSG:32651", "EPSG:32650"), "EPSG:32650", "EPSG:32651")
+    assert np.allclose(back[0], x, atol=1e-3) and np.allclose(back[1], y, atol=1e-3)
+
+
+def test_pan_sharpened_raster(spark):
+    t = (15.0, 0.0, 0.0, 0.0, -15.0, 300.0)
+    pan = raster(spark, np.full((20, 20), 100.0), transform=t, crs="EPSG:32650")
+    ms = raster(spark, np.stack([np.full((10, 10), v) for v in (40.0, 50.0, 60.0)]))
+    out = combine.pan_sharpened(pan, ms)
+    assert (out.meta.width, out.meta.height, out.meta.bands, out.meta.transform) == (20, 20, 3, t)
+    assert np.allclose(out.to_numpy(), np.array([80.0, 100.0, 120.0])[:, None, None], rtol=1e-3)
+    flat = combine.pan_sharpened(raster(spark, np.full((20, 20), 50.0)), ms, "gram_schmidt", [0, 2])
+    assert np.allclose(flat.to_numpy(), np.array([40.0, 60.0])[:, None, None], atol=1e-3)
+    named = RasterMetadata(1, 1, 2, band_details=(BandInfo(0, "Red"), BandInfo(1, "Panchromatic")))
+    assert combine.pan_band(named) == 1 and combine.pan_band(RasterMetadata(1, 1, 3)) is None
+    for bad in ({"method": "odd"}, {"bands": []}):
+        with pytest.raises(ValueError):
+            combine.pan_sharpened(pan, ms, **bad)
+
+
+def test_accuracy_of_rasters(spark, tmp_path):
+    c = raster(spark, np.array([[0.0, 1.0], [2.0, 0.0]]))
+    same = accuracy.assess(c, c)
+    assert accuracy.accuracy_metrics(same).first().oa == 100 and same.count() == 3
+    big = raster(spark, np.kron([[0.0, 1.0], [2.0, 1.0]], np.ones((2, 2))))
+    with pytest.raises(ValueError, match="shapes differ"):
+        accuracy.assess(big, c)
+    out = {(r.ref, r.pred): r.n for r in accuracy.assess(big, c, resize=True).collect()}
+    assert out == {(0, 0): 4, (1, 1): 4, (2, 2): 4, (0, 1): 4}
+    text = accuracy.report(same, path=str(tmp_path / "report.txt"))
+    assert (tmp_path / "report.txt").read_text().strip() == text.strip()
+
+
+def test_angles_reports_and_names(spark):
+    assert library.spectral_angle_degrees([1, 2, 3], [2, 4, 6]) == pytest.approx(0, abs=1e-5)
+    assert library.spectral_angle_degrees([1, 0, np.nan], [0, 1, 5]) == pytest.approx(90)
+    assert np.isnan(library.spectral_angle_degrees([0, 0], [1, 1])) and np.isnan(library.spectral_angle_degrees([np.nan], [1.0]))
+    assert "estimated SNR 2.50" in transforms.component_report("mnf", "scene", 4, [3.5, 0.9]) and "estimated SNR 0.00" in transforms.component_report("mnf", "scene", 4, [0.9])
+    assert "Variance explained: 90.00 %" in transforms.component_report("pca", "scene", 4, [8.0, 1.0], [0.8, 0.1])
+    meta = RasterMetadata(1, 1, 3, band_details=(BandInfo(0, "Red", 655.0), BandInfo(1, "", 865.0), BandInfo(2, "Blue", 482.0)))
+    done = radiometry.calibrated_meta(meta, "radiance", [2, 1])
+    assert [b.name for b in done.band_details] == ["Blue (radiance)", "Band 2 (radiance)"] and done.band_details[0].wavelength == 482.0
+    r = raster(spark, np.array([[[1.0]], [[2.0]], [[3.0]]]), band_details=meta.band_details)
+    assert r.profile_by_wavelength(0, 0) == [(482.0, 3.0), (655.0, 1.0), (865.0, 2.0)] and r.profile_by_wavelength(5, 5) is None
+    shares = transforms.abundance_raster(r, np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]))
+    assert shares.meta.nodata == 0.0 and shares.meta.bands == 2 and shares.to_numpy()[:, 0, 0].tolist() == [1.0, 2.0]
+
+
+def test_difference_covariance(spark):
+    """The same as by a window over lines, however the pixels lie in the tasks."""
+    rng = np.random.default_rng(4)
+    df = raster(spark, rng.normal(size=(3, 9, 40))).df
+    want = np.cov(np.array([r.d for r in transforms.differences(df).collect()]).T)
+    for spread in (df.coalesce(1), df.repartition(5), df.repartition(3, "y").sortWithinPartitions("y", "x"), df.orderBy("x", "y")):
+        n, got = transforms.difference_covariance(spread)
+        assert n == 9 * 39 and np.allclose(got, want)
+    assert transforms.difference_covariance(raster(spark, np.ones((2, 3, 1))).df)[0] == 0
