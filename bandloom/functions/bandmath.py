@@ -8,7 +8,6 @@ that is sent to all rows; they may nest.
 from __future__ import annotations
 
 import ast
-import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -18,8 +17,7 @@ from pyspark.sql import functions as F
 from bandloom.plans.num import clip, either_nan, finite, lit, maximum, minimum, safe_div, truncated
 from bandloom.plans.quantile import quantiles
 
-RESERVED = {"and", "or", "not", "true", "false", "none", "pi", "e"}
-CONSTANTS = {"pi": math.pi, "e": math.e}
+RESERVED = {"and", "or", "not", "true", "false", "none", "pi", "e"}  # no variables, though some have no meaning here
 # The expressions on offer.
 PRESETS = {
     "Normalized Difference (NDVI: NIR-Red)": "(float(b4) - float(b3)) / (float(b4) + float(b3))",
@@ -98,8 +96,6 @@ class Compiler:
                 key = name.lower()
                 if key in self.variables:
                     return self.variables[key], 0
-                if key in CONSTANTS:
-                    return lit(CONSTANTS[key]), 0
                 raise ValueError(f"unknown name {name!r}")
             case ast.BinOp(left=left, op=op, right=right) if type(op) in BINARY:
                 return self.apply(BINARY[type(op)], left, right)
@@ -107,7 +103,7 @@ class Compiler:
                 return self.build(operand)
             case ast.UnaryOp(op=ast.USub(), operand=operand):
                 return self.apply(lambda x: -x, operand)
-            case ast.UnaryOp(op=ast.Invert() | ast.Not(), operand=operand):
+            case ast.UnaryOp(op=ast.Invert(), operand=operand):
                 return self.apply(lambda x: flag(~truth(x)), operand)
             case ast.Compare(left=left, ops=ops, comparators=others):
                 if not all(type(o) in COMPARE or isinstance(o, ast.NotEq) for o in ops):

@@ -9,6 +9,7 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -252,19 +253,35 @@ def read_tiff(spark: SparkSession, path: str, bands: list[int] | None = None) ->
     return Raster(meta, scan(spark, TiffSource, **options), os.path.basename(path))
 
 
+def packed(data: bytes, compress: str) -> bytes:
+    return {"none": lambda x: x, "deflate": zlib.compress, "lzw": lzw_packed}[compress](data)
+
+
 def write_tiff(path: str, cube: np.ndarray, meta: RasterMetadata, compress: str = "lzw", rows_per_strip: int = 64) -> None:
     """A chunky GeoTIFF of cube (height, width, bands)."""
-    h, w, b = cube.shape
-    dtype = cube.dtype.newbyteorder("<")
-    data = np.ascontiguousarray(cube, dtype)
-    pack = {"none": lambda x: x, "deflate": zlib.compress, "lzw": lzw_packed}.get((compress or "none").lower())
-    if pack is None:
-        raise ValueError(f"unknown compression {compress!r}")
-    strips = [pack(data[y : y + rows_per_strip].tobytes()) for y in range(0, h, rows_per_strip)]
+    how = compression(compress)
+    data = np.ascontiguousarray(cube, cube.dtype.newbyteorder("<"))
+    strips = [packed(data[y : y + rows_per_strip].tobytes(), how) for y in range(0, len(data), rows_per_strip)]
+    write_strips(path, cube.shape, cube.dtype, list(map(len, strips)), iter(strips), meta, how, rows_per_strip)
+
+
+def compression(name: str | None) -> str:
+    name = (name or "none").lower()
+    if name not in ("none", "deflate", "lzw"):
+        raise ValueError(f"unknown compression {name!r}")
+    return name
+
+
+def write_strips(path: str, shape: tuple[int, int, int], dtype: np.dtype, sizes: list[int], strips: Iterator[bytes], meta: RasterMetadata, compress: str, rows_per_strip: int) -> None:
+    """A chunky GeoTIFF from packed strips, which are read one after the other; offsets have 32 bits."""
+    h, w, b = shape
+    dtype = np.dtype(dtype)
+    if sum(sizes) + 2 * len(sizes) >= 1 << 32:
+        raise ValueError("a GeoTIFF holds 4 GB; write ENVI instead")
     kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
     entries: list[tuple[int, str, tuple]] = [
-        (WIDTH, "I", (w,)), (HEIGHT, "I", (h,)), (BITS, "H", (8 * dtype.itemsize,) * b), (COMPRESSION, "H", ({"none": 1, "lzw": 5, "deflate": 8}[(compress or "none").lower()],)),
-        (PHOTOMETRIC, "H", (1,)), (SAMPLES, "H", (b,)), (ROWS, "I", (rows_per_strip,)), (STRIP_BYTES, "I", tuple(map(len, strips))), (PLANAR, "H", (1,)), (FORMAT, "H", (kind,) * b),
+        (WIDTH, "I", (w,)), (HEIGHT, "I", (h,)), (BITS, "H", (8 * dtype.itemsize,) * b), (COMPRESSION, "H", ({"none": 1, "lzw": 5, "deflate": 8}[compress],)),
+        (PHOTOMETRIC, "H", (1,)), (SAMPLES, "H", (b,)), (ROWS, "I", (rows_per_strip,)), (STRIP_BYTES, "I", tuple(sizes)), (PLANAR, "H", (1,)), (FORMAT, "H", (kind,) * b),
     ]
     if meta.transform:
         a, rb, c, rd, e, f = meta.transform[:6]
@@ -286,9 +303,9 @@ def write_tiff(path: str, cube: np.ndarray, meta: RasterMetadata, compress: str
         entries.append((GDAL_NODATA, "s", (f"{meta.nodata:g}".encode() + b"\0",)))
     at = 8
     offsets = []
-    for s in strips:
+    for n in sizes:
         offsets.append(at)
-        at += len(s) + (len(s) & 1)
+        at += n + (n & 1)
     entries.append((STRIPS, "I", tuple(offsets)))
     entries.sort()
     directory, extra = struct.pack("<H", len(entries)), b""

@@ -1,8 +1,8 @@
 """Raster files from pixel tables.
 
-An ENVI raster is written by its tasks: each writes the strips that it holds to part files beside the target, and the
-driver puts them together in order once all are done, so a lost task leaves no hole. The target must lie in a folder that
-driver and executors share. GeoTIFF files are made on the driver from strips fetched in order, a strip at a time.
+A raster is written by its tasks: each packs the strips that it holds, as the format wants them, and writes them to part
+files beside the target; the driver copies them in order once all are done, so a lost task leaves no hole. The target
+must lie in a folder that driver and executors share.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import replace
 
 import numpy as np
@@ -76,51 +77,63 @@ def strips(r: Raster, fill: float):
     return x.groupBy("_s").applyInArrow(block, "strip int, block binary")
 
 
-def export(r: Raster, path: str, format: str = "ENVI", bands: Sequence[int] | None = None, dtype: str = "float32", nodata: float | None = None, compress: str = "lzw", interleave: str = "bsq", classes: Sequence[tuple[str, tuple[int, int, int]]] = ()) -> str:
-    """Writes a raster and gives the path of its data file."""
-    if bands is not None:
-        if not bands:
-            raise ValueError("no bands to export")
-        r = r.select_bands(bands)
-    m = r.meta
-    fill = np.nan if nodata is None else nodata
-    if format.upper() in ("GTIFF", "TIFF", "GEOTIFF"):
-        rows = {x.strip: x.block for x in strips(r, fill).orderBy("strip").toLocalIterator()}
-        parts = [np.frombuffer(rows.get(s) or np.full((min(STRIP, m.height - s * STRIP), m.width, m.bands), fill, np.float32).tobytes(), np.float32).reshape(-1, m.width, m.bands) for s in range(-(-m.height // STRIP))]
-        tiff.write_tiff(path, converted(np.concatenate(parts), dtype, nodata), replace(m, nodata=nodata), compress)
-        return path
-    if format.upper() != "ENVI":
-        raise ValueError(f"unknown format {format!r}")
-    target = path[:-4] + ".dat" if path.lower().endswith(".hdr") else path
+@contextmanager
+def parts_of(r: Raster, target: str, fill: float, dtype: str, nodata: float | None, pack: Callable[[int, np.ndarray], bytes]) -> Iterator[tuple[str, set[int]]]:
+    """A folder beside the target with a file of packed bytes for each strip, and the strips that have one. Tasks write them."""
     folder = f"{target}.parts-{uuid.uuid4().hex}"
     os.makedirs(folder)
+    m = r.meta
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, raw in zip(b.column("strip").to_pylist(), b.column("block").to_pylist()):
                 block = converted(np.frombuffer(raw, np.float32).reshape(-1, m.width, m.bands), dtype, nodata)
-                order = {"bsq": (2, 0, 1), "bil": (0, 2, 1), "bip": (0, 1, 2)}[interleave]
                 name = os.path.join(folder, f"{s}")
                 with open(f"{name}.{uuid.uuid4().hex}", "wb") as f:  # a second attempt replaces the first as a whole
-                    f.write(np.ascontiguousarray(block.transpose(order)).tobytes())
+                    f.write(pack(s, block))
                 os.replace(f.name, name)
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["strip"])
 
     try:
-        done = {x.strip for x in strips(r, fill).mapInArrow(write, "strip int").collect()}
-        size = np.dtype(dtype).itemsize
-        with open(target, "wb") as out:
-            for b in range(m.bands if interleave == "bsq" else 1):
-                for s in range(-(-m.height // STRIP)):
-                    n = min(STRIP, m.height - s * STRIP) * m.width * size
-                    if s in done:
-                        with open(os.path.join(folder, f"{s}"), "rb") as f:
-                            f.seek(b * n if interleave == "bsq" else 0)
-                            out.write(f.read(n if interleave == "bsq" else n * m.bands))
-                    else:
-                        out.write(converted(np.full(n // size * (1 if interleave == "bsq" else m.bands), fill), dtype, nodata).tobytes())
+        yield folder, {x.strip for x in strips(r, fill).mapInArrow(write, "strip int").collect()}
     finally:
         shutil.rmtree(folder, ignore_errors=True)
+
+
+def export(r: Raster, path: str, format: str = "ENVI", bands: Sequence[int] | None = None, dtype: str = "float32", nodata: float | None = None, compress: str = "lzw", interleave: str = "bsq", classes: Sequence[tuple[str, tuple[int, int, int]]] = ()) -> str:
+    """Writes a raster and gives the path of its data file."""
+    if bands is not None:
+        if not bands:
+            raise ValueError("no bands to export")
+        r = r.select_bands(bands)
+    m = r.meta
+    fill = np.nan if nodata is None else nodata
+    if format.upper() in ("GTIFF", "TIFF", "GEOTIFF"):
+        how = tiff.compression(compress)
+        empty = lambda s: tiff.packed(converted(np.full((min(STRIP, m.height - s * STRIP), m.width, m.bands), fill), dtype, nodata).tobytes(), how)
+        pack = lambda s, block: tiff.packed(np.ascontiguousarray(block, block.dtype.newbyteorder("<")).tobytes(), how)
+        with parts_of(r, path, fill, dtype, nodata, pack) as (folder, done):
+            count = range(-(-m.height // STRIP))
+            missing = {s: empty(s) for s in count if s not in done}
+            one = lambda s: missing[s] if s in missing else open(os.path.join(folder, f"{s}"), "rb").read()
+            sizes = [len(missing[s]) if s in missing else os.path.getsize(os.path.join(folder, f"{s}")) for s in count]
+            tiff.write_strips(path, (m.height, m.width, m.bands), np.dtype(dtype), sizes, map(one, count), replace(m, nodata=nodata), how, STRIP)
+        return path
+    if format.upper() != "ENVI":
+        raise ValueError(f"unknown format {format!r}")
+    target = path[:-4] + ".dat" if path.lower().endswith(".hdr") else path
+    order = {"bsq": (2, 0, 1), "bil": (0, 2, 1), "bip": (0, 1, 2)}[interleave]
+    size = np.dtype(dtype).itemsize
+    with parts_of(r, target, fill, dtype, nodata, lambda s, block: np.ascontiguousarray(block.transpose(order)).tobytes()) as (folder, done), open(target, "wb") as out:
+        for b in range(m.bands if interleave == "bsq" else 1):
+            for s in range(-(-m.height // STRIP)):
+                n = min(STRIP, m.height - s * STRIP) * m.width * size
+                if s in done:
+                    with open(os.path.join(folder, f"{s}"), "rb") as f:
+                        f.seek(b * n if interleave == "bsq" else 0)
+                        out.write(f.read(n if interleave == "bsq" else n * m.bands))
+                else:
+                    out.write(converted(np.full(n // size * (1 if interleave == "bsq" else m.bands), fill), dtype, nodata).tobytes())
     with open(os.path.splitext(target)[0] + ".hdr", "w", encoding="utf-8") as f:
         f.write(header_text(m, dtype, interleave, nodata, classes))
     return target

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.operators.stats import summary
+from bandloom.plans.session import shared_dir
 
 
 def running_statistics(stream: DataFrame, group: str, value: str) -> DataFrame:
@@ -30,7 +30,7 @@ def statistics_of_stream(spark: SparkSession, path: str, group: str, value: str)
     single = [os.path.basename(f) for f in batch.inputFiles()] == [name]  # a stream reads folders
     source = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
     table = f"running_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bandloom-")
+    base = shared_dir(spark)
     writer = running_statistics(source, group, value).writeStream.outputMode("complete").format("memory").queryName(table)
     run = writer.option("checkpointLocation", f"{base}/{table}").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -27,7 +27,7 @@ def test_indices(spark):
     [
         ("(b1-b2)/b3", 1.6), ("sqrt(b1*10.0)+exp(0.0)", 11), ("min(b1)", 10), ("max(b1,b2)", 10), ("1.0/b1", 0.1), ("(b1>5)*b2", 2), ("1 < b2 < 3", 1),
         ("b1/0", 0), ("fix(2.7)", 2), ("fix(-2.7)", -2), ("byte(300)", 255), ("byte(-5)", 0), ("uint(70000)", 65535), ("uint(-1)", 0), ("round(2.5)", 2),
-        ("b1 > 5 and b2 > 5", 0), ("b1 > 5 or b2 > 5", 1), ("~b1", 0), ("not 0", 1), ("B1 + pi - pi", 10), ("log(0)", np.log(1e-7)), ("mean(b1 * 2 - mean(b1))", 10),
+        ("b1 > 5 and b2 > 5", 0), ("b1 > 5 or b2 > 5", 1), ("~b1", 0), ("B1 + 1 - 1", 10), ("log(0)", np.log(1e-7)), ("mean(b1 * 2 - mean(b1))", 10),
     ],
 )
 def test_band_math(spark, expression, want):
@@ -35,7 +35,7 @@ def test_band_math(spark, expression, want):
     assert band_math(df, expression, {b: F.col(b) for b in ("b1", "b2", "b3")}).first().result == pytest.approx(want)
 
 
-@pytest.mark.parametrize("bad", ["__import__('os')", "b9", "b1 % 2", "b1 // 2", "'x'", "b1.real", "[b1]", "lambda: 1", "f(b1)", "b1 +", "(lambda x: x)(b1)"])
+@pytest.mark.parametrize("bad", ["__import__('os')", "b9", "b1 % 2", "b1 // 2", "'x'", "b1.real", "[b1]", "lambda: 1", "not b1", "pi", "e * b1", "f(b1)", "b1 +", "(lambda x: x)(b1)"])
 def test_band_math_refuses(spark, bad):
     df = spark.createDataFrame([(1.0,)], "b1 double")
     with pytest.raises(ValueError):
