@@ -10,13 +10,15 @@ word is its start.
 Counting is spread twice. Documents are packed into units (by hash, so no source or copied text is one unit); a unit
 sends its distinct n-grams, as sorted arrays of 63-bit hashes with counts, to shards of the hash space; a shard adds up
 and answers each unit with the corpus counts in the unit's own order. A frequent word is one number from each unit.
+Large corpora send by way of nodes, which add up what several units have for several shards (corpus_counts).
 Only N, V and the cells of the weights, whose number is bounded, reach the driver.
 
 Hashes: 63 bits keep n-grams apart; at 10^8 distinct n-grams a collision is expected in one corpus of a thousand.
 
-Defined results: null and empty texts are the end token alone; a null doc_id is the empty text in the class rule; rows
-equal in id and text are separate documents; without training documents N and V are 0 and only order 0 counts; an empty
-table gives an empty result; extra columns pass by.
+Defined results: null and empty texts are the end token alone; texts are scored whole, whatever their length; a null doc_id
+is the empty text in the class rule; rows equal in id and text are separate documents; buckets without held-out tokens
+have the weights of all; without training documents N and V are 0 and only order 0 counts; an empty table gives an empty
+result; other columns than doc_id and text, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from .common import documents, text_or_empty, written
 CLASSES, HELD_OUT, TUNING = 7, 2, 3
 UNIT_BYTES, SHARD_KEYS, PACK_BYTES, KEPT = 12 << 20, 1 << 20, 16 << 20, 500_000
 BUCKETS, FINE, ROUNDS = 24, 4, 60
+HOP_LOG2 = 10
 END, START = np.uint64(0x9AE16A3B2F90404E), np.uint64(0xC949C7DEFD6B3F81)
 TWO = np.uint64(0x9FB21C651E98DF25)
 EVEN, ONE = ~np.uint64(1), np.uint64(1)
@@ -155,42 +158,94 @@ TRAIN = np.array([c for c in range(CLASSES) if c != HELD_OUT])
 ESTIMATE = np.array([c for c in range(CLASSES) if c not in (HELD_OUT, TUNING)])
 
 
+def split_by(keys: np.ndarray, bits: int, skip: int = 0) -> tuple[np.ndarray, list[slice]]:
+    """Sorted keys of 64 bits cut by `bits` bits after the first `skip`: the numbers that occur, and where."""
+    if not bits or not len(keys):
+        return np.zeros(min(1, len(keys)), np.int64), [slice(0, len(keys))][: len(keys)]
+    number = (keys >> np.uint64(64 - skip - bits) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    names, first = np.unique(number, return_index=True)
+    cut = [*first.tolist(), len(keys)]
+    return names, [slice(x, y) for x, y in zip(cut, cut[1:])]
+
+
+def added(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The keys of each row, all distinct keys, the place of each row's keys among them, and the sums of both counts."""
+    keys = [whole(k, np.uint64) for k in table.column("keys").to_pylist()]
+    names, where = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(where, np.concatenate([whole(x, np.uint32) for x in table.column(c).to_pylist()]), len(names)) for c in ("full", "estimate")]
+    return keys, names, where, sums
+
+
+SENT = "source long, shard int, keys binary, full binary, estimate binary"
+ANSWERED = "source long, shard int, full binary, estimate binary, n long, v long, n_estimate long, v_estimate long"
+
+
+def sent(source: int, keys: np.ndarray, counts: list[np.ndarray], bits: int, skip: int, base: int) -> pa.Table:
+    """A row for each shard that keys fall in: the shards of these bits, numbered from base."""
+    names, parts = split_by(keys, bits, skip)
+    cols = [pa.array([source] * len(parts), pa.int64()), pa.array(names + base, pa.int32())]
+    cols += [pa.array([planes(x[p]) for p in parts], pa.binary()) for x in (keys, *(c.astype(np.uint32) for c in counts))]
+    return pa.table(cols, names=["source", "shard", "keys", "full", "estimate"])
+
+
+def answers(table: pa.Table) -> pa.Table:
+    """The sums of a shard for each source that sent keys to it, in their order, and a row -1 with the shard's numbers."""
+    keys, names, where, sums = added(table)
+    sums = [x.astype(np.uint64) for x in sums]
+    word = ((names & ONE) == 0) & (names != (START & EVEN))
+    places = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+    shard, n = table.column("shard")[0].as_py(), len(keys)
+    stats = [[0] * n + [int(x[word].sum())] for x in sums], [[0] * n + [int((x[word] > 0).sum())] for x in sums]
+    return pa.table(
+        [
+            pa.array([*table.column("source").to_pylist(), -1], pa.int64()), pa.array([shard] * (n + 1), pa.int32()),
+            *(pa.array([*(planes(x[p]) for p in places), b""], pa.binary()) for x in sums),
+            pa.array(stats[0][0]), pa.array(stats[1][0]), pa.array(stats[0][1]), pa.array(stats[1][1]),
+        ],
+        names=["source", "shard", "full", "estimate", "n", "v", "n_estimate", "v_estimate"],
+    )
+
+
 def corpus_counts(units: DataFrame, shards_log2: int) -> DataFrame:
     """(unit, shard, full, estimate, n, v, n_estimate, v_estimate): for each unit and shard the corpus counts of the
-    unit's keys, in their order; rows of unit -1 have the shard's numbers of word tokens and distinct words."""
+    unit's keys, in their order; rows of unit -1 have the shard's numbers of word tokens and distinct words.
+
+    Units and shards both grow with the corpus, and a row for each pair of them would grow with its square. So beyond
+    1 << HOP_LOG2 shards there are two hops: a unit sends a row to each of 1 << first groups of shards, a node adds up
+    what as many units sent to a group and passes it on to the group's shards, and answers go back the same way."""
+    first = shards_log2 if shards_log2 <= HOP_LOG2 else -(-shards_log2 // 2)
+    rest = shards_log2 - first
 
     def count(table: pa.Table) -> pa.Table:
-        unit = table.column("unit")[0].as_py()
         u = Unit(table.column("blob").to_pylist())
-        full, estimate = u.counts(TRAIN), u.counts(ESTIMATE)
-        shard = (u.keys >> np.uint64(64 - shards_log2)).astype(np.int64) if shards_log2 else np.zeros(len(u.keys), np.int64)
-        names, first = np.unique(shard, return_index=True)
-        cut = [*first.tolist(), len(u.keys)]
-        parts = [slice(a, b) for a, b in zip(cut, cut[1:])]
-        cols = [pa.array(names, pa.int32()), pa.array([unit] * len(parts), pa.int32()), *(pa.array([planes(x[p]) for p in parts], pa.binary()) for x in (u.keys, full, estimate))]
-        return pa.table(cols, names=["shard", "unit", "keys", "full", "estimate"])
-
-    def total(table: pa.Table) -> pa.Table:
-        keys = [whole(k, np.uint64) for k in table.column("keys").to_pylist()]
-        names, where = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(where, np.concatenate([whole(x, np.uint32) for x in table.column(c).to_pylist()]), len(names)).astype(np.uint64) for c in ("full", "estimate")]
-        word = ((names & ONE) == 0) & (names != (START & EVEN))
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        places = np.split(where, cut)
-        shard, n = table.column("shard")[0].as_py(), len(keys)
-        stats = [[0] * n + [int(x[word].sum())] for x in sums], [[0] * n + [int((x[word] > 0).sum())] for x in sums]
-        return pa.table(
-            [
-                pa.array([*table.column("unit").to_pylist(), -1], pa.int32()), pa.array([shard] * (n + 1), pa.int32()),
-                *(pa.array([*(planes(x[p]) for p in places), b""], pa.binary()) for x in sums),
-                pa.array(stats[0][0]), pa.array(stats[1][0]), pa.array(stats[0][1]), pa.array(stats[1][1]),
-            ],
-            names=["unit", "shard", "full", "estimate", "n", "v", "n_estimate", "v_estimate"],
-        )
-
-    keyed = units.groupBy("unit").applyInArrow(count, "shard int, unit int, keys binary, full binary, estimate binary")
-    schema = "unit int, shard int, full binary, estimate binary, n long, v long, n_estimate long, v_estimate long"
-    return keyed.groupBy("shard").applyInArrow(total, schema)
+        return sent(table.column("unit")[0].as_py(), u.keys, [u.counts(TRAIN), u.counts(ESTIMATE)], first, 0, 0)
+
+    keyed = units.groupBy("unit").applyInArrow(count, SENT)
+    if not rest:
+        return keyed.groupBy("shard").applyInArrow(answers, ANSWERED).withColumnRenamed("source", "unit")
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, names, _, sums = added(table)
+        node, group = table.column("node")[0].as_py(), table.column("shard")[0].as_py()
+        return sent(node << first | group, names, sums, rest, first, group << rest)
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows:
+            keys, names, where, _ = added(left)
+            counts = [unit_counts(right, c).astype(np.uint64) for c in ("full", "estimate")]
+            places = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+            rows = [(u, s, *(planes(c[p]) for c in counts), 0, 0, 0, 0) for u, s, p in zip(left.column("source").to_pylist(), left.column("shard").to_pylist(), places)]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
+        names = ["source", "shard", "full", "estimate", "n", "v", "n_estimate", "v_estimate"]
+        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    keyed = written(keyed.withColumn("node", F.shiftright("source", first)), "sent")
+    by_node = keyed.groupBy("node", "shard").applyInArrow(merge, SENT)
+    done = written(by_node.groupBy("shard").applyInArrow(answers, ANSWERED), "answers")
+    mine = done.filter("source >= 0").select((F.shiftright("source", first)).alias("node"), F.col("source").bitwiseAND((1 << first) - 1).cast("int").alias("group"), "shard", "full", "estimate")
+    out = keyed.groupBy("node", "shard").cogroup(mine.groupBy("node", "group")).applyInArrow(back, ANSWERED)
+    return out.unionByName(done.filter("source = -1")).withColumnRenamed("source", "unit")
 
 
 def unit_counts(counts: pa.Table, name: str) -> np.ndarray:

@@ -371,6 +371,19 @@ def test_lm_scores_by_hand(spark):
     assert sum(got[d].score for d in held) > sum(got[d].base_score for d in held)
 
 
+def test_lm_in_two_hops(spark, monkeypatch):
+    """Counts that go by way of nodes are the same."""
+    rng = np.random.default_rng(13)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(1, 80)) % 3000), "s") for i in range(400)]
+    docs = table(spark, rows)
+    monkeypatch.setattr(lm, "SHARD_KEYS", 1 << 9)
+    monkeypatch.setattr(lm, "UNIT_BYTES", 1 << 11)
+    want = sorted(tuple(r) for r in lm.interpolated_scores(docs).collect())
+    monkeypatch.setattr(lm, "HOP_LOG2", 2)
+    got = sorted(tuple(r) for r in lm.interpolated_scores(docs).collect())
+    assert got == want and len(got) == 400
+
+
 def test_lm_is_a_distribution(spark):
     """Over all words after a context, and the share of unknown words, probabilities sum to 1."""
     cells = [type("C", (), {"bucket": b, "n": 10.0, "p2": 3.0, "p1": 1.0})() for b in range(5)]
