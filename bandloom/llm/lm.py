@@ -206,6 +206,11 @@ def answers(table: pa.Table) -> pa.Table:
     )
 
 
+def of_units(answered: DataFrame) -> DataFrame:
+    """unit is an int as in the units: a long would be dealt to other tasks."""
+    return answered.withColumn("unit", F.col("source").cast("int")).drop("source")
+
+
 def corpus_counts(units: DataFrame, shards_log2: int) -> DataFrame:
     """(unit, shard, full, estimate, n, v, n_estimate, v_estimate): for each unit and shard the corpus counts of the
     unit's keys, in their order; rows of unit -1 have the shard's numbers of word tokens and distinct words.
@@ -222,7 +227,7 @@ def corpus_counts(units: DataFrame, shards_log2: int) -> DataFrame:
 
     keyed = units.groupBy("unit").applyInArrow(count, SENT)
     if not rest:
-        return keyed.groupBy("shard").applyInArrow(answers, ANSWERED).withColumnRenamed("source", "unit")
+        return of_units(keyed.groupBy("shard").applyInArrow(answers, ANSWERED))
 
     def merge(table: pa.Table) -> pa.Table:
         _, names, _, sums = added(table)
@@ -245,7 +250,7 @@ def corpus_counts(units: DataFrame, shards_log2: int) -> DataFrame:
     done = written(by_node.groupBy("shard").applyInArrow(answers, ANSWERED), "answers")
     mine = done.filter("source >= 0").select((F.shiftright("source", first)).alias("node"), F.col("source").bitwiseAND((1 << first) - 1).cast("int").alias("group"), "shard", "full", "estimate")
     out = keyed.groupBy("node", "shard").cogroup(mine.groupBy("node", "group")).applyInArrow(back, ANSWERED)
-    return out.unionByName(done.filter("source = -1")).withColumnRenamed("source", "unit")
+    return of_units(out.unionByName(done.filter("source = -1")))
 
 
 def unit_counts(counts: pa.Table, name: str) -> np.ndarray:
