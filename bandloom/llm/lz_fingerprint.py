@@ -138,6 +138,24 @@ def run_of(cuts: list[tuple[int, int]], ids: np.ndarray, hashes: np.ndarray) ->
     return out.astype(np.int32)
 
 
+def spread_keys(parts: int) -> np.ndarray:
+    """For each of so many partitions an int that Spark's hash partitioning deals to it (Murmur3 of an int, seed 42)."""
+    out, n = np.full(parts, -1, np.int32), 0
+    with np.errstate(over="ignore"):
+        while (out < 0).any():
+            k = np.arange(n, n + 16 * parts, dtype=np.uint32)
+            n += 16 * parts
+            h = k * np.uint32(0xCC9E2D51)
+            h = (h << np.uint32(15) | h >> np.uint32(17)) * np.uint32(0x1B873593) ^ np.uint32(42)
+            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+            h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+            h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+            place = (h ^ h >> np.uint32(16)).view(np.int32) % parts
+            new = np.flatnonzero(out[place] < 0)
+            out[place[new]] = k[new]  # any of those that meet
+    return out
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows (run, doc_id, hash, text, halo), and about how many runs: runs of descending (doc_id, hash), each ended by a halo
     row that is the next run's first. Only sampled keys reach the driver, and a row for each run is sent to the rows."""
@@ -145,7 +163,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
     rows = rows.select("doc_id", key.alias("key"), F.xxhash64("text").alias("hash"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    runs = max(1, min(total // RUN_BYTES, MAX_RUNS), min(64, total >> 20))
+    runs = max(1, min(total // RUN_BYTES, MAX_RUNS), min(256, total >> 20))
     cuts: list[tuple[int, int]] = []
     if runs > 1:
         chance = (F.octet_length("text") + 64) * F.lit(runs * SAMPLES_PER_RUN / total)
@@ -214,7 +232,13 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         return pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], ids[0].type), *map(pa.array, cols, kinds)], names=names)
 
-    dealt = rows.repartition(runs, "run").sortWithinPartitions(F.col("run"), F.col("halo"), F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text"))
+    keys = spread_keys(runs)
+
+    @F.pandas_udf("int")
+    def key(run: pd.Series) -> pd.Series:
+        return pd.Series(keys[run.to_numpy()])
+
+    dealt = rows.repartition(runs, key("run")).sortWithinPartitions(F.col("run"), F.col("halo"), F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text"))
     return dealt.mapInArrow(work, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
