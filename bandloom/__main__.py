@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from bandloom.operators.stats import band_statistics, long_bands, report
+from bandloom.operators.stats import report, spectrum_statistics
 from bandloom.plans.session import session
 from bandloom.sources.reader import open_raster
 
@@ -16,8 +16,7 @@ def main(args: list[str]) -> int:
     spark = session()
     r = open_raster(spark, args[0])
     print(f"{r.name}: {r.meta.width} x {r.meta.height} x {r.meta.bands} {r.meta.dtype}, {r.meta.crs or 'no coordinate system'}")
-    bands = long_bands(r.df.select("spectrum"))
-    report(band_statistics(bands, r.meta.nodata)).orderBy("Band").show(r.meta.bands, truncate=False)
+    report(spectrum_statistics(r.df, r.meta.nodata).orderBy("band")).show(r.meta.bands, truncate=False)
     return 0
 
 

@@ -264,6 +264,9 @@ SELECT {r6('po * 100')} AS oa, {r6('CASE WHEN pe >= 1 THEN 1 ELSE (po - pe) / (1
     "pca_energy": E + LONG.format("e") + f", mb AS (SELECT band, avg(value) AS m FROM l GROUP BY band) SELECT vec_id, {r6('sum((value - m) * (value - m))')} AS energy FROM l JOIN mb USING (band) GROUP BY vec_id",
     "mnf_scores": MNF2,
     "mlc_classify": MLC,
+    "svm_separable": f"{E} SELECT vec_id, CASE WHEN v[1] > 0 THEN 2 ELSE 1 END::INT AS cls FROM e WHERE abs(v[1]) > 0.05::DOUBLE",
+    "ica_covariance": "SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM range(3) a(i), range(3) b(j) WHERE i <= j",
+    "sff_pure": ABS + means("a") + f", top AS (SELECT row_number() OVER (ORDER BY m) - 1 AS member, m FROM refs WHERE cls < 3), u AS (SELECT member, unnest(m) AS v, generate_subscripts(m, 1) - 1 AS band FROM top) SELECT member::INT AS member, band::INT AS band, {r6('v')} AS v FROM u",
     "kmeans_full": rounds(10, 0) + f" SELECT vec_id, cls, {r6('d')} AS score FROM done",
     "isodata_full": rounds(5, 10) + " SELECT vec_id, cls FROM done",
     "resample_cubic": spline(),

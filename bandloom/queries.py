@@ -78,8 +78,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("l_orderkey", "l_linenumber", *(F.col(c).cast("double").alias(f"b{i}") for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 1)))
 
 
+def item_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).select(F.array("b1", "b2", "b3", "b4").alias("spectrum"))
+
+
 def item_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.long_bands(items(spark, sf_dir).select(F.array("b1", "b2", "b3", "b4").alias("spectrum")))
+    return stats.long_bands(item_spectra(spark, sf_dir))
 
 
 def rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -189,12 +193,12 @@ def luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.band_statistics(item_bands(spark, sf_dir)), "band", "n")
+    return rounded(stats.spectrum_statistics(item_spectra(spark, sf_dir)), "band", "n")
 
 
 @query
 def band_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.report(stats.band_statistics(item_bands(spark, sf_dir)))
+    return stats.report(stats.spectrum_statistics(item_spectra(spark, sf_dir)))
 
 
 @query
@@ -341,6 +345,13 @@ def svm_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("vec_id", "cls", r6(F.array_max("probabilities")).alias("p"))
 
 
+@query
+def svm_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two classes that a gap in one band parts; the machine is trained on every pixel beside the gap."""
+    x = cube(spark, sf_dir).select("vec_id", F.array(band(0)).alias("spectrum"), F.when(band(0) > 0, 2).otherwise(1).alias("class_id")).filter(F.abs(band(0)) > 0.05)
+    return svm.classify(x, x, "linear").select("vec_id", "cls")
+
+
 @query
 def thematic_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = classify.thematic_rgb(F.col("label") - 1)
@@ -449,6 +460,25 @@ def ica_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(transforms.ica(cube(spark, sf_dir))[0], 3)
 
 
+@query
+def ica_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent components are uncorrelated and have a variance of 1."""
+    done, _ = transforms.ica(cube(spark, sf_dir))
+    return rounded(stats.covariance_table(spark, mean_and_covariance(done, "scores")[2]), "i", "j")
+
+
+@query
+def sff_pure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The endmembers of a scene of three spectra and their mixtures: these three, by their first band."""
+    x = positive(cube(spark, sf_dir))
+    pure = num.matrix(references(x)[:3])
+    share = F.when(F.col("x") % 5 < 3, F.transform(F.sequence(lit(0), lit(2)), lambda i: (i == F.col("x") % 5).cast("double"))).otherwise(F.array(lit(0.5), lit(0.25), lit(0.25)))
+    mixed = F.transform(F.sequence(lit(0), lit(BANDS - 1)), lambda b: num.dot(F.transform(pure, lambda m: F.get(m, b)), share))
+    found, _ = transforms.endmembers(x.select("y", "x", mixed.alias("spectrum")), 3)
+    found = sorted(found.tolist())
+    return spark.createDataFrame([(m, b, float(v)) for m, s in enumerate(found) for b, v in enumerate(s)], "member int, band int, v double").withColumn("v", r6(F.col("v")))
+
+
 @query
 def sff_endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = transforms.endmembers(positive(cube(spark, sf_dir)), 4)

@@ -514,3 +514,29 @@ def test_difference_covariance(spark):
         n, got = transforms.difference_covariance(spread)
         assert n == 9 * 39 and np.allclose(got, want)
     assert transforms.difference_covariance(raster(spark, np.ones((2, 3, 1))).df)[0] == 0
+
+
+def test_statistics_of_spectra(spark):
+    rng = np.random.default_rng(5)
+    cube = rng.normal(1e6, 1.0, (3, 20, 20)).astype(np.float32)
+    cube[1, :5] = np.nan
+    cube[2, 3] = -9999.0
+    df = raster(spark, cube).df
+    for nodata in (None, -9999.0):
+        want = {r.band: r for r in stats.band_statistics(stats.long_bands(df), nodata).collect()}
+        for r in stats.spectrum_statistics(df.repartition(4), nodata).collect():
+            assert (r.n, r.min_v, r.max_v) == (want[r.band].n, want[r.band].min_v, want[r.band].max_v)
+            assert r.mean_v == pytest.approx(want[r.band].mean_v) and r.std_v == pytest.approx(want[r.band].std_v, rel=1e-9)
+    assert stats.spectrum_statistics(df.limit(0)).count() == 0
+    assert [(r.n, r.mean_v) for r in stats.spectrum_statistics(raster(spark, np.full((1, 2, 2), np.nan)).df).collect()] == [(0, 0.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from bandloom import __main__ as command
+    from bandloom.sources import writer
+
+    cube, wl, _ = synthetic.cube(12, 10, 4)
+    path = writer.export(raster(spark, cube), str(tmp_path / "scene.dat"))
+    assert command.main([]) == 2 and command.main([path]) == 0
+    out = capsys.readouterr().out
+    assert "10 x 12 x 4 float32" in out and f"{cube[0].astype(np.float32).astype(float).mean():.6f}" in out and "120" in out
