@@ -34,7 +34,7 @@ def band_statistics(bands: DataFrame, nodata: float | None = None) -> DataFrame:
 
 def spectrum_statistics(df: DataFrame, nodata: float | None = None, spectrum: str = "spectrum") -> DataFrame:
     """band_statistics() of all bands of df(spectrum) in one pass: a task sums up its spectra in a kernel and sends a row for
-    each band, so pixels are never exploded. Means and squares about them are merged, so large offsets don't cancel."""
+    each band, so pixels are never exploded. Squares about the means are merged, so large offsets don't cancel."""
     ship(df.sparkSession)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,35 +42,36 @@ def spectrum_statistics(df: DataFrame, nodata: float | None = None, spectrum: st
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+            v = np.ascontiguousarray(np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1).T)
             ok = np.isfinite(v) if nodata is None else np.isfinite(v) & (v != nodata)
-            n = ok.sum(axis=0).astype(float)
-            mean = np.where(ok, v, 0).sum(axis=0) / np.maximum(n, 1)
-            q = np.where(ok, v - mean, 0)
-            q = (q * q).sum(axis=0)
-            lo, hi = np.where(ok, v, np.inf).min(axis=0), np.where(ok, v, -np.inf).max(axis=0)
+            n = ok.sum(axis=1).astype(float)
+            t = np.where(ok, v, 0).sum(axis=1)  # along a row NumPy sums by halves, which loses least
+            mean = t / np.maximum(n, 1)
+            q = np.where(ok, v - mean[:, None], 0)
+            q = (q * q).sum(axis=1)
+            lo, hi = np.where(ok, v, np.inf).min(axis=1), np.where(ok, v, -np.inf).max(axis=1)
             if held is not None:
-                n0, mean0, q0, lo0, hi0 = held
+                n0, mean0, q0, lo0, hi0, t0 = held
                 both, gap = np.maximum(n + n0, 1), mean - mean0
                 mean, q = mean0 + gap * n / both, q0 + q + gap * gap * n * n0 / both
-                n, lo, hi = n + n0, np.minimum(lo, lo0), np.maximum(hi, hi0)
-            held = n, mean, q, lo, hi
+                n, lo, hi, t = n + n0, np.minimum(lo, lo0), np.maximum(hi, hi0), t + t0
+            held = n, mean, q, lo, hi, t
         if held is not None:
-            names = ["band", "n", "m", "q", "lo", "hi"]
+            names = ["band", "n", "m", "q", "lo", "hi", "t"]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held[0])), pa.int32()), pa.array(held[0].astype(np.int64)), *map(pa.array, held[1:])], names=names)
 
     x = df.select(num.doubles(spectrum).alias("v")).filter("v is not null")
-    rows = x.mapInArrow(sums, "band int, n long, m double, q double, lo double, hi double")
+    rows = x.mapInArrow(sums, "band int, n long, m double, q double, lo double, hi double, t double")
     near = F.min(F.when(F.col("n") > 0, F.col("m"))).over(Window.partitionBy("band"))  # a row for each task and band
     rows = rows.withColumn("r", near).withColumn("d", F.when(F.col("n") > 0, F.col("m") - F.col("r")).otherwise(0.0))
     each = rows.groupBy("band").agg(
         F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum(F.col("n") * F.col("d")).alias("s"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("s2"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("r").alias("r"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("t").alias("t"),
     )
     n = F.when(F.col("n") > 0, F.col("n"))
     some = lambda c: F.coalesce(F.when(F.col("n") > 0, c), lit(0.0))
     variance = F.greatest((F.col("q") + F.col("s2") - F.col("s") * F.col("s") / n) / n, lit(0.0))
-    return each.select("band", "n", some(F.col("lo")).alias("min_v"), some(F.col("hi")).alias("max_v"), some(F.col("r") + F.col("s") / n).alias("mean_v"), some(F.sqrt(variance)).alias("std_v"))
+    return each.select("band", "n", some(F.col("lo")).alias("min_v"), some(F.col("hi")).alias("max_v"), some(F.col("t") / n).alias("mean_v"), some(F.sqrt(variance)).alias("std_v"))
 
 
 def band_histogram(bands: DataFrame, bins: int = 100, nodata: float | None = None) -> DataFrame:

@@ -217,6 +217,7 @@ SELECT target, arg_min(band, (abs(wl - aim), band)) AS band, {r6('arg_min(wl, (a
     "hsv_to_rgb": f"{RGB} SELECT vec_id, {r6('r')} AS r, {r6('g')} AS g, {r6('b')} AS b FROM hsv",
     "luminance": f"{RGB} SELECT vec_id, {r6('0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b')} AS gray FROM rgb",
     "band_stats": f"{ITEM_BANDS} SELECT band, count(v) AS n, {r6('min(v)')} AS min_v, {r6('max(v)')} AS max_v, {r6('avg(v)')} AS mean_v, {r6('stddev_pop(v)')} AS std_v FROM ib GROUP BY band",
+    "cube_statistics": E + LONG.format("e") + f" SELECT band::INT AS band, count(value) AS n, {r6('min(value)')} AS min_v, {r6('max(value)')} AS max_v, {r6('avg(value)')} AS mean_v, {r6('stddev_pop(value)')} AS std_v FROM l GROUP BY band",
     "band_report": f"{ITEM_BANDS} SELECT 'Band ' || (band + 1) AS \"Band\", printf('%.6f', min(v)) AS \"Min\", printf('%.6f', max(v)) AS \"Max\", printf('%.6f', avg(v)) AS \"Mean\", printf('%.6f', stddev_pop(v)) AS \"StdDev\", count(v) AS \"PixelCount\" FROM ib GROUP BY band",
     "band_histogram": f"{ITEM_BANDS}, st AS (SELECT band, min(v) AS lo, max(v) AS hi FROM ib GROUP BY band) SELECT band, least(floor((v - lo) / (hi - lo) * 100), 99)::INT AS bin, count(*) AS n FROM ib JOIN st USING (band) GROUP BY 1, 2",
     "stretch_linear2": stretched(PERCENT.format("0.02", "0.98"), "(b2 - lo) / (hi - lo)"),

@@ -78,12 +78,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("l_orderkey", "l_linenumber", *(F.col(c).cast("double").alias(f"b{i}") for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 1)))
 
 
-def item_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select(F.array("b1", "b2", "b3", "b4").alias("spectrum"))
-
-
 def item_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.long_bands(item_spectra(spark, sf_dir))
+    return stats.long_bands(items(spark, sf_dir).select(F.array("b1", "b2", "b3", "b4").alias("spectrum")))
 
 
 def rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -193,12 +189,17 @@ def luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.spectrum_statistics(item_spectra(spark, sf_dir)), "band", "n")
+    return rounded(stats.band_statistics(item_bands(spark, sf_dir)), "band", "n")
+
+
+@query
+def cube_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.spectrum_statistics(cube(spark, sf_dir)), "band", "n")
 
 
 @query
 def band_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.report(stats.spectrum_statistics(item_spectra(spark, sf_dir)))
+    return stats.report(stats.band_statistics(item_bands(spark, sf_dir)))
 
 
 @query
