@@ -97,12 +97,27 @@ def coupled(pair: np.ndarray, rounds: int = 100) -> np.ndarray:
 
 
 def sample(training: DataFrame, max_samples: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """At most max_samples finite spectra of each class, those with the lowest seeded hashes. Each class is a top-k, so a
-    large one is never sorted in one task."""
+    """At most max_samples finite spectra of each class, those with the lowest seeded hashes. Classes are counted, then one
+    job fetches the spectra whose hashes lie so low that about twice as many are expected, and the rest is cut off. A class
+    that falls short of that, as equal spectra have equal hashes, is a top-k of its own."""
     x = training.select("class_id", num.doubles("spectrum").alias("s")).filter(num.all_finite(F.col("s")))
-    ids = sorted(r[0] for r in x.select("class_id").distinct().collect())
-    rows = [r for c in ids for r in x.filter(F.col("class_id") == c).orderBy(F.xxhash64(lit(seed), "s"), "s").limit(max_samples).collect()]
-    return np.array([r.s for r in rows]), np.array([r.class_id for r in rows])
+    x = x.withColumn("h", F.xxhash64(lit(seed), "s"))
+    counts = {r.class_id: r["count"] for r in x.groupBy("class_id").count().collect()}
+    low = lit(False)
+    for c, n in counts.items():
+        bound = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * (max_samples + 50) // n)
+        low = F.when(F.col("class_id") == c, F.col("h") <= lit(bound)).otherwise(low)
+    found: dict = {c: [] for c in counts}
+    once = x.filter(low).groupBy("class_id", "h", "s").agg(F.count("*").alias("n"))  # equal spectra come as one row
+    for r in once.collect():
+        found[r.class_id].append((r.h, r.s, r.n))
+    rows = []
+    for c in sorted(counts):
+        own = [s for _, s, n in sorted(found[c]) for _ in range(min(n, max_samples))][:max_samples]
+        if len(own) < min(max_samples, counts[c]):
+            own = [r.s for r in x.filter(F.col("class_id") == c).orderBy("h", "s").limit(max_samples).collect()]
+        rows += [(c, s) for s in own]
+    return np.array([s for _, s in rows]), np.array([c for c, _ in rows])
 
 
 def classify(df: DataFrame, training: DataFrame, kernel_name: str = "rbf", c: float = 100.0, gamma: float | str = "scale", degree: int = 3, coef0: float = 0.0, probability: float = 0.0, max_samples: int = 2000, spectrum: str = "spectrum") -> DataFrame:
