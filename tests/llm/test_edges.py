@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from bandloom.llm import lm, lz_fingerprint, mixing, pii, quality, secrets, sentencepiece_viterbi, sharding, simhash, token_output
+from bandloom.llm import fill_in_middle, filter_audit, lm, lz_fingerprint, mixing, pii, quality, quality_classifier, secrets, sentencepiece_viterbi, sharding, simhash, token_output
 from bandloom.llm.common import shared_dir, written
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -32,6 +32,14 @@ def mixed(docs):
     return mixing.mix(sized, mixing.cycled_targets(sized))
 
 
+LABELS = [(1, 1, 0), (1, 0, 1), (4, 1, None), (4, None, 1), (5, 0, 0), (None, 1, 1), (99, 1, 1)]
+
+
+def labels_of(docs):
+    """Labels with nulls, several of one id, ids without documents, and a clashing name."""
+    return docs.sparkSession.createDataFrame(LABELS, "doc_id long, quality int, toxic int").selectExpr("*", "'mask' AS mask")
+
+
 OPERATORS = {
     "quality": quality.apply_rules,
     "mixing": mixed,
@@ -43,6 +51,9 @@ OPERATORS = {
     "sharding": lambda d: sharding.shard_by_bytes(written(sharding.keyed(d)), 24),
     "secrets": secrets.scan,
     "simhash": lambda d: simhash.near_duplicates(written(simhash.fingerprints(d))),
+    "audit": lambda d: filter_audit.audited(d, labels_of(d)),
+    "fim": lambda d: fill_in_middle.restored(fill_in_middle.filled_in(d)),
+    "classifier": lambda d: quality_classifier.scored(d, labels_of(d)),
 }
 
 
@@ -147,6 +158,40 @@ def check_simhash(rows, out, df):
     assert len(out) == len(rows) and least[0] == 2
 
 
+def check_audit(rows, out, df):
+    by_part, good, toxic = {}, {d for d, q, _ in LABELS if q == 1}, {d for d, _, t in LABELS if t == 1}
+    least = {}
+    for r in rows:
+        if r.doc_id is not None:
+            least[r.text or ""] = min(least.get(r.text or "", r.doc_id), r.doc_id)
+    for r in rows:
+        t, w = r.text or "", words(r.text)
+        fails = {"A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 10 * len(t), "D": any(c in t for c in "#$%&*|")}
+        fails["E"] = r.doc_id is not None and r.doc_id > least[t]
+        by_part.setdefault(r.lang or "", []).append(({f for f, x in fails.items() if x}, r.doc_id in good and r.doc_id is not None, r.doc_id in toxic and r.doc_id is not None))
+    assert len(out) == 600 * len(by_part)
+    shapley = Counter()
+    for r in out:
+        shapley[r.part, r.filter_order[r.step - 1]] += r.removed
+    for r in out:
+        f, before = r.filter_order[r.step - 1], set(r.filter_order[: r.step - 1])
+        ds = by_part[r.part]
+        gone = [d for d in ds if f in d[0] and not d[0] & before]
+        want = (sum(not d[0] & (before | {f}) for d in ds), len(gone), sum(f in d[0] and bool(d[0] & before) for d in ds), sum(d[0] == {f} for d in ds), sum(d[1] for d in gone), sum(d[2] for d in gone), shapley[r.part, f])
+        assert (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) == want
+
+
+def check_fim(rows, out, df):
+    assert Counter((r.doc_id, r.restored, r.n) for r in out) == Counter((r.doc_id, r.text or "", len(r.text or "")) for r in rows)
+    assert all(r.form == "plain" and r.prefix_chars is None for r in out if not r.restored) and {r.form for r in out} == {"plain", "psm", "spm"}
+
+
+def check_classifier(rows, out, df):
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 0
+    assert Counter((r.doc_id, r.held_out) for r in out) == Counter((r.doc_id, held(r.doc_id)) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows(odd, name):
     rows, out = odd.collect(), OPERATORS[name](odd)
