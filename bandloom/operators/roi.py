@@ -1,4 +1,8 @@
-"""Regions of interest: masks as expressions over pixel coordinates, and statistics below them."""
+"""Regions of interest: masks as expressions over pixel coordinates, and statistics below them.
+
+A few regions of moderate size are expressions over x and y: a box test, and for polygons one literal of scanline spans.
+Many or large ones, and regions that come as a table (SCHEMA), are joined to the pixels by their spans.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,13 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.plans.num import lit, valid
 
+from . import spans
 from .stats import long_bands, summary
 
 SCHEMA = (
@@ -20,6 +26,8 @@ SCHEMA = (
     "bbox struct<x0: int, y0: int, x1: int, y1: int>, is_visible boolean"
 )
 Point = tuple[float, float]
+#: Regions, and lines and edges in all, up to which masks are expressions.
+MAX_MASKS, MAX_LITERAL = 64, 200_000
 
 
 @dataclass
@@ -36,6 +44,8 @@ class ROI:
     def add_polygon(self, points: Sequence[Point]) -> None:
         if len(points) < 3:
             raise ValueError("a polygon has three points or more")
+        if not all(math.isfinite(float(v)) for p in points for v in p):
+            raise ValueError("points must be finite")
         self.polygons.append([(float(x), float(y)) for x, y in points])
 
     def remove_last_polygon(self) -> None:
@@ -75,22 +85,37 @@ class ROI:
         inside = (x >= box[0]) & (x < box[2]) & (y >= box[1]) & (y < box[3])
         if not self.polygons:
             return inside
-        union = None
-        for poly in self.polygons:
-            one = in_polygon(x, y, poly)
-            union = one if union is None else union | one
-        return inside & union
-
-
-def in_polygon(x: Column, y: Column, polygon: Sequence[Point]) -> Column:
-    """Ray casting over literal edges: the parity of edges that pass to the right. Horizontal edges never do."""
-    odd = lit(0)
-    for (x0, y0), (x1, y1) in zip(polygon, [*polygon[1:], polygon[0]]):
-        if y0 == y1:
-            continue
-        crosses = ((y < y0) != (y < y1)) & (x < lit(float(x0)) + (y - lit(float(y0))) * lit((x1 - x0) / (y1 - y0)))
-        odd = odd + crosses.cast("int")
-    return odd % 2 == 1
+        first, lines = self.lines()
+        return inside & spans.lookup(x, y, lines, first)
+
+    def crossings(self) -> int:
+        """How often edges cross lines of pixels, about: the size of a mask."""
+        return sum(len(p) + int(sum(abs(a[1] - b[1]) for a, b in zip(p, [*p[1:], p[0]]))) for p in self.polygons)
+
+    def lines(self) -> tuple[int, list[list[tuple[int, int]]]]:
+        """The first line of pixels, and the spans of each from there on."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for polygon in self.polygons:
+            for y, pairs in scanlines(polygon).items():
+                found.setdefault(y, []).extend(pairs)
+        first = min(found, default=0)
+        return first, [sorted(found.get(y, ())) for y in range(first, max(found, default=-1) + 1)]
+
+
+def scanlines(polygon: Sequence[Point]) -> dict[int, list[tuple[int, int]]]:
+    """Spans of pixels by line: between the first and second crossing, the third and fourth, and so on."""
+    x0, y0 = np.array(polygon, float).T
+    x1, y1 = np.roll(x0, -1), np.roll(y0, -1)
+    low, high = np.ceil(np.minimum(y0, y1)).astype(int), np.ceil(np.maximum(y0, y1)).astype(int)
+    edge = np.repeat(np.arange(len(x0)), high - low)
+    y = np.arange(len(edge)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[edge]
+    at = np.ceil(x0[edge] + (y - y0[edge]) * ((x1 - x0)[edge] / (y1 - y0)[edge])).astype(int)
+    order = np.lexsort((at, y))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for line, a, b in zip(y[order][::2].tolist(), at[order][::2].tolist(), at[order][1::2].tolist()):
+        if a < b:
+            out.setdefault(line, []).append((a, b))
+    return out
 
 
 def save_rois(rois: Sequence[ROI], path: str) -> None:
@@ -104,47 +129,75 @@ def load_rois(path: str) -> list[ROI]:
 
 
 def roi_table(spark: SparkSession, rois: Sequence[ROI]) -> DataFrame:
-    rows = [(r.roi_id, r.name, r.color, r.polygons, r.bbox, r.is_visible) for r in rois]
+    points = lambda r: [[(float(x), float(y)) for x, y in p] for p in r.polygons]
+    rows = [(r.roi_id, r.name, r.color, points(r), r.bbox, r.is_visible) for r in rois]
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def roi_statistics(bands: DataFrame, rois: Sequence[ROI], nodata: float | None = None) -> DataFrame:
+Regions = Sequence[ROI] | DataFrame
+
+
+def by_expression(rois: Regions) -> bool:
+    return not isinstance(rois, DataFrame) and len(rois) <= MAX_MASKS and sum(r.crossings() for r in rois) <= MAX_LITERAL
+
+
+def region_spans(rois: DataFrame, region: str = "name", bounds: spans.Bounds | None = None) -> DataFrame:
+    """(region, y, x0, x1) of a table of regions in SCHEMA; those equal in `region` count as one."""
+    held = rois.withColumn("_some", F.coalesce(F.size("polygons") > 0, F.lit(False)))
+    drawn = spans.spans_of_edges(spans.edges_of_polygons(held.filter("_some"), region), bounds)
+    boxes = spans.spans_of_boxes(held.filter("not _some and bbox is not null").select(F.col(region).alias("region"), "bbox.*"))
+    return spans.united(drawn.unionByName(boxes))
+
+
+def below(df: DataFrame, rois: Regions, how: str = "inner", names: Sequence[str] = (), bounds: spans.Bounds | None = None) -> DataFrame:
+    """df(y, x, ...) with region, the name of each region that a pixel is in (names, if given, in place of its own). Regions
+    of one name are one region."""
+    if isinstance(rois, DataFrame):
+        return spans.inside(df, spans.by_tiles(region_spans(rois, bounds=bounds)), how)
+    names = names or [r.name for r in rois]
+    if not by_expression(rois):
+        rois = roi_table(df.sparkSession, [ROI(n, r.color, r.polygons, r.bbox, r.is_visible) for n, r in zip(names, rois)])
+        return spans.inside(df, spans.by_tiles(region_spans(rois, bounds=bounds)), how)
+    hits: dict[str, list[Column]] = {}
+    for n, r in zip(names, rois):
+        hits.setdefault(n, []).append(r.mask(F.col("x"), F.col("y")))
+    found = F.array_compact(F.array(*(F.when(F.exists(F.array(*h), lambda v: v), n) for n, h in hits.items()))) if hits else F.array().cast("array<string>")
+    return df.withColumn("region", F.explode_outer(found) if how == "left" else F.explode(found))
+
+
+def roi_statistics(bands: DataFrame, rois: Regions, nodata: float | None = None) -> DataFrame:
     """(roi, band, n, min_v, max_v, mean_v, std_v) of bands(y, x, band, value): all regions in one pass; a region
-    without valid pixels has n 0 and NaN."""
-    inside = F.filter(F.array(*(F.when(r.mask(F.col("x"), F.col("y")), r.name) for r in rois)), lambda n: n.isNotNull())
-    x = bands.select(F.explode(inside).alias("roi"), "band", F.when(valid(F.col("value"), nodata), F.col("value")).alias("value"))
+    whose pixels are all invalid has n 0 and NaN."""
+    x = below(bands, rois).select(F.col("region").alias("roi"), "band", F.when(valid(F.col("value"), nodata), F.col("value")).alias("value"))
     found = x.groupBy("roi", "band").agg(*summary())
     return found.select("roi", "band", "n", *(F.coalesce(c, lit(float("nan"))).alias(c) for c in ("min_v", "max_v", "mean_v", "std_v")))
 
 
 def roi_mean_spectrum(df: DataFrame, roi: ROI, nodata: float | None = None) -> DataFrame:
     """(band, mean_v) of the valid values below a region; empty without a pixel, NaN for a band without a valid one."""
-    x = long_bands(df.filter(roi.mask(F.col("x"), F.col("y"))).select("spectrum"))
+    x = long_bands(below(df.select("y", "x", "spectrum"), [roi]).select("spectrum"))
     return x.groupBy("band").agg(F.coalesce(F.avg(F.when(valid(F.col("value"), nodata), F.col("value"))), lit(float("nan"))).alias("mean_v"))
 
 
 def references_from_rois(df: DataFrame, rois: Sequence[ROI], bands: int, nodata: float | None = None) -> list[list[float]]:
     """The mean spectrum of each region, in order: regions by bands, in one pass; zeros for a region without pixels."""
-    long = long_bands(df.select("y", "x", "spectrum"))
-    named = [ROI(str(i), r.color, r.polygons, r.bbox) for i, r in enumerate(rois)]
+    x = long_bands(below(df.select("y", "x", "spectrum"), rois, names=[str(i) for i in range(len(rois))]))
+    found = x.groupBy("region", "band").agg(F.avg(F.when(valid(F.col("value"), nodata), F.col("value"))).alias("mean_v"))
     out = [[0.0] * bands for _ in rois]
-    for r in roi_statistics(long, named, nodata).select("roi", "band", "mean_v").collect():
-        out[int(r.roi)][r.band] = r.mean_v
+    for r in found.collect():  # regions by bands
+        out[int(r.region)][r.band] = float("nan") if r.mean_v is None else r.mean_v
     return out
 
 
 def mask_layer(df: DataFrame, roi: ROI) -> DataFrame:
     """(y, x, mask) with 255 inside and 0 outside."""
-    return df.select("y", "x", F.when(roi.mask(F.col("x"), F.col("y")), 255).otherwise(0).alias("mask"))
+    x = below(df.select("y", "x"), [roi], "left")
+    return x.select("y", "x", F.when(F.col("region").isNotNull(), 255).otherwise(0).alias("mask"))
 
 
 def training_from_rois(df: DataFrame, classes: dict[int, Sequence[ROI]], nodata: float | None = None) -> DataFrame:
     """(class_id, spectrum) of pixels below the regions of each class, where the whole spectrum is valid."""
-    each = []
-    for c, rois in classes.items():
-        hit = lit(False)
-        for r in rois:
-            hit = hit | r.mask(F.col("x"), F.col("y"))
-        each.append(F.when(hit, c))
-    x = df.select(F.explode(F.array_compact(F.array(*each))).alias("class_id"), F.col("spectrum").cast("array<double>").alias("spectrum"))
+    flat = [(str(c), r) for c, rois in classes.items() for r in rois]
+    x = below(df.select("y", "x", "spectrum"), [r for _, r in flat], names=[c for c, _ in flat])
+    x = x.select(F.col("region").cast("int").alias("class_id"), F.col("spectrum").cast("array<double>").alias("spectrum"))
     return x.filter(F.forall("spectrum", lambda v: valid(v, nodata)))

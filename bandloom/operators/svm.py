@@ -16,6 +16,9 @@ from bandloom.plans.num import lit
 
 from .classify import UNCLASSIFIED, _kernel
 
+#: Kernel values that a task holds at once.
+CELLS = 1 << 23
+
 
 def kernel(name: str, a: np.ndarray, b: np.ndarray, gamma: float, degree: int, coef0: float) -> np.ndarray:
     if name == "linear":
@@ -128,13 +131,12 @@ def classify(df: DataFrame, training: DataFrame, kernel_name: str = "rbf", c: fl
     if len(ids) < 2:
         raise ValueError("two classes or more are needed")
     width = float(gamma) if gamma != "scale" else 1 / (x.shape[1] * max(x.var(), 1e-12))
-    full = kernel(kernel_name, x, x, width, degree, coef0)
     machines = []
     for i in range(len(ids)):
         for j in range(i + 1, len(ids)):
             rows = np.flatnonzero((labels == ids[i]) | (labels == ids[j]))
             y = np.where(labels[rows] == ids[i], 1.0, -1.0)
-            k = full[np.ix_(rows, rows)]
+            k = kernel(kernel_name, x[rows], x[rows], width, degree, coef0)  # of two classes: the driver never holds all pairs
             held = np.zeros(len(rows))
             fold = np.arange(len(rows)) % 5
             for f in range(5):
@@ -145,13 +147,16 @@ def classify(df: DataFrame, training: DataFrame, kernel_name: str = "rbf", c: fl
             w, b = smo(k, y, c)
             used = np.abs(w) > 1e-12
             machines.append((i, j, rows[used], w[used], b, *sigmoid(held, y)))
+    support = np.unique(np.concatenate([m[2] for m in machines]))
+    machines = [(i, j, np.searchsorted(support, rows), *rest) for i, j, rows, *rest in machines]
+    x, step = x[support], max(64, CELLS // max(1, len(support)))
 
     def f(pixels: np.ndarray) -> list:
         ok = np.isfinite(pixels).all(axis=1)
         p = np.zeros((len(pixels), len(ids)))
         cls = np.full(len(pixels), UNCLASSIFIED, np.int32)
-        for at in range(0, len(pixels), 4096):
-            part = slice(at, at + 4096)
+        for at in range(0, len(pixels), step):
+            part = slice(at, at + step)
             k = kernel(kernel_name, np.where(ok[part, None], pixels[part], 0), x, width, degree, coef0)
             pair = np.full((len(k), len(ids), len(ids)), 0.5)
             for i, j, rows, w, b, slope, offset in machines:

@@ -57,9 +57,19 @@ def project(df: DataFrame, weights: np.ndarray, mean: np.ndarray, spectrum: str
     return _kernel(df, spectrum, f, {out: ArrayType(DoubleType())})
 
 
+def without_scores(df: DataFrame, components: int, spectrum: str) -> tuple[DataFrame, int, int]:
+    """df with scores of NaN, for an image without a valid pixel; its bands; how many components are kept."""
+    head = df.select(F.size(spectrum)).filter(F.col(spectrum).isNotNull()).first()
+    bands = head[0] if head else 0
+    return df.withColumn("scores", F.array_repeat(lit(float("nan")), min(components, bands))), bands, min(components, bands)
+
+
 def pca(df: DataFrame, components: int = 3, spectrum: str = "spectrum") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """df with scores; all eigenvalues; the share of variance of each kept component."""
-    _, mean, cov = mean_and_covariance(df, spectrum)
+    """df with scores; all eigenvalues; the share of variance of each kept component. Without a valid pixel all are NaN or 0."""
+    n, mean, cov = mean_and_covariance(df, spectrum)
+    if not n:
+        out, bands, k = without_scores(df, components, spectrum)
+        return out, np.zeros(bands), np.zeros(k)
     values, vectors = eigen(cov)
     k = min(components, len(values))
     total = values.sum()
@@ -116,7 +126,10 @@ def difference_covariance(df: DataFrame, spectrum: str = "spectrum") -> tuple[in
 def mnf(df: DataFrame, components: int = 3, spectrum: str = "spectrum") -> tuple[DataFrame, np.ndarray]:
     """df with scores of the minimum noise fraction, and the eigenvalues (signal to noise + 1) of the kept ones. Noise is
     half the covariance of neighbours' differences; the image is whitened by it before components are taken."""
-    _, mean, cov = mean_and_covariance(df, spectrum)
+    valid_pixels, mean, cov = mean_and_covariance(df, spectrum)
+    if not valid_pixels:
+        out, _, k = without_scores(df, components, spectrum)
+        return out, np.zeros(k)
     n, noise = difference_covariance(df, spectrum)
     b = len(mean)
     if not n:

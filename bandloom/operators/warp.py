@@ -84,6 +84,21 @@ class Source:
         found = [s[np.isfinite(s)] for s in steps]
         return max((float(s.max()) for s in found if len(s)), default=1.0), min((float(s.min()) for s in found if len(s)), default=1.0)
 
+    def footprint(self, grid: Grid) -> tuple[float, float]:
+        """How many of this raster's pixels a pixel of the grid covers along this raster's y and x, in the middle of what
+        both have in common. A turn moves an axis' share to the other one."""
+        ys, xs = (np.linspace(0, n - 1, 9) for n in (grid.height, grid.width))
+        y, x = (v.ravel() for v in np.meshgrid(ys, xs, indexing="ij"))
+        here = self.of(grid, y, x)
+        steps = [[p - q for p, q in zip(self.of(grid, y + dy, x + dx), here)] for dy, dx in ((1, 0), (0, 1))]
+        within = (here[0] >= -1) & (here[0] <= self.height) & (here[1] >= -1) & (here[1] <= self.width)
+        out = []
+        for axis in (0, 1):
+            size = np.hypot(steps[0][axis], steps[1][axis])
+            size = size[np.isfinite(size) & within] if (within & np.isfinite(size)).any() else size[np.isfinite(size)]
+            out.append(float(np.median(size)) if len(size) else 1.0)
+        return out[0], out[1]
+
 
 def _weights(method: str, d: np.ndarray, scale: float) -> np.ndarray:
     """Weight of a source pixel at distance d."""
@@ -162,7 +177,7 @@ def merged(sources: Sequence[tuple[DataFrame, Source]], grid: Grid, bands: int,
     places = [s for _, s in sources]
     spark = sources[0][0].sparkSession
     ship(spark)
-    ratios = [s.ratio(grid) for s in places]
+    ratios, prints = [s.ratio(grid) for s in places], [s.footprint(grid) for s in places]
     tile = max(4, min(TILE, math.ceil(SOURCE_TILE * min(r for _, r in ratios))))
     ny, nx = -(-grid.height // tile), -(-grid.width // tile)
     schema = "ty int, tx int, k int, y int, x int, spectrum array<double>"
@@ -224,8 +239,7 @@ def merged(sources: Sequence[tuple[DataFrame, Source]], grid: Grid, bands: int,
             at = np.flatnonzero(inside)
             if not len(at):
                 continue
-            scale = 1 / ratios[k][0]
-            got = interpolated(cells, y0, x0, sy[at], sx[at], method, (scale, scale))
+            got = interpolated(cells, y0, x0, sy[at], sx[at], method, prints[k])
             own = np.ones(len(at)) if place.weight is None else place.weight(y[at], x[at])
             ok = np.isfinite(got) & (own > 0)[:, None]
             total[at] += np.where(ok, got, 0) * own[:, None]

@@ -235,6 +235,18 @@ SELECT l_orderkey, l_linenumber, {r6('least(greatest(c[low + 1] + (c[low + 2] -
     "roi_polygon_mask": f"{E} SELECT vec_id, {polygon('x', 'y')} AS inside FROM e",
     "roi_multiband": E + LONG.format("e") + " " + " UNION ALL ".join(f"SELECT '{n}' AS roi, band, count(*) AS n, {r6('avg(value)')} AS mean_v, {r6('stddev_pop(value)')} AS std_v FROM l WHERE {box(n)} GROUP BY band" for n in BOXES),
     "roi_mean_spectrum": E + LONG.format("e") + f" SELECT band, {r6('avg(value)')} AS mean_v FROM l WHERE {polygon('x', 'y')} GROUP BY band",
+    "roi_coastline": E + f""", h AS (SELECT max(y) + 1 AS h FROM e), n AS (SELECT max(o_orderkey) + 1 AS n FROM orders),
+v AS (SELECT o_orderkey AS pos, o_orderkey * {float(WIDTH)}::DOUBLE / n::DOUBLE AS vx, o_totalprice * h::DOUBLE / 500000.0::DOUBLE AS vy FROM orders, n, h
+  UNION ALL SELECT n, {float(WIDTH)}::DOUBLE, h + 1.0::DOUBLE FROM n, h UNION ALL SELECT n + 1, 0.0::DOUBLE, h + 1.0::DOUBLE FROM n, h),
+g AS (SELECT vx AS x0, vy AS y0, coalesce(lead(vx) OVER w, first_value(vx) OVER w) AS x1, coalesce(lead(vy) OVER w, first_value(vy) OVER w) AS y1 FROM v WINDOW w AS (ORDER BY pos)),
+i AS (SELECT vec_id FROM e JOIN g ON (y < y0) <> (y < y1) AND x < x0 + (y - y0) * ((x1 - x0) / (y1 - y0)) GROUP BY vec_id HAVING count(*) % 2 = 1)
+SELECT vec_id, i.vec_id IS NOT NULL AS inside FROM e LEFT JOIN i USING (vec_id)""",
+    "roi_of_orders": E + f""", h AS (SELECT max(y) + 1 AS h FROM e),
+v AS (SELECT l_orderkey, l_quantity / 2.0::DOUBLE AS vx, l_extendedprice * h::DOUBLE / 100000.0::DOUBLE AS vy, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem, h),
+g AS (SELECT l_orderkey, vx AS x0, vy AS y0, coalesce(lead(vx) OVER w, first_value(vx) OVER w) AS x1, coalesce(lead(vy) OVER w, first_value(vy) OVER w) AS y1 FROM v WHERE c > 2
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, vx, vy)),
+i AS (SELECT l_orderkey, vec_id, any_value(v[1]) AS value FROM e JOIN g ON (y < y0) <> (y < y1) AND x < x0 + (y - y0) * ((x1 - x0) / (y1 - y0)) GROUP BY l_orderkey, vec_id HAVING count(*) % 2 = 1)
+SELECT l_orderkey, count(*) AS n, {r6('min(value)')} AS min_v, {r6('max(value)')} AS max_v, {r6('avg(value)')} AS mean_v FROM i GROUP BY l_orderkey""",
     "roi_mask_layer": f"{E} SELECT y, x, CASE WHEN {box('c')} THEN 255 ELSE 0 END AS mask FROM e",
     "scene_mean_spectrum": E + LONG.format("e") + f" SELECT band, {r6('avg(value)')} AS mean_v FROM l GROUP BY band",
     "sam_classify": f"{SAM} SELECT vec_id, cls::INT AS cls, {r6('score')} AS score FROM best",

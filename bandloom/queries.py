@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import color, indices, stretch
 from bandloom.functions.bandmath import band_math
-from bandloom.operators import accuracy, classify, combine, geodesy, library, radiometry, roi, stats, svm, transforms, warp
+from bandloom.operators import accuracy, classify, combine, geodesy, library, radiometry, roi, spans, stats, svm, transforms, warp
 from bandloom.operators.bands import match_bands
 from bandloom.plans import num
 from bandloom.plans.linalg import mean_and_covariance
@@ -264,6 +264,31 @@ def roi_mask_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.mask_layer(cube(spark, sf_dir), box_roi("c"))
 
 
+@query
+def roi_coastline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels below a coast that has an order's price at each of its vertices, from west to east."""
+    orders, x = table(spark, sf_dir, "orders"), cube(spark, sf_dir)
+    n, rows = orders.agg(F.max("o_orderkey") + 1).first()[0], height(x)
+    coast = orders.select(F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * lit(float(WIDTH)) / lit(float(n))).alias("x"), (F.col("o_totalprice") * lit(float(rows)) / lit(500000.0)).alias("y"))
+    corners = spark.createDataFrame([(n, float(WIDTH), rows + 1.0), (n + 1, 0.0, rows + 1.0)], "pos long, x double, y double")
+    ring = coast.unionByName(corners).select(lit("coast").alias("region"), lit(0).alias("part"), "pos", "x", "y")
+    inside = spans.by_tiles(spans.spans_of_edges(spans.edges_of_vertices(ring)))
+    return spans.inside(x.select("vec_id", "y", "x"), inside, "left").select("vec_id", F.col("region").isNotNull().alias("inside"))
+
+
+@query
+def roi_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics below a polygon for each order of three items or more: thousands of regions in one pass."""
+    x = cube(spark, sf_dir)
+    rows = height(x)
+    corner = F.struct("l_linenumber", "l_partkey", (F.col("l_quantity") / lit(2.0)).alias("x"), (F.col("l_extendedprice") * lit(float(rows)) / lit(100000.0)).alias("y"))
+    rings = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(corner)).alias("_c")).filter(F.size("_c") > 2)
+    ring = F.transform("_c", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    regions = rings.select(F.col("l_orderkey").alias("name"), F.array(ring).alias("polygons"), lit(None).cast("struct<x0: int, y0: int, x1: int, y1: int>").alias("bbox"))
+    bands = x.select("y", "x", lit(0).alias("band"), band(0).alias("value"))
+    return rounded(roi.roi_statistics(bands, regions).select(F.col("roi").alias("l_orderkey"), "n", "min_v", "max_v", "mean_v"), "l_orderkey", "n")
+
+
 @query
 def scene_mean_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.scene_mean(cube(spark, sf_dir)), "band")

@@ -540,3 +540,64 @@ def test_command_line(spark, tmp_path, capsys):
     assert command.main([]) == 2 and command.main([path]) == 0
     out = capsys.readouterr().out
     assert "10 x 12 x 4 float32" in out and f"{cube[0].astype(np.float32).astype(float).mean():.6f}" in out and "120" in out
+
+
+@pytest.mark.parametrize("target", [(64, 4), (13, 29), (4, 64), (96, 10), (64, 64)])
+def test_average_shrinks_each_axis_by_itself(spark, target):
+    """Weights by the covered part of each source pixel, along y and x apart."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(64, 64))
+    rows = [(y, x, [float(v[y, x])]) for y in range(64) for x in range(64)]
+    df = spark.createDataFrame(rows, "y int, x int, spectrum array<double>")
+
+    def parts(n, m):
+        out = np.zeros((m, n))
+        for i in range(m):
+            centre, half = (i + 0.5) * n / m, max(n / m, 1) / 2
+            for j in range(n):
+                out[i, j] = max(0, min(j + 1, centre + half) - max(j, centre - half))
+        return out / out.sum(axis=1, keepdims=True)
+
+    want = parts(64, target[0]) @ v @ parts(64, target[1]).T
+    got = np.full(target, np.nan)
+    for r in warp.resized(df, (64, 64), target, 1, "average").collect():
+        got[r.y, r.x] = r.spectrum[0]
+    assert np.allclose(got, want)
+
+
+def test_average_of_a_turned_raster(spark):
+    """A quarter turn swaps the axes' shares."""
+    v = np.arange(40.0 * 12).reshape(40, 12)
+    df = spark.createDataFrame([(y, x, [float(v[y, x])]) for y in range(40) for x in range(12)], "y int, x int, spectrum array<double>")
+    source = warp.Source(12, 40, (0.0, 1.0, 0.0, 1.0, 0.0, 0.0), "")  # x goes down, y to the right
+    grid = warp.Grid(10, 4, (4.0, 0.0, 0.0, 0.0, 3.0, 0.0), "")
+    assert np.allclose(source.footprint(grid), (4, 3))
+    got = {(r.y, r.x): r.spectrum[0] for r in warp.merged([(df, source)], grid, 1, "average").collect()}
+    assert got == {(i, j): pytest.approx(v.T[3 * i : 3 * i + 3, 4 * j : 4 * j + 4].mean()) for i in range(4) for j in range(10)}
+
+
+def test_components_without_a_valid_pixel(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, x, [nan] * 4) for x in range(3)] + [(1, 0, None)], "y int, x int, spectrum array<double>")
+    out, values, shares = transforms.pca(df, 3)
+    assert all(np.isnan(r.scores).all() and len(r.scores) == 3 for r in out.collect()) and values.tolist() == [0] * 4 and shares.tolist() == [0] * 3
+    out, values = transforms.mnf(df, 9)
+    assert all(np.isnan(r.scores).all() and len(r.scores) == 4 for r in out.collect()) and values.tolist() == [0] * 4
+    assert transforms.pca(df.limit(0), 3)[0].collect() == []
+
+
+def test_svm_memory_is_a_pair_of_classes(spark, monkeypatch):
+    """Kernels are of two classes in training, and of blocks of pixels by the support vectors in prediction."""
+    rng = np.random.default_rng(0)
+    rows = [(c, [float(v) for v in rng.normal(3 * c, 1, 3)]) for c in range(6) for _ in range(60)]
+    sizes, inner = [], svm.kernel
+
+    def seen(name, a, b, *rest):
+        sizes.append(len(a) * len(b))
+        return inner(name, a, b, *rest)
+
+    monkeypatch.setattr(svm, "kernel", seen)
+    training = spark.createDataFrame(rows, "class_id int, spectrum array<double>")
+    out = svm.classify(training.withColumnRenamed("class_id", "truth"), training)
+    assert max(sizes) <= 120**2
+    assert np.mean([r.cls == r.truth for r in out.collect()]) > 0.85
