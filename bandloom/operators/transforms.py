@@ -6,6 +6,7 @@ go back to the rows as literals or in an Arrow kernel.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
@@ -161,10 +162,7 @@ def ica(df: DataFrame, components: int = 3, max_iter: int = 200, tol: float = 1e
     values, vectors = eigen(cov)
     k = max(1, min(k, int((values > values[0] * 1e-12).sum())))
     white = (vectors[:, :k] / np.sqrt(values[:k])).T
-    rows = df.filter(num.all_finite(num.doubles(spectrum)))
-    if n > sample:
-        rows = rows.orderBy(F.xxhash64(lit(random_state), *key)).limit(sample)
-    z = (np.array([r[0] for r in rows.select(num.doubles(spectrum)).collect()]) - mean) @ white.T
+    z = (sampled(df, sample, random_state, key, spectrum) - mean) @ white.T
     g, dg = CONTRASTS[fun]
     rng = np.random.default_rng(random_state)
     w = rng.normal(size=(k, k))
@@ -201,62 +199,116 @@ def ica(df: DataFrame, components: int = 3, max_iter: int = 200, tol: float = 1e
     return project(df, unmixing, mean, spectrum), np.linalg.pinv(unmixing)
 
 
-def endmembers(df: DataFrame, count: int = 0, max_iterations: int = 60, tolerance: float = 1e-6, spectral_fraction: float = 0.02, min_variance_fraction: float = 0.001, max_samples: int = 20_000, seed: int = 42, spectrum: str = "spectrum", key: Sequence[str] = ("y", "x")) -> tuple[np.ndarray, np.ndarray]:
-    """(endmember spectra, mean residual after each): the extreme spectra of the image.
+def sampled(df: DataFrame, most: int, seed: int, key: Sequence[str], spectrum: str) -> np.ndarray:
+    """Finite spectra, `most` at most: those of the lowest seeded hashes of the key. They are fetched below a bound on the
+    hash under which a few more are expected; only where too few are there (equal keys have equal hashes) are rows sorted."""
+    x = df.select(num.doubles(spectrum).alias("s"), F.xxhash64(lit(seed), *key).alias("h")).filter(num.all_finite(F.col("s")))
+    n = x.count()
+    low = x
+    if n > most:
+        low = x.filter(F.col("h") <= lit(min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (most + 50 + 6 * math.isqrt(most)) // n)))
+    rows = low.limit(2 * most + 1000).collect()
+    if len(rows) < min(n, most) or len(rows) > 2 * most:
+        rows = x.orderBy("h", "s").limit(most).collect()
+    return np.array([s for _, s in sorted((r.h, r.s) for r in rows)[:most]])
+
+
+def hull_directions(x: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """Up to count unit vectors of pixels that are extreme along random axes, no two of them nearly the same; the mean's if
+    there is none."""
+    axes = np.random.default_rng(seed).normal(size=(x.shape[1], 40 * count))
+    found: list[np.ndarray] = []
+    for i in dict.fromkeys((x @ axes).argmax(axis=0).tolist()):
+        norm = np.linalg.norm(x[i])
+        if norm > 1e-9 and all(x[i] @ u / norm <= 0.999 for u in found):
+            found.append(x[i] / norm)
+        if len(found) == count:
+            break
+    mean = x.mean(axis=0)
+    return np.array(found) if found else (mean / np.linalg.norm(mean) if mean.any() else np.full(len(mean), len(mean) ** -0.5))[None]
+
+
+def fitted_directions(x: np.ndarray, starts: np.ndarray, rounds: int, tolerance: float, inlier_fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each start after its search, and the mean of what it leaves of the pixels, relative to their lengths. A round moves a
+    direction to the mean of the pixels in its basin (the inlier_fraction that it explains best), weighted by projection over
+    residual. All directions move together: their projections are one matrix product."""
+    lengths = np.maximum(np.linalg.norm(x, axis=1), 1e-12)
+    u, moving = starts.copy(), np.arange(len(starts))
+    for _ in range(rounds):
+        z = x @ u[moving].T
+        off = np.sqrt(np.maximum(lengths[:, None] ** 2 - z**2, 0)) / lengths[:, None]
+        basin = off <= np.quantile(off, inlier_fraction, axis=0)
+        still = []
+        for k, i in enumerate(moving):
+            own = x[basin[:, k]]
+            along = z[basin[:, k], k]
+            rest = np.linalg.norm(own - np.outer(along, u[i]), axis=1)
+            step = (np.maximum(along, 0) / np.maximum(rest, 1e-12)) @ own
+            size = np.linalg.norm(step)
+            if size < 1e-12:
+                continue
+            step /= size
+            if np.linalg.norm(step - u[i]) >= tolerance:
+                still.append(i)
+            u[i] = step
+        moving = np.array(still, int)
+        if not len(moving):
+            break
+    return u, off_ray(x, u, lengths).mean(axis=0)
+
+
+def off_ray(x: np.ndarray, u: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How far pixels are from the rays along unit vectors, relative to their lengths: pixels by vectors."""
+    z = np.maximum(x @ u.T, 0)
+    return np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x)[:, None] - z**2, 0)) / lengths[:, None]
+
+
+def scene_residuals(df: DataFrame, directions: np.ndarray, spectrum: str) -> np.ndarray:
+    """The mean of off_ray() over all finite pixels of the image, in one pass: a task sends its sums."""
+    ship(df.sparkSession)
 
-    Works on at most max_samples pixels (the lowest seeded hashes of the key). Spectra are divided by their level and
-    looked at in the leading components; the vertex with the largest simplex volume is taken first, each further one is
-    the pixel farthest from what those so far explain by non-negative least squares, and all are exchanged for better ones
-    until the volume stops growing. Each endmember is the mean of the spectral_fraction of pixels nearest to its vertex.
-    Without a count, components that hold min_variance_fraction of the variance decide, plus one."""
-    rows = df.filter(num.all_finite(num.doubles(spectrum))).orderBy(F.xxhash64(lit(seed), *key)).limit(max_samples)
-    x = np.array([r[0] for r in rows.select(num.doubles(spectrum)).collect()])
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(len(directions))
+        for b in batches:
+            if b.num_rows:
+                x = vectors(b.column(0))
+                x = np.maximum(x[np.isfinite(x).all(axis=1)], 0)
+                n += len(x)
+                total += off_ray(x, directions, np.maximum(np.linalg.norm(x, axis=1), 1e-12)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()])], names=["n", "total"])
+
+    each = df.select(num.doubles(spectrum).alias("s")).filter("s is not null").mapInArrow(sums, "n long, total array<double>")
+    row = each.agg(F.sum("n"), *(F.sum(F.get("total", lit(i))) for i in range(len(directions)))).first()
+    return np.array(row[1:]) / row[0]
+
+
+def endmembers(df: DataFrame, count: int = 0, max_iterations: int = 60, tolerance: float = 1e-6, inlier_fraction: float = 0.15, spectral_fraction: float = 0.02, min_variance_fraction: float = 0.001, max_samples: int = 20_000, seed: int = 42, spectrum: str = "spectrum", key: Sequence[str] = ("y", "x")) -> tuple[np.ndarray, np.ndarray]:
+    """(endmember spectra, mean relative residual of the image against each): spectral feature fitting.
+
+    An endmember is a ray from the origin onto which spectra collapse (negative values are noise and count as 0). Directions
+    start at vertices of the hull, are refined within their basins (fitted_directions()), and the one that leaves least is
+    taken. What all taken so far explain together, by least squares, is taken off the spectra before the next search. An
+    endmember's spectrum is the mean of the spectral_fraction of pixels nearest to its ray. The search works on at most
+    max_samples pixels, on the driver; residuals are those of the whole image, before anything is taken off. Without a count,
+    there are as many as the covariance has eigenvalues above min_variance_fraction of its largest."""
+    x = sampled(df, max_samples, seed, key, spectrum)
     if x.ndim < 2 or len(x) <= x.shape[1]:
         raise ValueError("more pixels than bands are needed")
-    mean = x.mean(axis=0)
-    values, vectors = eigen(np.cov(x.T))
-    k = count or max(2, int((values > values.sum() * min_variance_fraction).sum()) + 1)
-    k = min(k, x.shape[1])
-    y = (x - mean) @ vectors[:, : k - 1] if k > 1 else (x - mean) @ vectors[:, :1]
-    chosen = [int(np.argmax(np.linalg.norm(y - y.mean(axis=0), axis=1)))]
-    while len(chosen) < k:
-        base = y[chosen[0]]
-        span = np.array([y[c] - base for c in chosen[1:]]).T if len(chosen) > 1 else np.zeros((y.shape[1], 0))
-        d = y - base
-        if span.size:
-            q, _ = np.linalg.qr(span)
-            d = d - d @ q @ q.T
-        chosen.append(int(np.argmax(np.linalg.norm(d, axis=1))))
-
-    def volume(points: np.ndarray) -> float:
-        return abs(np.linalg.det(np.vstack([np.ones(len(points)), points.T]))) if len(points) == y.shape[1] + 1 else 0.0
-
-    if len(chosen) == y.shape[1] + 1:
-        best = volume(y[chosen])
-        for _ in range(max_iterations):
-            before = best
-            for i in range(len(chosen)):
-                edges = np.vstack([np.ones(len(chosen)), y[chosen].T])
-                cof = np.linalg.pinv(edges)[i]  # the volume is linear in a vertex
-                v = np.abs(cof[0] + y @ cof[1:])
-                j = int(np.argmax(v))
-                if v[j] > 1 + tolerance:
-                    chosen[i] = j
-            best = volume(y[chosen])
-            if best <= before * (1 + tolerance):
-                break
-    near = max(1, int(len(x) * spectral_fraction))
-    found = []
-    for c in chosen:
-        d = np.linalg.norm(y - y[c], axis=1)
-        close = np.argsort(d)[: max(1, min(near, int((d < np.linalg.norm(y - y.mean(axis=0), axis=1).max() * 0.1).sum())))]
-        found.append(x[close].mean(axis=0))
-    e = np.array(found)
-    residuals = []
-    for i in range(1, k + 1):
-        a = np.maximum(x @ np.linalg.pinv(e[:i]), 0)
-        residuals.append(float(np.sqrt(((x - a @ e[:i]) ** 2).mean())))
-    return e, np.array(residuals)
+    bands = x.shape[1]
+    if count <= 0:
+        values = np.linalg.eigvalsh(np.atleast_2d(np.cov(x.T)))
+        count = int((values > values.max() * max(min_variance_fraction, bands * np.finfo(float).eps)).sum())
+    count = min(max(count, 1), bands)
+    x = np.maximum(x, 0)
+    left, taken = x, np.zeros((0, bands))
+    for k in range(count):
+        starts = hull_directions(left, min(12, max(2, 4 * count)), seed + k)
+        found, residual = fitted_directions(left, starts, max_iterations, tolerance, inlier_fraction)
+        taken = np.vstack([taken, found[residual.argmin()]])
+        left = np.maximum(x - x @ np.linalg.pinv(taken) @ taken, 0)
+    off = off_ray(x, taken, np.maximum(np.linalg.norm(x, axis=1), 1e-12))
+    near = off <= np.maximum(np.quantile(off, spectral_fraction, axis=0), off.min(axis=0))
+    return np.array([x[near[:, k]].mean(axis=0) for k in range(count)]), scene_residuals(df, taken, spectrum)
 
 
 def abundances(df: DataFrame, members: np.ndarray, spectrum: str = "spectrum", out: str = "abundance") -> DataFrame:

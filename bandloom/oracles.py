@@ -279,6 +279,12 @@ SELECT {r6('po * 100')} AS oa, {r6('CASE WHEN pe >= 1 THEN 1 ELSE (po - pe) / (1
     "mlc_classify": MLC,
     "svm_separable": f"{E} SELECT vec_id, CASE WHEN v[1] > 0 THEN 2 ELSE 1 END::INT AS cls FROM e WHERE abs(v[1]) > 0.05::DOUBLE",
     "ica_covariance": "SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM range(3) a(i), range(3) b(j) WHERE i <= j",
+    "sff_residuals": ABS + means("a") + """, p AS (SELECT cls, m, list_dot_product(m, m) AS mm FROM refs WHERE cls < 2), k AS (SELECT count(*) FILTER (x % 5 < 4) AS many, count(*) AS n FROM e),
+c AS (SELECT sqrt(greatest(a.mm * b.mm - list_dot_product(a.m, b.m) ** 2, 0) / (a.mm * b.mm)) AS off FROM p a, p b WHERE a.cls = 0 AND b.cls = 1)
+SELECT """ + r6("m[1]") + " AS first, " + r6("off * (n - many) / n") + """ AS residual FROM p, c, k WHERE cls = 1""",
+    "resize_average_uneven": E + f""", h AS (SELECT max(y) + 1 AS h FROM e), g AS (SELECT i::INT AS gy, j::INT AS gx, (i + 0.5) * h / 6 AS cy, (j + 0.5) * {WIDTH} / 10 AS cx, h / 12 AS ry, {WIDTH} / 20 AS rx FROM range(6) a(i), range(10) b(j), h),
+w AS (SELECT gy, gx, v, greatest(0, least(y + 1, cy + ry) - greatest(y, cy - ry)) * greatest(0, least(x + 1, cx + rx) - greatest(x, cx - rx)) AS w FROM e, g)
+SELECT gy AS y, gx AS x, {r6('sum(w * v[1]) / sum(w)')} AS v0, {r6('sum(w * v[64]) / sum(w)')} AS v63 FROM w GROUP BY gy, gx""",
     "sff_pure": ABS + means("a") + f", top AS (SELECT row_number() OVER (ORDER BY m) - 1 AS member, m FROM refs WHERE cls < 3), u AS (SELECT member, unnest(m) AS v, generate_subscripts(m, 1) - 1 AS band FROM top) SELECT member::INT AS member, band::INT AS band, {r6('v')} AS v FROM u",
     "kmeans_full": rounds(10, 0) + f" SELECT vec_id, cls, {r6('d')} AS score FROM done",
     "isodata_full": rounds(5, 10) + " SELECT vec_id, cls FROM done",

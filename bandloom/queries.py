@@ -505,6 +505,17 @@ def sff_pure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m, b, float(v)) for m, s in enumerate(found) for b, v in enumerate(s)], "member int, band int, v double").withColumn("v", r6(F.col("v")))
 
 
+@query
+def sff_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene of sff_pure: how far its pixels are from the rays of the endmembers, by the endmembers' first bands. The rays
+    are fitted before those found earlier are taken off for the first one only, so it is held to the pure spectrum."""
+    x = positive(cube(spark, sf_dir))
+    pure = num.matrix(references(x)[:3])
+    mixed = F.transform(F.sequence(lit(0), lit(BANDS - 1)), lambda b: F.get(F.get(pure, (F.col("x") % 5 < 4).cast("int")), b))
+    found, residuals = transforms.endmembers(x.select("y", "x", mixed.alias("spectrum")), 1)
+    return spark.createDataFrame([(float(found[0][0]), float(residuals[0]))], "first double, residual double").select(r6(F.col("first")).alias("first"), r6(F.col("residual")).alias("residual"))
+
+
 @query
 def sff_endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = transforms.endmembers(positive(cube(spark, sf_dir)), 4)
@@ -649,6 +660,14 @@ def raster_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.assess(fine, coarse, resize=True)
 
 
+@query
+def resize_average_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene on 6 by 10 pixels: its lines and columns shrink differently."""
+    x = cube(spark, sf_dir)
+    done = warp.resized(x.select("y", "x", F.array(band(0), band(63)).alias("spectrum")), (height(x), WIDTH), (6, 10), 2, "average")
+    return done.select("y", "x", r6(band(0)).alias("v0"), r6(band(1)).alias("v63"))
+
+
 @query
 def warp_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of two by two pixels, averaged."""

@@ -225,7 +225,8 @@ def test_endmembers_and_abundances(spark):
     df = raster(spark, (share @ true + rng.normal(0, 1e-4, (3000, 30))).T.reshape(30, 50, 60)).df
     found, residuals = transforms.endmembers(df, 3)
     corr = np.corrcoef(np.vstack([found, true]))[:3, 3:]
-    assert sorted(corr.argmax(axis=1)) == [0, 1, 2] and corr.max(axis=1).min() > 0.95 and residuals[-1] < residuals[0]
+    assert sorted(corr.argmax(axis=1)) == [0, 1, 2] and corr.max(axis=1).min() > 0.95
+    assert len(residuals) == 3 and (residuals > 0).all() and (residuals < 1).all()
     exact = raster(spark, (share[:100] @ true).T.reshape(30, 10, 10)).df
     got = np.array([r[0] for r in transforms.abundances(exact, true).orderBy("y", "x").select("abundance").collect()])
     assert np.allclose(got, share[:100], atol=1e-5)
@@ -601,3 +602,62 @@ def test_svm_memory_is_a_pair_of_classes(spark, monkeypatch):
     out = svm.classify(training.withColumnRenamed("class_id", "truth"), training)
     assert max(sizes) <= 120**2
     assert np.mean([r.cls == r.truth for r in out.collect()]) > 0.85
+
+
+def planted(rng, k=4, bands=30, pixels=20_000):
+    """Separate bumps, mixed at random, with some pure pixels."""
+    grid = np.arange(bands)
+    members = np.array([0.1 + np.exp(-0.5 * ((grid - c) / 2.5) ** 2) for c in np.linspace(3, bands - 4, k)])
+    share = rng.dirichlet([0.6] * k, pixels)
+    share[: 150 * k] = np.repeat(np.eye(k), 150, axis=0)
+    return members, share @ members + rng.normal(0, 0.002, (pixels, bands))
+
+
+def test_features_of_a_planted_scene(spark):
+    """Each feature matches a member of its own, and they differ from each other."""
+    members, x = planted(np.random.default_rng(0))
+    df = raster(spark, x.T.reshape(30, 100, 200)).df
+    found, residuals = transforms.endmembers(df, 3)
+    corr = np.corrcoef(np.vstack([found, members]))
+    assert corr[:3, 3:].max(axis=1).min() > 0.95 and len(set(corr[:3, 3:].argmax(axis=1))) == 3
+    assert (corr[:3, :3] - np.eye(3)).max() < 0.85
+    again, _ = transforms.endmembers(df.repartition(7), 3)
+    assert np.allclose(found, again)
+
+
+def test_residuals_are_of_the_whole_image(spark):
+    """Also where the search sees a sample only; and against rays that are known."""
+    members, x = planted(np.random.default_rng(1), 2, 12, 3000)
+    df = raster(spark, x.T.reshape(12, 50, 60)).df
+    found, residuals = transforms.endmembers(df, 2, max_samples=400)
+    u = np.eye(12)[:2]
+    want = [np.mean(np.linalg.norm(np.maximum(x, 0) - np.maximum(x @ v, 0)[:, None] * v, axis=1) / np.linalg.norm(np.maximum(x, 0), axis=1)) for v in u]
+    assert transforms.scene_residuals(df, u, "spectrum") == pytest.approx(want, abs=1e-6)
+    assert len(residuals) == 2 and np.corrcoef(np.vstack([found, members]))[:2, 2:].max() > 0.99
+
+
+def test_a_search_stays_in_its_basin():
+    """With a small basin a start ends at its own feature; with all pixels as inliers it ends between them."""
+    members, x = planted(np.random.default_rng(2), 2, 12, 2000)
+    unit = members / np.linalg.norm(members, axis=1, keepdims=True)
+    x = np.maximum(x, 0)
+    own, _ = transforms.fitted_directions(x, unit.copy(), 60, 1e-6, 0.1)
+    assert (np.einsum("ij,ij->i", own, unit) > 0.999).all()
+    wide, _ = transforms.fitted_directions(x, unit.copy(), 1, 1e-6, 1.0)
+    assert (np.einsum("ij,ij->i", wide, unit) < 0.9999).any()
+
+
+def test_feature_count_follows_the_variance(spark):
+    members, x = planted(np.random.default_rng(3), 3, 10, 2000)
+    df = raster(spark, x.T.reshape(10, 40, 50)).df
+    found, _ = transforms.endmembers(df, min_variance_fraction=0.05)
+    assert len(found) == 2  # shares sum to 1: three members vary in two directions
+    assert len(transforms.endmembers(df, 99)[0]) == 10
+
+
+def test_samples_by_hash(spark):
+    df = spark.range(5000).selectExpr("cast(id as int) y", "0 x", "cast(array(id, 1) as array<double>) spectrum")
+    one, two = (transforms.sampled(d, 300, 7, ("y", "x"), "spectrum") for d in (df, df.repartition(9)))
+    assert len(one) == 300 and (one == two).all()
+    assert len(transforms.sampled(df.withColumn("y", F.lit(1)), 300, 7, ("y", "x"), "spectrum")) == 300
+    assert len(transforms.sampled(df.limit(0), 300, 7, ("y", "x"), "spectrum")) == 0
