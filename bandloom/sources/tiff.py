@@ -258,11 +258,16 @@ def packed(data: bytes, compress: str) -> bytes:
 
 
 def write_tiff(path: str, cube: np.ndarray, meta: RasterMetadata, compress: str = "lzw", rows_per_strip: int = 64) -> None:
-    """A chunky GeoTIFF of cube (height, width, bands)."""
+    """A chunky GeoTIFF of cube (height, width, bands), in strips, from memory."""
     how = compression(compress)
     data = np.ascontiguousarray(cube, cube.dtype.newbyteorder("<"))
     strips = [packed(data[y : y + rows_per_strip].tobytes(), how) for y in range(0, len(data), rows_per_strip)]
-    write_strips(path, cube.shape, cube.dtype, list(map(len, strips)), iter(strips), meta, how, rows_per_strip)
+    layout = Layout.of(cube.shape, cube.dtype, list(map(len, strips)), 0, meta, how, rows=rows_per_strip)
+    with open(path, "wb") as out:
+        out.truncate(layout.size)
+        for at, raw in [*layout.known, *zip(layout.offsets, strips)]:
+            out.seek(at)
+            out.write(raw)
 
 
 def compression(name: str | None) -> str:
@@ -272,16 +277,64 @@ def compression(name: str | None) -> str:
     return name
 
 
-def write_strips(path: str, shape: tuple[int, int, int], dtype: np.dtype, sizes: list[int], strips: Iterator[bytes], meta: RasterMetadata, compress: str, rows_per_strip: int) -> None:
-    """A chunky GeoTIFF from packed strips, which are read one after the other; offsets have 32 bits."""
+@dataclass
+class Layout:
+    """Where the parts of a file stand: its blocks, one block for those that are empty, and what else it holds."""
+
+    offsets: list[int]
+    empty: int
+    size: int
+    known: list[tuple[int, bytes]]
+
+    @staticmethod
+    def of(shape: tuple[int, int, int], dtype: np.dtype, sizes: list[int | None], empty: int, meta: RasterMetadata, compress: str, tile: int = 0, first: int = 0, rows: int = 0) -> Layout:
+        """Of a chunky file with packed blocks of the given sizes (None: empty), tiles or else strips of some rows. Offsets have
+        64 bits where 32 don't reach."""
+        return Layout._with(shape, dtype, sizes, empty, meta, compress, tile, first, rows, False) or Layout._with(shape, dtype, sizes, empty, meta, compress, tile, first, rows, True)
+
+    @staticmethod
+    def _with(shape, dtype, sizes, empty, meta, compress, tile, first, rows, big: bool) -> Layout | None:
+        at = max(first, 16 if big else 8)
+        offsets: list[int] = []
+        for n in sizes:
+            offsets.append(at)
+            at += (n or 0) + ((n or 0) & 1)
+        hole, at = at, at + empty + (empty & 1)
+        offsets = [hole if n is None else o for n, o in zip(sizes, offsets)]
+        entries = described(shape, np.dtype(dtype), meta, compress)
+        word = "Q" if big else "I"
+        counts = tuple(empty if n is None else n for n in sizes)
+        if tile:
+            entries += [(TILE_W, "I", (tile,)), (TILE_H, "I", (tile,)), (TILES, word, tuple(offsets)), (TILE_BYTES, word, counts)]
+        else:
+            entries += [(ROWS, "I", (rows,)), (STRIPS, word, tuple(offsets)), (STRIP_BYTES, word, counts)]
+        head, room = ("<Q", 8) if big else ("<H", 4)
+        base = at + struct.calcsize(head) + len(entries) * (20 if big else 12) + room
+        directory, extra = [struct.pack(head, len(entries))], []
+        codes = {v: k for k, v in SIZES.items() if len(v) == 1}
+        end = base
+        for tag, code, values in sorted(entries):
+            raw = values[0] if code == "s" else np.array(values, "<" + {"H": "u2", "I": "u4", "Q": "u8", "d": "f8"}[code]).tobytes() if end < 1 << 32 or big else b""
+            n = len(raw) if code == "s" else len(values)
+            place = raw.ljust(room, b"\0")
+            if len(raw) > room:
+                place = struct.pack("<Q" if big else "<I", end if big else min(end, (1 << 32) - 1))
+                extra.append(raw + b"\0" * (len(raw) & 1))
+                end += len(extra[-1])
+            directory.append(struct.pack("<HHQ" if big else "<HHI", tag, codes[code], n) + place)
+        if not big and end >= 1 << 32:
+            return None
+        start = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at)
+        return Layout(offsets, hole, end, [(0, start), (at, b"".join([*directory, b"\0" * room, *extra]))])
+
+
+def described(shape: tuple[int, int, int], dtype: np.dtype, meta: RasterMetadata, compress: str) -> list[tuple[int, str, tuple]]:
+    """The directory's entries that don't depend on the layout: (tag, type code, values)."""
     h, w, b = shape
-    dtype = np.dtype(dtype)
-    if sum(sizes) + 2 * len(sizes) >= 1 << 32:
-        raise ValueError("a GeoTIFF holds 4 GB; write ENVI instead")
     kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
     entries: list[tuple[int, str, tuple]] = [
         (WIDTH, "I", (w,)), (HEIGHT, "I", (h,)), (BITS, "H", (8 * dtype.itemsize,) * b), (COMPRESSION, "H", ({"none": 1, "lzw": 5, "deflate": 8}[compress],)),
-        (PHOTOMETRIC, "H", (1,)), (SAMPLES, "H", (b,)), (ROWS, "I", (rows_per_strip,)), (STRIP_BYTES, "I", tuple(sizes)), (PLANAR, "H", (1,)), (FORMAT, "H", (kind,) * b),
+        (PHOTOMETRIC, "H", (1,)), (SAMPLES, "H", (b,)), (PLANAR, "H", (1,)), (FORMAT, "H", (kind,) * b),
     ]
     if meta.transform:
         a, rb, c, rd, e, f = meta.transform[:6]
@@ -301,27 +354,4 @@ def write_strips(path: str, shape: tuple[int, int, int], dtype: np.dtype, sizes:
         entries.append((GDAL_META, "s", (f"<GDALMetadata>{names}</GDALMetadata>".encode() + b"\0",)))
     if meta.nodata is not None:
         entries.append((GDAL_NODATA, "s", (f"{meta.nodata:g}".encode() + b"\0",)))
-    at = 8
-    offsets = []
-    for n in sizes:
-        offsets.append(at)
-        at += n + (n & 1)
-    entries.append((STRIPS, "I", tuple(offsets)))
-    entries.sort()
-    directory, extra = struct.pack("<H", len(entries)), b""
-    base = at + 2 + 12 * len(entries) + 4
-    codes = {v: k for k, v in SIZES.items() if len(v) == 1}
-    for tag, code, values in entries:
-        raw = values[0] if code == "s" else struct.pack("<" + code * len(values), *values)
-        n = len(raw) if code == "s" else len(values)
-        if len(raw) <= 4:
-            place = raw.ljust(4, b"\0")
-        else:
-            place = struct.pack("<I", base + len(extra))
-            extra += raw + b"\0" * (len(raw) & 1)
-        directory += struct.pack("<HHI", tag, codes[code], n) + place
-    with open(path, "wb") as out:
-        out.write(b"II*\0" + struct.pack("<I", at))
-        for s in strips:
-            out.write(s + b"\0" * (len(s) & 1))
-        out.write(directory + struct.pack("<I", 0) + extra)
+    return entries

@@ -650,7 +650,8 @@ def test_a_search_stays_in_its_basin():
 def test_feature_count_follows_the_variance(spark):
     members, x = planted(np.random.default_rng(3), 3, 10, 2000)
     df = raster(spark, x.T.reshape(10, 40, 50)).df
-    found, _ = transforms.endmembers(df, min_variance_fraction=0.05)
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    found, _ = transforms.endmembers(df, min_variance_fraction=float((values[1] + values[2]) / 2 / values[0]))
     assert len(found) == 2  # shares sum to 1: three members vary in two directions
     assert len(transforms.endmembers(df, 99)[0]) == 10
 

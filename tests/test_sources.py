@@ -1,10 +1,12 @@
 """Files written and read again."""
 
+import os
+
 import numpy as np
 import pytest
 
 from bandloom.plans.raster import BandInfo, Raster, RasterMetadata
-from bandloom.sources import envi, landsat, reader, synthetic, tiff, writer
+from bandloom.sources import envi, landsat, reader, sink, synthetic, tiff, writer
 from bandloom.streaming import running
 
 UTM = RasterMetadata(1, 1, 1, crs="EPSG:32650", transform=(10.0, 0.0, 500000.0, 0.0, -10.0, 3500000.0))
@@ -118,3 +120,98 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, v double").write.parquet(str(tmp_path / "s.parquet"))
     got = {r.k: (r.n, r.mean_v) for r in running.statistics_of_stream(spark, str(tmp_path / "s.parquet"), "k", "v").collect()}
     assert got == {"a": (2, 2.0), "b": (1, 5.0)}
+
+
+def raster_of(spark, cube, **meta):
+    return Raster.from_numpy(spark, cube, RasterMetadata(1, 1, 1, **({"crs": UTM.crs, "transform": UTM.transform} | meta)))
+
+
+@pytest.mark.parametrize("size", [(40, 70), (33, 32), (1, 1), (16, 100)])
+def test_tiles(spark, tmp_path, size):
+    """Tiles at the edges are padded; the file has as many as the grid asks for."""
+    cube = np.random.default_rng(1).integers(0, 99, (2, *size))
+    path = writer.export(raster_of(spark, cube), str(tmp_path / "a.tif"), "GTiff", dtype="int16", compress="deflate", tile=16)
+    t = tiff.Tiff.of(path)
+    assert len(t.tags[tiff.TILES]) == -(-size[0] // 16) * -(-size[1] // 16) and t.one(tiff.TILE_W) == 16
+    assert np.array_equal(reader.open_raster(spark, path).to_numpy(), cube) and os.listdir(tmp_path) == ["a.tif"]
+    with pytest.raises(ValueError, match="16"):
+        writer.export(raster_of(spark, cube), path, "GTiff", tile=10)
+
+
+def test_tiles_without_pixels_share_one(spark, tmp_path):
+    """A large grid with a few pixels is a small file, and reads back with nodata elsewhere."""
+    df = spark.createDataFrame([(5, 7, [1.0]), (900, 40, [2.0]), (-1, 0, [9.0]), (0, 5000, [9.0])], "y int, x int, spectrum array<float>")
+    r = Raster(RasterMetadata(2000, 1000, 1, crs=UTM.crs, transform=UTM.transform), df, "few")
+    path = writer.export(r, str(tmp_path / "few.tif"), "GTiff", nodata=-5, compress="none", tile=64)
+    assert os.path.getsize(path) < 64 * 64 * 4 * 3 + 16 * 16 * 32 * 4
+    back = {(p.y, p.x): p.spectrum[0] for p in reader.open_raster(spark, path).df.filter("spectrum[0] > -5").collect()}
+    assert back == {(5, 7): 1, (900, 40): 2} and reader.open_raster(spark, path).df.count() == 2_000_000
+
+
+def test_offsets_of_64_bits(spark, tmp_path):
+    """Tiles beyond 5 GB, in a sparse file."""
+    cube = np.random.default_rng(2).normal(size=(3, 50, 40)).astype(np.float32)
+    path = str(tmp_path / "big.tif")
+    writer.export_tiff(raster_of(spark, cube), path, "float32", -1.0, -1.0, "lzw", 16, first=5 << 30)
+    assert os.path.getsize(path) > 5 << 30 and os.stat(path).st_blocks * 512 < 10_000_000
+    assert min(tiff.Tiff.of(path).tags[tiff.TILES]) >= 5 << 30
+    back = reader.open_raster(spark, path)
+    assert np.array_equal(back.to_numpy(), cube) and back.meta.nodata == -1 and back.meta.transform == UTM.transform
+
+
+def test_layout_grows_to_64_bits_where_it_must():
+    meta = RasterMetadata(1, 1, 1)
+    small = tiff.Layout.of((256, 256, 1), np.dtype("u1"), [65536], 0, meta, "none", 256)
+    assert small.known[0][1][2] == 42
+    large = tiff.Layout.of((70_000, 70_000, 1), np.dtype("u1"), [65536] * 274**2, 0, meta, "none", 256)
+    assert large.known[0][1][2] == 43 and large.offsets[-1] == 16 + 65536 * (274**2 - 1) > 1 << 32
+
+
+@pytest.mark.parametrize("format", ["ENVI", "GTiff"])
+def test_a_failed_task_leaves_no_file(spark, tmp_path, format):
+    """What stood at the target stays as it was."""
+    path = tmp_path / "a.dat"
+    path.write_bytes(b"before")
+
+    def bad(batches):
+        for b in batches:
+            if 7 in b.column("y").to_pylist():
+                raise RuntimeError("lost")
+            yield b
+
+    r = raster_of(spark, np.ones((1, 20, 20)))
+    broken = replace_df(r, r.df.repartition(4).mapInArrow(bad, r.df.schema))
+    with pytest.raises(Exception, match="lost"):
+        writer.export(broken, str(path), format)
+    assert path.read_bytes() == b"before" and os.listdir(tmp_path) == ["a.dat"]
+
+
+def replace_df(r, df):
+    return Raster(r.meta, df, r.name)
+
+
+def test_pieces(spark, tmp_path):
+    """Pieces that come twice are harmless if counted; a wrong count aborts; known bytes and holes stay."""
+    path = str(tmp_path / "p")
+    rows = spark.createDataFrame([(2, bytearray(b"cd")), (6, bytearray(b"g"))], "at long, data binary").repartition(2)
+    sink.write_pieces(rows, path, 8, [(0, b"ab")])
+    assert open(path, "rb").read() == b"abcd\0\0g\0"
+    with pytest.raises(Exception, match="pieces"):
+        sink.write_pieces(rows, path, 3, [(0, b"x")], count=5)
+    sink.write_pieces(rows.union(rows), path, 8, [(0, b"AB")], count=4)
+    assert open(path, "rb").read() == b"ABcd\0\0g\0" and os.listdir(tmp_path) == ["p"]
+    task, out = sink.PieceWriter({"temporary": path, "target": path, "pieces": "1"}), [bytes(9), b"z"]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 3], pa.int64()), pa.array(out, pa.binary())], names=["at", "data"])
+    assert task.write(iter([batch])) == task.write(iter([batch])) == sink.Written(2, 10)
+
+
+@pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
+def test_envi_strips_without_pixels(spark, tmp_path, monkeypatch, interleave):
+    monkeypatch.setattr(writer, "BLOCK", 100)
+    df = spark.createDataFrame([(0, 1, [1.0, 2.0]), (28, 3, [3.0, 4.0])], "y int, x int, spectrum array<float>")
+    path = writer.export(Raster(RasterMetadata(10, 30, 2), df, "few"), str(tmp_path / "few.dat"), interleave=interleave, nodata=-1, dtype="int16")
+    want = np.full((2, 30, 10), -1)
+    want[:, 0, 1], want[:, 28, 3] = (1, 2), (3, 4)
+    assert np.array_equal(reader.open_raster(spark, path).to_numpy(), want)
