@@ -1,32 +1,15 @@
 """Filter audit, fill-in-middle and quality classifier, against plain versions, and with planted documents."""
 
 import hashlib
-import os
 from collections import Counter
 from random import Random
 
-import duckdb
 import numpy as np
 import pytest
 from corpus_tables import table
 
 from bandloom.llm import fill_in_middle as fim
 from bandloom.llm import filter_audit, quality_classifier
-from bandloom.llm.queries import ORACLES, QUERIES
-
-DATA = "/root/testdata/sf0.001"
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_fill_in_middle"])
-def test_same_as_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "labels"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    df = QUERIES[name](spark, DATA)
-    names = sorted(df.columns)
-    found = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
-    assert Counter(found) == Counter(tuple(r[n] for n in names) for r in df.collect())
 
 
 def copies(spark):

@@ -19,7 +19,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     names = sorted(df.columns)
     found = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
@@ -39,10 +40,10 @@ def by_sql(name, rows):
 def test_line_rules_same_as_sql(spark):
     """Shared, repeated and equally rare lines, near-copies, null hosts and repeated rows, by the SQL of the query."""
     rng = Random(4)
-    shared = [f"shared line {k} " + "of the site " * (k % 4) for k in range(40)]
+    shared = [" ".join(f"shared{k}x{j}" for j in range(3 + 3 * (k % 4))) for k in range(40)]
     rows = []
     for i in range(400):
-        own = [f"own {i} {j} " + "some words " * rng.randrange(6) for j in range(rng.randrange(4))]
+        own = [" ".join(f"own{i}x{j}x{k}" for k in range(2 + rng.randrange(12))) for j in range(rng.randrange(4))]
         lines = own + rng.sample(shared, rng.randrange(25)) + rng.choices(shared, k=rng.randrange(3))
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), rng.choice(["a", "a", "b", None])))
@@ -82,6 +83,61 @@ def test_several_boilerplate_lines_go(spark, shared, own):
     assert not any(r.kept for r in out if shared > own)
 
 
+def edited(rng, text, edits):
+    """A near-copy: some words replaced, wherever they stand."""
+    lines = [line.split(" ") for line in text.split("\n")]
+    for _ in range(edits):
+        line = rng.choice(lines)
+        line[rng.randrange(len(line))] = f"edit{rng.random()}"
+    return "\n".join(" ".join(line) for line in lines)
+
+
+def page(i, lines=10, words=12):
+    return "\n".join(" ".join(f"p{i}l{k}w{j}" for j in range(words)) for k in range(lines))
+
+
+@pytest.mark.parametrize(("pages", "copies", "edits"), [(20, 3, 2), (20, 5, 0), (20, 5, 3), (12, 40, 2)])
+def test_near_copies_dont_dilute_boilerplate(spark, pages, copies, edits):
+    """A notice in many distinct documents goes, however many near-copies each of them has; their own lines stay."""
+    rng = Random(9)
+    notice = "all rights are reserved by the owner of this very site"
+    rows = [(100 * i + k, edited(rng, page(i), edits) + f"\n{notice}\nend {i}x{k}", "h") for i in range(pages) for k in range(copies)]
+    out = quality.apply_rules(table(spark, rows)).collect()
+    assert {r.removed_words for r in out} == {11} and all(r.kept for r in out)
+
+
+@pytest.mark.parametrize(("lines", "words", "edits"), [(10, 12, 0), (10, 12, 1), (10, 12, 2), (3, 130, 2), (40, 5, 3)])
+def test_near_copies_of_one_page_stay(spark, lines, words, edits):
+    """Near-copies of one page lose nothing, also where the edits touch most versions of a line."""
+    rng = Random(5)
+    rows = [(k, edited(rng, page(1, lines, words), edits) + f"\nend {k}", "h") for k in range(300)] + [(1000 + i, page(i + 2), "h") for i in range(5)]
+    out = quality.apply_rules(table(spark, rows)).collect()
+    assert {r.removed_words for r in out} == {0} and all(r.kept for r in out)
+
+
+def test_time_grows_with_the_lines(spark):
+    """A text of 200,000 lines, a third of them repeats, and another that loses half of its lines."""
+    import time
+
+    shared = [f"shared{i} number{i} line{i}" for i in range(20_000)]
+    rows = [(i, "\n".join(x for k, line in enumerate(shared) for x in (line, f"own{i}x{k} text{k}y{i} z{i}x{k} q{i}{k}")), "h") for i in range(12)]
+    rows.append((99, "\n".join(f"line {i % 130_000} here" for i in range(200_000)), "h"))
+    start = time.monotonic()
+    out = {r.doc_id: r for r in quality.good_documents(table(spark, rows)).collect()}
+    assert time.monotonic() - start < 120
+    assert out[3].text == "\n".join(f"own3x{k} text{k}y3 z3x{k} q3{k}" for k in range(20_000)) and out[3].n_chars == len(out[3].text)
+    assert len(out) == 12  # the other repeats itself too much
+
+
+def test_lines_are_cut_out_where_they_stand(spark):
+    notice = "this line is on every page of the host"
+    rows = [(i, f"{notice}\n\n{words(i)}\n {notice.upper()} \n{notice}\n\n", "h") for i in range(20)] + [(50, f"{words(50)}\n{notice}", "h"), (51, f"{notice}\n{words(51)}", "h")]
+    rows += rows[:2]
+    out = Counter((r.doc_id, r.text) for r in quality.good_documents(table(spark, rows)).collect())
+    want = Counter([(i, f"\n{words(i)}\n\n") for i in (*range(20), 0, 1)] + [(50, words(50)), (51, words(51))])
+    assert out == want
+
+
 def test_base_metrics(spark):
     rows = [(1, "a b c a b c a b", "s"), (2, "x#*\n \nx#*\ny", "s"), (3, None, "s"), (4, "a a a a", "s"), (5, "a b", "s")]
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.base_metrics(table(spark, rows)).collect()}
