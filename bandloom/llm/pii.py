@@ -4,8 +4,9 @@ Detected entities (e-mail addresses, phone, card, social security and bank accou
 after an honorific) are replaced by keyed surrogates: SHA-256 of a secret key and the normalised entity decides, so an
 entity has one surrogate wherever and however it is written. Surrogates keep the type (a card number that passes its
 checksum gets one that passes, addresses stay in range), the format (separators, length, capitals), and for names gender
-and script; a name's parts are replaced part by part, so "Mr. Adam Bell" and "Mr. Bell" still agree, and all bare
-mentions of the surname in the document follow, as it was written after the honorific, in capitals, or with capital
+and script (where the title doesn't tell the gender, the given name does by a list or its ending, and else a neutral name
+comes); a name's parts are replaced part by part, so "Mr. Adam Bell" and "Mr. Bell" still agree, and all bare mentions of
+its given names and surnames in the document follow, as they were written after the honorific, in capitals, or with capital
 initials. Phone numbers without an area code are detected after a word that announces them.
 
 Distinctness is checked over the corpus: entities whose surrogates meet, or meet a real entity, are drawn again with a
@@ -37,10 +38,16 @@ NATIONAL = 10
 MALE = ("Mr", "Mister", "Sir", "Herr", "Señor", "Monsieur", "Signor", "Господин", "господин", "Κύριος", "κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "Signora", "Госпожа", "госпожа", "Κυρία", "κυρία")
 EITHER = ("Dr", "Prof", "Doctor", "Professor", "Доктор", "доктор")
-#: Given names of the surrogates, by script and gender; surnames are made of syllables.
+# Common given names by gender, for titles that don't tell it; those of the surrogates count, too.
+KNOWN_MALE = "james john robert michael william david richard joseph thomas charles christopher matthew mark donald steven andrew kenneth joshua kevin brian george edward jason jeffrey ryan jonathan nicholas eric stephen larry scott benjamin samuel gregory raymond patrick jack dennis jerry adam juan jose carlos luis miguel pedro javier antonio pierre jean michel philippe hans jürgen klaus wolfgang uwe giovanni marco luca".split()
+KNOWN_FEMALE = "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty margaret sandra ashley kimberly emily donna michelle carol amanda dorothy melissa deborah stephanie rebecca sharon cynthia kathleen amy angela shirley anna anne brenda pamela nicole samantha katherine christine catherine carmen ana isabel lucia elena marie françoise monique sophie claire ingrid ursula heike sabine giulia chiara francesca".split()
+#: Given names of the surrogates, by script and gender (n where nothing tells it); surnames are made of syllables.
 GIVEN = {
     ("latin", "m"): "Adrian Alan Albert Andreas Anton Arthur Boris Bruno Carl Conrad Daniel Denis Edgar Emil Erik Felix Frank Gustav Hector Henry Hugo Ivan Jacob Julius Kurt Leon Louis Martin Maurice Nils Oscar Paul Peter Quentin Ralph Rolf Simon Stefan Theodor Victor".split(),
     ("latin", "f"): "Ada Agnes Alma Amelia Berta Camilla Clara Dora Diana Edith Elsa Emma Flora Frida Greta Hanna Helen Ida Irene Johanna Julia Karin Laura Lydia Maria Marta Nadia Nina Nora Olga Paula Petra Rita Rosa Sabina Sonia Teresa Tina Ursula Vera".split(),
+    ("latin", "n"): "Alex Ariel Ashton Blair Cameron Casey Charlie Dakota Drew Eden Finley Harper Jamie Jesse Jordan Kai Kendall Lee Logan Morgan Noel Parker Quinn Reese Riley Robin Rowan Sage Skyler Taylor".split(),
+    ("cyrillic", "n"): "Саша Женя Валя Шура Слава Паша".split(),
+    ("greek", "n"): "Ροδή Φανή Αγάπη".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Лев Макар Олег".split(),
     ("cyrillic", "f"): "Алла Белла Вера Галина Дарья Ева Зоя Инна Клара Лидия Марина Ольга".split(),
     ("greek", "m"): "Αλέξης Βασίλης Γιάννης Δημήτρης Κώστας Λουκάς Μάριος Νίκος".split(),
@@ -51,21 +58,25 @@ SYLLABLES = {
     "cyrillic": "ба ден ка лов мар нор пет рос сал тар вер зим гор бел дым кор".split(),
     "greek": "βα δεν κα λο μαρ νι πετ ρο σαλ τερ φω ζη γορ θα κυρ μα".split(),
 }
-HONORIFIC = "(?:" + "|".join((*MALE, *FEMALE, *EITHER)) + r")\.?"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+TITLES = [x for t in (*MALE, *FEMALE, *EITHER) for x in dict.fromkeys((t, t.upper()))]
+HONORIFIC = "(?:" + "|".join(sorted(TITLES, key=lambda t: -len(t))) + r")(?:\.|(?!\p{L}))"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"
 HEX = "[0-9A-Fa-f]{1,4}"
 IP6 = rf"(?<![\w:.])(?:(?:{HEX}:){{7}}{HEX}|(?=[A-Fa-f:]*\d)(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}})(?![\w:])"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<=(?:SSN|[Ss]ocial [Ss]ecurity [Nn]umber)[:# ]{1,3})\d{3} ?\d{2} ?\d{4}(?!\w)"
+ABROAD = r"(?<![\w+])(?=\+(?:\d[ .()-]{0,2}){8,15}(?![\d]))\+\d{1,3}(?:[ .-]?(?:\(\d{1,5}\)|\d{1,10})){1,6}(?!\w)"
 CARD = r"(?<![\w.])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\w)"
 PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?|1[ .-])?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
 LOCAL = r"(?<=\b(?:[Tt]el|[Pp]hone|[Cc]all|[Ff]ax|[Mm]obile|TEL|PHONE|FAX)\.?:? {1,2})\d{3}[ .-]\d{4}(?![\w-])"
-PART = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){HONORIFIC} {PART}(?:[ -]{PART}){{0,2}}"
-PATTERN = "|".join((EMAIL, IBAN, IP6, IP, SSN, CARD, PHONE, LOCAL, NAME))
-LIKELY = rf"[0-9@]|(?<!\p{{L}}){HONORIFIC} \p{{Lu}}"
+#: Small words inside surnames; they stay.
+PARTICLE = "(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|zu|zur|bin|al)"
+PART = rf"(?!{HONORIFIC})" + r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:-\p{Lu}(?:['’]\p{Lu})?\p{L}+)*+"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){HONORIFIC}\s{{1,3}}(?:{PARTICLE} ){{0,3}}{PART}(?: {{1,2}}(?:{PARTICLE} ){{0,3}}{PART}){{0,3}}"
+PATTERN = "|".join((EMAIL, IBAN, IP6, IP, SSN, ABROAD, CARD, PHONE, LOCAL, NAME))
+LIKELY = rf"[0-9@]|(?:[A-Fa-f]{{1,4}}:){{7}}|(?<!\p{{L}}){HONORIFIC}\s"
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "name")
 
 lit = F.lit
@@ -75,7 +86,7 @@ def kind_of(m: Column) -> Column:
     digits = F.length(F.regexp_replace(m, r"\D", ""))
     return (
         F.when(F.contains(m, lit("@")), "email").when(F.contains(m, lit(":")), "ip").when(F.rlike(m, lit(r"^[A-Z]{2}\d{2}")), "iban").when(F.rlike(m, lit(r"^\p{L}")), "name")
-        .when(F.rlike(m, lit(r"^\d+(?:\.\d+){3}$")), "ip").when(F.rlike(m, lit(r"^\d{3}-\d{2}-\d{4}$")), "ssn")
+        .when(F.rlike(m, lit(r"^\d+(?:\.\d+){3}$")), "ip").when(F.rlike(m, lit(r"^\d{3}[ -]?\d{2}[ -]?\d{4}$")), "ssn")
         .when((digits >= 13) & ~F.rlike(m, lit(r"[+(]")), "card").otherwise("phone")
     )
 
@@ -116,7 +127,7 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     card = F.concat(F.substring(value, 1, 1), F.substring(stream, lit(1), n - 2))
     check = F.pmod(luhn(value) - luhn(F.concat(card, lit("0"))), lit(10)).cast("string")  # the same remainder as before
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    shaped = lambda text, s: F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(F.rlike(c, lit("[0-9]")), F.substring(digit_stream(s), i % 60 + 1, lit(1))).when(F.rlike(c, lit("[a-z]")), F.translate(F.substring(s, i % 60 + 1, lit(1)), "0123456789abcdef", "bcdfghjklmnprstv")).when(F.rlike(c, lit("[A-Z]")), F.translate(F.substring(s, i % 60 + 1, lit(1)), "0123456789abcdef", "BCDFGHJKLMNPRSTV")).otherwise(c)), "")
+    shaped = lambda text, s: F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(F.rlike(c, lit("[0-9]")), F.substring(digit_stream(s), i % 60 + 1, lit(1))).when(F.rlike(c, lit("[a-z]")), F.translate(F.substring(s, i % 60 + 1, lit(1)), "0123456789abcdef", "bcdfghjklmnprstv")).when(F.rlike(c, lit("[A-Z]")), F.translate(F.substring(s, i % 60 + 1, lit(1)), "0123456789abcdef", "BCDFGHJKLMNPRSTV")).when(F.rlike(c, lit(r"\p{L}")), F.translate(F.substring(s, i % 60 + 1, lit(1)), "0123456789abcdef", "bcdfghjklmnprstv")).otherwise(c)), "")
     host = F.translate(F.substring(bits(key, lit("domain"), domain, lit(0)), 1, 10), "0123456789abcdef", "bcdfghjklmnprstv")
     longer = F.translate(F.substring(h, 41, 8), "0123456789abcdef", "bcdfghjklmnprstv")  # short names leave too little room
     email = F.concat(shaped(local, h), F.when((F.length(local) < 10) | (attempt > 0), longer).otherwise(""), lit("@"), host, lit(".example."), F.substring_index(domain, ".", -1))
@@ -126,7 +137,7 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
         sound = lambda at: pick(syllables, h, at)  # noqa: B023, E731
         surname = F.concat(sound(1), sound(5), sound(9), F.when(attempt > 0, F.concat(sound(13), sound(17))).otherwise(""), F.when(attempt > 1, F.concat(sound(21), sound(25))).otherwise(""))
         more = F.when(attempt > 0, F.concat(sound(29), sound(33))).otherwise("")
-        for which, made in (("surname", surname), *((f"given_{g}", F.concat(F.lower(pick(GIVEN[script, g], h, 1)), more)) for g in "mf")):
+        for which, made in (("surname", surname), *((f"given_{g}", F.concat(F.lower(pick(GIVEN[script, g], h, 1)), more)) for g in "mfn")):
             case = (kind == which) & (script_of(value) == script)
             part = F.when(case, made) if part is None else part.when(case, made)
     return (
@@ -156,12 +167,29 @@ def styled(m: Column, address: Column) -> Column:
     return F.concat(local, lit("@"), F.when(capital(part(m, -1), lit(1)), F.initcap(part(address, -1))).otherwise(part(address, -1)))
 
 
+def gender_of(title: Column, given: Column) -> Column:
+    """m, f, or n where neither title nor given name tells. In Cyrillic and Greek script endings do."""
+    title, given = F.lower(F.regexp_replace(title, r"\.$", "")), F.lower(given)
+    among = lambda names: given.isin(*dict.fromkeys(n.lower() for n in names))
+    men, women = ([n for (_, g), names in GIVEN.items() if g == which for n in names] for which in "mf")
+    return (
+        F.when(title.isin(*(t.lower() for t in MALE)), "m").when(title.isin(*(t.lower() for t in FEMALE)), "f")
+        .when(among((*men, *KNOWN_MALE)), "m").when(among((*women, *KNOWN_FEMALE)), "f")
+        .when(script_of(given) == "cyrillic", F.when(F.rlike(given, lit("[ая]$")), "f").otherwise("m"))
+        .when(script_of(given) == "greek", F.when(F.rlike(given, lit("ς$")), "m").otherwise("f")).otherwise("n")
+    )
+
+
 def name_parts(m: Column) -> Column:
-    """For each part of an honorific and a name: its text and kind ('' for the honorific and separators)."""
-    words = F.split(m, " ")
-    title = F.regexp_replace(F.get(words, lit(0)), r"\.$", "")
-    gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise(F.when(F.conv(F.substring(F.md5(F.get(words, lit(1))), 1, 1), 16, 10).cast("int") < 8, "m").otherwise("f"))
-    return F.transform(words, lambda w, i: F.struct(w.alias("text"), F.when(i == 0, "").when(i == F.size(words) - 1, "surname").otherwise(F.concat(lit("given_"), gender)).alias("kind")))
+    """The words of an honorific and a name, and what stands between them: text and kind ('' for the honorific, particles and
+    separators). What follows the last blank is the surname, hyphenated or not."""
+    tokens = F.regexp_extract_all(m, lit(r"[\p{L}.'’]+|[^\p{L}.'’]+"), lit(0))
+    rest = lambda i: F.slice(tokens, i + 2, F.size(tokens))
+    blank = lambda t: F.rlike(t, lit(r"\s"))
+    named = lambda t, i: (i > 0) & F.rlike(t, lit(r"^\p{Lu}"))
+    first = F.get(F.filter(tokens, named), lit(0))
+    gender = gender_of(F.get(tokens, lit(0)), first)
+    return F.transform(tokens, lambda t, i: F.struct(t.alias("text"), F.when(~named(t, i), "").when(F.exists(rest(i), blank), F.concat(lit("given_"), gender)).otherwise("surname").alias("kind")))
 
 
 def entities_of(m: Column) -> Column:
@@ -209,7 +237,7 @@ def replaced(around: Column, found: Column, made) -> Column:
 
     def one(m: Column) -> Column:
         kind = kind_of(m)
-        name = F.array_join(F.transform(name_parts(m), lambda p: F.when(p["kind"] == "", p["text"]).otherwise(cased(p["text"], made(p["kind"], F.lower(p["text"]))))), " ")
+        name = F.array_join(F.transform(name_parts(m), lambda p: F.when(p["kind"] == "", p["text"]).otherwise(cased(p["text"], made(p["kind"], F.lower(p["text"]))))), "")
         other = made(kind, plain(kind, m))
         spaced = F.when(F.contains(m, lit(" ")), F.trim(F.regexp_replace(other, "(.{4})", "$1 "))).otherwise(other)
         abroad = F.greatest(F.length(F.regexp_replace(m, r"\D", "")) - NATIONAL, lit(0))
@@ -244,19 +272,28 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     x = x.withColumns({"_pii_made": surrogates(F.col("_pii_who"), tries, key), "_pii_around": F.when(some, F.split("text", PATTERN, -1))})
     made = lambda kind, value: F.get("_pii_made", (F.array_position("_pii_who", F.struct(kind.alias("kind"), value.alias("value"))) - 1).cast("int"))
     x = x.withColumn("_pii_text", F.when(some, replaced(F.col("_pii_around"), F.col("_pii"), made)).otherwise(F.col("text")))
-    # bare mentions follow, as first written, in capitals, or with capital initials; surnames hold letters, hyphens and
-    # apostrophes only, so they are their own patterns; long ones go first, as they may hold others
-    surnames = F.array_distinct(F.transform(F.filter("_pii", lambda m: kind_of(m) == "name"), lambda m: F.element_at(F.split(m, " "), -1)))
-    people = F.array_sort(F.transform(surnames, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    alone = lambda p: F.concat(lit(r"(?<!\p{L})(?:"), p, lit(r")(?!\p{L})"))
-    initials = lambda w: F.regexp_replace(F.initcap(F.regexp_replace(F.lower(w), "([-'’])", "$1 ")), "([-'’]) ", "$1")
-
-    def follow(t: Column, e: Column) -> Column:
-        w, new = e["w"], made(lit("surname"), F.lower(e["w"]))
-        t = F.regexp_replace(t, alone(F.when(w == F.upper(w), initials(w)).otherwise(F.concat(w, lit("|"), initials(w)))), F.initcap(new))
-        return F.regexp_replace(t, alone(F.upper(w)), F.upper(new))
-
-    text = F.when(F.size(people) > 0, F.aggregate(people, F.col("_pii_text"), follow)).otherwise(F.col("_pii_text"))
+    # bare mentions of given names and surnames follow, as first written, in capitals, or with capital initials. They hold
+    # letters and apostrophes only, so they are their own patterns; long ones go first, as they may hold others. The text is
+    # read once for all of them.
+    parts = F.filter(F.flatten(F.transform(F.filter("_pii", lambda m: kind_of(m) == "name"), name_parts)), lambda p: p["kind"] != "")
+    initials = lambda w: F.regexp_replace(F.initcap(F.regexp_replace(F.lower(w), "(['’])", "$1 ")), "(['’]) ", "$1")
+    forms = F.array_distinct(F.flatten(F.transform("_pii_parts", lambda p: F.array(p["text"], initials(p["text"]), F.upper(p["text"])))))
+    sorted_forms = F.array_sort(F.transform(forms, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    pattern = F.concat(lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(sorted_forms, lambda f: f["w"]), "|"), lit(r")(?!\p{L})"))
+    x = x.withColumn("_pii_parts", F.array_distinct(parts))
+    some_names = F.size("_pii_parts") > 0
+    x = x.withColumn("_pii_forms", F.when(some_names, pattern))
+    x = x.withColumns({
+        "_pii_low": F.transform("_pii_parts", lambda p: F.lower(p["text"])), "_pii_bare": F.regexp_extract_all("_pii_text", F.col("_pii_forms"), lit(0)),
+        "_pii_between": F.split("_pii_text", F.col("_pii_forms"), -1),
+    })
+
+    def renamed(m: Column) -> Column:
+        p = F.get("_pii_parts", (F.array_position("_pii_low", F.lower(m)) - 1).cast("int"))
+        return cased(m, made(p["kind"], F.lower(m)))
+
+    follow = F.concat(F.get("_pii_between", lit(0)), F.array_join(F.transform("_pii_bare", lambda m, i: F.concat(renamed(m), F.get("_pii_between", i + 1))), ""))
+    text = F.when(some_names, follow).otherwise(F.col("_pii_text"))
     kinds = F.transform("_pii", kind_of)
     counts = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in KINDS}
     return back(x.withColumns({"text": text, **counts}))
