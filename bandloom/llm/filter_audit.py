@@ -40,6 +40,7 @@ CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCKS = ((0, 256), (256, 8192), (8192, (1 << 31) - 1 - 8192))
 CLASS = ["n_chars", *(f"block{i}" for i in range(len(BLOCKS)))]
 SIEVE_BITS = 18
+HOT = 1000
 
 
 def in_classes(docs: DataFrame, bits: int = 64) -> DataFrame:
@@ -94,23 +95,32 @@ def equal_texts(docs: DataFrame, live: DataFrame) -> DataFrame:
     return docs.join(sieve, bucket() == F.col("_bucket"), "left_semi").groupBy(*CLASS, "text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
 
 
+def with_first(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with first, the least id of their class. Classes of more than one row in HOT, which are fewer than HOT, are sent
+    along, so that their rows don't meet in one task; the others are joined."""
+    hot = F.col("_n") * HOT > rows.count()
+    sent = F.broadcast(classes.filter(hot).select(*CLASS, "first"))
+    rest = rows.join(sent, CLASS, "left_anti").join(classes.filter(~hot).select(*CLASS, "first"), CLASS, "left")
+    return rows.join(sent, CLASS).select(*rows.columns, "first").unionByName(rest.select(*rows.columns, "first"))
+
+
 def with_masks(docs: DataFrame, bits: int = 64) -> DataFrame:
     """docs(doc_id, part, text) as (doc_id, part, mask): all five bits."""
     docs = in_classes(docs, bits)
     rows = written(with_own_masks(docs), "masks")
     texts = equal_texts(docs, refined(rows))
     classes = texts.groupBy(*CLASS).agg(F.min("first").alias("first"), F.sum("n").alias("_n"), F.count("*").alias("texts"))
-    classes = written(classes.filter("_n > 1").drop("_n"), "classes")
+    classes = written(classes.filter("_n > 1"), "classes")
     above = F.when(F.col("doc_id") > F.col("first"), BIT["E"]).otherwise(0)
     found = lambda x: x.select("doc_id", "part", (F.col("mask") + above).alias("mask"))
     mixed = classes.filter("texts > 1").select(*CLASS)
     if mixed.isEmpty():
-        return found(rows.join(classes, CLASS, "left"))
+        return found(with_first(rows, classes))
     some = docs.join(mixed, CLASS, "left_semi")
     least = some.groupBy(F.col("text").alias("_text"), *(F.col(c).alias(f"_{c}") for c in CLASS)).agg(F.min("doc_id").alias("first"))
     same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in ["text", *CLASS]))
     told = some.join(least, same).select("doc_id", "part", "text", "n_chars", "first")
-    rest = rows.join(mixed, CLASS, "left_anti").join(classes, CLASS, "left")
+    rest = with_first(rows.join(mixed, CLASS, "left_anti"), classes)
     return found(rest).unionByName(found(with_own_masks(told)))
 
 
