@@ -35,7 +35,7 @@ MAX_DOCS, MAX_REMOVED = 10, 0.5
 #: Two texts that differ in a ninth of their words each are 0.8 similar.
 NINTH = 9
 #: Words that tell a passage of a line.
-WINDOW = 3
+WINDOW = 4
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = "[#*$%&|<>]"
 
