@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bandloom.plans.num import lit
 from bandloom.plans.raster import BandInfo, Raster, RasterMetadata
 
-from . import geodesy
+from . import projections
 from .roi import ROI
 from .warp import Grid, Source, merged, resized, to_world
 
@@ -31,7 +31,7 @@ def method_name(name: str) -> str:
 def on_grid(r: Raster, target: RasterMetadata, method: str) -> DataFrame:
     """(y, x, spectrum) of a raster on another one's grid: warped where both are placed in the world, else resized."""
     m = r.meta
-    if m.transform and target.transform and m.crs and target.crs and (m.crs == target.crs or geodesy.supported(m.crs) and geodesy.supported(target.crs)):
+    if m.transform and target.transform and m.crs and target.crs and (m.crs == target.crs or projections.supported(m.crs) and projections.supported(target.crs)):
         if (m.transform, m.crs, m.width, m.height) == (target.transform, target.crs, target.width, target.height):
             return r.df.select("y", "x", "spectrum")
         return warped(r.df, m, Grid(target.width, target.height, tuple(target.transform), target.crs), method)
@@ -117,14 +117,14 @@ def outline(meta: RasterMetadata, target: str, steps: int = 21) -> tuple[float,
     """Bounds in another coordinate system, from points along the edges."""
     along, ends = np.linspace(0, 1, steps), np.repeat([0.0, 1.0], steps)
     x, y = np.concatenate((np.tile(along, 2), ends)) * meta.width, np.concatenate((ends, np.tile(along, 2))) * meta.height
-    x, y = geodesy.converted(*to_world(meta.transform, x, y), meta.crs, target)
+    x, y = projections.converted(*to_world(meta.transform, x, y), meta.crs, target)
     return float(x.min()), float(y.min()), float(x.max()), float(y.max())
 
 
 def warped(df: DataFrame, meta: RasterMetadata, grid: Grid, method: str, nodata: float | None = None) -> DataFrame:
     """df(y, x, spectrum) on a grid, in the same or another coordinate system."""
-    if not all(c == grid.crs or geodesy.supported(c) for c in (meta.crs or "", grid.crs)):
-        raise ValueError(f"only EPSG:4326 and UTM zones can be changed, not {meta.crs} to {grid.crs}")
+    if not all(c == grid.crs or projections.supported(c) for c in (meta.crs or "", grid.crs)):
+        raise ValueError(f"no way is known from {meta.crs} to {grid.crs}")
     source = Source(meta.width, meta.height, tuple(meta.transform), meta.crs or "", meta.nodata if nodata is None else nodata)
     return merged([(df, source)], grid, meta.bands, method)
 
@@ -139,8 +139,8 @@ def mosaic_grid(metas: Sequence[RasterMetadata], crs: str | None = None, resolut
     if any(m.crs != target for m in metas):
         if resolution is None:
             raise ValueError("a resolution is needed to change the coordinate system")
-        if not all(geodesy.supported(c) for c in (target, *(m.crs for m in metas))):
-            raise ValueError(f"only EPSG:4326 and UTM zones can be changed to {target}")
+        if not all(projections.supported(c) for c in (target, *(m.crs for m in metas))):
+            raise ValueError(f"no way is known to {target}")
     boxes = [bounds(m) if m.crs == target else outline(m, target) for m in metas]
     left, bottom, right, top = min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
     dx, dy = (resolution, resolution) if resolution else (abs(metas[0].transform[0]), abs(metas[0].transform[4]))

@@ -6,7 +6,7 @@ bands at once, in as many sources as there are, and adds them up. So a spectrum
 number of bands, sources and neighbours, and no grid is generated but one row a tile where holes must be filled.
 
 Missing values take no part: the weights of the others are scaled to 1. Sources may be rotated; coordinate systems are
-geographic WGS 84 and UTM zones.
+those of projections.py.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from bandloom.plans import num
 from bandloom.plans.ship import ship
 
-from . import geodesy
+from . import projections
 
 Affine = tuple[float, ...]
 #: How far a method looks, in source pixels. A spline's filter forgets by 0.27 a pixel: 20 more leave 1e-11.
@@ -65,13 +65,13 @@ class Source:
 
     def on(self, grid: Grid, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (y, x) on the grid of this raster's pixels, in pixel centres."""
-        wx, wy = geodesy.converted(*to_world(self.transform, x + 0.5, y + 0.5), self.crs, grid.crs)
+        wx, wy = projections.converted(*to_world(self.transform, x + 0.5, y + 0.5), self.crs, grid.crs)
         tx, ty = to_pixel(grid.transform, wx, wy)
         return ty - 0.5, tx - 0.5
 
     def of(self, grid: Grid, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in this raster of pixels of the grid."""
-        wx, wy = geodesy.converted(*to_world(grid.transform, x + 0.5, y + 0.5), grid.crs, self.crs)
+        wx, wy = projections.converted(*to_world(grid.transform, x + 0.5, y + 0.5), grid.crs, self.crs)
         sx, sy = to_pixel(self.transform, wx, wy)
         return sy - 0.5, sx - 0.5
 

@@ -6,7 +6,7 @@ import numpy as np
 
 from bandloom.operators import geodesy, library
 from bandloom.operators.classify import PALETTE, chi2_quantile
-from bandloom.queries import BANDS, BLUE, BOXES, GREEN, NIR, POINTS, RED, SWIR2, TARGETS, TRIANGLE, WIDTH
+from bandloom.queries import BANDS, BLUE, BOXES, GREEN, NIR, POINTS, RED, SWIR2, SYSTEMS, TARGETS, TRIANGLE, WIDTH
 
 r6 = "round({}, 6) + 0.0".format
 AXIS = [float(w) for w in np.linspace(400, 2400, BANDS)]
@@ -187,6 +187,82 @@ def resampled(method: str) -> str:
 SELECT ty::INT AS y, tx::INT AS x, {r6('sum((1 - abs(fy - e.y)) * (1 - abs(fx - e.x)) * v[1])')} AS v FROM q JOIN e ON abs(fy - e.y) < 1 AND abs(fx - e.x) < 1 GROUP BY ty, tx"""
 
 
+
+
+def project(name: str, *steps: str, digits: tuple[int, int] = (3, 8)) -> str:
+    """Each step has the columns that come to those before it (vec_id, lat, lon, p and l: radians), the last one x and y. What comes back are the
+    degrees themselves."""
+    _, lat, lon = SYSTEMS[name]
+    out = f"{E}, s AS (SELECT vec_id, {lat}::DOUBLE + 0.04::DOUBLE * (y % 1000 + 0.5::DOUBLE) AS lat, {lon}::DOUBLE + 0.8::DOUBLE * (x + 0.5::DOUBLE) AS lon FROM e), s0 AS (SELECT *, radians(lat) AS p, radians(lon) AS l FROM s)"
+    for i, step in enumerate(steps):
+        out += f", s{i + 1} AS (SELECT *, {step} FROM s{i})"
+    there, back = digits
+    return f"{out} SELECT vec_id, round(x, {there}) + 0.0 AS x, round(y, {there}) + 0.0 AS y, round(lat, {back}) + 0.0 AS lat, round(lon, {back}) + 0.0 AS lon FROM s{len(steps)}"
+
+
+WGS, GRS = (f"(1 / {v}::DOUBLE)" for v in ("298.257223563", "298.257222101"))
+SEMI = "6378137::DOUBLE"
+
+
+def ecc2(f: str) -> str:
+    return f"({f} * (2 - {f}))"
+
+
+def par(deg: str, f: str) -> str:
+    """Radius of a parallel, for an equator of 1."""
+    return f"(cos(radians({deg}::DOUBLE)) / sqrt(1 - {ecc2(f)} * pow(sin(radians({deg}::DOUBLE)), 2)))"
+
+
+def iso(p: str, f: str) -> str:
+    e = f"sqrt({ecc2(f)})"
+    return f"(tan(pi() / 4 - {p} / 2) / pow((1 - {e} * sin({p})) / (1 + {e} * sin({p})), {e} / 2))"
+
+
+def qq(p: str, f: str) -> str:
+    e = f"sqrt({ecc2(f)})"
+    return f"((1 - {ecc2(f)}) * (sin({p}) / (1 - {ecc2(f)} * pow(sin({p}), 2)) - ln((1 - {e} * sin({p})) / (1 + {e} * sin({p}))) / (2 * {e})))"
+
+
+def rad(deg: str) -> str:
+    return f"radians({deg}::DOUBLE)"
+
+
+LAMBERT = project(
+    "project_lambert_conic",
+    f"ln({par('49', GRS)} / {par('44', GRS)}) / ln({iso(rad('49'), GRS)} / {iso(rad('44'), GRS)}) AS n",
+    f"{SEMI} * {par('49', GRS)} / (n * pow({iso(rad('49'), GRS)}, n)) AS big",
+    f"big * pow({iso('p', GRS)}, n) AS rho, big * pow({iso(rad('46.5'), GRS)}, n) AS rho0, n * (l - {rad('3')}) AS th",
+    "700000 + rho * sin(th) AS x, 6600000 + rho0 - rho * cos(th) AS y",
+)
+ALBERS = project(
+    "project_albers_conic",
+    f"(pow({par('29.5', GRS)}, 2) - pow({par('45.5', GRS)}, 2)) / ({qq(rad('45.5'), GRS)} - {qq(rad('29.5'), GRS)}) AS n",
+    f"pow({par('29.5', GRS)}, 2) + n * {qq(rad('29.5'), GRS)} AS big",
+    f"{SEMI} * sqrt(big - n * {qq('p', GRS)}) / n AS rho, {SEMI} * sqrt(big - n * {qq(rad('23'), GRS)}) / n AS rho0, n * (l + {rad('96')}) AS th",
+    "rho * sin(th) AS x, rho0 - rho * cos(th) AS y",
+)
+POLAR = project("project_polar_stereographic", f"{SEMI} * {par('70', WGS)} * {iso('p', WGS)} / {iso(rad('70'), WGS)} AS rho, l + {rad('45')} AS th", "rho * sin(th) AS x, -rho * cos(th) AS y")
+MERCATOR = project("project_web_mercator", f"{SEMI} * l AS x, {SEMI} * asinh(tan(p)) AS y")
+# The published series in the third flattening, to its fourth power.
+TRANSVERSE = project(
+    "project_transverse_mercator",
+    f"{WGS} / (2 - {WGS}) AS n, sqrt({ecc2(WGS)}) AS ecc, l - {rad('117')} AS dl",
+    "sinh(atanh(sin(p)) - ecc * atanh(ecc * sin(p))) AS t, n / 2 - 2 * pow(n, 2) / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 AS a1, 13 * pow(n, 2) / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 AS a2, 61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 AS a3, 49561 * pow(n, 4) / 161280 AS a4",
+    "atan2(t, cos(dl)) AS xi, asinh(sin(dl) / sqrt(t * t + pow(cos(dl), 2))) AS eta, 0.9996::DOUBLE * 6378137::DOUBLE / (1 + n) * (1 + pow(n, 2) / 4 + pow(n, 4) / 64 + pow(n, 6) / 256) AS r",
+    "500000 + r * (eta + " + " + ".join(f"a{j} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j in range(1, 5)) + ") AS x, r * (xi + " + " + ".join(f"a{j} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j in range(1, 5)) + ") AS y",
+)
+# The seven values turned round (the exact inverse of scale and turn by the adjugate), and latitudes by iteration.
+AIRY, ARC = "(1 / 299.3249646::DOUBLE)", "(pi() / 648000)"
+DATUM = project(
+    "datum_shift",
+    f"{SEMI} / sqrt(1 - {ecc2(WGS)} * pow(sin(p), 2)) AS nu, 0.15::DOUBLE * {ARC} AS rx, 0.247::DOUBLE * {ARC} AS ry, 0.842::DOUBLE * {ARC} AS rz",
+    f"nu * cos(p) * cos(l) - 446.448::DOUBLE AS u, nu * cos(p) * sin(l) + 125.157::DOUBLE AS v, nu * (1 - {ecc2(WGS)}) * sin(p) - 542.06::DOUBLE AS w, (1 + rx * rx + ry * ry + rz * rz) * (1 - 20.489e-6::DOUBLE) AS d",
+    "((1 + rx * rx) * u + (rz + rx * ry) * v + (rx * rz - ry) * w) / d AS gx, ((rx * ry - rz) * u + (1 + ry * ry) * v + (rx + ry * rz) * w) / d AS gy, ((ry + rx * rz) * u + (ry * rz - rx) * v + (1 + rz * rz) * w) / d AS gz",
+    f"sqrt(gx * gx + gy * gy) AS q, atan2(gz, sqrt(gx * gx + gy * gy) * (1 - {ecc2(AIRY)})) AS f0",
+    *(f"atan2(gz + {ecc2(AIRY)} * 6377563.396::DOUBLE / sqrt(1 - {ecc2(AIRY)} * pow(sin(f{i}), 2)) * sin(f{i}), q) AS f{i + 1}" for i in range(6)),
+    "degrees(atan2(gy, gx)) AS x, degrees(f6) AS y",
+    digits=(8, 6),
+)
 LAT, LON = geodesy.sql("(500000.0::DOUBLE + 10 * (x + 0.5::DOUBLE))", "(3500000.0::DOUBLE - 10 * (y + 0.5::DOUBLE))", 50)
 LIB = "WITH lib AS (SELECT name, unnest(range(400, 2501))::DOUBLE AS wl, unnest(r) AS r FROM (VALUES " + ", ".join(f"('{n}', {[float(v) for v in curve]!r}::DOUBLE[])" for n, _, curve in library.curves()) + ") t(name, r))"
 QPOINTS = ", pt(wl, v) AS (VALUES " + ", ".join(f"({w}::DOUBLE, {v}::DOUBLE)" for w, v in POINTS) + ")"
@@ -196,6 +272,12 @@ SIM = "(r * (1.0::DOUBLE / 3) + g * (1.0::DOUBLE / 3) + b * (1.0::DOUBLE / 3))"
 ORACLES: dict[str, str] = {
     "pixel_to_geo": f"{E} SELECT vec_id, {r6('500000.0::DOUBLE + 10 * (x + 0.5::DOUBLE)')} AS gx, {r6('3500000.0::DOUBLE - 10 * (y + 0.5::DOUBLE)')} AS gy FROM e",
     "utm_to_wgs84": f"{E} SELECT vec_id, {r6(LAT)} AS lat, {r6(LON)} AS lon FROM e",
+    "project_transverse_mercator": TRANSVERSE,
+    "project_lambert_conic": LAMBERT,
+    "project_albers_conic": ALBERS,
+    "project_polar_stereographic": POLAR,
+    "project_web_mercator": MERCATOR,
+    "datum_shift": DATUM,
     "band_subset": f"{E} SELECT vec_id, {r6('v[5]')} AS b0, {r6('v[3]')} AS b1, {r6('v[1]')} AS b2 FROM e",
     "spatial_subset": f"{E} SELECT (y - 3)::INT AS y, (x - 5)::INT AS x, {r6('v[1]')} AS v FROM e WHERE x >= 5 AND x < 15 AND y >= 3 AND y < 12",
     "band_match": f"""WITH axis AS (SELECT i::INT AS band, 400.0::DOUBLE + i * (2000.0::DOUBLE / 63) AS wl FROM range(64) t(i)),

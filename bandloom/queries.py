@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import color, indices, stretch
 from bandloom.functions.bandmath import band_math
-from bandloom.operators import accuracy, classify, combine, geodesy, library, radiometry, roi, spans, stats, svm, transforms, warp
+from bandloom.operators import accuracy, classify, combine, geodesy, library, projections, radiometry, roi, spans, stats, svm, transforms, warp
 from bandloom.operators.bands import match_bands
 from bandloom.plans import num
 from bandloom.plans.linalg import mean_and_covariance
@@ -38,6 +38,16 @@ EXPRESSIONS = {
     "where": "where(b1 > mean(b1), clip(b2, 1000, 50000), max(b1, b4 * 100)) + min(b1, 20)",
     "trig": "sin(b1) + cos(b3) + tan(b4) + asin(b3 * 20) + acos(b4) + atan(b2) + atan2(b1, b2) + sqrt(b2) + exp(b3) + ln(b1) + log10(b2) + abs(-b1) + sign(b4 - 0.04) + floor(b3 * 100) + ceil(b4 * 100) + b1 ** 2",
 }
+#: By query: a system, and where its degrees begin (latitude, longitude): pixels are 0.04 by 0.8 degrees, 1000 lines to a sheet.
+OSGB = "+proj=longlat +ellps=airy +towgs84=446.448,-125.157,542.06,0.15,0.247,0.842,-20.489"
+SYSTEMS = {
+    "project_transverse_mercator": ("EPSG:32650", 20.0, 100.0),
+    "project_lambert_conic": ("EPSG:2154", 20.0, -10.0),
+    "project_albers_conic": ("EPSG:5070", 20.0, -106.0),
+    "project_polar_stereographic": ("EPSG:3413", 50.0, -60.0),
+    "project_web_mercator": ("EPSG:3857", -20.0, 100.0),
+    "datum_shift": (OSGB, 20.0, -10.0),
+}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -101,6 +111,30 @@ def utm_to_wgs84(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube(spark, sf_dir).select("vec_id", r6(lat).alias("lat"), r6(lon).alias("lon"))
 
 
+def places(df: DataFrame, latitude: float, longitude: float) -> DataFrame:
+    """(vec_id, lat, lon) of a cube's pixels as places of a geographic raster."""
+    lat, lon = lit(latitude) + lit(0.04) * (F.col("y") % 1000 + lit(0.5)), lit(longitude) + lit(0.8) * (F.col("x") + lit(0.5))
+    return df.select("vec_id", lat.alias("lat"), lon.alias("lon"))
+
+
+def _project(crs: str, latitude: float, longitude: float) -> Query:
+    """Places in the system, in mm or 1e-8 degrees, and their degrees when they come back (from another datum to 1e-6)."""
+    moved = projections.system(crs).kind == "longlat"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        here = places(cube(spark, sf_dir), latitude, longitude).select("vec_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+        there = projections.reprojected(here, "EPSG:4326", crs).withColumns({"lon": F.col("x"), "lat": F.col("y")})
+        back = projections.reprojected(there, crs, "EPSG:4326", "lon", "lat")
+        at, again = (8, 6) if moved else (3, 8)
+        return back.select("vec_id", *((F.round(c, d) + lit(0.0)).alias(c) for c, d in (("x", at), ("y", at), ("lat", again), ("lon", again))))
+
+    return run
+
+
+for _name, _where in SYSTEMS.items():
+    QUERIES[_name] = _project(*_where)
+
+
 @query
 def band_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Raster(RasterMetadata(WIDTH, 1, BANDS), cube(spark, sf_dir)).select_bands([4, 2, 0])

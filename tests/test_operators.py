@@ -348,7 +348,7 @@ def test_reprojection(spark):
     got = m.to_numpy()[0]
     assert m.meta.crs == "EPSG:4326" and got.max() <= 138 and (got[4:-4, 4:-4] > 100).all()
     with pytest.raises(ValueError):
-        combine.mosaic([raster(spark, a, transform=t, crs="EPSG:3857")], crs="EPSG:4326", resolution=1.0)
+        combine.mosaic([raster(spark, a, transform=t, crs="EPSG:2056")], crs="EPSG:4326", resolution=1.0)
 
 
 def test_utm(spark):
