@@ -10,7 +10,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
+from bandloom.plans import num
 from bandloom.plans.num import lit
 
 GRID = np.arange(400.0, 2501.0)
@@ -118,6 +120,60 @@ def spectral_angle_degrees(a: Sequence[float], b: Sequence[float]) -> float:
     return float(np.degrees(np.arccos(np.clip(x[both] @ y[both] / size, -1, 1)))) if size > 1e-12 else float("nan")
 
 
+def _interpolation(wavelengths: np.ndarray, axis: np.ndarray) -> np.ndarray:
+    """The matrix that takes values at ascending wavelengths to the part of the axis between them; rows are places of it."""
+    at = np.searchsorted(wavelengths, axis, side="right") - 1
+    at = np.minimum(at, len(wavelengths) - 2)
+    share = (axis - wavelengths[at]) / (wavelengths[at + 1] - wavelengths[at])
+    out = np.zeros((len(axis), len(wavelengths)))
+    out[np.arange(len(axis)), at] = 1 - share
+    out[np.arange(len(axis)), at + 1] += share
+    return out
+
+
+def angles(df: DataFrame, wavelengths: Sequence[float], spectrum: str = "spectrum", only: Sequence[str] | None = None, step: int = 1, out: str = "angles") -> tuple[DataFrame, list[str]]:
+    """df with the spectral angles in degrees of each pixel to the library's entries, and the entries' names: match() for
+    every pixel, without a row for each nanometre. Interpolation is linear, so products with entries and lengths on the
+    library's axis follow from two small matrices over the pixel's own bands. Pixels with a missing or infinite value, and
+    those of zeros, have angles of NaN. Raises ValueError where the wavelengths and the library don't meet."""
+    from .classify import _kernel
+
+    wl = np.asarray(wavelengths, float)
+    order = np.argsort(wl)
+    axis = GRID[::step]
+    inside = (axis >= wl.min()) & (axis <= wl.max())
+    if len(np.unique(wl)) != len(wl) or len(wl) < 2:
+        raise ValueError("two wavelengths or more are needed, each of them once")
+    if not inside.any():
+        raise ValueError("the spectra and the library have no wavelengths in common")
+    entries = [(n, v[::step][inside]) for n, c, v in curves() if only is None or c in only]
+    rule = _interpolation(wl[order], axis[inside])
+    products, lengths = rule.T @ np.stack([v for _, v in entries], axis=1), rule.T @ rule
+    norms = np.array([np.linalg.norm(v) for _, v in entries])
+
+    def work(x: np.ndarray) -> list[np.ndarray]:
+        x = x[:, order] if x.shape[1] == len(order) else np.full((len(x), len(order)), np.nan)
+        x = np.where(np.isfinite(x).all(axis=1)[:, None], x, np.nan)
+        size = np.sqrt(np.maximum(((x @ lengths) * x).sum(axis=1), 0))[:, None]
+        with np.errstate(all="ignore"):
+            cos = x @ products / (size * norms)
+        return [np.where((size > 1e-12) & (norms > 1e-12), np.degrees(np.arccos(np.clip(cos, -1, 1))), np.nan)]
+
+    doubles = df.withColumn("_library", num.doubles(spectrum))
+    return _kernel(doubles, "_library", work, {out: ArrayType(DoubleType())}).drop("_library"), [n for n, _ in entries]
+
+
+def identified(df: DataFrame, wavelengths: Sequence[float], spectrum: str = "spectrum", max_angle: float | None = None, only: Sequence[str] | None = None, step: int = 1) -> DataFrame:
+    """df with the name of the entry at the least spectral angle (of equals the first name) and the angle in degrees; both are
+    null for pixels without an angle, or farther than max_angle."""
+    found, names = angles(df, wavelengths, spectrum, only, step, "_angles")
+    each = F.filter(F.arrays_zip(F.col("_angles").alias("angle"), F.array(*(lit(n) for n in names)).alias("name")), lambda e: ~F.isnan(e["angle"]))
+    best = F.array_min(each)
+    if max_angle is not None:
+        best = F.when(best["angle"] <= max_angle, best)
+    return found.withColumns({"_best": best}).withColumns({"name": F.col("_best.name"), "angle": F.col("_best.angle")}).drop("_best", "_angles")
+
+
 def match(spark: SparkSession, wavelengths: Sequence[float], values: Sequence[float], max_angle: float | None = None, only: Sequence[str] | None = None, step: int = 1) -> DataFrame:
     """(name, category, angle in degrees), ascending: the library by spectral angle to one spectrum, over the part of the
     grid that it covers. Raises ValueError when it covers none."""

@@ -318,29 +318,48 @@ def abundances(df: DataFrame, members: np.ndarray, spectrum: str = "spectrum", o
     return df.withColumn(out, shares)
 
 
-def upper_hull(x: np.ndarray, y: np.ndarray) -> list[int]:
-    """Places of the upper hull's corners, from left to right."""
-    hull: list[int] = []
-    for i in range(len(x)):
-        while len(hull) > 1:
-            a, b = hull[-2], hull[-1]
-            if (x[b] - x[a]) * (y[i] - y[a]) < (y[b] - y[a]) * (x[i] - x[a]):
-                break
-            hull.pop()
-        hull.append(i)
-    return hull
+def upper_hulls(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which places (pixel, band) are corners of each pixel's upper hull. All pixels keep a stack of corners and take the bands
+    in step; those whose last corner lies under the new line drop it, until none does."""
+    n, bands = y.shape
+    stack, held = np.zeros((n, bands), np.int64), np.zeros(n, np.int64)
+    for i in range(bands):
+        at = np.flatnonzero(held > 1)
+        while len(at):
+            a, b = stack[at, held[at] - 2], stack[at, held[at] - 1]
+            ya = y[at, a]
+            at = at[~((x[b] - x[a]) * (y[at, i] - ya) < (y[at, b] - ya) * (x[i] - x[a]))]
+            held[at] -= 1
+            at = at[held[at] > 1]
+        stack[np.arange(n), held] = i
+        held += 1
+    corner = np.zeros((n, bands), bool)
+    pixel, place = np.nonzero(np.arange(bands) < held[:, None])
+    corner[pixel, stack[pixel, place]] = True
+    return corner
+
+
+def continua(spectra: np.ndarray, wavelengths: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(spectra over their upper hulls, hulls) of a matrix of pixels; shorter than three bands they stay."""
+    y = np.asarray(spectra, float)
+    bands = y.shape[1]
+    if bands < 3:
+        return y.copy(), y.copy()
+    x = np.arange(bands, dtype=float) if wavelengths is None else np.asarray(wavelengths, float)
+    corner, place = upper_hulls(x, y), np.arange(bands)
+    left = np.maximum.accumulate(np.where(corner, place, 0), axis=1)
+    right = np.minimum.accumulate(np.where(corner, place, bands - 1)[:, ::-1], axis=1)[:, ::-1]
+    yl, yr = np.take_along_axis(y, left, axis=1), np.take_along_axis(y, right, axis=1)
+    share = (x - x[left]) / np.where(left == right, 1, x[right] - x[left])
+    hull = np.maximum(yl + (yr - yl) * share, 1e-7)
+    return np.clip(y / hull, 0, 1), hull
 
 
 def continuum_1d(spectrum: Sequence[float], wavelengths: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(spectrum over its upper hull, hull); shorter than three bands it stays."""
-    y = np.asarray(spectrum, float)
-    x = np.arange(len(y), dtype=float) if wavelengths is None else np.asarray(wavelengths, float)
-    if len(y) < 3:
-        return y.copy(), y.copy()
-    corners = upper_hull(x, y)
-    hull = np.maximum(np.interp(x, x[corners], y[corners]), 1e-7)
-    return np.clip(y / hull, 0, 1), hull
+    """The same for one spectrum."""
+    removed, hull = continua(np.asarray(spectrum, float)[None], wavelengths)
+    return removed[0], hull[0]
 
 
 def continuum_removed(df: DataFrame, wavelengths: Sequence[float] | None = None, spectrum: str = "spectrum", out: str = "cr") -> DataFrame:
-    return _kernel(df, spectrum, lambda x: [np.array([continuum_1d(s, wavelengths)[0] for s in x])], {out: ArrayType(DoubleType())})
+    return _kernel(df, spectrum, lambda x: [continua(x, wavelengths)[0]], {out: ArrayType(DoubleType())})

@@ -6,10 +6,9 @@ import numpy as np
 
 from bandloom.operators import geodesy, library
 from bandloom.operators.classify import PALETTE, chi2_quantile
-from bandloom.queries import BANDS, BLUE, BOXES, GREEN, NIR, POINTS, RED, SWIR2, SYSTEMS, TARGETS, TRIANGLE, WIDTH
+from bandloom.queries import AXIS, BANDS, BLUE, BOXES, GREEN, NIR, RED, SWIR2, SYSTEMS, TARGETS, TRIANGLE, WIDTH
 
 r6 = "round({}, 6) + 0.0".format
-AXIS = [float(w) for w in np.linspace(400, 2400, BANDS)]
 
 E = f"WITH e AS (SELECT vec_id, label, (vec_id // {WIDTH})::INT AS y, (vec_id % {WIDTH})::INT AS x, embedding::DOUBLE[] AS v FROM embeddings)"
 ABS = E + ", a AS (SELECT vec_id, label, y, x, list_transform(v, lambda q: abs(q)) AS v FROM e)"
@@ -265,7 +264,11 @@ DATUM = project(
 )
 LAT, LON = geodesy.sql("(500000.0::DOUBLE + 10 * (x + 0.5::DOUBLE))", "(3500000.0::DOUBLE - 10 * (y + 0.5::DOUBLE))", 50)
 LIB = "WITH lib AS (SELECT name, unnest(range(400, 2501))::DOUBLE AS wl, unnest(r) AS r FROM (VALUES " + ", ".join(f"('{n}', {[float(v) for v in curve]!r}::DOUBLE[])" for n, _, curve in library.curves()) + ") t(name, r))"
-QPOINTS = ", pt(wl, v) AS (VALUES " + ", ".join(f"({w}::DOUBLE, {v}::DOUBLE)" for w, v in POINTS) + ")"
+# Spectra by key against the library: brackets of its grid on the bands' axis, then sums over the grid.
+MATCH = ABS + LONG.format("a") + LIB.replace("WITH lib", ", lib") + f""", pt AS (SELECT {{0}} AS k, ({AXIS!r}::DOUBLE[])[band + 1] AS wl, avg(value) AS v FROM l GROUP BY ALL),
+br AS (SELECT t.wl, (SELECT max(w) FROM unnest({AXIS!r}::DOUBLE[]) u(w) WHERE w <= t.wl) AS w0, (SELECT min(w) FROM unnest({AXIS!r}::DOUBLE[]) u(w) WHERE w >= t.wl) AS w1 FROM (SELECT DISTINCT wl FROM lib) t WHERE t.wl <= 2400),
+q AS (SELECT p0.k, br.wl, CASE WHEN w0 = w1 THEN p0.v ELSE p0.v + (p1.v - p0.v) * (br.wl - w0) / (w1 - w0) END AS q FROM br JOIN pt p0 ON p0.wl = w0 JOIN pt p1 ON p1.wl = w1 AND p1.k = p0.k),
+m AS (SELECT k, name, degrees(acos(least(greatest(sum(q * r) / (sqrt(sum(q * q)) * sqrt(sum(r * r))), -1), 1))) AS angle FROM lib JOIN q USING (wl) GROUP BY k, name)"""
 SHARP = ABS + f", p AS (SELECT vec_id, v[{RED + 1}] AS r, v[{GREEN + 1}] AS g, v[{BLUE + 1}] AS b, list_sum(v) / 64 AS pan FROM a)"
 SIM = "(r * (1.0::DOUBLE / 3) + g * (1.0::DOUBLE / 3) + b * (1.0::DOUBLE / 3))"
 
@@ -280,7 +283,7 @@ ORACLES: dict[str, str] = {
     "datum_shift": DATUM,
     "band_subset": f"{E} SELECT vec_id, {r6('v[5]')} AS b0, {r6('v[3]')} AS b1, {r6('v[1]')} AS b2 FROM e",
     "spatial_subset": f"{E} SELECT (y - 3)::INT AS y, (x - 5)::INT AS x, {r6('v[1]')} AS v FROM e WHERE x >= 5 AND x < 15 AND y >= 3 AND y < 12",
-    "band_match": f"""WITH axis AS (SELECT i::INT AS band, 400.0::DOUBLE + i * (2000.0::DOUBLE / 63) AS wl FROM range(64) t(i)),
+    "band_match": f"""WITH bands AS (SELECT max(len(embedding)) AS n FROM embeddings), axis AS (SELECT i::INT AS band, 400.0::DOUBLE + i * (2000.0::DOUBLE / (n - 1)) AS wl FROM bands, range(n) t(i)),
 w(target, aim) AS (VALUES ('blue', 480.0::DOUBLE), ('green', 550.0::DOUBLE), ('red', 660.0::DOUBLE), ('nir', 840.0::DOUBLE), ('swir2', 2200.0::DOUBLE))
 SELECT target, arg_min(band, (abs(wl - aim), band)) AS band, {r6('arg_min(wl, (abs(wl - aim), band))')} AS wl FROM axis, w WHERE abs(wl - aim) < 350 GROUP BY target""",
     "overview": f"{E}, s AS (SELECT greatest(1, greatest({WIDTH}, max(y) + 1) // 10) AS step FROM e) SELECT vec_id, {r6('v[1]')} AS v FROM e, s WHERE y % step = 0 AND x % step = 0",
@@ -339,10 +342,8 @@ SELECT l_orderkey, count(*) AS n, {r6('min(value)')} AS min_v, {r6('max(value)')
     "isodata_prune": NEW + ", c1 AS (SELECT row_number() OVER (ORDER BY cls) - 1 AS cls, m FROM (SELECT cls, list(m ORDER BY band) AS m FROM nb GROUP BY cls HAVING min(n) >= 10))" + NEAR.format(c="c1", out="n1").replace("d2 ", "d3 ").replace("FROM d2", "FROM d3") + " SELECT vec_id, cls::INT AS cls FROM n1",
     "thematic_rgb": f"""{E}, pal AS (SELECT {[list(c) for c in PALETTE]!r} AS p),
 c AS (SELECT vec_id, CASE WHEN label - 1 < 0 THEN [0, 0, 0] ELSE p[(label - 1) % 10 + 1] END AS c FROM e, pal) SELECT vec_id, c[1]::INT AS r, c[2]::INT AS g, c[3]::INT AS b FROM c""",
-    "library_match": f"""{LIB}{QPOINTS}, ax AS (SELECT DISTINCT wl FROM lib),
-br AS (SELECT ax.wl, (SELECT max(wl) FROM pt WHERE pt.wl <= ax.wl) AS w0, (SELECT min(wl) FROM pt WHERE pt.wl >= ax.wl) AS w1 FROM ax),
-q AS (SELECT br.wl, CASE WHEN w0 = w1 THEN p0.v ELSE p0.v + (p1.v - p0.v) * (br.wl - w0) / (w1 - w0) END AS q FROM br JOIN pt p0 ON p0.wl = w0 JOIN pt p1 ON p1.wl = w1)
-SELECT name, {r6('degrees(acos(least(greatest(sum(q * r) / (sqrt(sum(q * q)) * sqrt(sum(r * r))), -1), 1)))')} AS angle FROM lib JOIN q USING (wl) GROUP BY name""",
+    "library_match": MATCH.format("0") + f" SELECT name, {r6('angle')} AS angle FROM m",
+    "library_identify": MATCH.format("vec_id") + f" SELECT k AS vec_id, arg_min(name, (angle, name)) AS name, {r6('min(angle)')} AS angle FROM m GROUP BY k",
     "spectrum_resample": E + LONG.format("e") + f""", pts AS (SELECT vec_id, ({AXIS!r})[band + 1] AS wl, value FROM l), t(wl) AS (VALUES {', '.join(f'({w}::DOUBLE)' for w in TARGETS)}),
 br AS (SELECT t.wl, (SELECT max(w) FROM unnest({AXIS!r}) u(w) WHERE w <= t.wl) AS w0, (SELECT min(w) FROM unnest({AXIS!r}) u(w) WHERE w >= t.wl) AS w1 FROM t)
 SELECT k.vec_id, br.wl, {r6('CASE WHEN w0 = w1 THEN p0.value ELSE p0.value + (p1.value - p0.value) * (br.wl - w0) / (w1 - w0) END')} AS value

@@ -28,7 +28,7 @@ BLUE, GREEN, RED, NIR, SWIR2 = 3, 5, 8, 14, 57
 TRANSFORM, CRS = (10.0, 0.0, 500000.0, 0.0, -10.0, 3500000.0), "EPSG:32650"
 TRIANGLE = [(1.5, 1.5), (20.5, 3.5), (8.5, 17.5)]
 BOXES = {"a": (2, 2, 10, 12), "b": (0, 0, 25, 5), "c": (12, 6, 20, 18)}
-POINTS = [(450.0, 0.08), (550.0, 0.21), (680.0, 0.09), (860.0, 0.52), (1650.0, 0.30), (2200.0, 0.14)]
+AXIS = [float(w) for w in np.linspace(400, 2400, BANDS)]
 TARGETS = (350.0, 400.0, 475.5, 550.0, 1000.0, 1999.9, 2400.0, 2450.0)
 EXPRESSIONS = {
     "ratio": "(b1 - b4) / (b2 / 1000 + b3) + b1 / b3",
@@ -148,8 +148,10 @@ def spatial_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = [float(w) for w in np.linspace(400, 2400, BANDS)]
-    found = match_bands(RasterMetadata(WIDTH, 1, BANDS, band_details=tuple(BandInfo(i, "", w) for i, w in enumerate(axis))))
+    """Which of the table's bands the colours are."""
+    bands = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    axis = [float(w) for w in np.linspace(400, 2400, bands)]
+    found = match_bands(RasterMetadata(WIDTH, 1, bands, band_details=tuple(BandInfo(i, "", w) for i, w in enumerate(axis))))
     return spark.createDataFrame([(k, i, axis[i]) for k, i in found.items()], "target string, band int, wl double").withColumn("wl", r6(F.col("wl")))
 
 
@@ -420,8 +422,16 @@ def thematic_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def library_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wl, v = zip(*POINTS)
-    return library.match(spark, wl, v).select("name", r6(F.col("angle")).alias("angle"))
+    """The library by its angle to the mean spectrum."""
+    _, mean, _ = mean_and_covariance(positive(cube(spark, sf_dir)))
+    return library.match(spark, AXIS, mean.tolist()).select("name", r6(F.col("angle")).alias("angle"))
+
+
+@query
+def library_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's nearest entry to each pixel."""
+    done = library.identified(positive(cube(spark, sf_dir)).select("vec_id", "spectrum"), AXIS)
+    return done.select("vec_id", "name", r6(F.col("angle")).alias("angle"))
 
 
 @query
