@@ -114,10 +114,12 @@ def bounds(meta: RasterMetadata) -> tuple[float, float, float, float]:
 
 
 def outline(meta: RasterMetadata, target: str, steps: int = 21) -> tuple[float, float, float, float]:
-    """Bounds in another coordinate system, from points along the edges."""
+    """Bounds in another coordinate system, from points along the edges. Raises ValueError where an edge has no place in it."""
     along, ends = np.linspace(0, 1, steps), np.repeat([0.0, 1.0], steps)
     x, y = np.concatenate((np.tile(along, 2), ends)) * meta.width, np.concatenate((ends, np.tile(along, 2))) * meta.height
     x, y = projections.converted(*to_world(meta.transform, x, y), meta.crs, target)
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise ValueError(f"{target} can't show the whole raster")
     return float(x.min()), float(y.min()), float(x.max()), float(y.max())
 
 

@@ -107,3 +107,11 @@ def test_warp_between_systems(spark):
     assert inside.sum() > 1000 and np.abs(got - field(lat, lon))[inside].max() < 2  # half a pixel at the edge
     with pytest.raises(ValueError):
         combine.mosaic([r], crs="EPSG:2056", resolution=3000.0)
+
+
+def test_outline():
+    world = RasterMetadata(360, 180, 1, transform=(1.0, 0.0, -180.0, 0.0, -1.0, 90.0), crs="EPSG:4326")
+    with pytest.raises(ValueError):
+        combine.outline(world, "+proj=tmerc +lon_0=-90")  # a quarter of the globe away the scale is infinite
+    left, bottom, right, top = combine.outline(RasterMetadata(10, 10, 1, transform=(1.0, 0.0, 0.0, 0.0, -1.0, 50.0), crs="EPSG:4326"), "EPSG:3857")
+    assert (left, right) == pytest.approx((0, 1113194.9079), abs=1e-3) and bottom < top
