@@ -85,8 +85,10 @@ def sketches(words: Column) -> Column:
     share most of them. A shorter line is one window."""
     window = lambda i: F.xxhash64(*(F.coalesce(F.get(words, i + k), F.lit("")) for k in range(WINDOW)))
     hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - WINDOW, F.lit(0))), window)
-    turned = lambda point: F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(point)))
-    return F.array(*(f(t) for t in (hashes, turned(1 << 61), turned(1 << 62)) for f in (F.array_min, F.array_max)))
+    turned = lambda hs, point: F.transform(hs, lambda h: h.bitwiseXOR(F.lit(point)))
+    # lambdas name what they use more than once: an expression would be worked out again at each use
+    each = F.transform(F.array(hashes), lambda hs: F.array(hs, turned(hs, 1 << 61), turned(hs, 1 << 62)))
+    return F.flatten(F.transform(F.flatten(each), lambda hs: F.array(F.array_min(hs), F.array_max(hs))))
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
