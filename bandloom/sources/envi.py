@@ -173,6 +173,7 @@ class StripReader(DataSourceReader):
 
     height: int = 0
     strip: int = 256
+    step: int = 32  # rows that are read at once
 
     def __init__(self) -> None:
         self.low, self.high = 0, None
@@ -202,8 +203,8 @@ class StripReader(DataSourceReader):
         raise NotImplementedError
 
     def read(self, partition: Strip) -> Iterator[pa.RecordBatch]:
-        for y in range(partition.y0, partition.y1, 32):
-            end = min(y + 32, partition.y1)
+        for y in range(partition.y0, partition.y1, self.step):
+            end = min(y + self.step, partition.y1)
             yield from batches(y, self.pixels(y, end))
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import SparkSession
 
 from bandloom.plans.raster import Raster
 
-from . import envi, landsat, tiff
+from . import envi, imagine, landsat, tiff
 
 
 def open_raster(spark: SparkSession, path: str) -> Raster:
-    """By what the path is: a scene folder or its metadata file, an ENVI header or a file with one beside it, a TIFF."""
+    """By what the path is: a scene folder or its metadata file, an ENVI header or a file with one beside it, a TIFF, an Imagine file."""
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     if landsat.find_mtl(path):
@@ -30,8 +30,9 @@ def open_raster(spark: SparkSession, path: str) -> Raster:
         return envi.read_envi(spark, path)
     if head[:4] in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):
         return tiff.read_tiff(spark, path)
+    if head.startswith(imagine.MAGIC):
+        return imagine.read_imagine(spark, path)
     try:
         return envi.read_envi(spark, path)
     except FileNotFoundError:
-        kind = " (ERDAS Imagine files need GDAL, which isn't part of this engine)" if head.startswith(b"EHFA") else ""
-        raise ValueError(f"{path} isn't a raster that can be read{kind}") from None
+        raise ValueError(f"{path} isn't a raster that can be read") from None
