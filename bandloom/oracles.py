@@ -287,6 +287,7 @@ ORACLES: dict[str, str] = {
 w(target, aim) AS (VALUES ('blue', 480.0::DOUBLE), ('green', 550.0::DOUBLE), ('red', 660.0::DOUBLE), ('nir', 840.0::DOUBLE), ('swir2', 2200.0::DOUBLE))
 SELECT target, arg_min(band, (abs(wl - aim), band)) AS band, {r6('arg_min(wl, (abs(wl - aim), band))')} AS wl FROM axis, w WHERE abs(wl - aim) < 350 GROUP BY target""",
     "overview": f"{E}, s AS (SELECT greatest(1, greatest({WIDTH}, max(y) + 1) // 10) AS step FROM e) SELECT vec_id, {r6('v[1]')} AS v FROM e, s WHERE y % step = 0 AND x % step = 0",
+    "display_pyramid": f"{E}, lv AS (SELECT k::INT AS k FROM range(1, 31) r(k), (SELECT max(y) + 1 AS h FROM e) WHERE greatest(h, {WIDTH}) > 4 * 2 ** (k - 1)) SELECT k AS level, y >> k AS y, x >> k AS x, count(*) AS n, {r6(f'avg(v[{RED + 1}])')} AS red, {r6(f'avg(v[{NIR + 1}])')} AS nir FROM e, lv GROUP BY ALL",
     "bandmath_ratio": items("CASE WHEN b2 / 1000 + b3 = 0 THEN 0 ELSE (b1 - b4) / (b2 / 1000 + b3) END + CASE WHEN b3 = 0 THEN 0 ELSE b1 / b3 END"),
     "bandmath_logical": items(f"{flag('10 < b1 AND b1 <= 30')} + {flag('b1 > 25 AND b3 < 0.05::DOUBLE')} + {flag('b3 = 0 OR b4 > 0.05::DOUBLE')} + {flag('NOT b4 >= 0.04::DOUBLE')} + {flag('b1 <> 17')}"),
     "bandmath_global": items("(b2 - lo) / (hi - lo) + (b1 - m) / sd + b2 / md + b3 / sm", ", st AS (SELECT min(b2) AS lo, max(b2) AS hi, avg(b1) AS m, stddev_pop(b1) AS sd, quantile_cont(b2, 0.5) AS md, sum(b3) AS sm FROM li)", source="li, st"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import color, indices, stretch
 from bandloom.functions.bandmath import band_math
-from bandloom.operators import accuracy, classify, combine, geodesy, library, projections, radiometry, roi, spans, stats, svm, transforms, warp
+from bandloom.operators import accuracy, classify, combine, geodesy, library, projections, pyramid, radiometry, roi, spans, stats, svm, transforms, warp
 from bandloom.operators.bands import match_bands
 from bandloom.plans import num
 from bandloom.plans.linalg import mean_and_covariance
@@ -161,6 +161,14 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stretch.overview(x, WIDTH, height(x), 10).select("vec_id", r6(band(0)).alias("v"))
 
 
+@query
+def display_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block means of two bands, halved until 4 by 4 pixels hold the image."""
+    x = cube(spark, sf_dir)
+    means = pyramid.levels(x, WIDTH, height(x), (RED, NIR), tile=4)
+    return means.select("level", "y", "x", F.get("n", F.lit(0)).alias("n"), r6(F.get("mean", F.lit(0))).alias("red"), r6(F.get("mean", F.lit(1))).alias("nir"))
+
+
 # Band math ------------------------------------------------------------------------------------------------------------
 
 
