@@ -5,17 +5,28 @@ to the fourth, and so on (even-odd). So a region is a table of spans (region, y,
 pixels meet the spans of their own line and tile of TILE columns in an equi-join. No expression grows with the vertices,
 no task gets a whole polygon, and a pixel is compared with the few spans of its tile only.
 
+An edge that stays between two columns of pixels for many lines is one run of lines. Runs of a part that share a column
+cancel out where two lie over each other, and only what is left is taken apart into lines: a ring of many vertices costs a
+row or two for each of them, and lines by columns of the image at most.
+
 Edges are (region, part, x0, y0, x1, y1); a region is the union of its parts, each a closed ring.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandloom.plans.session import stored
+from bandloom.plans.ship import ship
 
 TILE = 64
+#: Runs of edges that a task makes at once.
+RUNS = 1 << 20
 #: Spans by tiles that are sent to all tasks; beyond that pixels are shuffled by line and tile.
 MAX_SENT = 1 << 20
 Bounds = tuple[int, int, int, int]
@@ -39,20 +50,96 @@ def edges_of_vertices(vertices: DataFrame) -> DataFrame:
     return vertices.withColumnsRenamed({"x": "x0", "y": "y0"}).join(after, ["region", "part", "pos"]).select("region", "part", "x0", "y0", "x1", "y1")
 
 
+def reached(x0: np.ndarray, y0: np.ndarray, slope: np.ndarray, low: np.ndarray, high: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The first of the lines low to high on which an edge has come past a column: beyond it if the edge goes right, at or
+    before it if it goes left; high + 1 if none. Found by the inverse, and by halving where rounding leaves that in doubt."""
+
+    def past(y: np.ndarray, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return (x0[of] + (y - y0[of]) * slope[of] > column[of]) == (slope[of] > 0)
+
+    with np.errstate(all="ignore"):
+        guess = np.nan_to_num(np.ceil(y0 + (column - x0) / slope), nan=0, posinf=2**62, neginf=-(2**62))
+    found = np.clip(guess, low, high + 1).astype(np.int64)
+    doubt = np.flatnonzero(((found > low) & past(found - 1)) | ((found <= high) & ~past(found)))
+    a, b = low[doubt].astype(np.int64), high[doubt].astype(np.int64) + 1
+    while len(doubt) and (a < b).any():
+        middle = (a + b) // 2
+        hit = past(middle, doubt) | (middle > high[doubt])
+        a, b = np.where(hit, a, np.minimum(middle + 1, b)), np.where(hit, middle, b)
+    found[doubt] = a
+    return found
+
+
+def runs_of_edges(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, bounds: Bounds | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(edge, column, first line, line after the last): between these lines an edge runs just before a column of pixels. With
+    bounds (x0, y0, x1, y1) columns beyond them move to them. An edge has no more runs than columns, nor than lines."""
+    with np.errstate(all="ignore"):
+        low, high = np.ceil(np.minimum(y0, y1)), np.ceil(np.maximum(y0, y1)) - 1
+        if bounds:
+            low, high = np.maximum(low, bounds[1]), np.minimum(high, bounds[3] - 1)
+        edge = np.flatnonzero(np.isfinite(x0) & np.isfinite(x1) & np.isfinite(y0) & np.isfinite(y1) & (low <= high))
+        x0, y0, low, high, slope = x0[edge], y0[edge], low[edge].astype(np.int64), high[edge].astype(np.int64), ((x1 - x0) / (y1 - y0))[edge]
+
+    def before(y: np.ndarray, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        c = np.ceil(x0[of] + (y - y0[of]) * slope[of])
+        return np.nan_to_num(np.clip(c, bounds[0], bounds[2]) if bounds else c).astype(np.int64)
+
+    first, last = before(low), before(high)
+    lines, columns = high - low + 1, np.abs(last - first) + 1
+    total = np.cumsum(np.minimum(lines, columns))
+    start = 0
+    while start < len(edge):
+        # as many edges as make RUNS; of one edge alone, however long, a part at a time
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + RUNS, "right")))
+        n_lines, n_columns = lines[start:stop], columns[start:stop]
+        steep, by_line, by_column = (start + np.flatnonzero(c) for c in (n_columns == 1, (n_columns > 1) & (n_lines <= n_columns), (n_columns > 1) & (n_lines > n_columns)))
+        if len(steep):
+            yield edge[steep], first[steep], low[steep], high[steep] + 1
+        for e, n in ((by_line, lines), (by_column, columns)):
+            size = int(n[e].sum()) if len(e) else 0
+            for at in range(0, size, RUNS):
+                k = np.arange(at, min(size, at + RUNS))
+                ends = np.cumsum(n[e])
+                own = np.searchsorted(ends, k, "right")
+                step, own = k - (ends - n[e])[own], e[own]
+                if e is by_line:
+                    y = low[own] + step
+                    yield edge[own], before(y, own), y, y + 1
+                    continue
+                way = np.sign(last - first)[own]
+                c = first[own] + way * step
+                # to the right a column is left for the next one when the edge is beyond it, to the left when it is before it
+                held = (x0[own], y0[own], slope[own], low[own], high[own])
+                left = lambda c: reached(*held, np.where(way > 0, c, c - 1).astype(float))
+                a = np.where(c == first[own], low[own], left(c - way))
+                b = np.where(c == last[own], high[own] + 1, left(c))
+                some = a < b
+                yield edge[own][some], c[some], a[some], b[some]
+        start = stop
+
+
 def spans_of_edges(edges: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """(region, y, x0, x1) of pixels inside, within bounds (x0, y0, x1, y1) if given."""
-    low, high = F.ceil(F.least("y0", "y1")), F.ceil(F.greatest("y0", "y1")) - 1
-    if bounds:
-        low, high = F.greatest(low, F.lit(bounds[1])), F.least(high, F.lit(bounds[3] - 1))
-    x = edges.withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")})
-    x = x.withColumns({"_low": low.cast("int"), "_high": high.cast("int")}).filter("y0 <> y1 and _low <= _high")
-    x = x.withColumn("y", F.explode(F.sequence("_low", "_high")))
-    at = F.col("x0") + (F.col("y") - F.col("y0")) * ((F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
-    lines = x.groupBy("region", "part", "y").agg(F.sort_array(F.collect_list(F.ceil(at).cast("int"))).alias("_at"))
+    ship(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = [np.asarray(b.column(c).to_numpy(zero_copy_only=False), np.float64) for c in ("x0", "y0", "x1", "y1")]
+            for edge, c, first, after in runs_of_edges(*ends, bounds):
+                heads = [b.column(k).take(pa.array(edge)) for k in ("region", "part")]
+                yield pa.RecordBatch.from_arrays([*heads, *(pa.array(v, pa.int32()) for v in (c, first, after))], names=["region", "part", "c", "y0", "y1"])
+
+    x = edges.select("region", "part", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).filter("y0 <> y1")
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema}
+    runs = x.mapInArrow(run, f"region {kinds['region']}, part {kinds['part']}, c int, y0 int, y1 int")
+    # where runs of a column begin and end, twice in one place cancels out; between the first and second is one run, and so on
+    turns = runs.select("region", "part", "c", F.explode(F.array("y0", "y1")).alias("y")).groupBy("region", "part", "c", "y").agg(F.count("*").alias("_n")).filter("_n % 2 = 1")
+    column = Window.partitionBy("region", "part", "c").orderBy("y")
+    left = turns.select("region", "part", "c", F.col("y").alias("_first"), F.lead("y").over(column).alias("_after"), F.row_number().over(column).alias("_k")).filter("_k % 2 = 1")
+    each = left.select("region", "part", "c", F.explode(F.sequence("_first", F.col("_after") - 1)).alias("y"))
+    lines = each.groupBy("region", "part", "y").agg(F.sort_array(F.collect_list("c")).alias("_at"))
     pairs = F.transform(F.filter("_at", lambda v, i: i % 2 == 0), lambda v, i: F.struct(v.alias("x0"), F.get("_at", 2 * i + 1).alias("x1")))
     found = lines.select("region", "y", F.inline(pairs))
-    if bounds:
-        found = found.withColumns({"x0": F.greatest("x0", F.lit(bounds[0])), "x1": F.least("x1", F.lit(bounds[2]))})
     return united(found.filter("x0 < x1"))
 
 

@@ -139,3 +139,31 @@ def test_odd_regions(spark):
         roi.ROI("r").add_polygon([(0, 0), (1, float("nan")), (2, 2)])
     two = {0: [roi.ROI("p", bbox=(0, 0, 3, 3)), roi.ROI("q", bbox=(1, 1, 4, 4))], 1: [roi.ROI("s", bbox=(0, 0, 1, 1))]}
     assert roi.training_from_rois(df, two).groupBy("class_id").count().orderBy("class_id").collect() == [(0, 14), (1, 1)]
+
+
+@pytest.mark.parametrize("shape", [(3000, 5), (5, 3000)])
+def test_a_ring_of_many_vertices_costs_no_row_for_each_line(spark, shape):
+    """Edges that stay between two columns are runs: a tall image makes no more of them."""
+    height, width = shape
+    rng = Random(3)
+    ring = [(width * i / 400, rng.uniform(0, height)) for i in range(400)] + [(float(width), height + 1.0), (0.0, height + 1.0)]
+    x0, y0 = np.array(ring).T
+    edge, column, first, after = (np.concatenate(v) for v in zip(*spans.runs_of_edges(x0, y0, np.roll(x0, -1), np.roll(y0, -1))))
+    assert len(edge) <= len(ring) + 2 * width and (first < after).all()
+    rows = [("r", 0, i, *p) for i, p in enumerate(ring)]
+    found = spans.spans_of_edges(spans.edges_of_vertices(spark.createDataFrame(rows, "region string, part int, pos long, x double, y double")))
+    got = {(s.y, x) for s in found.collect() for x in range(s.x0, s.x1)}
+    for y in rng.sample(range(height), 5):
+        for x in range(0, width, max(1, width // 50)):
+            assert ((y, x) in got) == odd(ring, x, y)
+
+
+def test_edges_that_all_but_stand_are_placed_line_by_line():
+    """The inverse of an edge that moves by less than rounding over many lines doesn't give the line."""
+    x0, y0, x1, y1 = (np.array([v]) for v in (5 - 1e-14, 0.0, 5 + 1e-14, 4000.0))
+    at = x0 + np.arange(4000) * ((x1 - x0) / (y1 - y0))
+    runs = [np.concatenate(v) for v in zip(*spans.runs_of_edges(x0, y0, x1, y1))]
+    got = np.zeros(4000, int)
+    for _, c, a, b in zip(*runs):
+        got[a:b] = c
+    assert (got == np.ceil(at)).all()
