@@ -167,3 +167,28 @@ def test_edges_that_all_but_stand_are_placed_line_by_line():
     for _, c, a, b in zip(*runs):
         got[a:b] = c
     assert (got == np.ceil(at)).all()
+
+
+@pytest.mark.parametrize("size", [(60, 9), (9, 60)])
+def test_statistics_of_a_table_are_looked_up(spark, size, monkeypatch):
+    """Unions, boxes, equal names, invalid and missing pixels; no row for a line or a pixel of a region is made."""
+    rng, (height, width) = Random(9), size
+    shapes = [roi.ROI(f"r{i % 30}", polygons=[[(rng.uniform(-5, width + 5), rng.uniform(-5, height + 5)) for _ in range(rng.randint(3, 8))] for _ in range(rng.randint(1, 3))]) for i in range(60)]
+    shapes += [roi.ROI("box", bbox=(2, 3, 7, 8)), roi.ROI("none"), roi.ROI("off", bbox=(90, 90, 99, 99)), roi.ROI("flat", bbox=(5, 5, 5, 9))]
+    pixel = {(y, x): float("nan") if rng.random() < 0.1 else rng.gauss(1e6, 1) for y in range(height) for x in range(width) if rng.random() < 0.9}
+    bands = spark.createDataFrame([(y, x, b, v * (b + 1)) for (y, x), v in pixel.items() for b in (0, 1)], "y int, x int, band int, value double")
+    monkeypatch.setattr(spans, "inside", lambda *a, **k: pytest.fail("pixels were joined"))
+    got = {(r.roi, r.band): r for r in roi.roi_statistics(bands, roi.roi_table(spark, shapes)).collect()}
+    want = {}
+    for r in shapes:
+        for (y, x), v in pixel.items():
+            if any(odd(p, x, y) for p in r.polygons) or (r.bbox and r.bbox[0] <= x < r.bbox[2] and r.bbox[1] <= y < r.bbox[3]):
+                want.setdefault(r.name, {})[y, x] = v
+    assert got.keys() == {(n, b) for n in want for b in (0, 1)}
+    for n, inside in want.items():
+        v = np.array([v for v in inside.values() if v == v])
+        for b in (0, 1):
+            r = got[n, b]
+            assert r.n == len(v)
+            have = (r.min_v, r.max_v, r.mean_v, r.std_v)
+            assert np.allclose(have, [f(v * (b + 1)) for f in (np.min, np.max, np.mean, np.std)] if len(v) else [np.nan] * 4, rtol=1e-9, equal_nan=True)
