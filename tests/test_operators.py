@@ -1,5 +1,7 @@
 """Operators against closed forms, NumPy and planted truth."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -662,3 +664,16 @@ def test_samples_by_hash(spark):
     assert len(one) == 300 and (one == two).all()
     assert len(transforms.sampled(df.withColumn("y", F.lit(1)), 300, 7, ("y", "x"), "spectrum")) == 300
     assert len(transforms.sampled(df.limit(0), 300, 7, ("y", "x"), "spectrum")) == 0
+
+
+def test_machines_are_fitted_in_tasks(spark, monkeypatch):
+    """The driver fits none itself: their number grows with the square of the classes."""
+    monkeypatch.setattr(svm, "FEW", 0)
+    driver, fit = os.getpid(), svm.smo
+    monkeypatch.setattr(svm, "smo", lambda *a: fit(*a) if os.getpid() != driver else pytest.fail("fitted on the driver"))
+    rng = np.random.default_rng(1)
+    cube = np.concatenate([rng.normal(m, 0.1, (4, 10, 2)) for m in (0, 3, 6)])
+    r = raster(spark, cube.transpose(2, 0, 1)).df
+    truth = F.floor(F.col("y") / 4).cast("int")
+    got = svm.classify(r, r.select(truth.alias("class_id"), "spectrum")).select(truth.alias("t"), "cls").collect()
+    assert len(got) == 120 and all(p.t == p.cls for p in got)
