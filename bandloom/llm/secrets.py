@@ -3,14 +3,14 @@
 The patterns give spans of the kinds assign, access and hex. Novelty looks at tokens in sensitive context: a token of
 MIN_TOKEN or more characters that starts at most CONTEXT characters after a sensitive word. Its marginal size is what
 it adds to the compressed context, with a compressor primed by a dictionary: common code, and the most frequent identifier
-words of the corpus (LEARNED of them, from a sample of about LEARN_ROWS documents that a hash draws; secrets are too rare to
-get in). A token is taken apart first: words of either dictionary and pieces that are built like words are plain, as names,
-paths and versions are made of them. A token of which too little is left (LEFT characters, and LEFT_SHARE of the letters or a
-number of five digits, are the least) is explained; one of which more is left is a span of the kind `novel` if the dictionary
-and the surroundings can't explain it either (MIN_NOVELTY compressed bits a character or more). Its surroundings are AROUND characters on both sides, without other copies of it: a secret that stands
-twice doesn't explain itself. Short inputs leave letters uncoded, so tokens of plain words also look new; a token must
-hold a digit or change from small to capital letters to be reported. Pattern spans always stay; novelty only adds spans
-that overlap none.
+words of the corpus (LEARNED of them, counted in all documents; secrets are too rare to get in). A token is taken apart
+first: words of either dictionary and pieces that are built like words are plain, as names, paths and versions are made of
+them. A token of which too little is left (LEFT characters, and LEFT_SHARE of the letters or a number of five digits, are the
+least) is explained; one of which more is left is a span of the kind `novel` if the dictionary and the surroundings can't
+explain it either (MIN_NOVELTY compressed bits a character or more). Its surroundings are AROUND characters on both sides,
+without other copies of it: a secret that stands twice doesn't explain itself. Short inputs leave letters uncoded, so tokens
+of plain words also look new; a token must hold a digit or change from small to capital letters to be reported. Pattern spans
+always stay; novelty only adds spans that overlap none.
 
 Spans are kind:start:end in code points, end exclusive, by start, then by kind in the order of KINDS.
 
@@ -53,7 +53,7 @@ PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[^A-Za-z0-9]+")
 RUN = re.compile("[A-Za-z0-9]+")
 TURN = re.compile("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 VOWEL, CLUSTER = re.compile("[aeiouy]"), re.compile("[^aeiouy]{5}")
-LEARNED, LEARN_ROWS, LEARN_TIMES, LEFT, LEFT_SHARE, TURNS = 4096, 20_000, 5, 4, 0.2, 3
+LEARNED, LEARN_TIMES, LEFT, LEFT_SHARE, TURNS = 4096, 5, 4, 0.2, 3
 KEYLIKE = re.compile(r"[0-9]|[a-z][A-Z]")
 #: Parts of a token that may stand elsewhere without the rest: between dots and equals signs.
 PIECE = re.compile(r"[A-Za-z0-9+/_~$!-]{%d,}" % MIN_TOKEN)
@@ -83,10 +83,8 @@ def compressor(learned: Sequence[str] = ()) -> zstandard.ZstdCompressor:
 
 
 def learned_words(docs: DataFrame) -> list[str]:
-    """The most frequent identifier words of a bounded sample of docs(text), most frequent first."""
-    n = docs.count()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, LEARN_ROWS / max(n, 1))))
-    found = docs.filter(draw).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z]?[a-z]{2,15}"), F.lit(0))).alias("w"))
+    """The most frequent identifier words of docs(text), most frequent first. A task counts its words before they are sent."""
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z]?[a-z]{2,15}"), F.lit(0))).alias("w"))
     often = found.groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n")).filter(F.col("n") >= LEARN_TIMES)
     return [r.w for r in often.orderBy(F.desc("n"), "w").limit(LEARNED).collect()]
 

@@ -540,6 +540,14 @@ def test_learned_words_come_from_the_corpus(spark):
     assert secrets.novel_spans(text, [], secrets.compressor()) and not secrets.novel_spans(text, [], secrets.compressor(learned), known)
 
 
+def test_learned_words_are_counted_in_all_documents(spark):
+    """More documents than a sample would hold, of few different texts: no text's words are left out."""
+    words = ["zebra", "quagga", "okapi", "tapir", "gnu", "dingo", "wombat", "numbat", "potoroo", "bilby"]
+    docs = spark.range(60_000).selectExpr(f"element_at(array{tuple(words)}, cast(id % 10 as int) + 1) text")
+    assert secrets.learned_words(docs) == sorted(words)
+    assert secrets.learned_words(docs.unionByName(spark.createDataFrame([("tapir",)], "text string")))[0] == "tapir"
+
+
 @pytest.mark.parametrize("gap", [2, 32, 33, 40, 48, 49])
 def test_secrets_start_within_context(gap):
     text = "bearer" + ("- " * 30)[:gap - 1] + " Zx9fQ2kLm8Tr4vBn7wPq0s"
