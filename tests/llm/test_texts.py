@@ -220,6 +220,31 @@ def test_words_are_encoded_as_in_their_text(words, sep):
     assert w.encode([b"x", text.encode(), b""])[1].tolist() == [*w.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+@given(st.lists(st.text("aZÀÖ×ØÞßéö÷øÿªœŒ\u0301'*.<|s9", min_size=1, max_size=6), max_size=20), st.sampled_from([" ", "\r\n"]))
+@settings(max_examples=200, deadline=None)
+def test_letters_and_signs_are_encoded_as_in_their_text(words, sep):
+    w = token_output.words_of_file(None)
+    text = sep.join(words)
+    assert w.encode([text.encode()])[0].tolist() == [*w.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_words_are_learned_without_case_and_signs(monkeypatch):
+    w, texts = token_output.Words(token_output.default_vocabulary()), ["Été, été! ÉTÉ*** ()", "word WORD.\nWord...\tit's", "", "x " * 50 + "word"]
+    want = [[*w.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in w.encode([t.encode() for t in texts])] == want
+    assert sorted(w.units.to_pylist()) == ["", "!", "()", "***", ",", ".", "...", "it's", "word", "x", "été"]
+    monkeypatch.setattr(token_output, "SLICE", 20)  # texts are cut, and the table is emptied
+    monkeypatch.setattr(token_output, "KEPT", 5)
+    assert [x.tolist() for x in w.encode([t.encode() for t in texts])] == want and len(w.units) < 11
+
+
+def test_range_coder_carries():
+    rng = np.random.default_rng(3)
+    blocks = [np.sort(rng.integers(0, n, 4096)) for n in (2, 3, 50, 4096)] + [np.repeat([5, 6, 9], 1300), rng.zipf(1.2, 4096) % 65536, rng.permutation(4096)] * 9
+    back = range_coder.decode(range_coder.encode(blocks), np.array([len(b) for b in blocks]))
+    assert all((x == y).all() for x, y in zip(back, blocks, strict=True))
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_output, "CALL_IDS", 3000)  # documents run over calls and blocks
     tokenizer = token_output.words_of_file(None).tokenizer
